@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import _shared, importance_sampling, quality_rules
+from tallyforge.llm import _shared, importance_sampling, minhash_dedup, quality_rules
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,9 +17,15 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return quality_rules.keep_good(docs, quality_rules.fit(docs, _shared.table(spark, sf_dir, "labels")))
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """MinHash near-duplicates over five-word shingles; one document of each group stays."""
+    return minhash_dedup.keep_one(docs)
+
+
 STAGES = [
     ("quality_classifier", classify_quality),
     ("quality_rules", apply_quality_rules),
+    ("minhash_dedup", drop_near_copies),
 ]
 
 #: SQL can't express the trained models; tests hold the stages against brute force.
