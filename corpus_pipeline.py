@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import _shared, importance_sampling, minhash_dedup, quality_rules
+from tallyforge.llm import _shared, decontamination, importance_sampling, minhash_dedup, packing, quality_rules
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,10 +22,22 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return minhash_dedup.keep_one(docs)
 
 
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontamination.keep_clean(docs, _shared.table(spark, sf_dir, "benchmark"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 2048 tokens."""
+    return packing.pack(docs)
+
+
 STAGES = [
     ("quality_classifier", classify_quality),
     ("quality_rules", apply_quality_rules),
     ("minhash_dedup", drop_near_copies),
+    ("decontamination", drop_benchmark_leaks),
+    ("packing", pack_sequences),
 ]
 
 #: SQL can't express the trained models; tests hold the stages against brute force.

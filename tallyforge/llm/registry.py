@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import importance_sampling, license_scan, minhash_dedup, quality_rules
-from tallyforge.llm._shared import table
+from tallyforge.llm import decontamination, importance_sampling, license_scan, minhash_dedup, packing, quality_rules, sharding, token_output
+from tallyforge.llm._shared import new_folder, table
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,16 +19,36 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=4)
 
 
+def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_output.write_packed(table(spark, sf_dir, "documents"), new_folder(spark, "tokens"))
+    return token_output.read_packed(spark, manifest)
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_sampling.importance_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+OPERATORS = (op1_license_scan, op2_quality_rules, op3_decontamination, op6_packing, op7_minhash_dedup, op8_token_output, op9_quality_classifier, op10_sharding)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op7_minhash_dedup, op9_quality_classifier)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 _OP7_SQL = r"""
