@@ -14,13 +14,13 @@ def at(url: str) -> tuple[fs.FileSystem, str]:
 
 def write(url: str, data: bytes) -> None:
     store, path = at(url)
-    with store.open_output_stream(path) as out:
+    with store.open_output_stream(path, compression=None) as out:
         out.write(data)
 
 
 def read(url: str) -> bytes:
     store, path = at(url)
-    with store.open_input_stream(path) as file:
+    with store.open_input_stream(path, compression=None) as file:
         return file.read()
 
 

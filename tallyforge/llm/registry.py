@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import decontamination, importance_sampling, license_scan, minhash_dedup, packing, quality_rules, sharding, token_output
+from tallyforge.llm import decontamination, importance_sampling, license_scan, minhash_dedup, packing, quality_rules, sharding, token_output, warc
 from tallyforge.llm._shared import new_folder, table
 
 
@@ -23,6 +23,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_warc(table(spark, sf_dir, "pages"), new_folder(spark, "warc"))
+    return warc.summary(warc.read_warc(spark, manifest))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -44,7 +49,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-OPERATORS = (op1_license_scan, op2_quality_rules, op3_decontamination, op6_packing, op7_minhash_dedup, op8_token_output, op9_quality_classifier, op10_sharding)
+OPERATORS = (op1_license_scan, op2_quality_rules, op3_decontamination, op4_warc, op6_packing, op7_minhash_dedup, op8_token_output, op9_quality_classifier, op10_sharding)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -74,6 +79,24 @@ SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(c.r, d.doc_id) AS comp
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN component c ON c.doc_id = d.doc_id
 """
 
+_OP4_SQL = r"""
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+), d AS (
+  SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS hex FROM p
+), five AS (
+  -- five hex digits are four base-32 digits
+  SELECT page_id, payload_bytes, hex, [('0x' || hex[g * 5 + 1:g * 5 + 5])::BIGINT for g in range(8)] AS parts FROM d
+), b AS (
+  SELECT page_id, payload_bytes, hex, array_to_string([array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> s) & 31)::INT + 1, 1) for s in [15, 10, 5, 0]], '') for x in parts], '') AS payload_digest FROM five
+), m AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM b
+)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to
+FROM m
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_minhash_dedup": _OP7_SQL}
+    return {"op4_warc": _OP4_SQL, "op7_minhash_dedup": _OP7_SQL}
