@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import decontamination, importance_sampling, license_scan, minhash_dedup, packing, quality_rules, sharding, token_output, warc
+from tallyforge.llm import decontamination, html_extraction, importance_sampling, license_scan, minhash_dedup, packing, quality_rules, sharding, token_output, warc
 from tallyforge.llm._shared import new_folder, table
 
 
@@ -28,6 +28,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.summary(warc.read_warc(spark, manifest))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-OPERATORS = (op1_license_scan, op2_quality_rules, op3_decontamination, op4_warc, op6_packing, op7_minhash_dedup, op8_token_output, op9_quality_classifier, op10_sharding)
+OPERATORS = (op1_license_scan, op2_quality_rules, op3_decontamination, op4_warc, op5_html_extraction, op6_packing, op7_minhash_dedup, op8_token_output, op9_quality_classifier, op10_sharding)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
