@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from tallyforge.plans import _register, functions_plans, reconcile_plans  # noqa: F401
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return _register.QUERIES["a4_reconcile_documents"](spark, sf_dir)
 
 
 def queries():
-    return {}
+    return dict(_register.QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(_register.SQL)
