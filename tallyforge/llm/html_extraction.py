@@ -4,16 +4,20 @@ Tokens of a page are its elements, named by their path of tags and classes, and
 its text blocks, named by path and text. Over all pages of a host, tokens with
 the same occurrence vector (how often each page has them) form an equivalence
 class. Vectors are compared by a fingerprint that adds up in any order (an XOR
-of hashes of page and count, beside the number of pages and occurrences), so
-the statistics cover every page and the hottest host is pre-aggregated like any
-other. A class of tokens that each page has once, on enough pages, is valid if
-its tokens stand in one order on all pages. Valid classes nest by their paths
-into the host's template; what the template leaves open are slots, and block
-texts that belong to it are boilerplate.
+of hashes of page and count, beside the number of pages; a token that each of
+its pages has equally often stands there as so many tokens of once), so the statistics cover every page and the hottest host is pre-aggregated like any
+other; copies of a page count once, for they tell nothing of what is open. A
+class of several tokens on enough pages, however often a page has them, is valid
+if its tokens of a kind first stand in one order on all pages. Valid classes
+nest into the host's template, each token before, in or after the article of the
+pages; what the template leaves open are slots, and block texts that belong to
+it are boilerplate, inside articles too.
 
 Of the slots those remain that are neither in an element whose tag, role, class
 or id says menu, header, footer, sidebar, notice, advert, form, script, style or
-comments, nor outside the article where the page or its host's template has one.
+comments, nor outside the page's article. Where a page has no text in an article
+but its host's template has one, the slots between the template's tokens before
+and after the article stand for it.
 Character references are decoded, white space in a block becomes one blank,
 blocks join in page order by a line feed.
 
@@ -26,11 +30,11 @@ null or odd url is a host of its own; repeated rows get repeated results.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from dataclasses import dataclass, field
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,10 +76,9 @@ class Element:
 
 @dataclass
 class Page:
-    """Blocks (path, text, dropped, main) and element paths of a page, in its order."""
+    """Elements (e) and blocks (t) of a page in its order: kind, path, text, dropped, main."""
 
-    blocks: list[tuple[str, str, bool, bool]] = field(default_factory=list)
-    elements: list[str] = field(default_factory=list)
+    tokens: list[tuple[str, str, str, bool, bool]] = field(default_factory=list)
 
 
 def _element(name: str, attributes: str, above: Element) -> Element:
@@ -108,7 +111,7 @@ def parse(text: str) -> Page:
             parts.clear()
             if joined:
                 top = next(e for e in reversed(stack) if e.name not in _FORMATTING)
-                page.blocks.append((top.path, joined, stack[-1].dropped, stack[-1].main))
+                page.tokens.append(("t", top.path, joined, stack[-1].dropped, stack[-1].main))
 
     while at < n:
         m = _TAG.search(text, at)
@@ -167,7 +170,7 @@ def parse(text: str) -> Page:
                         del stack[k:]
         element = _element(name, m[3], stack[-1])
         if name in _BLOCK:
-            page.elements.append(element.path)
+            page.tokens.append(("e", element.path, "", element.dropped, element.main))
         if not m[3].endswith("/") or name in _BLOCK:
             stack.append(element)
     end_block()
@@ -175,8 +178,19 @@ def parse(text: str) -> Page:
 
 
 def _token(kind: str, path: str, text: str = "") -> int:
-    h = np.frombuffer(f"{kind}\x00{path}\x00{text}".encode(), np.uint8)
-    return int(_words.words(h, np.array([0, len(h)]), np.ones(256, np.uint8)).hashes().view(np.int64)[0])
+    # A character reference can name half a pair, which is no UTF-8.
+    return int.from_bytes(hashlib.blake2b(f"{kind}\x00{path}\x00{text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+BEFORE, INSIDE, AFTER, ANYWHERE = 0, 1, 2, 3
+
+
+def _sides(page: Page) -> list[int | None]:
+    """Of each token, whether it stands before, in or after the page's article; None on pages without one."""
+    inside = [i for i, t in enumerate(page.tokens) if t[4]]
+    if not inside:
+        return [None] * len(page.tokens)
+    return [INSIDE if t[4] else BEFORE if i < inside[0] else AFTER if i > inside[-1] else ANYWHERE for i, t in enumerate(page.tokens)]
 
 
 def host(url: Column) -> Column:
@@ -186,51 +200,57 @@ def host(url: Column) -> Column:
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """A row for each page and token: host, page (a number of the row), token, kind, count and first place."""
+    """A row for each distinct page and token: host, page (a number of its html), token, kind, count, first place and side."""
 
     def run(batches):
         for batch in batches:
             out = []
             for site, page_id, html in zip(*(_words.column(batch, c).to_pylist() for c in ("host", "page", "html")), strict=True):
                 page, seen = parse(html or ""), {}
-                order = [("e", p, "") for p in page.elements] + [("t", p, t) for p, t, _, _ in page.blocks]
-                for place, (kind, path, text) in enumerate(order):
-                    one = seen.setdefault((kind, path, text), [0, place])
+                for place, ((kind, path, text, _, _), side) in enumerate(zip(page.tokens, _sides(page), strict=True)):
+                    one = seen.setdefault((kind, path, text), [0, place, side])
                     one[0] += 1
-                out += [(site, page_id, _token(kind, path, text), kind == "t", n, place) for (kind, path, text), (n, place) in seen.items()]
-            names, kinds = ["host", "page", "token", "is_text", "n", "place"], [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
-            columns = zip(*out, strict=True) if out else [[]] * 6
+                    one[2] = side if one[2] == side else ANYWHERE
+                out += [(site, page_id, _token(kind, path, text), kind == "t", n, place, side) for (kind, path, text), (n, place, side) in seen.items()]
+            names, kinds = ["host", "page", "token", "is_text", "n", "place", "side"], [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
+            columns = zip(*out, strict=True) if out else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    numbered = pages.select(host(F.col("url")).alias("host"), F.xxhash64("page_id", "url", "html").alias("page"), "html")
-    return numbered.mapInArrow(run, "host string, page long, token long, is_text boolean, n long, place long")
+    numbered = pages.select(host(F.col("url")).alias("host"), F.xxhash64("html").alias("page"), "html")
+    found = numbered.mapInArrow(run, "host string, page long, token long, is_text boolean, n long, place long, side long")
+    return found.groupBy("host", "page", "token").agg(*(F.max(c).alias(c) for c in ("is_text", "n", "place", "side")))
 
 
 def templates(pages: DataFrame, *, min_pages: int = 8, min_share: float = 0.5) -> DataFrame:
-    """(host, token, is_text, class_id, place): tokens of the valid classes, nested by place."""
+    """(host, token, is_text, class_id, place, side): tokens of the valid classes, nested by place and side."""
     tokens = _shared.written(page_tokens(pages), "page-tokens")
-    vectors = tokens.groupBy("host", "token").agg(F.count("*").alias("pages"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.min("place").alias("place"), F.first("is_text").alias("is_text"))
+    vectors = tokens.groupBy("host", "token").agg(F.count("*").alias("pages"), F.when(F.min("n") == F.max("n"), F.bit_xor(F.xxhash64("page"))).otherwise(F.bit_xor(F.xxhash64("page", "n"))).alias("vector"), F.min("place").alias("place"), F.max("is_text").alias("is_text"), F.min("side").alias("low"), F.max("side").alias("high"))
+    vectors = vectors.withColumn("side", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(ANYWHERE)).drop("low", "high")
     # A page's frame is on all of a host's pages, so the most frequent token counts them.
     most = vectors.groupBy("host").agg(F.max("pages").alias("host_pages"))
-    once = vectors.where((F.col("pages") >= min_pages) & (F.col("total") == F.col("pages"))).join(most, "host").where(F.col("pages") >= F.col("host_pages") * min_share)
-    classes = once.select("host", "token", "is_text", "place", F.xxhash64("host", "pages", "vector").alias("class_id"))
+    frequent = vectors.where(F.col("pages") >= min_pages).join(most, "host").where(F.col("pages") >= F.col("host_pages") * min_share)
+    classes = frequent.select("host", "token", "is_text", "place", "side", F.xxhash64("host", "pages", "vector").alias("class_id"))
     large = classes.groupBy("class_id").agg(F.count("*").alias("size")).where("size > 1").select("class_id")
-    classes = _shared.written(classes.join(large, "class_id").select("host", "token", "is_text", "place", "class_id"), "page-classes")
+    classes = _shared.written(classes.join(large, "class_id").select("host", "token", "is_text", "place", "side", "class_id"), "page-classes")
     # Ordered: on every page the class's tokens of a kind stand in one order.
     placed = tokens.join(classes.select("host", "token", "class_id"), ["host", "token"])
     orders = placed.groupBy("class_id", "page", "is_text").agg(F.hash(F.transform(F.array_sort(F.collect_list(F.struct("place", "token"))), lambda x: x["token"])).alias("sequence"))
     valid = orders.groupBy("class_id", "is_text").agg(F.min("sequence").alias("low"), F.max("sequence").alias("high")).where("low = high").select("class_id", "is_text")
-    return classes.join(valid, ["class_id", "is_text"]).select("host", "token", "is_text", "class_id", "place")
+    return classes.join(valid, ["class_id", "is_text"]).select("host", "token", "is_text", "class_id", "place", "side")
 
 
-def main_text(html: str, boilerplate: frozenset[int] = frozenset()) -> str:
-    """The text of the slots that remain. boilerplate: text tokens of the host's template."""
+def main_text(html: str, template: dict[int, int] | None = None) -> str:
+    """The text of the slots that remain. template: tokens of the host's template and their sides."""
     page = parse(html)
-    kept = [b for b in page.blocks if not b[2]]
-    inside = [b for b in kept if b[3]]
-    if not inside and boilerplate:
-        kept = [b for b in kept if _token("t", b[0], b[1]) not in boilerplate]
-    return "\n".join(b[1] for b in inside or kept)
+    sides = [template.get(_token(*t[:3])) for t in page.tokens] if template else [None] * len(page.tokens)
+    slots = [i for i, t in enumerate(page.tokens) if t[0] == "t" and not t[3]]
+    inside = [i for i in slots if page.tokens[i][4]]
+    if not inside and template and INSIDE in template.values():
+        # The article's place, by what the template has before and after it.
+        begin = max((i for i, s in enumerate(sides) if s == BEFORE), default=-1)
+        end = min((i for i, s in enumerate(sides) if s == AFTER and i > begin), default=len(sides))
+        slots = [i for i in slots if begin < i < end]
+    return "\n".join(page.tokens[i][2] for i in inside or slots if sides[i] is None)
 
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
@@ -238,31 +258,31 @@ SCHEMA = "page_id long, url string, text string, n_chars long"
 
 def extract_main_text(pages: DataFrame, *, min_pages: int = 8, min_share: float = 0.5, max_broadcast_tokens: int = 100_000) -> DataFrame:
     """One row per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars."""
-    template = _shared.written(templates(pages, min_pages=min_pages, min_share=min_share).where("is_text").select("host", "token"), "page-templates")
+    template = _shared.written(templates(pages, min_pages=min_pages, min_share=min_share).select("host", "token", "side"), "page-templates")
     rows = pages.select(F.col("page_id").cast("long"), "url", "html", host(F.col("url")).alias("host"))
 
-    def output(batch, boilerplates):
+    def output(batch, by_page):
         urls = _words.column(batch, "url")
-        texts = [main_text(h or "", b) for h, b in zip(_words.column(batch, "html").to_pylist(), boilerplates, strict=True)]
+        texts = [main_text(h or "", t) for h, t in zip(_words.column(batch, "html").to_pylist(), by_page, strict=True)]
         return pa.RecordBatch.from_arrays([_words.column(batch, "page_id"), urls, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     if template.limit(max_broadcast_tokens + 1).count() <= max_broadcast_tokens:
-        by_host: dict[str, set[int]] = {}
-        for site, token in template.collect():  # max_broadcast_tokens rows at most
-            by_host.setdefault(site, set()).add(token)
-        shared = pages.sparkSession.sparkContext.broadcast({k: frozenset(v) for k, v in by_host.items()})
+        by_host: dict[str, dict[int, int]] = {}
+        for site, token, side in template.collect():  # max_broadcast_tokens rows at most
+            by_host.setdefault(site, {})[token] = side
+        shared = pages.sparkSession.sparkContext.broadcast(by_host)
 
         def run(batches):
             for batch in batches:
-                yield output(batch, [shared.value.get(h, frozenset()) for h in _words.column(batch, "host").to_pylist()])
+                yield output(batch, [shared.value.get(h) for h in _words.column(batch, "host").to_pylist()])
 
         return rows.mapInArrow(run, SCHEMA)
 
-    # A host's boilerplate is one list; the join with it can be split where a host is hot.
-    lists = template.groupBy("host").agg(F.collect_set("token").alias("tokens"))
+    # A host's template is one list; the join with it can be split where a host is hot.
+    lists = template.groupBy("host").agg(F.collect_set(F.struct("token", "side")).alias("tokens"))
 
     def run_joined(batches):
         for batch in batches:
-            yield output(batch, [frozenset(x or ()) for x in _words.column(batch, "tokens").to_pylist()])
+            yield output(batch, [{t["token"]: t["side"] for t in x or ()} for x in _words.column(batch, "tokens").to_pylist()])
 
     return rows.join(lists, "host", "left").mapInArrow(run_joined, SCHEMA)

@@ -199,6 +199,17 @@ def test_host_template_is_deduced(spark):
     assert joined == got
 
 
+def test_host_template_acts_inside_articles(spark):
+    share = "<p>Share this story</p>"  # twice on each page, in no element with a tell-tale name
+    rows = [(i, f"http://h/{i}", f"<div><p>Our town paper</p></div><article>{share}<h1>Title {i}</h1><p>Story {i} is here</p>{share}<p>All the news since 1900</p></article><div><p>Printed in town</p></div>") for i in range(12)]
+    rows.append((20, "http://h/20", "<div><p>Our town paper</p></div><section><p>No article here</p></section><div><p>Printed in town</p></div><p>Outside it</p>"))
+    rows += [(30 + i, f"http://copies/{i}", "<article><h1>One</h1><p>And the same page again</p></article>") for i in range(12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: f"Title {i}\nStory {i} is here" for i in range(12)} | {20: "No article here"} | {30 + i: "One\nAnd the same page again" for i in range(12)}
+    for most in (100_000, 0):
+        assert {r["page_id"]: r["text"] for r in html_extraction.extract_main_text(pages, max_broadcast_tokens=most).collect()} == want
+
+
 def test_page_text_of_odd_and_empty_tables(spark):
     pages = spark.createDataFrame([(None, None, None), (1, "", ""), (1, "", ""), (2, "x", "<")], "page_id long, url string, html string").withColumn("host", F.lit(1)).withColumn("text", F.lit("t"))
     assert html_extraction.extract_main_text(pages).count() == 4
