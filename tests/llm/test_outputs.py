@@ -77,6 +77,28 @@ def test_packer_keeps_every_limit():
         assert alone or sum(need[p[0]][3] for p in s) <= 500
 
 
+def test_packer_takes_the_dot_product_at_any_count():
+    packer = packing.Packer((100, 10, 100), cut=True, most_open=2)
+    packer.add([(0, 0, 60, 0), (1, 0, 55, 55)])
+    assert len(packer.open) == packer.most_open
+    packer.add([(2, 0, 20, 20)])  # its loss goes where there is room for loss, not to the fullest by tokens or by loss
+    packer.add([(3, 0, 10, 0)])
+    packer.finish()
+    assert {tuple(sorted(p[0] for p in s)) for s in packer.closed} == {(0, 2), (1, 3)}
+
+
+def test_packing_holds_the_limit_of_loss_tokens(spark, ids_of):
+    docs = documents(spark).withColumn("answer", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") * 40))
+    for pieces in (packing.pack(docs, loss=300, loss_tokens="answer").collect(), packing.pack(docs, loss=300, loss_tokens=F.col("answer")).collect()):
+        lossless(pieces, dict(enumerate(TEXTS)), ids_of)
+        by_sequence, bearing = defaultdict(list), {i: min(i * 40, len(ids_of(t))) if i % 3 else len(ids_of(t)) for i, t in enumerate(TEXTS)}
+        for p in pieces:
+            by_sequence[p["sequence_id"]].append(p)
+            begin = p["doc_tokens"] - bearing[p["doc_id"]]
+            assert p["loss_tokens"] == max(0, p["start"] + p["length"] - max(begin, p["start"]))
+        assert all(sum(p["loss_tokens"] for p in s) <= 300 and sum(p["length"] for p in s) <= 2048 for s in by_sequence.values())
+
+
 def test_packing_pads_little(spark):
     docs = _shared.table(spark, "/root/testdata/sf0.01", "documents").coalesce(1)
     pieces = packing.pack(docs).groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.count("*").alias("s"), F.sum("n").alias("n")).collect()[0]
