@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tallyforge.llm import _words
-from tallyforge.llm.license_rules import HINT, NAMED, NOTICE, VERSIONED, rules
+from tallyforge.llm.license_rules import HINT, NAMED, NOTICE, UNDER, VERSIONED, rules
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -37,16 +37,36 @@ _ARROW = pa.schema([
 ])
 
 
-_OPTIONAL = re.compile(r"\(\?:[^()]*\)\?")
-_LICENCE_WORDS = ("license", "licence", "licenses", "licences", "licensed", "licenced")
+_OPTIONAL = re.compile(r"\(\?:[^()]*\)[?*]")
+_GROUP = re.compile(r"\(\?:([^()]*)\)")
+_EITHER = re.compile(r"\[cs\]|.\?")
+#: What may stand for any characters; a word beside it is not known.
+_WILD = re.compile(r"(?:\[[^\]]*\]|\\[dwS]|\.)(?:\{[^}]*\}|[+*])?")
 
 
+def _variants(pattern: str):
+    """The pattern's texts without what is optional in groups; a line feed stands for any characters."""
+    if m := _GROUP.search(pattern):
+        for one in m[1].split("|"):
+            yield from _variants(pattern[: m.start()] + one + pattern[m.end() :])
+    elif m := _EITHER.search(pattern):
+        for one in "cs" if m[0] == "[cs]" else ("", m[0][0]):
+            yield from _variants(pattern[: m.start()] + one + pattern[m.end() :])
+    else:
+        yield _WILD.sub("\n", pattern)
+
+
+@functools.cache
 def gate_words(keyword: str, pattern: str) -> tuple[str, ...]:
-    """Words of which each text that the pattern matches has one."""
-    bare = pattern
+    """Words of which each text that the pattern matches has one: of each variant a licence word, else the keyword's first, else the longest."""
+    bare = re.sub(r"\\[()]", "\n", pattern.replace(UNDER, ""))
     while (less := _OPTIONAL.sub("", bare)) != bare:
         bare = less
-    return _LICENCE_WORDS if "licen[cs]e" in bare else (keyword.split()[0],)
+    found = set()
+    for text in _variants(bare):
+        words = [w for w in text.split(" ") if w and "\n" not in w]
+        found.add(max(words, key=lambda w: (w.startswith("licen"), w == keyword.split()[0], len(w))))
+    return tuple(sorted(found))
 
 
 @functools.cache

@@ -8,7 +8,7 @@ from edge import TEXTS, documents, empty_documents, odd_documents
 from pyspark.sql import functions as F
 
 from tallyforge.llm import _shared, importance_sampling, license_scan, quality_rules
-from tallyforge.llm.license_rules import rules
+from tallyforge.llm.license_rules import UNDER, rules
 
 SF_DIR = "/root/testdata/sf0.01"
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -56,6 +56,51 @@ def test_gate_loses_no_rule():
     assert all(license_scan.gate_words(keyword, pattern) for _, _, keyword, pattern in rules())
 
 
+def made_from(pattern):
+    """Texts that the pattern may match: each alternative, each optional part with and without."""
+
+    def texts(items):
+        outs = [""]
+        for op, value in items:
+            match str(op):
+                case "LITERAL":
+                    each = [chr(value)]
+                case "IN":
+                    each = [chr(v) if str(o) == "LITERAL" else chr(v[0]) if str(o) == "RANGE" else "1" for o, v in value]
+                case "ANY":
+                    each = ["q"]
+                case "MAX_REPEAT":
+                    each = ([""] if value[0] == 0 else []) + [t * max(1, value[0]) for t in texts(value[2])]
+                case "SUBPATTERN":
+                    each = texts(value[3])
+                case "BRANCH":
+                    each = [t for branch in value[1] for t in texts(branch)]
+            outs = [a + b for a in outs for b in each]
+        return outs
+
+    return texts(re._parser.parse(pattern.replace(UNDER, "licensed under ")))
+
+
+def test_gate_equals_running_all_rules(spark):
+    compiled, texts = [(label, re.compile(rf"(?<![^ ])(?:{pattern})(?![^ ])")) for label, _, _, pattern in rules()], []
+    for (label, _, keyword, pattern), (_, own) in zip(rules(), compiled, strict=True):
+        made = [t for t in (" ".join(t.split()) for t in made_from(pattern)) if own.search(t)]
+        assert made, pattern
+        for t in made:
+            assert keyword in t, (pattern, t)
+            assert set(license_scan.gate_words(keyword, pattern)) & set(t.split()), (pattern, t)
+        texts.append((made[0], label))
+    some = ["mulan psl 2", "responsible ai license", "icu license", "common development and distribution licence", "all rights are reserved", "see the licence file", "gplv3", "apache licensev2"]
+    texts += [(t, None) for t in some]
+    rows = {r["doc_id"]: r for r in license_scan.license_scan(documents(spark, [t for t, _ in texts])).collect()}
+    for i, (text, label) in enumerate(texts):
+        got = {x["label"] for x in rows[i]["detections"]}
+        assert got and got == {x[0] for x in license_scan.detect(text)}
+        assert got <= {x for x, own in compiled if own.search(text)}
+    labels = [rows[len(texts) - len(some) + i]["labels"] for i in range(len(some))]
+    assert labels == ["mulan-2.0", "openrail", "icu", "cddl", "reserved", "unspecified", "gpl-3.0", "apache-2.0"]
+
+
 def test_license_scan_of_odd_and_empty_tables(spark):
     assert license_scan.license_scan(odd_documents(spark)).count() == len(TEXTS) + 3
     assert license_scan.license_scan(empty_documents(spark)).count() == 0
