@@ -13,8 +13,8 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Base rules and the calibrated model, fitted on the labelled documents that are left."""
-    return quality_rules.keep_good(docs, quality_rules.fit(docs, _shared.table(spark, sf_dir, "labels")))
+    """Base rules and the calibrated model, fitted on all labelled documents: the stage before leaves few of the bad ones."""
+    return quality_rules.keep_good(docs, quality_rules.fit(_shared.table(spark, sf_dir, "documents"), _shared.table(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

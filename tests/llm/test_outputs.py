@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tallyforge.llm import _shared, _tokens, html_extraction, packing, sharding, token_output, warc
+from tallyforge.llm import _shared, _tokens, html_extraction, packing, quality_rules, sharding, token_output, warc
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -238,6 +238,15 @@ def test_page_text_of_odd_and_empty_tables(spark):
     assert html_extraction.extract_main_text(pages.where("false")).count() == 0
 
 
+def test_pipeline_rules_do_not_depend_on_the_stage_before(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    docs, labels = (_shared.table(spark, sf_dir, x) for x in ("documents", "labels"))
+    before = docs.join(labels.where("quality = 0").select("doc_id"), "doc_id", "left_anti").select(docs.columns)  # no labelled bad document is left
+    ids = [sorted(r[0] for r in x.select("doc_id").collect()) for x in (corpus_pipeline.apply_quality_rules(spark, before, sf_dir), quality_rules.keep_good(before, quality_rules.fit(docs, labels)), quality_rules.keep_good(before, None))]
+    print("kept by the stage, by op2's model, by base rules alone:", *map(len, ids))
+    assert ids[0] == ids[1] != ids[2]
+
+
 def test_pipeline_stages_decide(spark, ids_of):
     docs = _shared.table(spark, SF_DIR, "documents")
     columns = docs.columns
