@@ -6,6 +6,11 @@ importance weight: the sum over its n-grams of the log ratio. Adding Gumbel
 noise and taking the top k samples k documents without replacement in
 proportion to their weights.
 
+A few words make a document toxic, and a sum over all n-grams drowns them. So
+n-grams that are in significantly more of the labelled toxic documents than of
+the good ones have a second log ratio, and documents that sum up to more of it
+than nearly all good ones (half of what ``target_kept`` lets go) come last.
+
 k is a number, a share, or by default the count of documents whose weight
 reaches the one that ``target_kept`` of the labelled good rows reach; the model
 is then fitted on half of them and k is chosen by the other half, so that the sample is as large as the part of the corpus that looks like the target.
@@ -31,6 +36,12 @@ from pyspark.sql import functions as F
 from tallyforge.llm import _shared, _words
 
 BUCKETS = 1 << 14
+#: Buckets of the toxic n-grams are finer: common n-grams must not share one with them.
+MARKS = 1 << 20
+#: Standard deviations from which on an n-gram tells toxic documents from good ones.
+SIGNIFICANT = 5.0
+#: What a toxic document's key loses; more than any weight.
+LAST = 1e9
 _SHIFT = np.uint64(50)
 
 
@@ -40,11 +51,46 @@ def _buckets(part: _words.Words) -> list[tuple[np.ndarray, np.ndarray]]:
     return [((hashed >> _SHIFT).astype(np.int64), part.of), ((pairs >> _SHIFT).astype(np.int64), of)]
 
 
+def _marks(part: _words.Words, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Document and fine bucket of each distinct unigram and bigram of a document; only the chosen buckets."""
+    hashed = part.hashes()
+    pairs, of = _words.windows(hashed, part.of, 2)
+    doc = np.concatenate([np.repeat(np.arange(part.n_docs), np.diff(x)) for x in (part.of, of)])
+    bucket = (np.concatenate([hashed, pairs]) >> np.uint64(44)).astype(np.int64)
+    if chosen is not None:
+        doc, bucket = doc[chosen[bucket]], bucket[chosen[bucket]]
+    return np.divmod(np.unique(doc * MARKS + bucket), MARKS)
+
+
+@dataclass(frozen=True)
+class Toxic:
+    """Log ratios of the significant buckets (ascending), and the sum that good documents don't exceed."""
+
+    buckets: np.ndarray
+    ratio: np.ndarray
+    limit: float = float("inf")
+
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        chosen, out = np.zeros(MARKS, bool), []
+        chosen[self.buckets] = True
+        for part in _words.slices(texts, _words.PUNCT):
+            doc, bucket = _marks(part, chosen)
+            out.append(np.bincount(doc, weights=self.ratio[np.searchsorted(self.buckets, bucket)], minlength=part.n_docs))
+        return np.concatenate(out) if out else np.zeros(0)
+
+
 @dataclass(frozen=True)
 class Model:
-    """log(target / raw) by bucket."""
+    """log(target / raw) by bucket, and what marks toxic documents."""
 
     ratio: np.ndarray
+    toxic: Toxic = Toxic(np.zeros(0, np.int64), np.zeros(0))
+
+    def keys(self, ids: np.ndarray, texts: pa.Array, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Weights, whether toxic, and weights plus noise, by which toxic documents come last."""
+        weight = self.weights(texts)
+        toxic = self.toxic.scores(texts) > self.toxic.limit if len(self.toxic.buckets) else np.zeros(len(weight), bool)
+        return weight, toxic, weight + _gumbel(ids, seed) - np.where(toxic, LAST, 0.0)
 
     def weights(self, texts: pa.Array) -> np.ndarray:
         out = []
@@ -58,10 +104,7 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, *, max_target: int = 20_000, smoothing: float = 1.0) -> Model:
     """Bucket counts of all documents and of the labelled good ones, in one pass."""
-    good = (
-        labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).select("doc_id").dropna().distinct()
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_target)
-    )
+    good = _good(labels, max_target)
     target = np.sort(np.array([r[0] for r in good.collect()], np.int64))  # max_target numbers at most
 
     def count(batches):
@@ -89,6 +132,51 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_target: int = 20_000, smoothi
     return Model(np.log(target_share / share))
 
 
+def _good(labels: DataFrame, most: int) -> DataFrame:
+    good = labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0))
+    return good.select("doc_id").dropna().distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+
+
+def fit_toxic(docs: DataFrame, seen: DataFrame, unseen: DataFrame, *, kept: float, most: int = 20_000) -> Toxic:
+    """Ratios by the ``seen`` labels; the limit that ``kept`` of the good documents of the ``unseen`` ones hold."""
+    toxic = seen.where("toxic = 1").select("doc_id").dropna().distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    chosen = toxic.withColumn("bad", F.lit(1)).unionByName(_good(seen, most).withColumn("bad", F.lit(0)))
+
+    def count(batches):
+        for batch in batches:
+            bad = _words.column(batch, "bad").to_numpy(zero_copy_only=False)
+            for part in _words.slices(_words.column(batch, "text"), _words.PUNCT):
+                own = bad[part.first : part.first + part.n_docs]
+                doc, bucket = _marks(part)
+                has, at = np.unique(bucket, return_inverse=True)
+                n_bad = np.bincount(at, weights=own[doc], minlength=len(has)).astype(np.int64)
+                n = np.bincount(at, minlength=len(has))
+                # Bucket -1 counts the documents.
+                columns = [np.append(has, -1), np.append(n_bad, own.sum()), np.append(n - n_bad, part.n_docs - own.sum())]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["bucket", "bad", "good"])
+
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    # Both broadcasts are of 2 * most rows of two integers at most.
+    sums = _shared.written(texts.join(F.broadcast(chosen), "doc_id").mapInArrow(count, "bucket long, bad long, good long").groupBy("bucket").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")), "toxic-ngrams")
+    total = sums.where("bucket = -1").collect()
+    if not total or not total[0]["bad"] or not total[0]["good"]:
+        return Toxic(np.zeros(0, np.int64), np.zeros(0))
+    n_bad, n_good = total[0]["bad"], total[0]["good"]
+    share = (F.col("bad") + F.col("good")) / (n_bad + n_good)
+    z = (F.col("bad") / n_bad - F.col("good") / n_good) / F.sqrt(share * (1 - share) * (1 / n_bad + 1 / n_good))
+    rows = sums.where((F.col("bucket") >= 0) & (share < 1) & (z > SIGNIFICANT)).orderBy("bucket").collect()  # of MARKS buckets at most
+    found = Toxic(np.array([r["bucket"] for r in rows], np.int64), np.array([np.log((r["bad"] + 0.5) / (n_bad + 1)) - np.log((r["good"] + 0.5) / (n_good + 1)) for r in rows]))
+    if not rows:
+        return found
+
+    def score(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(found.scores(_words.column(batch, "text")))], names=["score"])
+
+    limit = texts.join(F.broadcast(_good(unseen, most)), "doc_id").mapInArrow(score, "score double").agg(F.percentile("score", F.lit(kept)).alias("x")).collect()[0]["x"]
+    return found if limit is None else Toxic(found.buckets, found.ratio, limit)
+
+
 def _gumbel(ids: np.ndarray, seed: int) -> np.ndarray:
     bits = _words.mix(_words.mix(ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) + np.uint64(seed))
     return -np.log(-np.log(((bits >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53))
@@ -101,16 +189,15 @@ def _sortable(x: np.ndarray) -> np.ndarray:
 
 
 def scored(docs: DataFrame, model: Model, seed: int = 17) -> DataFrame:
-    """doc_id, log_weight, gumbel_key (weight plus noise) and the key as an integer in the same order."""
+    """doc_id, log_weight, gumbel_key (weight plus noise), the key as an integer in the same order and whether toxic."""
 
     def run(batches):
         for batch in batches:
             ids = _words.column(batch, "doc_id")
-            weight = model.weights(_words.column(batch, "text"))
-            key = weight + _gumbel(ids.fill_null(-1).to_numpy(zero_copy_only=False), seed)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(weight), pa.array(key), pa.array(_sortable(key))], names=["doc_id", "log_weight", "gumbel_key", "key_bits"])
+            weight, toxic, key = model.keys(ids.fill_null(-1).to_numpy(zero_copy_only=False), _words.column(batch, "text"), seed)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(weight), pa.array(key), pa.array(_sortable(key)), pa.array(toxic)], names=["doc_id", "log_weight", "gumbel_key", "key_bits", "toxic"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, log_weight double, gumbel_key double, key_bits long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, log_weight double, gumbel_key double, key_bits long, toxic boolean")
 
 
 def kth_largest(df: DataFrame, column: str, k: int) -> tuple[int, int] | None:
@@ -144,10 +231,13 @@ class Cut:
 
 
 def choose_k(scores: DataFrame, labels: DataFrame, *, target_kept: float = 0.995, most: int = 20_000) -> int:
-    """Documents whose weight reaches that of ``target_kept`` of the labelled good rows."""
-    good = labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    own = scores.join(F.broadcast(good), "doc_id").agg(F.percentile("log_weight", F.lit(1 - target_kept)).alias("w")).collect()[0]["w"]  # of ``most`` rows at most
-    return scores.count() if own is None else scores.where(F.col("log_weight") >= own).count()
+    """Documents, toxic ones aside, whose weight reaches that of ``target_kept`` of the labelled good rows."""
+    own = scores.join(F.broadcast(_good(labels, most)), "doc_id")  # of ``most`` rows at most
+    n, left = own.agg(F.count("*"), F.count(F.when(~F.col("toxic"), 1))).collect()[0]
+    if not left:
+        return scores.count()
+    least = own.where("not toxic").agg(F.percentile("log_weight", F.lit(max(0.0, 1 - target_kept * n / left))).alias("w")).collect()[0]["w"]
+    return scores.where((F.col("log_weight") >= least) & ~F.col("toxic")).count()
 
 
 def cut(scores: DataFrame, k: int) -> Cut | None:
@@ -178,6 +268,8 @@ def importance_sample(docs: DataFrame, labels: DataFrame, *, k: int | float | No
     # The model has not seen the rows that k is chosen by: those it was fitted on weigh too much.
     seen = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(2)) == 0
     model = fit(docs, labels.where(seen) if k is None else labels, max_target=max_target)
+    toxic = fit_toxic(docs, labels.where(seen), labels.where(~seen), kept=(1 + target_kept) / 2, most=max_target)
+    model = Model(model.ratio, toxic)
     scores = _shared.written(scored(docs, model, seed), "importance")
     if isinstance(k, float):
         k = round(k * scores.count())
@@ -196,7 +288,7 @@ def keep_sampled(docs: DataFrame, labels: DataFrame, *, seed: int = 17, **option
     def run(batches):
         for batch in batches:
             ids = _words.column(batch, "doc_id").cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
-            key = _sortable(model.weights(_words.column(batch, "text")) + _gumbel(ids, seed))
+            key = _sortable(model.keys(ids, _words.column(batch, "text"), seed)[2])
             same = key == found.key
             yield batch.filter(pa.array((key > found.key) | (same if found.doc_id is None else same & (ids <= found.doc_id))))
 

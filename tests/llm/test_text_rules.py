@@ -175,6 +175,20 @@ def test_importance_weights_on_held_out_labels(halves):
     assert area(good, bad) > 0.7
 
 
+def test_toxic_documents_leave_the_sample(spark):
+    sf_dir = "/root/testdata/sf0.1"
+    docs, labels = _shared.table(spark, sf_dir, "documents"), _shared.table(spark, sf_dir, "labels")
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    out, _, _ = importance_sampling.importance_sample(docs, labels.where(~held))
+    own = out.join(labels.where(held).where("quality = 1"), "doc_id").groupBy("toxic").agg(F.avg(F.col("kept").cast("int")).alias("kept"), F.count("*").alias("n"))
+    kept = {r["toxic"]: (r["kept"], r["n"]) for r in own.collect()}
+    print("kept of held-out documents, by toxic:", kept)
+    assert kept[0][0] > 0.98
+    assert kept[1][0] < 0.3
+    ids = importance_sampling.keep_sampled(docs, labels.where(~held)).select("doc_id")
+    assert sorted(r[0] for r in ids.collect()) == sorted(r[0] for r in out.where("kept").select("doc_id").collect())
+
+
 def test_top_k_is_exact(spark):
     values = [(int(x),) for x in np.random.default_rng(5).integers(-(2**63), 2**63 - 1, 500)] + [(7,)] * 20 + [(-7,)] * 20
     df = spark.createDataFrame(values, "v long")
