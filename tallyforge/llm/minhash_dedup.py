@@ -60,6 +60,11 @@ def _keys(collections: int, rows: int) -> np.ndarray:
     return np.stack([found[::2] | np.uint64(1), found[1::2]])
 
 
+def _print(own: np.ndarray) -> np.uint64:
+    """What a fingerprint is mixed from, of distinct shingle hashes."""
+    return (_words.mix(own) * np.uint64(0xD6E8FEB86659FD93)).sum() + np.uint64(len(own))
+
+
 def signatures(docs: DataFrame, size: int, collections: int = COLLECTIONS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, fp (fingerprint of the set; null if empty) and a hash for each collection."""
 
@@ -72,7 +77,7 @@ def signatures(docs: DataFrame, size: int, collections: int = COLLECTIONS, rows:
                 for d in np.flatnonzero(np.diff(of)).tolist():
                     own = np.unique(shingles[of[d] : of[d + 1]])
                     n[d] = len(own)
-                    fp[d] = (_words.mix(own) * np.uint64(0xD6E8FEB86659FD93)).sum() + np.uint64(len(own))
+                    fp[d] = _print(own)
                 sketch = np.zeros((part.n_docs, collections), np.uint64)
                 for c in range(collections):
                     for r in range(rows):
@@ -93,15 +98,16 @@ def signatures(docs: DataFrame, size: int, collections: int = COLLECTIONS, rows:
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """id and the sorted distinct shingle hashes of each row of ``docs`` (id, text)."""
+    """The fingerprint as id and the sorted distinct shingle hashes of each row of ``docs`` (text)."""
 
     def run(batches):
         for batch in batches:
             found = [np.unique(shingles[of[d] : of[d + 1]]).view(np.int64) for part, shingles, of in _sets(_words.column(batch, "text"), size) for d in range(part.n_docs)]
+            prints = _words.mix(np.array([_print(x.view(np.uint64)) for x in found], np.uint64)).view(np.int64)
             ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([_words.column(batch, "id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))], names=["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(prints), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))], names=["id", "shingles"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, shingles array<long>")
+    return docs.select("text").mapInArrow(run, "id long, shingles array<long>")
 
 
 def table_keys(vertices: DataFrame, collections: int = COLLECTIONS) -> DataFrame:
@@ -157,10 +163,10 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, threshold: int = 80, coll
     members = _shared.written(keyed.join(shared, "key", "left_semi"), "minhash-members")
 
     candidates = members.select("id").distinct().join(vertices.select("id", "doc"), "id")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(candidates.select("doc").distinct(), "doc", "left_semi")
-    # Where an id stands on several texts, each set goes by its own fingerprint.
-    sets = shingle_sets(texts.select(F.col("doc").alias("id"), "text"), size)
-    sets = sets.withColumnRenamed("id", "doc").join(candidates, "doc").select("id", "shingles")
+    of = candidates.select(F.col("doc").alias("_doc")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(of, F.col("doc").eqNullSafe(F.col("_doc")), "left_semi")
+    # By the fingerprint, not the doc_id: that may be null or stand on several texts.
+    sets = shingle_sets(texts, size).join(candidates.select("id"), "id").select("id", "shingles")
     sets = _shared.written(sets.dropDuplicates(["id"]), "minhash-sets")
 
     # How many of a set's shingles no other candidate has.

@@ -76,6 +76,17 @@ def test_near_duplicates_of_odd_and_empty_tables(spark):
     assert 6 not in [r["doc_id"] for r in kept.collect()]
 
 
+def test_sets_go_by_their_text_whatever_the_id(spark):
+    one, two, three = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    rows = [(None, one), (None, f"{one} end"), (7, two), (7, three), (8, f"{two} end"), (9, f"{three} end")]
+    out = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    links = {r["doc_id"]: r["component_id"] for r in out.where("doc_id > 7").collect()}
+    assert links == {8: 7, 9: 7}
+    docs = spark.createDataFrame(rows[:2], "doc_id long, text string")
+    signed = [r["fp"] for r in minhash_dedup.signatures(docs, 5).collect()]
+    assert signed == [r["id"] for r in minhash_dedup.shingle_sets(docs, 5).collect()]
+
+
 def test_a_large_group_of_copies_is_one_vertex(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit(TEXTS[5])).otherwise(F.concat(F.lit("text number "), F.col("id").cast("string"))).alias("text"))
     out = minhash_dedup.near_duplicates(docs).groupBy("component_id").count().where("count > 1").collect()
