@@ -1,35 +1,35 @@
-"""What the operators share: the folder that every machine sees, and tables written to it."""
+"""What the operators share: tables written to the folder that every machine sees."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyforge.sources._folder import new_folder, shared_folder  # noqa: F401
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder from spark.checkpoint.dir; where that is unset (tests), one of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
 
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A folder of its own under the shared one."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The table, written to the shared folder and read back: lineage ends there."""
+def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """The table, written to the shared folder (or a given one) and read back: lineage ends there."""
     spark = df.sparkSession
-    path = new_folder(spark, name)
+    path = new_folder(spark, name) if folder is None else f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that a job needs only until its result is written, in one folder that goes as a whole."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, new_folder(spark, name)
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        return written(df, name, self.folder)
+
+    def drop(self) -> None:
+        drop(self.spark, self.folder)
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Deletes a folder that written() or new_folder() made."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -23,18 +23,25 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where("a != b").distinct()
 
 
-def connected_components(links: DataFrame) -> DataFrame:
+def _checksum(edges: DataFrame) -> tuple:
+    """Count and two checksums, in any order, of distinct edges."""
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).collect()[0])
+
+
+def connected_components(links: DataFrame, scratch: _shared.Scratch | None = None) -> DataFrame:
     """(id, component) for each vertex of links (a, b); the component is its smallest vertex.
 
     Each round is two group-and-join steps over all edges, written to the shared
     folder; it ends when a round changes nothing, after about log(n) rounds.
     The minimum is aggregated before rows move, and the join with it can be split.
     """
-    edges = _shared.written(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
+    scratch = scratch or _shared.Scratch(links.sparkSession, "components")
+    edges = scratch.written(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    before = _checksum(edges)
     while True:
-        after = _shared.written(_star(_star(edges, True), False), "components")
-        same = edges.exceptAll(after).isEmpty() and after.exceptAll(edges).isEmpty()
-        edges = after
-        if same:
+        edges = scratch.written(_star(_star(edges, True), False), "edges")
+        now = _checksum(edges)
+        if now == before:
             break
+        before = now
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()

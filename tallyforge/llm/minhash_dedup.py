@@ -66,7 +66,7 @@ def _print(own: np.ndarray) -> np.uint64:
 
 
 def signatures(docs: DataFrame, size: int, collections: int = COLLECTIONS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, fp (fingerprint of the set; null if empty) and a hash for each collection."""
+    """doc_id, row (a hash of the text), n_shingles, fp (fingerprint of the set; null if empty) and a hash for each collection."""
 
     def run(batches):
         factors, shifts = _keys(collections, rows)
@@ -90,11 +90,11 @@ def signatures(docs: DataFrame, size: int, collections: int = COLLECTIONS, rows:
             fp = np.concatenate(prints) if prints else np.zeros(0, np.uint64)
             flat = np.concatenate(sketches).view(np.int64).ravel() if sketches else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [_words.column(batch, "doc_id"), pa.array(n), pa.array(fp.view(np.int64), mask=n == 0), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * collections), pa.array(flat))],
-                names=["doc_id", "n_shingles", "fp", "sketch"],
+                [_words.column(batch, "doc_id"), _words.column(batch, "row"), pa.array(n), pa.array(fp.view(np.int64), mask=n == 0), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * collections), pa.array(flat))],
+                names=["doc_id", "row", "n_shingles", "fp", "sketch"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, fp long, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), "text").mapInArrow(run, "doc_id long, row long, n_shingles long, fp long, sketch array<long>")
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -130,14 +130,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return both.where(100 * F.col("common") >= threshold * (F.col("total") - F.col("common"))).select("a", "b")
 
 
-def _across(still: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+def _across(still: DataFrame, sets: DataFrame, threshold: int, scratch: _shared.Scratch) -> DataFrame:
     """Pairs (a, b) of different components among ``still`` (id, n, u, component) that may reach the threshold."""
     tokens = sets.join(still, "id").select("id", "n", "u", "component", F.explode("shingles").alias("s"))
     spread = tokens.groupBy("s").agg(F.count("*").alias("df"))
     # Rarest first; only the longest prefix that any partner can ask for.
     order = Window.partitionBy("id").orderBy("df", "s")
     prefix = tokens.join(spread, "s").withColumn("at", F.row_number().over(order)).where((F.col("at") <= F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1) & (F.col("df") > 1))
-    prefix = _shared.written(prefix.drop("df"), "minhash-prefix")
+    prefix = scratch.written(prefix.drop("df"), "prefix")
     # The largest component of each shingle.
     largest = prefix.groupBy("s", "component").agg(F.count("*").alias("many")).groupBy("s").agg(F.max(F.struct("many", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("s", F.col("top.component").alias("top"))
     left = prefix.join(largest, "s").where("component != top")
@@ -148,57 +148,66 @@ def _across(still: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return x.join(y, (F.col("x.s") == F.col("y.s")) & once & fits).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, *, size: int = 5, threshold: int = 80, collections: int = COLLECTIONS, rows: int = ROWS) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id and kept.
-
-    ``threshold`` is the least similarity in percent.
-    """
-    signed = _shared.written(signatures(docs, size, collections, rows), "minhash-signatures")
+def _placed(docs: DataFrame, size: int, threshold: int, collections: int, rows: int) -> DataFrame:
+    """doc_id, row, n_shingles, component_id and kept of each row of ``docs``, written; what led to it is deleted."""
+    scratch = _shared.Scratch(docs.sparkSession, "minhash")
+    signed = scratch.written(signatures(docs, size, collections, rows), "signatures")
     # Vertices: one for each distinct set, named by its fingerprint.
     vertices = signed.where(F.col("fp").isNotNull()).groupBy(F.col("fp").alias("id")).agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
-    vertices = _shared.written(vertices, "minhash-vertices")
+    vertices = scratch.written(vertices, "vertices")
 
     keyed = table_keys(vertices, collections)
     shared = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
-    members = _shared.written(keyed.join(shared, "key", "left_semi"), "minhash-members")
+    members = scratch.written(keyed.join(shared, "key", "left_semi"), "members")
 
     candidates = members.select("id").distinct().join(vertices.select("id", "doc"), "id")
     of = candidates.select(F.col("doc").alias("_doc")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(of, F.col("doc").eqNullSafe(F.col("_doc")), "left_semi")
     # By the fingerprint, not the doc_id: that may be null or stand on several texts.
     sets = shingle_sets(texts, size).join(candidates.select("id"), "id").select("id", "shingles")
-    sets = _shared.written(sets.dropDuplicates(["id"]), "minhash-sets")
+    sets = scratch.written(sets.dropDuplicates(["id"]), "sets")
 
     # How many of a set's shingles no other candidate has.
     lonely = sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("df"), F.min("id").alias("id")).where("df = 1").groupBy("id").agg(F.count("*").alias("u"))
     bounds = sets.select("id", F.size("shingles").cast("long").alias("n")).join(lonely, "id", "left").select("id", "n", F.coalesce("u", F.lit(0)).alias("u"))
     bounds = bounds.where(100 * (F.col("n") - F.col("u")) >= threshold * F.col("n"))
-    members = _shared.written(members.join(bounds, "id").select("key", "id", "n", "u"), "minhash-bounded")
+    members = scratch.written(members.join(bounds, "id").select("key", "id", "n", "u"), "bounded")
 
     hubs = members.groupBy("key").agg(F.min(F.struct("u", "id", "n")).alias("hub"), F.count("*").alias("many")).where("many > 1").select("key", "hub.*")
     star = members.alias("x").join(hubs.alias("h"), "key").where((F.col("h.id") != F.col("x.id")) & _most("h", "x", threshold))
-    tried = _shared.written(star.select(F.least("h.id", "x.id").alias("a"), F.greatest("h.id", "x.id").alias("b")).distinct(), "minhash-star")
-    links = _shared.written(_verified(tried, sets, threshold), "minhash-links")
-    grouped = connected_components(links)
+    tried = scratch.written(star.select(F.least("h.id", "x.id").alias("a"), F.greatest("h.id", "x.id").alias("b")).distinct(), "star")
+    links = scratch.written(_verified(tried, sets, threshold), "links")
+    grouped = connected_components(links, scratch)
 
     # What a star leaves open: pairs across components within a key.
     placed = members.join(grouped, "id", "left").select("key", "id", "n", "u", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    still = _shared.written(placed.join(mixed, "key", "left_semi").select("id", "n", "u", "component").distinct(), "minhash-open")
-    across = _across(still, sets, threshold).join(tried, ["a", "b"], "left_anti")
-    more = _shared.written(_verified(across, sets, threshold), "minhash-more")
+    still = scratch.written(placed.join(mixed, "key", "left_semi").select("id", "n", "u", "component").distinct(), "open")
+    across = _across(still, sets, threshold, scratch).join(tried, ["a", "b"], "left_anti")
+    more = scratch.written(_verified(across, sets, threshold), "more")
     if not more.isEmpty():
-        grouped = connected_components(links.unionByName(more))
+        grouped = connected_components(links.unionByName(more), scratch)
 
     named = vertices.select("id", "doc").join(grouped, "id", "left").select("id", "doc", F.coalesce("component", "id").alias("component"))
     smallest = named.groupBy("component").agg(F.min("doc").alias("component_id"))
     named = named.join(smallest, "component").select(F.col("id").alias("fp"), "component_id")
-    out = signed.select("doc_id", "n_shingles", "fp").join(named, "fp", "left")
+    out = signed.select("doc_id", "row", "n_shingles", "fp").join(named, "fp", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    out = out.select("doc_id", "row", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    out = _shared.written(out, "near-duplicates")
+    scratch.drop()
+    return out
+
+
+def near_duplicates(docs: DataFrame, *, size: int = 5, threshold: int = 80, collections: int = COLLECTIONS, rows: int = ROWS) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id and kept.
+
+    ``threshold`` is the least similarity in percent.
+    """
+    return _placed(docs, size, threshold, collections, rows).drop("row")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that represent their group, with all their columns."""
-    kept = near_duplicates(docs, **options).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_kept_id"]), "left_semi")
+def keep_one(docs: DataFrame, *, size: int = 5, threshold: int = 80, collections: int = COLLECTIONS, rows: int = ROWS) -> DataFrame:
+    """The rows of ``docs`` that represent their group, with all their columns: by id and text, as an id may stand on several texts."""
+    kept = _placed(docs, size, threshold, collections, rows).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("row").alias("_kept_row")).distinct()
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_kept_id"]) & (F.xxhash64(docs["text"]) == kept["_kept_row"]), "left_semi")
