@@ -98,16 +98,26 @@ def detect(text: str) -> list[tuple[str, int, int, int]]:
         for order, label, priority, pattern in by_keyword[keyword]:
             found += [(m.start(), m.end(), priority, order, label) for m in pattern.finditer(text)]
     found.sort(key=lambda x: (-x[2], x[0] - x[1], x[3], x[0]))
-    kept: list[tuple[int, int, int, int, str]] = []
-    # Spans are compared with kept ones that start at or before them; a kept list by place would only pay for thousands of hits.
-    cover = np.zeros(0, np.int64)
+    kept = []
+    # Whether one before it starts at or before it and ends at or after it: a running maximum over places, in log(n) steps.
+    places = {at: i for i, at in enumerate(sorted({x[0] for x in found}), 1)}
+    furthest = [0] * (len(places) + 1)
     for one in found:
-        if len(cover) and ((cover[:, 0] <= one[0]) & (cover[:, 1] >= one[1])).any():
+        at, to = places[one[0]], 0
+        while at:
+            to, at = max(to, furthest[at]), at & (at - 1)
+        if to >= one[1]:
             continue
         kept.append(one)
-        cover = np.array([(x[0], x[1]) for x in kept], np.int64) if len(kept) < 64 else np.vstack([cover, (one[0], one[1])])
+        at = places[one[0]]
+        while at < len(furthest):
+            furthest[at], at = max(furthest[at], one[1]), at + (at & -at)
     kept.sort()
-    return [(label, priority, text.count(" ", 0, start), text.count(" ", start, end) + 1) for start, end, priority, _, label in kept]
+    out, word, seen = [], 0, 0
+    for start, end, priority, _, label in kept:
+        word, seen = word + text.count(" ", seen, start), start
+        out.append((label, priority, word, text.count(" ", start, end) + 1))
+    return out
 
 
 def score(detections: list[tuple[str, int, int, int]], n_base: int) -> float:
