@@ -129,7 +129,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 3000, penalty: fl
         )
         chosen = one if chosen is None else chosen.union(one)
     # max_rows rows of two integers at most: the broadcast is bounded by the parameter.
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # One row for each of them, whatever repeats, so the driver gets as many.
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     found = texts.mapInArrow(_features, "doc_id long, quality int, at binary, value binary").toPandas().sort_values("doc_id", kind="stable")
     if set(found["quality"]) != {0, 1}:
         return None
