@@ -23,6 +23,7 @@ the first window.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -148,14 +149,29 @@ class Index:
         return float(common / (weight.sum() + mass - common))
 
 
-def item_blocks(benchmark: DataFrame, max_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark's items, as many at a time as ``max_bytes`` allow."""
+class Block:
+    """Some items, and their index, which a worker builds once for all its tasks."""
+
+    def __init__(self, items: list[tuple[int, str]], size: int):
+        self.items, self.size = items, size
+
+    @functools.cached_property
+    def index(self) -> Index:
+        return Index(self.items, self.size)
+
+
+def item_blocks(benchmark: DataFrame, max_bytes: int, size: int) -> Iterator[Block]:
+    """The benchmark's items, as many at a time as ``max_bytes`` of text hold; a larger item is a block of its own."""
     items = benchmark.select("item_id", "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
-    total = items.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
-    blocks = max(1, -(-int(total) // max_bytes))
-    for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
-        yield sorted((int(r[0]), r[1]) for r in part.collect())
+    held, n_bytes = [], 0
+    for item_id, text in items.orderBy("item_id", "text").toLocalIterator():  # a partition at a time
+        own = len(text.encode("utf-8", "surrogatepass"))
+        if held and n_bytes + own > max_bytes:
+            yield Block(held, size)
+            held, n_bytes = [], 0
+        held.append((int(item_id), text))
+        n_bytes += own
+    yield Block(held, size)
 
 
 def _found(batch: pa.RecordBatch, index: Index, threshold: float) -> list[dict[int, tuple[float, int]]]:
@@ -176,12 +192,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, size: int = 5, thres
     """One row per row of ``docs`` (doc_id, text): the items that it contains, how alike and where, and whether it is kept."""
     spark = docs.sparkSession
     out = docs.select(F.col("doc_id").cast("long"), "text", F.expr("array() :: array<struct<i: long, s: double, w: long>>").alias("found"))
-    for items in item_blocks(benchmark, max_block_bytes):
-        shared = spark.sparkContext.broadcast((items, size, threshold))  # max_block_bytes at most
+    for block in item_blocks(benchmark, max_block_bytes, size):
+        shared = spark.sparkContext.broadcast(block)  # max_block_bytes, or one item
 
         def run(batches, shared=shared):
-            items, size, threshold = shared.value
-            index = Index(items, size)
+            index = shared.value.index
             for batch in batches:
                 new = [[{"i": i, "s": s, "w": w} for i, (s, w) in sorted(x.items())] for x in _found(batch, index, threshold)]
                 column = _words.column(batch, "found")
@@ -199,12 +214,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, size: int = 5, thres
 def keep_clean(docs: DataFrame, benchmark: DataFrame, *, size: int = 5, threshold: float = 0.8, max_block_bytes: int = 8 << 20) -> DataFrame:
     """The rows of ``docs`` that contain no item, with all their columns."""
     spark = docs.sparkSession
-    for items in item_blocks(benchmark, max_block_bytes):
-        shared = spark.sparkContext.broadcast((items, size, threshold))
+    for block in item_blocks(benchmark, max_block_bytes, size):
+        shared = spark.sparkContext.broadcast(block)  # max_block_bytes, or one item
 
         def run(batches, shared=shared):
-            items, size, threshold = shared.value
-            index = Index(items, size)
+            index = shared.value.index
             for batch in batches:
                 yield batch.filter(pa.array([not x for x in _found(batch, index, threshold)], pa.bool_()))
 
