@@ -4,16 +4,17 @@ Documents are encoded, ended with one id, and those longer than a row are cut
 into full rows and a rest, losslessly. Rests are placed best-fit-decreasing, one
 bounded buffer at a time: a segment tree over remaining capacities finds the
 fullest open row that still has room in log(row) steps. Rows that are nearly
-full are written; others stay open for the next buffer of the task.
+full are written; others stay open for the next buffer of the task, the fullest
+ones only as long as all open rows together hold at most a buffer of ids.
 
 A shard is five little-endian files: ``ids.bin`` (the matrix, unsigned 16-bit
 ids if the vocabulary allows, else 32-bit, padded with 0), ``cu.bin`` (32-bit:
 each row's cumulative segment lengths from 0), ``rows.bin`` (64-bit: where each
 row's begin in it), ``resets.bin`` (64-bit: flat places in the matrix where
 position ids restart at 0) and ``segments.arrow`` (doc_id and start of each
-segment). Names are new in each attempt, and only shards that finished tasks
-list in the manifest count, so lost executors and repeated tasks do no harm.
-``read_packed`` reads the shards back.
+segment). A shard is named by its task and number, its files new in each attempt,
+and only shards that finished tasks list in the manifest count, so lost executors
+and repeated tasks do no harm. ``read_packed`` reads the shards back.
 
 Defined cases: null text is an empty text of one end id; an empty table writes
 no shard; repeated rows are segments of their own.
@@ -29,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.taskcontext import TaskContext
 
 from tallyforge.llm import _files, _shared, _tokens, _words
 
@@ -71,8 +73,9 @@ class CapacityTree:
 class Rows:
     """Rows of ``width`` ids being filled best-fit-decreasing."""
 
-    def __init__(self, width: int, nearly: int):
-        self.width, self.nearly = width, nearly
+    def __init__(self, width: int, nearly: int, most: int):
+        """most: ids that the open rows may hold between two calls of add."""
+        self.width, self.nearly, self.most, self.held = width, nearly, most, 0
         self.tree, self.open, self.full = CapacityTree(width), {}, []
 
     def add(self, segments: list[tuple[int, int, int]]) -> None:
@@ -83,24 +86,31 @@ class Rows:
             if room is None:
                 room, row = self.width, []
             else:
-                row = self.open[room].pop()
-                self.tree.add(room, -1)
+                row = self._take(room)
             row.append(segment)
             if room - n <= self.nearly:
                 self.full.append(row)
             else:
                 self.open.setdefault(room - n, []).append(row)
                 self.tree.add(room - n)
+                self.held += self.width - (room - n)
+        while self.held > self.most:
+            self.full.append(self._take(self.tree.least(0)))
+
+    def _take(self, room: int) -> list[tuple[int, int, int]]:
+        self.tree.add(room, -1)
+        self.held -= self.width - room
+        return self.open[room].pop()
 
     def take(self, everything: bool = False) -> list[list[tuple[int, int, int]]]:
         out, self.full = self.full, []
         if everything:
             out += [row for room in sorted(self.open) for row in self.open[room]]
-            self.open, self.tree = {}, CapacityTree(self.width)
+            self.open, self.tree, self.held = {}, CapacityTree(self.width), 0
         return out
 
 
-def _shard(folder: str, rows: list, held: dict, width: int, kind: str) -> tuple:
+def _shard(name: str, rows: list, held: dict, width: int, kind: str) -> tuple:
     """Writes the files of some rows; the manifest's row."""
     matrix = np.full((len(rows), width), PAD, kind)
     cu, begin, resets, ids, starts = [], [0], [], [], []
@@ -119,7 +129,6 @@ def _shard(folder: str, rows: list, held: dict, width: int, kind: str) -> tuple:
             if not held[number][2]:
                 del held[number]
         begin.append(len(cu))
-    name = f"{folder}/{uuid.uuid4().hex}"
     sink = io.BytesIO()
     segments = pa.table({"doc_id": pa.array(ids, pa.int64()), "start": pa.array(starts, pa.int64())})
     with pa.ipc.new_file(sink, segments.schema) as out:
@@ -138,13 +147,17 @@ def write_packed(docs: DataFrame, folder: str, *, width: int = 2048, tokenizer:
     path, kind = tokenizer or _tokens.default_path(), "<u4" if wide else "<u2"
 
     def run(batches):
-        rows, held, waiting, n_waiting, number = Rows(width, width // 64), {}, [], 0, 0
+        rows, held, waiting, n_waiting, number, n_shards = Rows(width, width // 64, buffer_tokens), {}, [], 0, 0, 0
+        task, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
 
         def flush(everything: bool):
+            nonlocal n_shards
             rows.add(waiting)
             taken = rows.take(everything)
-            most = max(1, buffer_tokens // width)
-            listed = [_shard(folder, taken[i : i + most], held, width, kind) for i in range(0, len(taken), most)]
+            most, listed = max(1, buffer_tokens // width), []
+            for i in range(0, len(taken), most):
+                listed.append(_shard(f"{folder}/{task:06d}-{n_shards:06d}-{attempt}", taken[i : i + most], held, width, kind))
+                n_shards += 1
             if listed:
                 names = [x.split()[0] for x in MANIFEST.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*listed, strict=True)], names=names)
@@ -189,7 +202,7 @@ def read_packed(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                     own = cu[begin[r] : begin[r + 1]].tolist()
                     row = matrix[r].astype("<u4")
                     for s, (a, b) in enumerate(zip(own, own[1:], strict=False)):
-                        out.append((shard.rsplit("/", 1)[-1], r, s, ids[k], starts[k], b - a, a, zlib.crc32(row[a:b].tobytes()), int(resets[k]) - r * width))
+                        out.append((shard.rsplit("/", 1)[-1].rsplit("-", 1)[0], r, s, ids[k], starts[k], b - a, a, zlib.crc32(row[a:b].tobytes()), int(resets[k]) - r * width))
                         k += 1
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string() if i == 0 else pa.int64()) for i, c in enumerate(zip(*out, strict=True))], names=names)
 
