@@ -5,7 +5,8 @@ its text blocks, named by path and text. Over all pages of a host, tokens with
 the same occurrence vector (how often each page has them) form an equivalence
 class. Vectors are compared by a fingerprint that adds up in any order (an XOR
 of hashes of page and count, beside the number of pages; a token that each of
-its pages has equally often stands there as so many tokens of once), so the statistics cover every page and the hottest host is pre-aggregated like any
+its pages has equally often stands there as so many tokens of once), so the
+statistics cover every page and the hottest host is pre-aggregated like any
 other; copies of a page count once, for they tell nothing of what is open. A
 class of several tokens on enough pages, however often a page has them, is valid
 if its tokens of a kind first stand in one order on all pages. Valid classes
@@ -15,7 +16,9 @@ it are boilerplate, inside articles too.
 
 Of the slots those remain that are neither in an element whose tag, role, class
 or id says menu, header, footer, sidebar, notice, advert, form, script, style or
-comments, nor outside the page's article. Where a page has no text in an article
+comments, nor outside the page's article. Names that an article's own parts may
+bear too (share, related, legal, search) say so outside articles only; inside
+them it is the template that tells repeated text. Where a page has no text in an article
 but its host's template has one, the slots between the template's tokens before
 and after the article stand for it.
 Character references are decoded, white space in a block becomes one blank,
@@ -44,7 +47,8 @@ from tallyforge.llm import _shared, _words
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<(?=[a-zA-Z/!])[^>]*\Z", re.S)
 _NAMED = re.compile(r"""(class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template textarea title iframe object svg math canvas xmp noframes".split())
+#: Elements without text for readers: code, form fields, inert markup and what stands for a missing feature.
+_RAW = frozenset("script style noscript template textarea title iframe noframes".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li "
     "main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -57,11 +61,13 @@ _CLOSES = {
 _FORMATTING = frozenset("a b i u em strong small big tt s strike font code span sub sup mark q cite abbr".split())
 _BOILERPLATE_TAGS = frozenset("nav header footer aside form button select input dialog menu label datalist fieldset".split())
 _BOILERPLATE_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adbox sponsor sponsored promo promotion banner sidebar side aside menu nav navbar navigation breadcrumb breadcrumbs "
-    "header footer masthead topbar toolbar cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup login search share sharing social related recommended "
-    "comment comments disqus replies respond pagination pager widget skip copyright legal disclaimer contentinfo complementary banner form".split()
+    "ad ads adv advert adverts advertisement advertising adsense adbox sponsor sponsored promo promotion banner sidebar aside menu nav navbar navigation breadcrumb breadcrumbs "
+    "header footer masthead topbar toolbar cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup login comment comments disqus replies "
+    "pagination pager contentinfo complementary form".split()
 )
-_MAIN_TAGS, _MAIN_NAMES = frozenset(["article", "main"]), frozenset(["main", "article", "articlebody"])
+#: Names that parts of an article may bear too.
+_OUTSIDE_NAMES = frozenset("side alert search share sharing social related recommended respond widget skip copyright legal disclaimer".split())
+_MAIN_TAGS = frozenset(["article", "main"])
 _SPLIT = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -94,8 +100,9 @@ def _element(name: str, attributes: str, above: Element) -> Element:
                 label += f".{re.sub(r'[0-9]+', '', value.strip().lower())}"
     words = frozenset(named)
     main = name in _MAIN_TAGS or bool(words & {"articlebody"}) or (not above.main and "main" in words and "role" in attributes)
+    said = bool(words & _BOILERPLATE_NAMES) or (not (above.main or main) and bool(words & _OUTSIDE_NAMES))
     # The page's own frame is never boilerplate by its class alone.
-    dropped = above.dropped or name in _BOILERPLATE_TAGS or (name not in ("html", "body", "article", "main") and bool(words & _BOILERPLATE_NAMES))
+    dropped = above.dropped or name in _BOILERPLATE_TAGS or (said and name not in ("html", "body", "article", "main"))
     return Element(name, f"{above.path}/{name}{label}", dropped, above.main or main)
 
 
