@@ -29,6 +29,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.llm import _shared
+
 SHARDS, SLOTS, VIRTUAL, PARTS = 40, 4096, 64, 64
 
 
@@ -94,7 +96,7 @@ def shard(docs: DataFrame, *, shards: int = SHARDS, slots: int = SLOTS, virtual:
         F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"),
         place.cast("int").alias("place"),
     ).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(parts)).cast("int"))
-    pieces = rows.groupBy("place", "part").agg(F.count("*").alias("n"))  # slots * parts rows at most
+    pieces = _shared.written(rows.groupBy("place", "part").agg(F.count("*").alias("n")), "ring-pieces")  # slots * parts rows at most
     counts = {r["place"]: r["n"] for r in pieces.groupBy("place").agg(F.sum("n").alias("n")).collect()}  # slots rows at most
     n = sum(counts.values())
     bounds = [n // shards + (s < n % shards) for s in range(shards)]
