@@ -1,16 +1,17 @@
 """Vector bin packing of token sequences.
 
 An example is a vector: tokens, segments and loss-bearing tokens, which are its
-last ones (the answer after the instruction), by default all. A sequence holds at most a given sum of each. Within a task, examples of a bounded buffer
-are taken longest first into the open sequence whose remaining room has the
-largest dot product with the example, both as shares of the limits, so an
-example goes where it uses up what is scarce in proportion, however many are
-open. Sequences close
-when no example of the buffer fits or when they are nearly full; open ones are
-carried from batch to batch, so a task leaves only its last ones unfilled.
-
-Examples longer than a sequence (with ``cut``, of too many loss-bearing tokens too) are cut: full sequences first, the rest is
-packed. With ``cut``, an example that fits nowhere also fills the rest of the
+last ones (the answer after the instruction or prompt). A sequence holds at most
+a given sum of each. Within a task, examples of a bounded buffer are taken
+longest first into the open sequence whose remaining room has the largest dot
+product with the example, both as shares of the limits, so an example goes where
+it uses up what is scarce in proportion, however many are open. Sequences close
+when they are full, and the fullest closes when a further one must be opened
+beyond ``most_open``, which bounds the ids held in open ones; they are carried
+from batch to batch, so a task leaves only its last ones unfilled.
+
+Examples longer than a sequence (with ``cut``, of too many loss-bearing tokens
+too) are cut: full sequences first, the rest is packed. With ``cut``, an example that fits nowhere also fills the rest of the
 fullest open sequence and continues as an example of what is left; so padding
 stays in the last sequences of a task. Tasks are the input's partitions: nothing
 shuffles, and one task holds one buffer.
@@ -18,8 +19,8 @@ shuffles, and one task holds one buffer.
 Defined cases: null text is an empty text, whose one token is the end; an empty
 table gives no rows; repeated rows are packed as rows of their own; without
 ``cut``, an example that alone breaks the limit of loss-bearing tokens stands
-alone; a null number of loss-bearing tokens means all, others are held between 0
-and the document's tokens.
+alone; a null number of loss-bearing tokens means all but the prompt's, others
+are held between 0 and the document's tokens; the end token is no prompt.
 """
 
 from __future__ import annotations
@@ -143,10 +144,10 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 
 
-def pack(docs: DataFrame, *, tokens: int = 2048, segments: int = 64, loss: int = 2048, loss_tokens: Column | str | None = None, tokenizer: str | None = None, buffer_tokens: int = 4_000_000) -> DataFrame:
+def pack(docs: DataFrame, *, tokens: int = 2048, segments: int = 64, loss: int = 2048, loss_tokens: Column | str | None = None, prompt_tokens: int = 0, tokenizer: str | None = None, buffer_tokens: int = 4_000_000) -> DataFrame:
     """One row per piece of a document (doc_id, text): where it starts and how long it is, its sequence and place in it.
 
-    loss_tokens: how many tokens at a document's end bear loss, the end token among them (default: all). A buffer holds ``buffer_tokens`` ids.
+    loss_tokens: how many tokens at a document's end bear loss, the end token among them (default: all but its first ``prompt_tokens``). A buffer holds ``buffer_tokens`` ids.
     """
     path = tokenizer or _tokens.default_path()
 
@@ -181,7 +182,7 @@ def pack(docs: DataFrame, *, tokens: int = 2048, segments: int = 64, loss: int =
                     ids = np.append(flat[of[d] : of[d + 1]], np.uint32(END)).astype("<u4")
                     held[number] = [names[first + d], ids, len(ids)]
                     own = bearing[first + d]
-                    waiting.append((number, 0, len(ids), len(ids) if own is None else min(max(own, 0), len(ids))))
+                    waiting.append((number, 0, len(ids), max(len(ids) - prompt_tokens, 1) if own is None else min(max(own, 0), len(ids))))
                     n_waiting, number = n_waiting + len(ids), number + 1
                 if n_waiting >= buffer_tokens:
                     packer.add(waiting)
