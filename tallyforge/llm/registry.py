@@ -25,7 +25,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_warc(table(spark, sf_dir, "pages"), new_folder(spark, "warc"))
-    return warc.summary(warc.read_warc(spark, manifest))
+    return warc.summary(warc.read_warc(spark, manifest, content=False))
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +33,8 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    # A document's first tokens are what it is prompted with.
+    return packing.pack(table(spark, sf_dir, "documents"), prompt_tokens=32)
 
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

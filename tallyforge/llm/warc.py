@@ -2,10 +2,12 @@
 
 Writing: a record for each page, each record a gzip member of its own. Of pages
 with equal payloads the one with the largest page_id is a response, the others
-revisit it by digest. The digest's largest id is found by a pre-aggregated count
-and met again in a plain join, which can be split where a payload is hot. Each
-task streams its rows to files of bounded size; only files that finished tasks
-list in the manifest count.
+revisit it by digest. Payloads that stand on several pages, and their largest
+ids, are found by a pre-aggregated count and written; only they are met again,
+in a plain join: while their table is small Spark sends it to the pages and no
+html moves, beyond that it shuffles and splits hot payloads. Each task streams
+its rows to files of bounded size; only files that finished tasks list in the
+manifest count.
 
 Reading: files are cut into byte ranges. A task looks for the gzip magic in its
 range, tries to decompress a member there and takes it if a WARC header decodes;
@@ -43,15 +45,8 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def digests(pages: DataFrame) -> DataFrame:
-    """page_id, url, html and the payload's digest."""
-
-    def run(batches):
-        for batch in batches:
-            found = [payload_digest(x or b"") for x in _words.column(batch, "html").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(_words.column(batch, c) for c in ("page_id", "url", "html")), pa.array(found, pa.string())], names=["page_id", "url", "html", "digest"])
-
-    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "page_id long, url string, html string, digest string")
+def _base32(digest: str) -> str:
+    return base64.b32encode(bytes.fromhex(digest)).decode()
 
 
 def record(kind: str, page_id: int | None, url: str | None, digest: str, payload: bytes, refers_to: int | None) -> bytes:
@@ -87,7 +82,7 @@ def write_warc(pages: DataFrame, folder: str, *, min_bytes: int = 0, file_bytes:
             columns = [_words.column(batch, c) for c in ("page_id", "url", "html", "digest", "refers_to", "revisit")]
             columns[2] = columns[2].cast(pa.binary())
             for page_id, url, html, digest, refers_to, revisit in zip(*(c.to_pylist() for c in columns), strict=True):
-                one = record("revisit" if revisit else "response", page_id, url, digest, html or b"", refers_to)
+                one = record("revisit" if revisit else "response", page_id, url, _base32(digest), html or b"", refers_to)
                 buffer.append(one)
                 n, size = n + 1, size + len(one)
                 if size >= file_bytes:
@@ -97,11 +92,12 @@ def write_warc(pages: DataFrame, folder: str, *, min_bytes: int = 0, file_bytes:
             yield flush()
 
     _files.make_folder(folder)
-    named = digests(pages)
-    last = digests(pages.select("page_id", F.lit(None).cast("string").alias("url"), "html")).groupBy("digest").agg(F.max("page_id").alias("last"))
+    named = pages.select(F.col("page_id").cast("long"), "url", "html", F.sha1(F.coalesce("html", F.lit(""))).alias("digest"))
+    repeated = named.groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("digest", "last")
+    repeated = _shared.written(repeated, "warc-digests")  # so that its size is known to the join
     long_enough = F.coalesce(F.octet_length("html"), F.lit(0)) >= min_bytes
-    revisit = F.coalesce((F.col("last").isNotNull()) & long_enough & (F.col("page_id").isNull() | (F.col("page_id") < F.col("last"))), F.lit(False))
-    marked = named.join(last, "digest").select("page_id", "url", "html", "digest", F.when(revisit, F.col("last")).alias("refers_to"), revisit.alias("revisit"))
+    revisit = F.coalesce(F.col("last").isNotNull() & long_enough & (F.col("page_id").isNull() | (F.col("page_id") < F.col("last"))), F.lit(False))
+    marked = named.join(repeated, "digest", "left").select("page_id", "url", "html", "digest", F.when(revisit, F.col("last")).alias("refers_to"), revisit.alias("revisit"))
     return _shared.written(marked.mapInArrow(run, MANIFEST), "warc-manifest")
 
 
@@ -187,8 +183,8 @@ def _id(text: str) -> int | None:
     return int(digits) if digits.lstrip("-").isdigit() else None
 
 
-def read_warc(spark: SparkSession, manifest: DataFrame, *, split_bytes: int = 8 << 20) -> DataFrame:
-    """One row per record: what its header says, and the digest and size of its block."""
+def read_warc(spark: SparkSession, manifest: DataFrame, *, split_bytes: int = 8 << 20, content: bool = True) -> DataFrame:
+    """One row per record: what its header says, and the digest and size of its block; the block itself unless ``content`` is False."""
 
     def run(batches):
         names = [x.split()[0] for x in RECORDS.split(", ")]
@@ -201,7 +197,7 @@ def read_warc(spark: SparkSession, manifest: DataFrame, *, split_bytes: int = 8
                     for offset, head, block in records_of(_Source(file, size), low, high):
                         response = head["warc-type"] == "response"
                         refers = _id(head["warc-refers-to"]) if "warc-refers-to" in head else None
-                        out.append((_id(head.get("warc-record-id", "")), head["warc-type"], head.get("warc-payload-digest", "").removeprefix("sha1:"), payload_digest(block) if response else None, len(block), refers, head.get("warc-target-uri"), block, path, offset))
+                        out.append((_id(head.get("warc-record-id", "")), head["warc-type"], head.get("warc-payload-digest", "").removeprefix("sha1:"), payload_digest(block) if response else None, len(block), refers, head.get("warc-target-uri"), block if content else None, path, offset))
                         held += len(block)
                         if held >= _CHUNK * 4:
                             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
@@ -218,7 +214,9 @@ def summary(records: DataFrame) -> DataFrame:
 
     A response's digest is computed from the block that was read.
     """
-    rows = records.select("page_id", "record_type", "payload_digest", F.coalesce("content_digest", "payload_digest").alias("digest"), "content_bytes", "refers_to")
+    rows = records.select("page_id", "record_type", F.coalesce("content_digest", "payload_digest").alias("digest"), "content_bytes", "refers_to")
+    rows = _shared.written(rows, "warc-headers")  # the archives are read once
     sizes = rows.where("record_type = 'response'").groupBy("digest").agg(F.max("content_bytes").alias("full"))
-    met = rows.join(sizes, "digest", "left")
-    return met.select("page_id", F.when(F.col("record_type") == "revisit", F.col("full")).otherwise(F.col("content_bytes")).alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+    revisits = rows.where("record_type != 'response'").join(sizes, "digest", "left").withColumn("content_bytes", F.col("full")).drop("full")
+    out = rows.where("record_type = 'response'").unionByName(revisits)
+    return out.select("page_id", F.col("content_bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
