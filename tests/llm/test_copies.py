@@ -87,6 +87,26 @@ def test_sets_go_by_their_text_whatever_the_id(spark):
     assert signed == [r["id"] for r in minhash_dedup.shingle_sets(docs, 5).collect()]
 
 
+def test_links_stand_whatever_the_ids(spark):
+    """One id on two texts, and null ids: each near copy is linked with its own text."""
+    rng, rows = random.Random(11), []
+    for i in range(40):
+        own = [f"p{i}w{rng.randrange(500)}" for _ in range(60)]
+        rows += [(i // 2, " ".join(own)), (1000 + i, " ".join([*own, "tail"]))]
+        if i % 10 == 0:
+            rows.append((None, " ".join([*own, "other", "tail"])))
+    out = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out if (r["doc_id"] or 0) >= 1000} == {1000 + i: i // 2 for i in range(40)}
+    assert sorted(r["component_id"] for r in out if r["doc_id"] is None) == [0, 5, 10, 15]
+
+
+def test_one_of_a_group_stays_where_an_id_stands_on_two_texts(spark):
+    one, two = (" ".join(f"{k}{i}" for i in range(60)) for k in "ab")
+    rows = [(3, one), (7, f"{one} tail"), (7, two), (9, f"{two} tail")]
+    kept = minhash_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [(3, one), (7, two)]
+
+
 def test_a_large_group_of_copies_is_one_vertex(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit(TEXTS[5])).otherwise(F.concat(F.lit("text number "), F.col("id").cast("string"))).alias("text"))
     out = minhash_dedup.near_duplicates(docs).groupBy("component_id").count().where("count > 1").collect()
@@ -160,6 +180,31 @@ def test_multi_index_finds_all_within_radius():
             assert i in index.near(n, flipped)
 
 
+def test_blocks_hold_what_they_may(spark):
+    bench = spark.createDataFrame([(i, "word " * n) for i, n in enumerate([10, 30, 500, 20, 20])], "item_id long, text string")
+    blocks = [[i for i, _ in b.items] for b in decontamination.item_blocks(bench, 300, 5)]
+    assert blocks == [[0, 1], [2], [3, 4]]
+
+
+def test_ties_name_the_smallest_item_first(spark):
+    text = "one two three four five six seven"
+    bench = spark.createDataFrame([(9, text), (4, text), (4, text)], "item_id long, text string")
+    r = decontamination.decontaminate(documents(spark, [f"{text} and {text}"]), bench).collect()[0]
+    assert (r["item_ids"], r["first_words"]) == ([4, 9], [0, 0])
+
+
+@pytest.mark.parametrize("n", [6, 8, 10, 12, 14])
+def test_recall_of_short_items_with_a_changed_word(spark, n):
+    """An end word of a short item is changed: what of the pairs that are still alike is found."""
+    rng = random.Random(n)
+    bench = [(i, " ".join(f"s{rng.randrange(5000)}{'x' * rng.randrange(8)}" for _ in range(n))) for i in range(300)]
+    texts = [" ".join([*(f"plain{rng.randrange(5000)}" for _ in range(20)), *t.split()[:-1], "it"]) for _, t in bench]
+    due = {i for (i, t), x in zip(bench, texts, strict=True) if any(weighted(x.split()[s : s + n], t.split()) >= 0.8 for s in range(21))}
+    got = {r["doc_id"] for r in decontamination.decontaminate(documents(spark, texts), spark.createDataFrame(bench, "item_id long, text string")).where("contaminated").collect()}
+    print(f"items of {n} words with a changed word: {len(due)} due, {len(got & due)} found")
+    assert got == due
+
+
 def test_decontamination_of_odd_and_empty_tables(spark):
     bench = spark.createDataFrame([(1, TEXTS[5])], "item_id long, text string")
     rows = decontamination.decontaminate(odd_documents(spark), bench).collect()

@@ -3,11 +3,12 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from edge import TEXTS, documents, empty_documents, odd_documents
 from pyspark.sql import functions as F
 
-from tallyforge.llm import _shared, importance_sampling, license_scan, quality_rules
+from tallyforge.llm import _shared, _words, importance_sampling, license_scan, quality_rules
 from tallyforge.llm.license_rules import UNDER, rules
 
 SF_DIR = "/root/testdata/sf0.01"
@@ -101,6 +102,25 @@ def test_gate_equals_running_all_rules(spark):
     assert labels == ["mulan-2.0", "openrail", "icu", "cddl", "reserved", "unspecified", "gpl-3.0", "apache-2.0"]
 
 
+def test_suppression_equals_brute_force():
+    """All rules without gate or keyword; each detection against all others."""
+    rng = np.random.default_rng(4)
+    compiled = [(order, label, priority, re.compile(rf"(?<![^ ])(?:{pattern})(?![^ ])")) for order, (label, priority, _, pattern) in enumerate(rules())]
+    bits = ["licensed under the apache license version 2 0", "mit license", "all rights reserved", "copyright 2019 2020 by", "gnu general public license v3", "cc by sa 4 0", "some word", "bsd 3 clause license", "spdx license identifier mit 0"]
+    for _ in range(15):
+        text = " ".join(bits[i] for i in rng.integers(0, len(bits), 40))
+        found = [(m.start(), m.end(), p, o, label) for o, label, p, own in compiled for m in own.finditer(text)]
+        key = lambda x: (-x[2], x[0] - x[1], x[3], x[0])
+        kept = sorted(x for x in found if not any(y[0] <= x[0] and y[1] >= x[1] and key(y) < key(x) for y in found))
+        want = [(label, p, text[:a].count(" "), text[a:b].count(" ") + 1) for a, b, p, _, label in kept]
+        assert license_scan.detect(text) == want
+
+
+def test_a_long_list_of_licences_takes_linear_time():
+    text = "mit license and apache license 2 0 or " * 20_000
+    assert len(license_scan.detect(text)) == 40_000
+
+
 def test_license_scan_of_odd_and_empty_tables(spark):
     assert license_scan.license_scan(odd_documents(spark)).count() == len(TEXTS) + 3
     assert license_scan.license_scan(empty_documents(spark)).count() == 0
@@ -218,3 +238,30 @@ def test_importance_of_odd_and_empty_tables(spark):
     assert kept.count() == len(TEXTS) + 3
     assert kept.columns == odd_documents(spark).columns
     assert importance_sampling.keep_sampled(empty_documents(spark), none).count() == 0
+
+
+def test_weights_equal_brute_force(spark):
+    """Log ratios of hashed unigram and bigram shares, by counting each word of each document."""
+    texts = ["good words here", "bad words there!", "good good, words", None, "", "other words there"]
+    labels = spark.createDataFrame([(0, 1, 0), (2, 1, 0), (1, 0, 0), (4, 1, 1)], "doc_id long, quality int, toxic int")
+    model = importance_sampling.fit(documents(spark, texts), labels)
+    raw, good = np.zeros(importance_sampling.BUCKETS), np.zeros(importance_sampling.BUCKETS)
+    own = {}
+    for i, text in enumerate(texts):
+        part = next(_words.slices(pa.array([text], pa.string()), _words.PUNCT))
+        own[i] = [b for buckets, _ in importance_sampling._buckets(part) for b in buckets.tolist()]
+        for b in own[i]:
+            raw[b] += 1
+            good[b] += i in (0, 2)
+    share = (raw + 1) / (raw + 1).sum()
+    ratio = np.log((good + len(raw) * share) / (good.sum() + len(raw)) / share)
+    assert np.allclose(model.ratio, ratio)
+    assert np.allclose(model.weights(pa.array(texts, pa.string())), [sum(ratio[b] for b in own[i]) for i in range(len(texts))])
+    assert len(own[0]) == 5 and len(own[3]) == 0
+
+
+def test_a_labelled_id_on_many_rows_is_one_row_of_the_fit(spark):
+    docs = documents(spark, TEXTS[3:14], first=3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(3, 14)], "doc_id long, quality int")
+    one, many = quality_rules.fit(docs, labels), quality_rules.fit(docs.unionByName(docs).unionByName(docs.where("doc_id < 9")), labels)
+    assert np.array_equal(one.weights, many.weights) and (one.bias, one.slope, one.shift) == (many.bias, many.slope, many.shift)
