@@ -83,20 +83,26 @@ def catalog_stats(catalog: DataFrame, *groups: str) -> DataFrame:
     return out.select(kind.alias("kind"), value.alias("value"), "n", "n_review")
 
 
-def validate_catalog(catalog: DataFrame, units: Sequence[str]) -> DataFrame:
-    """(mapping_id, problem): repeated ids, equal shapes (trade, component, actions), unknown units, missing description or provenance."""
-    shape = F.concat_ws("|", "trade", "component", F.array_join(F.array_sort("actions"), ","))
+def validate_catalog(catalog: DataFrame, units: Sequence[str], actions: Sequence[str], trades: Sequence[str], statuses: Sequence[str]) -> DataFrame:
+    """(mapping_id, problem): repeated ids, equal shapes (trade, component, actions, units), unknown words, missing texts, key, provenance or verifier."""
+    shape = F.concat_ws("|", "trade", "component", F.array_join(F.array_sort("actions"), ","), F.array_join(F.array_sort("units"), ","))
     ids = catalog.groupBy("mapping_id").agg(F.count("*").alias("n")).where("n > 1").select("mapping_id", F.lit("repeated id").alias("problem"))
     shapes = catalog.withColumn("shape", shape)
-    hot = shapes.groupBy("shape").agg(F.count("*").alias("n")).where("n > 1").select("shape")
-    same = shapes.join(hot, "shape", "left_semi").select("mapping_id", F.lit("overlapping shape").alias("problem"))
-    own = catalog.select("mapping_id", F.explode(_present(F.when(F.size(F.array_except("units", F.array(*map(F.lit, units)))) > 0, "unknown unit"), F.when(F.coalesce(F.trim("description"), F.lit("")) == "", "empty description"), F.when(F.size("sources") == 0, "no provenance"))).alias("problem"))
-    return ids.unionByName(same).unionByName(own)
+    hot = shapes.groupBy("shape").agg(F.countDistinct("mapping_id").alias("n")).where("n > 1").select("shape")
+    same = shapes.join(hot, "shape", "left_semi").select("mapping_id", F.lit("overlapping shape").alias("problem")).distinct()
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    beyond = lambda c, known: F.size(F.array_except(c, F.array(*map(F.lit, known)))) > 0
+    problems = _present(
+        F.when(beyond("units", units), "unknown unit"), F.when(beyond("actions", actions), "unknown action"), F.when(~F.col("trade").isin(list(trades)), "unknown trade"), F.when(~F.col("status").isin(list(statuses)), "unknown status"),
+        F.when((F.col("status") == "verified") & blank("verified_by"), "verified by nobody"), F.when(blank("selector"), "empty key"), F.when(blank("description"), "empty description"), F.when(F.size("sources") == 0, "no provenance"),
+    )
+    return ids.unionByName(same).unionByName(catalog.select("mapping_id", F.explode(problems).alias("problem")))
 
 
 def resolve_malformed(catalog: DataFrame) -> DataFrame:
     """Malformed keys folded into the first well-formed record of the same category and description that has another source; else flagged."""
-    good = catalog.where("well_formed").select("category", "description_normalized", F.col("key").alias("g_key"), F.col("sources").alias("g_sources"))
+    # Records of one text and one set of sources are one, so that copies don't multiply.
+    good = catalog.where("well_formed").groupBy("category", "description_normalized", F.array_sort("sources").alias("g_sources")).agg(F.min("key").alias("g_key"))
     bad = catalog.where("not well_formed")
     met = bad.join(good, ["category", "description_normalized"], "left").withColumn("fits", F.coalesce(F.size(F.array_except("g_sources", "sources")) > 0, F.lit(False)))
     return met.groupBy("key").agg(F.min(F.when(F.col("fits"), F.col("g_key"))).alias("into")).withColumn("state", F.when(F.col("into").isNotNull(), "resolved").otherwise("open"))
@@ -116,28 +122,32 @@ def unit_conflicts(items: DataFrame, verified: DataFrame) -> DataFrame:
     return items.join(v, (F.col("trade") == F.col("v_trade")) & (F.col("component") == F.col("v_component")) & (F.col("unit") != F.col("v_unit")), "left_semi")
 
 
-def fuzzy_search(catalog: DataFrame, query: str, k: int = 10) -> DataFrame:
-    """The k most similar descriptions to a query, then by key."""
-    return catalog.select("key", "description", T.similarity(F.col("description"), F.lit(query)).alias("similarity")).orderBy(F.desc("similarity"), "key").limit(k)
+def fuzzy_search(catalog: DataFrame, query: str, category: str | None = None, k: int = 10) -> DataFrame:
+    """The k descriptions most similar to a query, of one category if wanted, then by key."""
+    rows = catalog if category is None else catalog.where(F.col("category") == category)
+    return rows.select("key", "description", T.similarity(F.col("description"), F.lit(query)).alias("similarity")).orderBy(F.desc("similarity"), "key").limit(k)
 
 
-def suggest_group(names: DataFrame, groups: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(name, suggestion, how): exact, alias, containment, then similarity of .60; smallest name on ties.
+def suggest_group(names: DataFrame, groups: Sequence[str], aliases: dict[str, str]) -> DataFrame:
+    """(name, suggestion, how, points): exact 1000, alias 950, containment 750 and up to 200 by length, similarity of .60 or more; the first group on ties.
 
-    groups and aliases are short vocabularies that all names are compared with.
+    Groups and aliases are a short rule list, so each distinct name meets them in
+    one expression.
     """
-    g = groups.select(F.col("name").alias("g_name"))
-    exact = names.join(g, F.lower("name") == F.lower("g_name")).select("name", F.col("g_name").alias("suggestion"), F.lit(1000).alias("points"), F.lit("exact").alias("how"))
-    alias = names.join(aliases.select(F.col("alias"), "target"), F.lower("name") == F.lower("alias")).select("name", F.col("target").alias("suggestion"), F.lit(950).alias("points"), F.lit("alias").alias("how"))
-    a, b = F.lower("name"), F.lower("g_name")
-    inside = F.contains(a, b) | F.contains(b, a)
-    ratio = F.least(F.length("name"), F.length("g_name")) / F.greatest(F.length("name"), F.length("g_name"))
-    s = T.similarity(a, b)
-    fuzzy = names.join(g, inside | (s >= 0.6)).select("name", F.col("g_name").alias("suggestion"), F.when(inside, 750 + F.floor(F.least(F.lit(0.2), ratio) * 1000)).otherwise(F.floor(s * 700)).cast("int").alias("points"), F.when(inside, "substring").otherwise("fuzzy").alias("how"))
-    every = exact.unionByName(alias).unionByName(fuzzy)
-    tier = F.when(F.col("how") == "exact", 4).when(F.col("how") == "alias", 3).when(F.col("how") == "substring", 2).otherwise(1)
-    best = every.withColumn("tier", tier).withColumn("r", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("tier"), F.desc("points"), "suggestion"))).where("r = 1")
-    return names.select("name").distinct().join(best.select("name", "suggestion", "how"), "name", "left").withColumn("how", F.coalesce("how", F.lit("none")))
+    low = F.lower("name")
+    ratio = lambda g: F.least(F.length("name"), F.length(g)) / F.greatest(F.length("name"), F.length(g))
+    inside = lambda g: F.contains(low, F.lower(g)) | F.contains(F.lower(g), low)
+    options = []
+    for i, name in enumerate(groups):
+        g = F.lit(name)
+        similar = T.similarity(low, F.lower(g))
+        scored = F.when(low == F.lower(g), F.struct(F.lit(4).alias("tier"), F.lit(1000).alias("points"), F.lit(-i).alias("ord"), g.alias("group"), F.lit("exact").alias("how")))
+        scored = scored.when(inside(g), F.struct(F.lit(2).alias("tier"), (750 + F.floor(F.least(F.lit(0.2), ratio(g)) * 1000)).cast("int").alias("points"), F.lit(-i).alias("ord"), g.alias("group"), F.lit("substring").alias("how")))
+        options.append(scored.when(similar >= 0.6, F.struct(F.lit(1).alias("tier"), F.floor(similar * 1000).cast("int").alias("points"), F.lit(-i).alias("ord"), g.alias("group"), F.lit("fuzzy").alias("how"))))
+    for i, (alias, target) in enumerate(aliases.items()):
+        options.append(F.when(low == alias.lower(), F.struct(F.lit(3).alias("tier"), F.lit(950).alias("points"), F.lit(-i).alias("ord"), F.lit(target).alias("group"), F.lit("alias").alias("how"))))
+    best = names.select("name").distinct().withColumn("b", F.array_max(F.array(*options)))
+    return best.select("name", F.col("b.group").alias("suggestion"), F.coalesce("b.how", F.lit("none")).alias("how"), F.coalesce("b.points", F.lit(0)).alias("points"))
 
 
 def review_queue(*flagged: tuple[str, DataFrame]) -> DataFrame:

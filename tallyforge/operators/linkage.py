@@ -67,18 +67,23 @@ def mapping_pairs(items: DataFrame, catalog: DataFrame) -> DataFrame:
 def score_mapping(pairs: DataFrame) -> DataFrame:
     """Adds ``score`` in thousandths, 0 to 1000, and ``reasons``.
 
-    Component 350, trade 200, action 150, unit 150, material 100, context 25. A
-    trade mismatch caps at 400; a component, action or unit conflict at 500. A
-    missing unit or an empty allow-list is compatible.
+    Component 350, trade 200, action 150, unit 150, material by its similarity to
+    the entry's terms 100, context 25. A trade mismatch caps at 400; a component,
+    action, unit or attribute conflict at 500. An unknown component or trade
+    matches nothing, an action must be on the entry's list, a missing unit or an
+    empty list of units is compatible. An attribute conflicts if the entry
+    requires another value of it.
     """
-    empty = lambda c: F.col(c).isNull() | (F.size(c) == 0)
-    component, trade = F.col("component") == F.col("e_component"), F.col("trade") == F.col("e_trade")
-    action = empty("e_actions") | F.array_contains("e_actions", F.col("action"))
-    unit = F.col("unit").isNull() | empty("e_units") | F.array_contains("e_units", F.col("unit"))
-    material = F.coalesce(F.col("material") == F.col("e_material"), F.lit(False))
-    points = sum((F.when(ok, n).otherwise(0) for ok, n in ((component, 350), (trade, 200), (action, 150), (unit, 150), (material, 100))), F.lit(25))
-    cap = F.least(F.when(trade, 1000).otherwise(400), *(F.when(ok, 1000).otherwise(500) for ok in (component, action, unit)))
-    reasons = F.array(*(F.when(~ok, f"{n} conflict") for ok, n in ((component, "component"), (trade, "trade"), (action, "action"), (unit, "unit"))))
+    known = lambda c: F.coalesce((F.col(c) == F.col(f"e_{c}")) & (F.col(c) != "unknown"), F.lit(False))
+    component, trade = known("component"), known("trade")
+    action = F.coalesce(F.array_contains("e_actions", F.col("action")), F.lit(False))
+    unit = F.col("unit").isNull() | F.col("e_units").isNull() | (F.size("e_units") == 0) | F.array_contains("e_units", F.upper("unit"))
+    attributes = ~F.coalesce(F.exists(F.map_keys("e_required"), lambda k: F.col("attributes")[k] != F.col("e_required")[k]), F.lit(False))
+    material = F.floor(T.material_similarity(F.col("material"), F.col("e_terms")) * 100)
+    points = sum((F.when(ok, n).otherwise(0) for ok, n in ((component, 350), (trade, 200), (action, 150), (unit, 150))), F.lit(25)) + material
+    cap = F.least(F.when(trade, 1000).otherwise(400), *(F.when(ok, 1000).otherwise(500) for ok in (component, action, unit, attributes)))
+    missing = F.when(F.col("component") == "unknown", "component unknown").when(~component, "component conflict")
+    reasons = F.array(missing, *(F.when(~ok, f"{n} conflict") for ok, n in ((trade, "trade"), (action, "action"), (unit, "unit"), (attributes, "attribute"))))
     return pairs.withColumns({"score": F.least(points, cap).cast("int"), "reasons": F.filter(reasons, lambda x: x.isNotNull())})
 
 
@@ -134,61 +139,104 @@ def mapping_issues(items: DataFrame, decided: DataFrame, item: str) -> DataFrame
     return met.select(item, F.explode(F.filter(codes, lambda x: x.isNotNull())).alias("code"))
 
 
-def candidates_by_hint(items: DataFrame, hints: DataFrame, catalog: DataFrame, key: str) -> DataFrame:
-    """(item, entry, hinted): entries of the categories hinted by an item's trade, then component; without hints the whole pool.
+#: Stands for the whole pool where a category is asked for.
+WHOLE = "\x00whole"
 
-    hints: (kind, value, category, ord). The first kind with a hint decides.
+
+def candidates_by_hint(items: DataFrame, hints: DataFrame) -> DataFrame:
+    """(item_id, category, hinted): the pools of an item, those its trade hints at, else its component; the whole pool (category null) without hints.
+
+    hints: (kind, value, category, ord). The first kind with a hint decides. Pools
+    are named, not spelled out: which entries of them are candidates is for
+    ``prefilter_by_overlap`` to say.
     """
     asked = items.select("item_id", F.explode(F.array(*(F.struct(F.lit(i).alias("prio"), F.lit(k).alias("kind"), F.col(k).alias("value")) for i, k in enumerate(("trade", "component"))))).alias("q")).select("item_id", "q.*")
     found = asked.join(hints, ["kind", "value"]).select("item_id", "prio", "category")
     first = found.groupBy("item_id").agg(F.min("prio").alias("prio"))
     hinted = found.join(first, ["item_id", "prio"]).select("item_id", "category").distinct()
-    pairs = hinted.join(catalog.select(key, "category"), "category").select("item_id", key, F.lit(True).alias("hinted"))
-    rest = items.select("item_id").join(hinted.select("item_id").distinct(), "item_id", "left_anti")
-    # Only items without any hint meet the whole pool.
-    return pairs.unionByName(rest.crossJoin(catalog.select(key)).select("item_id", key, F.lit(False).alias("hinted")))
+    return items.select("item_id").join(hinted, "item_id", "left").select("item_id", "category", F.col("category").isNotNull().alias("hinted"))
 
 
-def prefilter_by_overlap(items: DataFrame, pool: DataFrame, key: str, limit: int = 200) -> DataFrame:
-    """Per item the ``limit`` entries of its pool (item_id, key, tokens) with the most shared tokens; small pools stay whole."""
-    met = pool.join(items.select("item_id", F.col("tokens").alias("own")), "item_id").withColumn("shared", F.size(F.array_intersect("own", "tokens")))
-    whole = Window.partitionBy("item_id")
-    best = whole.orderBy(F.desc("shared"), key)
-    kept = met.withColumns({"n": F.count("*").over(whole), "rank": F.row_number().over(best)})
-    return kept.where((F.col("n") <= limit) | (F.size("own") == 0) | (F.col("rank") <= limit)).select("item_id", key, "shared", "rank")
+def prefilter_by_overlap(pools: DataFrame, catalog: DataFrame, key: str, limit: int = 200) -> DataFrame:
+    """(item_id, key, shared, rank): of each pool (item_id, category, tokens) the ``limit`` entries (key, category, tokens) that share most tokens, then by key.
+
+    A null category is the whole catalog; an item without tokens keeps its whole
+    pool. Items of one category and token set are one text until the end; shared
+    tokens are counted over a join on (category, token), and a pool's first
+    ``limit`` entries fill what is left, so no text meets all entries of a pool.
+    """
+    own = pools.select("item_id", F.coalesce("category", F.lit(WHOLE)).alias("category"), F.array_sort("tokens").alias("own"))
+    texts = own.select("category", "own").distinct().withColumn("text_id", F.xxhash64("category", "own"))
+    entries = catalog.select(key, "category", "tokens").unionByName(catalog.select(key, F.lit(WHOLE).alias("category"), "tokens"))
+    words = entries.select(key, "category", F.explode(F.array_distinct("tokens")).alias("token"))
+    shared = texts.select("text_id", "category", F.explode("own").alias("token")).join(words, ["category", "token"]).groupBy("text_id", key).agg(F.count("*").alias("shared"))
+    first = entries.withColumn("r", F.row_number().over(Window.partitionBy("category").orderBy(key))).where(F.col("r") <= limit).select("category", key)
+    none = F.lit(0).cast("long").alias("shared")
+    fill = texts.where(F.size("own") > 0).join(first, "category").select("text_id", key, none)
+    whole = texts.where(F.size("own") == 0).join(entries, "category").select("text_id", key, none)
+    met = shared.unionByName(fill).unionByName(whole).groupBy("text_id", key).agg(F.max("shared").alias("shared"))
+    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("text_id").orderBy(F.desc("shared"), key)))
+    kept = ranked.join(texts, "text_id").where((F.size("own") == 0) | (F.col("rank") <= limit)).select("category", "own", key, "shared", "rank")
+    return own.join(kept, ["category", "own"]).select("item_id", key, "shared", "rank")
 
 
 def candidates_by_token(items: DataFrame, records: DataFrame, item: str, key: str) -> DataFrame:
-    """(item, key, shared): records that share a token with an item. Both have ``tokens``; a token's list is met once."""
+    """(item, key, shared): records that share a token with an item, both with ``tokens``.
+
+    An item that shares none may be any record: it has one row with a null key,
+    which stands for all of them.
+    """
     left, right = items.select(item, F.explode("tokens").alias("token")).distinct(), records.select(key, F.explode("tokens").alias("token")).distinct()
-    return left.join(right, "token").groupBy(item, key).agg(F.count("*").alias("shared"))
+    shared = left.join(right, "token").groupBy(item, key).agg(F.count("*").alias("shared"))
+    rest = items.select(item).distinct().join(shared.select(item).distinct(), item, "left_anti")
+    return shared.unionByName(rest.select(item, F.lit(None).cast(records.schema[key].dataType).alias(key), F.lit(0).cast("long").alias("shared")))
 
 
 def idf(records: DataFrame, key: str) -> DataFrame:
     """(token, df, idf): ln((N + 1) / (df + 1)) + 1 over distinct tokens per record."""
     tokens = records.select(key, F.explode("tokens").alias("token")).distinct()
-    n = records.agg(F.countDistinct(key).alias("n"))
-    return tokens.groupBy("token").agg(F.count("*").alias("df")).crossJoin(n).select("token", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    n = records.agg(F.countDistinct(key).alias("n"))  # one row
+    return tokens.groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("token", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
-def score_lexical(pairs: DataFrame, weights: DataFrame, item: str, key: str) -> DataFrame:
-    """Adds ``score`` to pairs (item, key, a, b): two normalized texts.
+def score_lexical(queries: DataFrame, records: DataFrame, key: str, *, low_information: Sequence[str] = (), k: int = 25) -> DataFrame:
+    """(a, b, lexical): per distinct query text a (column text) the ``k`` most similar distinct record texts b (key, text) that share a token with it.
 
-    .34 idf-weighted Jaccard + .25 recall of the item's tokens + .21 similarity +
-    .12 similarity of sorted tokens + .08 length ratio if one contains the other;
-    equal texts are 1.
+    .34 idf-weighted Jaccard + .25 share of the query's informative tokens that
+    the record has + .21 similarity + .12 similarity of sorted tokens + .08 length
+    ratio if one text contains the other; equal texts are 1. Weights are summed
+    per side, and only the shared tokens of distinct texts are joined.
     """
-    a, b = T.tokens(F.col("a")), T.tokens(F.col("b"))
-    both = pairs.withColumns({"ta": a, "tb": b})
-    each = both.select(item, key, F.explode(F.array_union("ta", "tb")).alias("token"), "ta", "tb").join(weights.select("token", "idf"), "token", "left").withColumn("idf", F.coalesce("idf", F.lit(1.0)))
-    in_a, in_b = F.array_contains("ta", F.col("token")), F.array_contains("tb", F.col("token"))
-    sums = each.groupBy(item, key).agg(F.sum("idf").alias("union"), F.sum(F.when(in_a & in_b, F.col("idf")).otherwise(0.0)).alias("common"), F.sum(F.when(in_a, F.col("idf")).otherwise(0.0)).alias("own"))
-    met = both.join(sums, [item, key])
+    a_texts = queries.select(F.col("text").alias("a")).distinct().withColumns({"ta": T.tokens(F.col("a")), "qa": F.xxhash64("a")})
+    b_texts = records.select(F.col("text").alias("b")).distinct().withColumns({"tb": T.tokens(F.col("b")), "qb": F.xxhash64("b")})
+    weights = idf(records.withColumn("tokens", T.tokens(F.col("text"))), key).select("token", "idf")
+    informative = ~F.col("token").isin(list(low_information)) if low_information else F.lit(True)
+    left = a_texts.select("qa", F.explode("ta").alias("token")).join(weights, "token", "left").withColumn("idf", F.coalesce("idf", F.lit(1.0)))
+    right = b_texts.select("qb", F.explode("tb").alias("token")).join(weights, "token")
+    a_sums = left.groupBy("qa").agg(F.sum("idf").alias("wa"), F.count_if(informative).alias("na"))
+    b_sums = right.groupBy("qb").agg(F.sum("idf").alias("wb"))
+    shared = left.join(right.select("qb", "token"), "token").groupBy("qa", "qb").agg(F.sum("idf").alias("common"), F.count_if(informative).alias("has"))
+    met = shared.join(a_sums, "qa").join(b_sums, "qb").join(a_texts, "qa").join(b_texts, "qb")
     sorted_a, sorted_b = F.array_join(F.array_sort("ta"), " "), F.array_join(F.array_sort("tb"), " ")
     inside = F.contains("a", "b") | F.contains("b", "a")
     ratio = F.least(F.length("a"), F.length("b")) / F.greatest(F.length("a"), F.length("b"))
-    total = 0.34 * F.col("common") / F.col("union") + 0.25 * F.col("common") / F.col("own") + 0.21 * T.similarity(F.col("a"), F.col("b")) + 0.12 * T.similarity(sorted_a, sorted_b) + 0.08 * F.when(inside, ratio).otherwise(0.0)
-    return met.select(item, key, F.when(F.col("a") == F.col("b"), 1.0).otherwise(total).alias("score"))
+    jaccard = F.col("common") / (F.col("wa") + F.col("wb") - F.col("common"))
+    recall = F.when(F.col("na") > 0, F.col("has") / F.col("na")).otherwise(jaccard)
+    total = 0.34 * jaccard + 0.25 * recall + 0.21 * T.similarity(F.col("a"), F.col("b")) + 0.12 * T.similarity(sorted_a, sorted_b) + 0.08 * F.when(inside, ratio).otherwise(0.0)
+    scored = met.select("a", "b", F.round(F.when(F.col("a") == F.col("b"), 1.0).otherwise(total), 6).alias("lexical"))
+    best = Window.partitionBy("a").orderBy(F.desc("lexical"), "b")
+    return scored.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
+
+
+def rank_in_context(candidates: DataFrame, item: str, key: str, trade: Column, action: Column, unit: Column, k: int) -> DataFrame:
+    """(item, key, score, rank): the ``k`` best candidates (item, key, lexical) with the signs of trade, action and unit.
+
+    The trade's weighs .08 where lexical is .85 or more, else .02, the action's
+    .55, the unit's .015; scores are 0 at least and have no upper bound.
+    """
+    score = F.greatest(F.lit(0.0), F.col("lexical") + F.when(F.col("lexical") >= 0.85, 0.08).otherwise(0.02) * trade + 0.55 * action + 0.015 * unit)
+    best = Window.partitionBy(item).orderBy(F.desc("score"), key)
+    return candidates.select(item, key, F.round(score, 6).alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def resolve(scored: DataFrame, item: str, key: str, *, strong: float = 0.77, margin: float = 0.01, weak: float = 0.48) -> DataFrame:
@@ -201,34 +249,84 @@ def resolve(scored: DataFrame, item: str, key: str, *, strong: float = 0.77, mar
     return rows.select(item, F.when(state != "fallback", F.col(key)).alias(key), state.alias("resolution"))
 
 
-def compatibility(pairs: DataFrame) -> DataFrame:
-    """Adds action_state (match, conflict, unlabeled, none) and unit_state (true, false, unknown) of pairs."""
-    action = F.when(F.col("action").isNull(), "none").when(F.col("e_action").isNull(), "unlabeled").when(F.col("action") == F.col("e_action"), "match").otherwise("conflict")
-    unit = F.when(F.col("unit").isNull() | F.col("e_unit").isNull(), "unknown").when(F.col("unit") == F.col("e_unit"), "true").otherwise("false")
-    return pairs.withColumns({"action_state": action, "unit_state": unit})
+def compatibility(pairs: DataFrame, *, actions: dict[str, Sequence[str]], units: dict[str, Sequence[str]], grades: Sequence[str], groups: Sequence[Sequence[str]]) -> DataFrame:
+    """Adds category_hinted, action_state, unit_state, grade_conflict and distinctions to pairs of an item and an entry.
 
+    Pairs have description, action, unit, material, hints (categories) of the item
+    and e_description (normalized), e_category of the entry. What an entry says is
+    read from its text by the vocabularies: actions and units by their phrases,
+    grades, and groups of words that exclude each other. Absence is no conflict:
+    action_state is match, conflict, unlabeled (the item has no action) or none
+    (the entry says none); unit_state true, false (another unit is named) or unknown.
+    """
+    text = F.col("e_description")
+    any_of = lambda phrases, c: F.exists(F.array(*map(F.lit, phrases)), lambda p: F.contains(c, p))
+    said = F.filter(F.array(*(F.when(any_of(ps, text), F.lit(a)) for a, ps in actions.items())), lambda x: x.isNotNull())
+    action = F.when(F.size(said) == 0, "none").when(F.coalesce(F.col("action"), F.lit("")) == "", "unlabeled").when(F.array_contains(said, F.col("action")), "match").otherwise("conflict")
+    padded = F.concat(F.lit(" "), text, F.lit(" "))
+    named = F.filter(F.array(*(F.when(any_of(ps, padded), F.lit(u)) for u, ps in units.items())), lambda x: x.isNotNull())
+    own = F.upper(F.trim("unit"))
+    unit = F.when(own.isNull() | ~own.isin(list(units)), "unknown").when(F.array_contains(named, own), "true").when(F.size(named) > 0, "false").otherwise("unknown")
+    has = lambda words, c: F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(c, w))
+    item = F.lower(F.concat_ws(" ", "description", "material"))
+    mine, theirs = has(grades, item), has(grades, text)
+    grade = (F.size(mine) > 0) & (F.size(theirs) > 0) & ~F.arrays_overlap(mine, theirs)
+    spoken = F.lower(F.concat_ws(" ", "description", "action", "material"))
+    clash = [(g, has(g, spoken), has(g, text)) for g in groups]
+    apart = F.filter(F.array(*(F.when((F.size(x) > 0) & (F.size(y) > 0) & ~F.arrays_overlap(x, y), F.concat(F.array_join(F.array_sort(x), "/"), F.lit(" against "), F.array_join(F.array_sort(y), "/"))) for _, x, y in clash)), lambda x: x.isNotNull())
+    hinted = F.coalesce((F.size("hints") == 0) | F.array_contains("hints", F.col("e_category")), F.lit(True))
+    return pairs.withColumns({"category_hinted": hinted, "action_state": action, "unit_state": unit, "grade_conflict": grade, "distinctions": apart})
+
+
+def similarities(pairs: DataFrame, floor: float = 0.35) -> DataFrame:
+    """Adds description, component, material and attribute similarity of pairs; absent evidence is neutral."""
+    text, item = F.col("e_description"), T.norm_description(F.col("description"))
+    description = F.when((F.coalesce(item, F.lit("")) == "") | (F.coalesce(text, F.lit("")) == ""), 0.0).when(F.contains(text, item) | F.contains(item, text), 1.0).otherwise(T.similarity(item, text))
+    words = T.tokens(F.replace(F.coalesce(F.col("component"), F.lit("")), F.lit("_"), F.lit(" ")))
+    component = F.when(F.size(words) == 0, 0.3).otherwise(F.size(F.array_intersect(words, T.tokens(text))) / F.size(words))
+    values = F.filter(F.transform(F.map_values("attributes"), lambda v: F.lower(v)), lambda v: v.isNotNull() & (v != ""))
+    attribute = F.when(F.col("attributes").isNull() | (F.size("attributes") == 0), 0.3).when(F.exists(values, lambda v: F.contains(text, v)), 1.0).otherwise(0.4)
+    return pairs.withColumns({"description_similarity": description, "component_similarity": component, "material_score": T.material_similarity(F.col("material"), F.array(text), floor), "attribute_score": attribute})
 
-def score_recommendation(pairs: DataFrame) -> DataFrame:
-    """Adds ``score`` in ten-thousandths to pairs with similarities and states.
 
-    300 description + 200 category + 150 component + 100 material + 100 action + 50
-    attributes + 50 verified + 50 unit, times ten; neutral values where nothing is
-    known; caps for conflicts; a penalty for poorly read entries; 0 to 10000.
+def score_recommendation(pairs: DataFrame) -> DataFrame:
+    """Adds ``score`` in ten-thousandths to pairs with similarities and compatibility.
+
+    Thousandths: 300 description + 200 category + 150 component + 100 material +
+    100 action + 50 attributes + 50 verified + 50 unit, times ten; action and unit
+    are half where nothing is known. Caps: a category outside given hints 5000, an
+    action conflict 4500, another unit 5500, a grade or distinction conflict 4500.
+    Then a penalty for poorly read entries (a tenth of what confidence lacks to
+    .85) and 1500 for uncertain ones; 0 to 10000.
     """
     tenths = lambda c, n: F.floor(F.col(c) * n * 10).cast("int")
-    action = F.when(F.col("action_state") == "match", 1000).when(F.col("action_state") == "conflict", 0).otherwise(400)
+    action = F.when(F.col("action_state") == "match", 1000).when(F.col("action_state") == "conflict", 0).otherwise(500)
     unit = F.when(F.col("unit_state") == "true", 500).when(F.col("unit_state") == "false", 0).otherwise(250)
-    points = tenths("description_similarity", 300) + F.when(F.col("hinted"), 2000).otherwise(600) + F.when(F.col("component_match"), 1500).otherwise(0) + tenths("material_similarity", 100) + action + 250 + F.when(F.col("verified"), 500).otherwise(0) + unit
-    cap = F.least(F.when(F.col("action_state") == "conflict", 5000).otherwise(10000), F.when(F.col("unit_state") == "false", 4500).otherwise(10000), F.when(~F.col("component_match"), 5500).otherwise(10000))
-    penalty = F.when(F.col("ocr_confidence") < 0.85, F.floor(F.least(F.lit(0.1), (0.85 - F.col("ocr_confidence")) * 0.1) * 10000).cast("int")).otherwise(0) + F.when(F.col("uncertain"), 1500).otherwise(0)
-    return pairs.withColumn("score", F.greatest(F.lit(0), F.least(F.least(points, cap) - penalty, F.lit(10000))).cast("int"))
+    points = tenths("description_similarity", 300) + F.when(F.col("category_hinted"), 2000).otherwise(0) + tenths("component_similarity", 150) + tenths("material_score", 100) + action + tenths("attribute_score", 50) + F.when(F.col("verified"), 500).otherwise(0) + unit
+    odd = F.col("grade_conflict") | (F.size("distinctions") > 0)
+    caps = ((~F.col("category_hinted"), 5000), (F.col("action_state") == "conflict", 4500), (F.col("unit_state") == "false", 5500), (odd, 4500))
+    capped = F.least(points, *(F.when(c, n).otherwise(10000) for c, n in caps))
+    penalty = F.when(F.col("ocr_confidence") < 0.85, F.floor(F.least(F.lit(0.1), (0.85 - F.col("ocr_confidence")) * 0.1) * 10000).cast("int")).otherwise(0)
+    read = F.greatest(F.lit(0), capped - penalty)
+    return pairs.withColumn("score", F.least(F.lit(10000), F.greatest(F.lit(0), read - F.when(F.col("uncertain"), 1500).otherwise(0))).cast("int"))
 
 
 def explain(pairs: DataFrame) -> DataFrame:
-    """Adds match_reasons and penalties as phrases."""
-    good = F.array(F.when(F.col("description_similarity") >= 0.8, "description matches"), F.when(F.col("hinted"), "category expected"), F.when(F.col("component_match"), "component matches"), F.when(F.col("verified"), "verified entry"))
-    bad = F.array(F.when(F.col("action_state") == "conflict", "action conflicts"), F.when(F.col("unit_state") == "false", "unit conflicts"), F.when(F.col("ocr_confidence") < 0.85, "poorly read entry"), F.when(F.col("uncertain"), "uncertain entry"))
-    return pairs.withColumns({"match_reasons": F.filter(good, lambda x: x.isNotNull()), "penalties": F.filter(bad, lambda x: x.isNotNull())})
+    """Adds match_reasons and penalties as phrases, in the order of the signals."""
+    above = lambda c, n: F.col(c) >= n
+    said = F.size("hints") > 0
+    good = F.array(
+        F.when(above("description_similarity", 0.85), "description matches closely").when(above("description_similarity", 0.55), "description shares much wording"),
+        F.when(said & F.col("category_hinted"), "category expected"), F.when(above("component_similarity", 0.5), "component in the entry's text"),
+        F.when(above("material_score", 0.99), "material in the entry's text").when(above("material_score", 0.55), "material similar"), F.when(F.col("action_state") == "match", "action matches"),
+        F.when(above("attribute_score", 0.99), "attribute in the entry's text"), F.when(F.col("unit_state") == "true", "unit matches"), F.when(F.col("verified"), "verified entry"),
+    )
+    bad = F.array(
+        F.when(said & ~F.col("category_hinted"), "category unexpected"), F.when(F.col("action_state") == "conflict", "action conflicts"), F.when(F.col("unit_state") == "false", "unit conflicts"), F.when(F.col("grade_conflict"), "grade conflicts"),
+    )
+    late = F.array(F.when(F.col("ocr_confidence") < 0.85, "poorly read entry"), F.when(F.col("uncertain"), "uncertain entry"))
+    present = lambda a: F.filter(a, lambda x: x.isNotNull())
+    return pairs.withColumns({"match_reasons": present(good), "penalties": F.concat(present(bad), "distinctions", present(late))})
 
 
 def merge_candidates(item: str, key: str, *sources: DataFrame) -> DataFrame:
@@ -241,23 +339,43 @@ def merge_candidates(item: str, key: str, *sources: DataFrame) -> DataFrame:
     return own.withColumn("rank", F.row_number().over(Window.partitionBy(item).orderBy("source_no", F.desc("score"), key))).drop("first")
 
 
+def _grams(c: Column) -> Column:
+    """Distinct substrings of one to three characters."""
+    at = F.sequence(F.lit(1), F.length(c))
+    return F.when(F.length(c) > 0, F.array_distinct(F.flatten(F.transform(at, lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.substr(c, i, n)))))).otherwise(F.array().cast("array<string>"))
+
+
 def verified_matches(items: DataFrame, verified: DataFrame) -> DataFrame:
     """(item_id, key): verified records that fit an item.
 
-    Components are equal (or the record's is unknown), units are equal where both
-    are given, the action is allowed, no negative phrase stands in the text, and
-    one text contains the other. Records of unknown component are few and are
-    the only ones that meet all items.
+    Trade and component are equal unless the record's is null, empty or unknown;
+    units are equal where both are given; the action is on the record's list if
+    it has one; no negative phrase stands in the text; and the description or an
+    alias contains the text or stands in it. Case does not matter. A record with
+    a known component or trade meets items by it. One with neither meets them by
+    the first three letters of the text that stands in the other, which are among
+    the other's substrings, so it meets no more than can hold.
     """
-    v = verified.select(*(F.col(c).alias(f"v_{c}") for c in verified.columns))
+    wild = lambda c: F.coalesce(F.col(c), F.lit("")).isin("", "unknown")
+    none = F.array().cast("array<string>")
+    listed = F.filter(F.transform(F.concat(F.array("description"), F.coalesce("aliases", none)), lambda d: F.lower(d)), lambda d: d.isNotNull() & (d != ""))
+    v = verified.withColumn("texts", listed).select(*(F.col(c).alias(f"v_{c}") for c in [*verified.columns, "texts"]))
+    rows = items.withColumn("_text", F.lower("description")).where("_text != ''")
+    text = F.col("_text")
+    negative = F.exists(F.coalesce("v_negatives", none), lambda n: (n != "") & F.contains(text, F.lower(n)))
     fits = (
-        ((F.col("v_trade") == "unknown") | (F.col("trade") == F.col("v_trade"))) & (F.col("unit").isNull() | F.col("v_unit").isNull() | (F.col("unit") == F.col("v_unit")))
-        & ((F.size("v_actions") == 0) | F.array_contains("v_actions", F.col("action"))) & ~F.exists("v_negatives", lambda n: F.contains(F.col("description"), n))
-        & F.exists(F.concat(F.array("v_description"), F.col("v_aliases")), lambda d: F.contains(F.col("description"), d) | F.contains(d, F.col("description")))
+        (wild("v_trade") | (F.col("trade") == F.col("v_trade"))) & (wild("v_component") | (F.col("component") == F.col("v_component")))
+        & ((F.coalesce(F.col("unit"), F.lit("")) == "") | (F.coalesce(F.col("v_unit"), F.lit("")) == "") | (F.upper("unit") == F.upper("v_unit")))
+        & (F.col("v_actions").isNull() | (F.size("v_actions") == 0) | F.array_contains("v_actions", F.col("action"))) & ~F.coalesce(negative, F.lit(False))
+        & F.exists("v_texts", lambda d: F.contains(text, d) | F.contains(d, text))
     )
-    known = items.join(v.where("v_component != 'unknown'"), (F.col("component") == F.col("v_component")) & fits)
-    wild = items.join(v.where("v_component = 'unknown'"), fits)
-    return known.unionByName(wild).select("item_id", F.col("v_key").alias("key"))
+    by_component = rows.join(v.where(~wild("v_component")), (F.col("component") == F.col("v_component")) & fits)
+    by_trade = rows.join(v.where(wild("v_component") & ~wild("v_trade")), (F.col("trade") == F.col("v_trade")) & fits)
+    free = v.where(wild("v_component") & wild("v_trade")).withColumn("d", F.explode("v_texts"))
+    inside = rows.withColumn("gram", F.explode(_grams(text))).join(free.withColumn("begin", F.substring("d", 1, 3)), (F.col("gram") == F.col("begin")) & fits)
+    around = rows.withColumn("begin", F.substring("_text", 1, 3)).join(free.withColumn("gram", F.explode(_grams(F.col("d")))), (F.col("gram") == F.col("begin")) & fits)
+    each = [x.select("item_id", F.col("v_key").alias("key")) for x in (by_component, by_trade, inside, around)]
+    return each[0].unionByName(each[1]).unionByName(each[2].unionByName(each[3]).distinct())
 
 
 def resolve_or_search(items: DataFrame, registry: DataFrame, verified: DataFrame) -> DataFrame:
@@ -299,11 +417,14 @@ def pair_complements(tasks: DataFrame) -> DataFrame:
 
 
 def break_exact_ties(scored: DataFrame, hints: DataFrame, item: str, key: str) -> DataFrame:
-    """Among exactly two best of equal score and different category, the one whose category alone is hinted."""
+    """Among exactly two best of equal score, equal text and different category, the one whose category alone is hinted; else why not."""
     best = Window.partitionBy(item)
     top = scored.withColumn("most", F.max("score").over(best)).where("score = most")
-    met = top.join(hints.select(item, F.col("category").alias("h")).distinct(), (top[item] == hints[item]) & (top["category"] == F.col("h")), "left").select(top[item], key, "category", F.col("h").isNotNull().alias("hinted"))
-    out = met.groupBy(item).agg(F.count("*").alias("n"), F.countDistinct("category").alias("categories"), F.count_if("hinted").alias("n_hinted"), F.max(F.when(F.col("hinted"), F.col(key))).alias("winner"))
-    ok = (F.col("n") == 2) & (F.col("categories") == 2) & (F.col("n_hinted") == 1)
-    reason = F.when(F.col("n") == 1, "no tie").when(F.col("n") > 2, "more than two").when(F.col("categories") == 1, "one category").when(F.col("n_hinted") != 1, "hints do not decide").otherwise("decided")
+    met = top.join(hints.select(item, "category").distinct().withColumn("hinted", F.lit(True)), [item, "category"], "left").withColumn("hinted", F.coalesce("hinted", F.lit(False)))
+    out = met.groupBy(item).agg(F.count("*").alias("n"), F.countDistinct("text").alias("texts"), F.countDistinct("category").alias("categories"), F.count_if("hinted").alias("n_hinted"), F.max(F.when(F.col("hinted"), F.col(key))).alias("winner"))
+    ok = (F.col("n") == 2) & (F.col("texts") == 1) & (F.col("categories") == 2) & (F.col("n_hinted") == 1)
+    reason = (
+        F.when(F.col("n") == 1, "no tie").when(F.col("texts") > 1, "texts differ").when(F.col("n") > 2, "more than two").when(F.col("categories") == 1, "one category")
+        .when(F.col("n_hinted") == 0, "no hint").when(F.col("n_hinted") == 2, "both hinted").otherwise("decided")
+    )
     return out.select(item, F.when(ok, F.col("winner")).alias("winner"), reason.alias("reason"))

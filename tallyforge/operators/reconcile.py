@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.functions import text as T
+
 MONEY = "decimal(18,2)"
 
 
@@ -22,8 +24,9 @@ def within_tolerance(expected: Column, actual: Column, absolute: str = "0.05", r
 
 
 def line_arithmetic_issues(items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, code): one row per check that a row fails; checks with a null input are skipped."""
-    built = (F.col("quantity") * F.col("unit_price") + F.col("tax") + F.col("oap")).cast("decimal(20,2)")
+    """(doc_id, item_id, code): one row per check that a row fails; a null tax or O&P is 0, checks with another null input are skipped."""
+    none = F.lit(0).cast(MONEY)
+    built = (F.col("quantity") * F.col("unit_price") + F.coalesce("tax", none) + F.coalesce("oap", none)).cast("decimal(20,2)")
     slack = F.lit("0.05").cast("decimal(9,4)")
     checks = [
         ("rcv_mismatch", ~within_tolerance(built, F.col("rcv"))), ("acv_mismatch", ~within_tolerance(F.col("rcv") - F.col("dep"), F.col("acv"))),
@@ -89,7 +92,7 @@ def union_issues(*checks: DataFrame) -> DataFrame:
 
 def document_status(items: DataFrame, issues: DataFrame, reconciled: DataFrame, severities: DataFrame) -> DataFrame:
     """Severity counts and status per document: failed, needs_review or success; rows of confidence .80 or more."""
-    severity = issues.join(F.broadcast(severities), "code").groupBy("doc_id").pivot("severity", ["fatal", "error", "warning"]).agg(F.count("code"))
+    severity = issues.join(severities, "code").groupBy("doc_id").pivot("severity", ["fatal", "error", "warning"]).agg(F.count("code"))
     rows = items.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.count_if(F.col("confidence") >= 0.8).alias("high_confidence"))
     met = reconciled.select("doc_id", "ok").join(rows, "doc_id", "left").join(severity, "doc_id", "left").fillna(0, ["n_items", "high_confidence", "fatal", "error", "warning"])
     status = F.when((F.col("fatal") > 0) | (F.col("n_items") == 0), "failed").when((F.col("error") > 0) | ~F.coalesce("ok", F.lit(True)), "needs_review").otherwise("success")
@@ -124,21 +127,23 @@ def coverage_gaps(expected: DataFrame, manifest: DataFrame, key: str) -> DataFra
     return missing.unionByName(manifest.select(key, problem.alias("problem")).where("problem is not null"))
 
 
-def majority_value(candidates: DataFrame, authority: DataFrame) -> DataFrame:
-    """The most frequent normalized value per (doc_id, field).
+def majority_value(candidates: DataFrame, authority: DataFrame, value: Column | None = None, sure: float = 0.98) -> DataFrame:
+    """The most frequent value per (doc_id, field), by default of the raw text with white space normalized; its case stays.
 
-    Ties go to the value with the best source authority (lowest rank), then to
-    the first seen. Confidence is .98 if unanimous, else the share times .98 and
-    .6 at least.
+    Values that normalize to nothing don't count: if none is left, the value is
+    null with confidence .3. Ties go to the value with the best source authority
+    (lowest rank), then to the first seen. Confidence is ``sure`` if unanimous,
+    else the share times it and .6 at least.
     """
-    value = F.lower(F.trim("raw"))
-    ranked = candidates.join(F.broadcast(authority), "source", "left").withColumn("rank", F.coalesce("rank", F.lit(99)))
-    counts = ranked.groupBy("doc_id", "field", value.alias("value")).agg(F.count("*").alias("n"), F.min("rank").alias("rank"), F.min("ord").alias("ord"))
-    best = F.max_by(F.struct("value", "n"), F.struct("n", -F.col("rank"), -F.col("ord")))
-    out = counts.groupBy("doc_id", "field").agg(best.alias("best"), F.sum("n").alias("total"), F.count("*").alias("n_values"))
+    value = T.norm_ws(F.col("raw")) if value is None else value
+    ranked = candidates.join(authority, "source", "left").withColumns({"rank": F.coalesce("rank", F.lit(99)), "value": F.nullif(value, F.lit(""))})
+    counts = ranked.groupBy("doc_id", "field", "value").agg(F.count("*").alias("n"), F.min("rank").alias("rank"), F.min("ord").alias("ord"))
+    has = F.col("value").isNotNull()
+    best = F.max_by(F.struct("value", "n"), F.when(has, F.struct("n", -F.col("rank"), -F.col("ord"))))
+    out = counts.groupBy("doc_id", "field").agg(best.alias("best"), F.coalesce(F.sum(F.when(has, F.col("n"))), F.lit(0)).alias("total"))
     share = F.col("best.n") / F.col("total")
-    confidence = F.when(F.col("n_values") == 1, 0.98).otherwise(F.greatest(F.lit(0.6), share * 0.98))
-    return out.select("doc_id", "field", F.col("best.value").alias("value"), F.col("best.n").alias("n"), "total", confidence.alias("confidence"))
+    confidence = F.when(F.col("total") == 0, 0.3).when(F.col("best.n") == F.col("total"), sure).otherwise(F.greatest(F.lit(0.6), share * sure))
+    return out.select("doc_id", "field", F.col("best.value").alias("value"), F.coalesce("best.n", F.lit(0).cast("long")).alias("n"), "total", confidence.alias("confidence"))
 
 
 def last_event_per_key(events: DataFrame, key: str, order: Sequence[str]) -> DataFrame:

@@ -124,16 +124,26 @@ def learn_from_outcomes(outcomes: DataFrame) -> DataFrame:
     return rows.groupBy("item_id").agg(F.max_by(F.struct("key", "verified"), F.struct("ts", "outcome_id")).alias("last")).select("item_id", F.col("last.key").alias("key"), F.col("last.verified").alias("reusable"))
 
 
+STATES = ["completed", "review", "no_match", "failed", "skipped", "pending"]
+
+
 def run_rollup(tasks: DataFrame, group: str) -> DataFrame:
-    """Per group: tasks by state, the last touched one and the first cause of a stop."""
+    """Per group: tasks by state and by route, the last touched one and the first cause of a stop."""
     n = lambda s: F.count_if(F.col("state") == s).alias(s)
-    return tasks.groupBy(group).agg(F.count("*").alias("tasks"), *(n(s) for s in ("completed", "failed", "pending")), F.max_by("task_id", F.struct("touched", "task_id")).alias("last_touched"), F.min_by("cause", F.when(F.col("cause").isNotNull(), F.struct("touched", "task_id"))).alias("first_cause"))
+    route = lambda r: F.count_if(F.col("route") == r).alias(f"by_{r}")
+    return tasks.groupBy(group).agg(
+        F.count("*").alias("tasks"), *(n(s) for s in STATES), *(route(r) for r in ("registry", "verified", "search")), F.max_by("task_id", F.struct("touched", "task_id")).alias("last_touched"),
+        F.min_by("cause", F.when(F.col("cause").isNotNull(), F.struct("touched", "task_id"))).alias("first_cause"),
+    )
 
 
-def real_ground_truth(states: DataFrame, items: DataFrame, markers: Sequence[str]) -> DataFrame:
-    """Approved rows with a complete key and no marker of synthetic data in reviewer or note."""
-    odd = F.lower(F.concat_ws(" ", "reviewer", "note")).rlike("|".join(markers))
-    return items.join(states.where((F.col("status") == "approved") & ~odd).select("item_id"), "item_id", "left_semi").where(F.col("category").isNotNull() & F.col("selector").isNotNull())
+def real_ground_truth(states: DataFrame, items: DataFrame, overrides: DataFrame, markers: Sequence[str]) -> DataFrame:
+    """Approved rows with a complete key and no marker of synthetic data in reviewer, note or an override's reason (item_id, reason)."""
+    pattern = "|".join(markers)
+    odd = F.lower(F.concat_ws(" ", "reviewer", "note")).rlike(pattern)
+    marked = overrides.where(F.lower("reason").rlike(pattern)).select("item_id")
+    ok = states.where((F.col("status") == "approved") & ~odd).select("item_id").join(marked, "item_id", "left_anti")
+    return items.join(ok, "item_id", "left_semi").where(F.col("category").isNotNull() & F.col("selector").isNotNull())
 
 
 def evaluate_ranking(ranked: DataFrame, truth: DataFrame, ks: Sequence[int] = (1, 3, 5, 10), *flags: str) -> DataFrame:
@@ -195,3 +205,33 @@ def relaxed_queries(items: DataFrame, attempts: Sequence[str], index: DataFrame)
     tried = items.select("item_id", F.posexplode(F.array(*(F.col(a) for a in attempts))).alias("attempt", "text")).where("text is not null")
     found = tried.join(index.groupBy("text").agg(F.count("*").alias("hits")), "text")
     return found.groupBy("item_id").agg(F.min(F.struct("attempt", "hits")).alias("f")).select("item_id", "f.attempt", "f.hits")
+
+
+def build_work_list(items: DataFrame, suggestions: DataFrame, include_unmapped: bool = False) -> DataFrame:
+    """(doc_id, group_id, group_no, task_no, item_id, mode, problem): approved rows as ordered tasks of ordered groups.
+
+    items have doc_id, item_id, ord, group (a section's name), status, category,
+    selector and bucket; suggestions (name, suggestion) give a group's own name.
+    With ``include_unmapped`` eligible rows without a key are tasks to search. An
+    approved row without a key is a problem, never a silent task.
+    """
+    keyed = F.col("category").isNotNull() & F.col("selector").isNotNull()
+    approved = F.col("status") == "approved"
+    wanted = approved | (F.lit(include_unmapped) & ~keyed & (F.col("status") != "rejected") & (F.col("bucket") == "eligible"))
+    named = items.where(wanted).join(suggestions.select(F.col("name").alias("group"), "suggestion"), "group", "left")
+    rows = named.withColumn("group_id", F.coalesce("suggestion", "group", F.lit("ungrouped")))
+    first = F.min("ord").over(Window.partitionBy("doc_id", "group_id"))
+    rows = rows.withColumn("_first", first).withColumn("group_no", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("_first", "group_id")))
+    task = F.row_number().over(Window.partitionBy("doc_id", "group_id").orderBy("ord", "item_id"))
+    return rows.select("doc_id", "group_id", "group_no", task.alias("task_no"), "item_id", F.when(keyed, "key").otherwise("search").alias("mode"), F.when(approved & ~keyed, "approved without a key").alias("problem"))
+
+
+def shadow_plan(resolved: DataFrame, items: DataFrame, fallback: str) -> DataFrame:
+    """(doc_id, resolution, n, n_fallback): what each document's rows would resolve to; unresolved rows take the fallback key.
+
+    resolved (item_id, rec_id, resolution) as ``linkage.resolve`` gives it; rows without candidates fall back too.
+    """
+    met = items.select("doc_id", "item_id").join(resolved, "item_id", "left")
+    state = F.coalesce("resolution", F.lit("fallback"))
+    key = F.when(state == "resolved", F.col("rec_id").cast("string")).otherwise(F.lit(fallback))
+    return met.groupBy("doc_id", state.alias("resolution")).agg(F.count("*").alias("n"), F.count_if(key == fallback).alias("n_fallback"))

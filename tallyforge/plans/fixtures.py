@@ -63,13 +63,13 @@ def coverages(spark, sf_dir):
 
 
 def field_candidates(spark, sf_dir):
-    """Values of a field seen by several sources: a user's events."""
-    raw = F.concat(F.when(F.col("event_id") % 2 == 0, " ").otherwise(""), F.when(F.col("event_id") % 3 == 0, F.upper("event_type")).otherwise(F.col("event_type")))
+    """Values of a field seen by several sources: a user's events; each eleventh has none, each thirteenth a blank."""
+    raw = F.when(F.col("event_id") % 11 == 0, None).when(F.col("event_id") % 13 == 0, "  ").otherwise(F.concat(F.when(F.col("event_id") % 2 == 0, " ").otherwise(""), F.when(F.col("event_id") % 3 == 0, F.upper("event_type")).otherwise(F.col("event_type"))))
     return read(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.lit("kind").alias("field"), raw.alias("raw"), F.col("event_type").alias("source"), F.col("event_id").alias("ord"))
 
 
 CANDIDATES = """
 cand AS (
-  SELECT user_id AS doc_id, 'kind' AS field, CASE WHEN event_id % 2 = 0 THEN ' ' ELSE '' END || CASE WHEN event_id % 3 = 0 THEN upper(event_type) ELSE event_type END AS raw, event_type AS source, event_id AS ord FROM events
+  SELECT user_id AS doc_id, 'kind' AS field, CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 13 = 0 THEN '  ' ELSE CASE WHEN event_id % 2 = 0 THEN ' ' ELSE '' END || CASE WHEN event_id % 3 = 0 THEN upper(event_type) ELSE event_type END END AS raw, event_type AS source, event_id AS ord FROM events
 )
 """

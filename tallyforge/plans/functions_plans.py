@@ -11,22 +11,22 @@ _KEY = "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedpr
 
 
 def _money(spark, sf_dir):
-    """lineitem with amounts as text, in eight styles."""
-    plain = F.format_number("l_extendedprice", 2)
-    k = F.pmod(F.col("l_partkey"), F.lit(8))
+    """lineitem with amounts as text, in twelve styles."""
+    plain, whole = F.format_number("l_extendedprice", 2), F.floor("l_extendedprice").cast("string")
+    k = F.pmod(F.col("l_partkey"), F.lit(12))
     raw = (
         F.when(k == 0, plain).when(k == 1, F.concat(F.lit("$"), plain)).when(k == 2, F.concat(F.lit("("), plain, F.lit(")")))
         .when(k == 3, F.concat(F.lit("<"), plain, F.lit(">"))).when(k == 4, F.lit("NA")).when(k == 5, F.concat(F.lit(" -"), plain, F.lit("* ")))
-        .when(k == 6, F.lit("(0.00)")).otherwise("12.x")
+        .when(k == 6, F.lit("(0.00)")).when(k == 7, F.lit("12.x")).when(k == 8, F.concat(F.lit("USD "), plain)).when(k == 9, whole).when(k == 10, F.lit("none")).otherwise("--")
     )
     return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", raw.alias("raw"))
 
 
 _MONEY = """
 WITH m AS (
-  SELECT l_orderkey, l_partkey, CASE l_partkey % 8 WHEN 0 THEN p WHEN 1 THEN '$' || p WHEN 2 THEN '(' || p || ')' WHEN 3 THEN '<' || p || '>'
-    WHEN 4 THEN 'NA' WHEN 5 THEN ' -' || p || '* ' WHEN 6 THEN '(0.00)' ELSE '12.x' END AS raw,
-    CASE WHEN l_partkey % 8 IN (0, 1, 2, 3, 5) THEN CAST(l_extendedprice AS DECIMAL(18,2)) WHEN l_partkey % 8 = 6 THEN 0.00 END AS amount
+  SELECT l_orderkey, l_partkey, l_partkey % 12 AS k, CASE l_partkey % 12 WHEN 0 THEN p WHEN 1 THEN '$' || p WHEN 2 THEN '(' || p || ')' WHEN 3 THEN '<' || p || '>'
+    WHEN 4 THEN 'NA' WHEN 5 THEN ' -' || p || '* ' WHEN 6 THEN '(0.00)' WHEN 7 THEN '12.x' WHEN 8 THEN 'USD ' || p WHEN 9 THEN floor(l_extendedprice)::BIGINT::VARCHAR WHEN 10 THEN 'none' ELSE '--' END AS raw,
+    CASE WHEN l_partkey % 12 IN (0, 1, 2, 3, 5, 8) THEN CAST(l_extendedprice AS DECIMAL(18,2)) WHEN l_partkey % 12 = 6 THEN 0.00 WHEN l_partkey % 12 = 7 THEN 12.00 WHEN l_partkey % 12 = 9 THEN floor(l_extendedprice)::DECIMAL(18,2) END AS amount
   FROM (SELECT *, format('{:,.2f}', l_extendedprice) AS p FROM lineitem)
 )
 """
@@ -51,8 +51,7 @@ def f3(spark, sf_dir):
 
 @query(
     "f4_depreciation_class",
-    _MONEY + """SELECT l_orderkey, l_partkey, amount::DOUBLE AS amount, CASE WHEN coalesce(amount, 0) = 0 THEN 'none' WHEN l_partkey % 8 = 2 THEN 'recoverable'
-    WHEN l_partkey % 8 = 3 THEN 'nonrecoverable' ELSE 'unknown' END AS kind FROM m""",
+    _MONEY + """SELECT l_orderkey, l_partkey, amount::DOUBLE AS amount, CASE WHEN k = 6 THEN 'none' WHEN k = 2 THEN 'recoverable' WHEN k = 3 THEN 'nonrecoverable' ELSE 'unknown' END AS kind FROM m""",
 )
 def f4(spark, sf_dir):
     c = T.depreciation_class(F.col("raw"))
@@ -61,34 +60,42 @@ def f4(spark, sf_dir):
 
 @query(
     "f5_is_money",
-    _MONEY + """SELECT l_partkey % 8 AS style, l_partkey % 8 IN (0, 1, 2, 3, 5, 6) AS money, CASE WHEN l_partkey % 8 IN (2, 6) THEN 'paren' WHEN l_partkey % 8 = 3 THEN 'angle' ELSE 'plain' END AS brackets,
-    count(*) AS n FROM m GROUP BY ALL""",
+    _MONEY + """SELECT k AS style, k IN (0, 1, 2, 3, 5, 6, 9) AS money, CASE WHEN k IN (2, 6) THEN 'paren' WHEN k = 3 THEN 'angle' ELSE 'plain' END AS brackets, count(*) AS n FROM m GROUP BY ALL""",
 )
 def f5(spark, sf_dir):
-    rows = _money(spark, sf_dir).select(F.pmod("l_partkey", F.lit(8)).alias("style"), T.is_money(F.col("raw")).alias("money"), T.bracket_style(F.col("raw")).alias("brackets"))
+    rows = _money(spark, sf_dir).select(F.pmod("l_partkey", F.lit(12)).alias("style"), T.is_money(F.col("raw")).alias("money"), T.bracket_style(F.col("raw")).alias("brackets"))
     return rows.groupBy("style", "money", "brackets").agg(F.count("*").alias("n"))
 
 
-@query("f6_parse_date", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 4 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS iso FROM orders")
+@query(
+    "f6_parse_date",
+    """SELECT o_orderkey, CASE o_orderkey % 8 WHEN 4 THEN NULL WHEN 5 THEN strftime(o_orderdate, '%Y-%m-%d') || 'T09:57:00' WHEN 6 THEN strftime(o_orderdate, '%Y-%m-%d') || 'T15:00:00' WHEN 7 THEN strftime(o_orderdate, '%Y-%m-%d') || 'T23:05:07' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS iso FROM orders""",
+)
 def f6(spark, sf_dir):
-    k, d = F.pmod("o_orderkey", F.lit(5)), F.col("o_orderdate")
-    raw = F.when(k == 0, F.date_format(d, "yyyy-MM-dd")).when(k == 1, F.date_format(d, "M/d/yyyy")).when(k == 2, F.date_format(d, "MMM d, yyyy")).when(k == 3, F.date_format(d, "M-d-yyyy")).otherwise("NA")
-    return read(spark, sf_dir, "orders").select("o_orderkey", F.date_format(T.parse_date(raw), "yyyy-MM-dd").alias("iso"))
+    k, d = F.pmod("o_orderkey", F.lit(8)), F.col("o_orderdate")
+    day = F.date_format(d, "M/d/yyyy")
+    raw = (
+        F.when(k == 0, F.date_format(d, "yyyy-MM-dd")).when(k == 1, day).when(k == 2, F.date_format(d, "MMM d, yyyy")).when(k == 3, F.date_format(d, "M-d-yyyy")).when(k == 4, "NA")
+        .when(k == 5, F.concat(day, F.lit("  9:57 AM"))).when(k == 6, F.concat(day, F.lit(" 3:00 pm"))).otherwise(F.concat(F.date_format(d, "yyyy-MM-dd"), F.lit("T23:05:07")))
+    )
+    return read(spark, sf_dir, "orders").select("o_orderkey", T.parse_date(raw).alias("iso"))
 
 
-@query("f7_norm_unit", "SELECT p_partkey, upper(['ea', 'SF', 'lf', 'box'][(p_size % 4 + 1)::INT]) AS unit, p_size % 4 < 3 AS known FROM part")
+@query("f7_norm_unit", "SELECT p_partkey, nullif(upper(['ea', 'SF', 'lf', 'box', 'gal', ''][(p_size % 6 + 1)::INT]), '') AS unit, p_size % 6 IN (0, 1, 2, 4) AS known FROM part")
 def f7(spark, sf_dir):
-    raw = F.element_at(F.array(F.lit(" ea"), F.lit("SF "), F.lit("lf"), F.lit("box")), (F.pmod("p_size", F.lit(4)) + 1).cast("int"))
+    raw = F.element_at(F.array(*map(F.lit, (" ea", "SF ", "lf", "box", "gal", "  "))), (F.pmod("p_size", F.lit(6)) + 1).cast("int"))
     return read(spark, sf_dir, "part").select("p_partkey", T.norm_unit(raw)["unit"].alias("unit"), T.norm_unit(raw)["known"].alias("known"))
 
 
 @query(
     "f8_norm_description",
-    r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(replace(translate(text, '‘’“”–— ', '''''""-- '), '…', '...')), '\.{2,}', '.', 'g'), '-{2,}', '-', 'g'), '[ \t\n\r\f\x0b]+', ' ', 'g')) AS normalized
-    FROM documents WHERE lang = 'en'""",
+    r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(replace(translate(text, '‘’“”–—' || chr(160), '''''""-- '), '…', '...')), '\.{2,}', '.', 'g'), '-{2,}', '-', 'g'), '[ 	
+
+]+', ' ', 'g')) AS normalized
+    FROM documents""",
 )
 def f8(spark, sf_dir):
-    return read(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", T.norm_description(F.col("text")).alias("normalized"))
+    return read(spark, sf_dir, "documents").select("doc_id", T.norm_description(F.col("text")).alias("normalized"))
 
 
 @query(
@@ -114,10 +121,10 @@ def f10(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", c["action"].alias("action"), c["rest"].alias("rest"))
 
 
-@query("f11_tokens", "SELECT doc_id, len(t)::INT AS n_tokens, list_sort(t)[1] AS first_token, md5(array_to_string(list_sort(t), ' ')) AS digest FROM (SELECT doc_id, list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+')) AS t FROM documents WHERE lang = 'en')")
+@query("f11_tokens", "SELECT doc_id, len(t)::INT AS n_tokens, list_sort(t)[1] AS first_token, md5(array_to_string(list_sort(t), ' ')) AS digest FROM (SELECT doc_id, list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+')) AS t FROM documents)")
 def f11(spark, sf_dir):
     t = F.array_sort(T.tokens(F.col("text")))
-    return read(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.size(t).alias("n_tokens"), F.try_element_at(t, F.lit(1)).alias("first_token"), F.md5(F.array_join(t, " ")).alias("digest"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.size(t).alias("n_tokens"), F.try_element_at(t, F.lit(1)).alias("first_token"), F.md5(F.array_join(t, " ")).alias("digest"))
 
 
 @query(
@@ -164,13 +171,14 @@ def f16(spark, sf_dir):
 
 @query(
     "f17_material_similarity",
-    """SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 0.3 WHEN contains(p_name, a) OR contains(a, p_name) THEN 1.0 WHEN s >= 0.6 THEN s ELSE 0.0 END::DOUBLE AS similarity
-    FROM (SELECT *, 1 - levenshtein(p_name, a)::DOUBLE / greatest(length(p_name), length(a)) AS s FROM (SELECT *, CASE WHEN p_size % 3 = 0 THEN substr(p_name, 1, 4) ELSE reverse(substr(p_name, 1, 3)) || substr(p_name, 4) END AS a FROM part))""",
+    """SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 0.3 WHEN contains(p_name, a) OR contains(a, p_name) OR contains(p_name, b) OR contains(b, p_name) THEN 1.0 WHEN greatest(s, t) >= 0.55 THEN greatest(s, t) ELSE 0.0 END::DOUBLE AS similarity
+    FROM (SELECT *, 1 - levenshtein(p_name, a)::DOUBLE / greatest(length(p_name), length(a)) AS s, 1 - levenshtein(p_name, b)::DOUBLE / greatest(length(p_name), length(b)) AS t
+    FROM (SELECT *, CASE WHEN p_size % 3 = 0 THEN substr(p_name, 1, 4) ELSE reverse(substr(p_name, 1, 3)) || substr(p_name, 4) END AS a, lower(p_type) AS b FROM part))""",
 )
 def f17(spark, sf_dir):
     other = F.when(F.col("p_size") % 3 == 0, F.substring("p_name", 1, 4)).otherwise(F.concat(F.reverse(F.substring("p_name", 1, 3)), F.expr("substring(p_name, 4)")))
-    other = F.when(F.col("p_size") % 4 != 0, other)
-    return read(spark, sf_dir, "part").select("p_partkey", T.material_similarity(F.col("p_name"), other).alias("similarity"))
+    terms = F.when(F.col("p_size") % 4 != 0, F.array(other, F.lower("p_type")))
+    return read(spark, sf_dir, "part").select("p_partkey", T.material_similarity(F.upper("p_name"), terms).alias("similarity"))
 
 
 @query(
@@ -184,18 +192,56 @@ def f18(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", T.near_duplicate(a, b).alias("near"), T.truncation_of(cut, F.col("p_name")).alias("truncated"))
 
 
-@query("f19_word_match", "SELECT p_partkey, p_size % 4 < 3 AS matches FROM (SELECT p_partkey, p_size, split_part(p_name, ' ', 2) AS w FROM part)")
+@query(
+    "f19_word_match",
+    """SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN length(w) >= 4 WHEN 3 THEN false WHEN 4 THEN length(w) - 1 >= 4 ELSE split_part(p_name, ' ', 1) = w END AS matches FROM (SELECT p_partkey, p_size, p_name, split_part(p_name, ' ', 2) AS w FROM part)""",
+)
 def f19(spark, sf_dir):
-    w, k = F.split("p_name", " ")[1], F.col("p_size") % 4
-    other = F.when(k == 0, w).when(k == 1, F.concat(w, F.lit("s"))).when(k == 2, F.concat(w, F.lit("s"))).otherwise("zz")
+    w, k = F.split("p_name", " ")[1], F.col("p_size") % 6
+    other = F.when(k == 0, w).when(k == 1, F.concat(w, F.lit("s"))).when(k == 2, F.concat(w, F.lit("ing"))).when(k == 3, "zz").when(k == 4, F.substr(w, F.lit(1), F.length(w) - 1)).otherwise(F.split("p_name", " ")[0])
     return read(spark, sf_dir, "part").select("p_partkey", T.word_match(w, other).alias("matches"))
 
 
-@query("f20_splitters", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_size END AS age, CASE WHEN p_size % 2 = 0 THEN p_size + 10 END AS life, CASE WHEN p_size % 3 > 0 THEN p_retailprice END AS value, CASE WHEN p_size % 3 > 0 THEN 'SF' END AS unit FROM part")
+@query(
+    "f20_splitters",
+    """SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_size END AS age, CASE WHEN p_size % 2 = 0 THEN p_size + 10 END AS life, CASE WHEN p_size % 3 > 0 THEN p_retailprice END AS value, CASE WHEN p_size % 3 > 0 THEN 'SF' END AS unit,
+    CASE p_size % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'AB' END AS code, p_name AS name, CASE WHEN p_size % 3 = 0 THEN p_type || ' - x' END AS sub, 'BRAND' AS title, CASE WHEN p_size % 5 > 0 THEN p_size ELSE 0 END AS sequence FROM part""",
+)
 def f20(spark, sf_dir):
-    a = T.age_life(F.when(F.col("p_size") % 2 == 0, F.concat(F.col("p_size"), F.lit("/"), F.col("p_size") + 10, F.lit(" yrs"))).otherwise("n/a"))
-    m = T.measurement(F.when(F.col("p_size") % 3 > 0, F.concat(F.format_number("p_retailprice", 2), F.lit(" SF Walls"))).otherwise("Walls"))
-    return read(spark, sf_dir, "part").select("p_partkey", a["age"].alias("age"), a["life"].alias("life"), m["value"].cast("double").alias("value"), m["unit"].alias("unit"))
+    n = F.col("p_size")
+    a = T.age_life(F.when(n % 2 == 0, F.concat(n, F.lit("/"), n + 10, F.lit(" yrs"))).otherwise("n/a"))
+    m = T.measurement(F.when(n % 3 > 0, F.concat(F.format_number("p_retailprice", 2), F.lit(" SF Walls"))).otherwise("Walls"))
+    c = T.coverage_name(F.when(n % 3 == 0, F.concat(F.lit("Coverage A - "), F.col("p_name"), F.lit(" - "), F.col("p_type"), F.lit(" - x"))).when(n % 3 == 1, F.concat(F.lit("AB-"), F.col("p_name"))).otherwise(F.col("p_name")))
+    file = F.when(n % 5 > 0, F.concat(F.lit("A_B_"), n.cast("string"), F.lit("_x.png"))).otherwise("A_B_x.png")
+    return read(spark, sf_dir, "part").select(
+        "p_partkey", a["age"].alias("age"), a["life"].alias("life"), m["value"].cast("double").alias("value"), m["unit"].alias("unit"), c["code"].alias("code"), c["name"].alias("name"), c["sub"].alias("sub"),
+        T.title_category(F.concat(F.lit("The Selectors for "), F.substring("p_brand", 1, 5), F.lit(" now"))).alias("title"), T.sequence_no(F.lit("A_B"), file).alias("sequence"),
+    )
+
+
+_STYLES = {
+    "fillers": ["for the "], "leading": [("small", "compact")], "modifiers": [("hot", "heated"), ("cold", "cooled")], "components": [("ring", "o-ring"), ("bolt", "bolt"), ("gear", "gear wheel")],
+    "materials": [("red", "red 3-tab")], "grades": [("economy", "economy grade"), ("standard", "standard grade")], "actions": {"remove": "removal", "install": "install wheel"},
+}
+
+
+@query(
+    "f15_search_phrase",
+    """WITH t AS (SELECT p_partkey, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b, lower(p_type) AS g, p_size AS n FROM part),
+    u AS (SELECT p_partkey, n, CASE WHEN a = 'small' OR g = 'small' THEN 'compact' END AS l, CASE WHEN a = 'hot' THEN 'heated' WHEN a = 'cold' THEN 'cooled' END AS m, CASE b WHEN 'ring' THEN 'o ring' WHEN 'bolt' THEN 'bolt' WHEN 'gear' THEN 'gear wheel' ELSE CASE WHEN n % 2 = 0 THEN 'steel plate' END END AS c,
+      CASE WHEN a = 'red' THEN 'red 3 tab' END AS x, CASE WHEN n % 3 = 0 THEN n || '-' || (n + 2) END AS s, CASE WHEN g IN ('economy', 'standard') THEN g || ' grade' END AS q,
+      CASE n % 4 WHEN 0 THEN 'removal' WHEN 1 THEN CASE WHEN b = 'gear' THEN 'install' ELSE 'install wheel' END END AS v, a, b, g FROM t),
+    w AS (SELECT *, list_filter([l, m, c, x, s, q, v], lambda z: z IS NOT NULL)[1:6] AS terms FROM u)
+    SELECT p_partkey, CASE WHEN len(terms) > 0 THEN array_to_string(terms, ' ') ELSE array_to_string(list_distinct_ordered, ' ') END AS phrase, concat_ws(',', CASE WHEN l IS NULL THEN 'leading' END, CASE WHEN m IS NULL THEN 'modifier' END, CASE WHEN c IS NULL THEN 'component' END, CASE WHEN x IS NULL THEN 'material' END, CASE WHEN s IS NULL THEN 'size' END, CASE WHEN q IS NULL THEN 'grade' END, CASE WHEN v IS NULL THEN 'action' END) AS dropped
+    FROM (SELECT *, CASE WHEN a = g THEN [a, b] ELSE [a, b, g] END AS list_distinct_ordered FROM w)""",
+)
+def f15(spark, sf_dir):
+    n = F.col("p_size")
+    text = F.concat(F.col("p_name"), F.lit(" for the "), F.col("p_type"), F.when(n % 3 == 0, F.concat(F.lit(" "), n.cast("string"), F.lit(" to "), (n + 2).cast("string"))).otherwise(""))
+    component = F.when(n % 2 == 0, "steel_plate").otherwise("unknown")
+    action = F.when(n % 4 == 0, "remove").when(n % 4 == 1, "install").when(n % 4 == 2, "paint")
+    p = T.search_phrase(text, component, F.lit(None).cast("string"), action, **_STYLES)
+    return read(spark, sf_dir, "part").select("p_partkey", p["phrase"].alias("phrase"), F.array_join(p["dropped"], ",").alias("dropped"))
 
 
 @query("f21_row_confidence", "SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 0.3 WHEN p_size % 3 = 0 THEN 0.4 WHEN p_size % 2 = 0 THEN 0.6 ELSE 0.9 END::DOUBLE AS confidence FROM part")
@@ -212,7 +258,7 @@ def f23(spark, sf_dir):
 
 @query(
     "p14_redact",
-    r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[EMAIL]', 'g'), '\(?[0-9]{3}\)?[-. ]?[0-9]{3}[-. ][0-9]{4}', '[PHONE]', 'g'), '\b[0-9]{5}(?:-[0-9]{4})?\b', '[ZIP]', 'g') AS redacted FROM documents""",
+    r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+', '[REDACTED_EMAIL]', 'g'), '\(?[0-9]{3}\)?[-. \t\n\r\f]?[0-9]{3}[-. \t\n\r\f]?[0-9]{4}', '[REDACTED_PHONE]', 'g'), '\b[0-9]{5}(?:-[0-9]{4})?\b', '[REDACTED_ZIP]', 'g') AS redacted FROM documents""",
 )
 def p14(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.redact(F.col("text")).alias("redacted"))

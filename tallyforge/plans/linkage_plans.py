@@ -16,33 +16,38 @@ def _pick(values, n):
 
 
 def items(spark, sf_dir):
-    """Parts as items; each seventh has no unit, each 29th an unknown trade."""
+    """Parts as items; each seventh has no unit, each 29th an unknown trade, each eleventh no material, each third no attributes."""
     words = F.split("p_name", " ")
-    return read(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("item_id"), F.col("p_name").alias("description"), F.when(F.col("p_partkey") % 29 == 0, "unknown").otherwise(F.lower("p_type")).alias("trade"), words[1].alias("component"), words[0].alias("material"),
-        _pick(_ACTIONS, F.col("p_size")).alias("action"), F.when(F.col("p_partkey") % 7 != 0, _pick(_UNITS, F.col("p_size"))).alias("unit"), F.col("p_brand").alias("category"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("price"),
+    k = F.col("p_partkey")
+    rows = read(spark, sf_dir, "part").select(
+        k.alias("item_id"), F.col("p_name").alias("description"), F.when(k % 29 == 0, "unknown").otherwise(F.lower("p_type")).alias("trade"), words[1].alias("component"), F.when(k % 11 > 0, words[0]).alias("material"),
+        _pick(_ACTIONS, F.col("p_size")).alias("action"), F.when(k % 7 != 0, _pick(_UNITS, F.col("p_size"))).alias("unit"), F.col("p_brand").alias("category"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("price"),
+        F.when(k % 3 > 0, F.create_map(F.lit("grade"), F.lower("p_type"))).alias("attributes"),
     )
+    return rows.withColumn("tokens", T.tokens(F.concat_ws(" ", "description", "trade")))
 
 
 def catalog(spark, sf_dir):
-    """An entry for each type and noun: its smallest material, two actions, one or two units; each third without selector."""
+    """An entry for each type and noun: its smallest material as its term, two or three actions, one or two units; each third without selector, each fourth for one grade."""
     words = F.split("p_name", " ")
     rows = read(spark, sf_dir, "part").groupBy(F.lower("p_type").alias("trade"), words[1].alias("component")).agg(F.min("p_partkey").alias("mapping_id"), F.min(words[0]).alias("material"), F.min("p_size").alias("s"))
     return rows.select(
-        "mapping_id", "trade", "component", "material", F.when(F.col("s") % 2 == 0, F.array(F.lit("remove"), F.lit("install"))).otherwise(F.array().cast("array<string>")).alias("actions"),
+        "mapping_id", "trade", "component", F.array("material").alias("terms"), F.when(F.col("s") % 2 == 0, F.array(F.lit("remove"), F.lit("install"))).otherwise(F.array(*map(F.lit, ("remove", "install", "replace")))).alias("actions"),
         F.when(F.col("mapping_id") % 2 == 0, F.array(F.lit("EA"))).otherwise(F.array(F.lit("SF"), F.lit("LF"))).alias("units"), F.when(F.col("mapping_id") % 3 > 0, F.concat(F.lit("S"), F.col("mapping_id").cast("string"))).alias("selector"),
+        F.when(F.col("mapping_id") % 4 == 0, F.create_map(F.lit("grade"), F.lit("economy"))).alias("required"),
     )
 
 
 _ITEMS = """
-it AS (SELECT p_partkey AS item_id, p_name AS description, CASE WHEN p_partkey % 29 = 0 THEN 'unknown' ELSE lower(p_type) END AS trade, split_part(p_name, ' ', 2) AS component, split_part(p_name, ' ', 1) AS material,
-  ['remove', 'install', 'replace', 'unknown'][p_size % 4 + 1] AS action, CASE WHEN p_partkey % 7 <> 0 THEN ['EA', 'SF', 'LF'][p_size % 3 + 1] END AS unit, p_brand AS category, p_size AS size FROM part),
+it AS (SELECT p_partkey AS item_id, p_name AS description, CASE WHEN p_partkey % 29 = 0 THEN 'unknown' ELSE lower(p_type) END AS trade, split_part(p_name, ' ', 2) AS component, CASE WHEN p_partkey % 11 > 0 THEN split_part(p_name, ' ', 1) END AS material,
+  ['remove', 'install', 'replace', 'unknown'][p_size % 4 + 1] AS action, CASE WHEN p_partkey % 7 <> 0 THEN ['EA', 'SF', 'LF'][p_size % 3 + 1] END AS unit, p_brand AS category, p_size AS size, CASE WHEN p_partkey % 3 > 0 THEN lower(p_type) END AS grade FROM part),
 cat0 AS (SELECT lower(p_type) AS e_trade, split_part(p_name, ' ', 2) AS e_component, min(p_partkey) AS mapping_id, min(split_part(p_name, ' ', 1)) AS e_material, min(p_size) AS s FROM part GROUP BY ALL),
 cat AS (SELECT *, s % 2 = 0 AS strict, mapping_id % 2 = 0 AS even, mapping_id % 3 > 0 AS has_selector FROM cat0)
 """
-_SCORED = """, sc0 AS (SELECT it.*, cat.*, component = e_component AS c1, trade = e_trade AS c2, (NOT strict OR action IN ('remove', 'install')) AS c3, (unit IS NULL OR (even AND unit = 'EA') OR (NOT even AND unit IN ('SF', 'LF'))) AS c4
+_SCORED = """, sc0 AS (SELECT it.*, cat.*, component = e_component AS c1, trade = e_trade AS c2, action IN ('remove', 'install') OR (NOT strict AND action = 'replace') AS c3, (unit IS NULL OR (even AND unit = 'EA') OR (NOT even AND unit IN ('SF', 'LF'))) AS c4, NOT (mapping_id % 4 = 0 AND coalesce(grade, 'economy') <> 'economy') AS c5,
+  CASE WHEN material IS NULL THEN 0.3 WHEN contains(material, e_material) OR contains(e_material, material) THEN 1.0 ELSE 1 - levenshtein(material, e_material)::DOUBLE / greatest(length(material), length(e_material)) END::DOUBLE AS ms
   FROM it JOIN cat ON component = e_component OR trade = e_trade),
-sc AS (SELECT *, least(25 + 350 * c1::INT + 200 * c2::INT + 150 * c3::INT + 150 * c4::INT + CASE WHEN material = e_material THEN 100 ELSE 0 END, CASE WHEN c2 THEN 1000 ELSE 400 END, CASE WHEN c1 AND c3 AND c4 THEN 1000 ELSE 500 END)::INT AS score FROM sc0)
+sc AS (SELECT *, least(25 + 350 * c1::INT + 200 * c2::INT + 150 * c3::INT + 150 * c4::INT + floor(CASE WHEN material IS NULL OR ms >= 0.55 THEN ms ELSE 0 END * 100)::INT, CASE WHEN c2 THEN 1000 ELSE 400 END, CASE WHEN c1 AND c3 AND c4 AND c5 THEN 1000 ELSE 500 END)::INT AS score FROM sc0)
 """
 _DECIDED = _SCORED + """, rk AS (SELECT *, row_number() OVER w AS rank, lead(score) OVER w AS second FROM sc WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, mapping_id)),
 lst AS (SELECT item_id, list(mapping_id ORDER BY rank) FILTER (rank <= 3 AND score >= 1) AS top3, coalesce(list(mapping_id ORDER BY rank) FILTER (rank BETWEEN 2 AND 4 AND score >= 600), []::BIGINT[]) AS alt FROM rk GROUP BY item_id),
@@ -97,7 +102,7 @@ def f22(spark, sf_dir):
     return out.select("p_partkey", "action", "component", "confidence", "needs_review")
 
 
-@query("r1_score_mapping", _W + _SCORED + "SELECT item_id, mapping_id, score, list_filter([CASE WHEN NOT c1 THEN 'component conflict' END, CASE WHEN NOT c2 THEN 'trade conflict' END, CASE WHEN NOT c3 THEN 'action conflict' END, CASE WHEN NOT c4 THEN 'unit conflict' END], lambda x: x IS NOT NULL) AS reasons FROM sc")
+@query("r1_score_mapping", _W + _SCORED + "SELECT item_id, mapping_id, score, list_filter([CASE WHEN NOT c1 THEN 'component conflict' END, CASE WHEN NOT c2 THEN 'trade conflict' END, CASE WHEN NOT c3 THEN 'action conflict' END, CASE WHEN NOT c4 THEN 'unit conflict' END, CASE WHEN NOT c5 THEN 'attribute conflict' END], lambda x: x IS NOT NULL) AS reasons FROM sc")
 def r1(spark, sf_dir):
     return _scored(spark, sf_dir).select("item_id", "mapping_id", "score", "reasons")
 
@@ -141,10 +146,13 @@ def a9(spark, sf_dir):
 
 
 def _records(spark, sf_dir):
-    return read(spark, sf_dir, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("rec_id"), F.concat_ws(" ", "p_name", F.lower("p_type")).alias("b"), F.col("p_brand").alias("category"))
+    """A catalog: each distinct name, type and brand of part is a record."""
+    rows = read(spark, sf_dir, "part").groupBy("p_name", "p_type", "p_brand").agg(F.min("p_partkey").alias("rec_id"))
+    rows = rows.select("rec_id", F.concat_ws(" ", "p_name", F.lower("p_type")).alias("text"), F.col("p_brand").alias("category"))
+    return rows.withColumn("tokens", T.tokens(F.col("text")))
 
 
-_REC = "rec AS (SELECT p_partkey AS rec_id, p_name || ' ' || lower(p_type) AS b, p_brand AS category FROM part WHERE p_partkey % 3 = 0)"
+_REC = "rec AS (SELECT min(p_partkey) AS rec_id, p_name || ' ' || lower(p_type) AS b, p_brand AS category FROM part GROUP BY p_name, p_type, p_brand)"
 
 
 def _hints(spark):
@@ -152,106 +160,148 @@ def _hints(spark):
     return spark.createDataFrame(rows, "kind string, value string, category string, ord int")
 
 
+def _pools(spark, sf_dir):
+    return L.candidates_by_hint(items(spark, sf_dir), _hints(spark))
+
+
+_POOLS = _W + ", " + _REC + """, h(kind, value, category) AS (VALUES ('trade', 'small', 'Brand#1'), ('trade', 'small', 'Brand#2'), ('trade', 'economy', 'Brand#3'), ('component', 'ring', 'Brand#4'), ('component', 'bolt', 'Brand#5'), ('component', 'gear', 'Brand#5')),
+a AS (SELECT item_id, h.category, h.kind FROM it JOIN h ON (h.kind = 'trade' AND h.value = it.trade) OR (h.kind = 'component' AND h.value = it.component)),
+f AS (SELECT item_id, category FROM a WHERE kind = 'trade' OR item_id NOT IN (SELECT item_id FROM a WHERE kind = 'trade')),
+pools AS (SELECT item_id, category FROM f UNION ALL SELECT item_id, NULL FROM it WHERE item_id NOT IN (SELECT item_id FROM f))
+"""
+
+
 @query(
     "j5_candidates_by_hint",
-    _W + ", " + _REC + """, h(kind, value, category) AS (VALUES ('trade', 'small', 'Brand#1'), ('trade', 'small', 'Brand#2'), ('trade', 'economy', 'Brand#3'), ('component', 'ring', 'Brand#4'), ('component', 'bolt', 'Brand#5'), ('component', 'gear', 'Brand#5')),
-    a AS (SELECT item_id, h.category, h.kind FROM it JOIN h ON (h.kind = 'trade' AND h.value = it.trade) OR (h.kind = 'component' AND h.value = it.component)),
-    f AS (SELECT item_id, category FROM a WHERE kind = 'trade' OR item_id NOT IN (SELECT item_id FROM a WHERE kind = 'trade')),
-    p AS (SELECT item_id, rec_id, true AS hinted FROM f JOIN rec USING (category) UNION ALL SELECT item_id, rec_id, false FROM it, rec WHERE item_id NOT IN (SELECT item_id FROM f))
-    SELECT item_id, count(*) AS n, min(rec_id) AS first, bool_and(hinted) AS hinted FROM p GROUP BY item_id""",
+    _POOLS + """, s AS (SELECT category, count(*) AS n, min(rec_id) AS first FROM rec GROUP BY category UNION ALL SELECT NULL, count(*), min(rec_id) FROM rec)
+    SELECT item_id, sum(n)::BIGINT AS n, min(first) AS first, bool_and(p.category IS NOT NULL) AS hinted FROM pools p JOIN s ON p.category IS NOT DISTINCT FROM s.category GROUP BY item_id""",
 )
 def j5(spark, sf_dir):
-    pairs = L.candidates_by_hint(items(spark, sf_dir), _hints(spark), _records(spark, sf_dir), "rec_id")
-    return pairs.groupBy("item_id").agg(F.count("*").alias("n"), F.min("rec_id").alias("first"), F.min("hinted").alias("hinted"))
+    """The size and first record of each item's pools."""
+    sizes = _records(spark, sf_dir).groupingSets([[F.col("category")], []], "category").agg(F.count("*").alias("n"), F.min("rec_id").alias("first"))
+    pools = _pools(spark, sf_dir)
+    met = pools.join(sizes.withColumnRenamed("category", "of"), F.col("category").eqNullSafe(F.col("of")))
+    return met.groupBy("item_id").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.min("hinted").alias("hinted"))
 
 
-@query(
-    "t2_prefilter_by_overlap",
-    _W + ", " + _REC + """, t AS (SELECT item_id, rec_id, len(list_intersect(list_distinct(string_split(description || ' ' || trade, ' ')), list_distinct(string_split(b, ' '))))::INT AS shared FROM it JOIN rec USING (category)),
-    r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, rec_id)::INT AS rank, count(*) OVER (PARTITION BY item_id) AS n FROM t) SELECT item_id, rec_id, shared, rank FROM r WHERE n <= 5 OR rank <= 5""",
-)
+_BEST = _POOLS + """, tx AS (SELECT DISTINCT p.category, description, trade FROM pools p JOIN it USING (item_id)),
+t AS (SELECT tx.category, description, trade, rec_id, len(list_intersect(list_distinct(string_split(description || ' ' || trade, ' ')), list_distinct(string_split(b, ' ')))) AS shared FROM tx JOIN rec ON tx.category IS NULL OR tx.category = rec.category),
+r AS (SELECT *, row_number() OVER (PARTITION BY category, description, trade ORDER BY shared DESC, rec_id)::INT AS rank FROM t QUALIFY rank <= 5),
+best AS (SELECT p.item_id, rec_id, shared::BIGINT AS shared, rank FROM pools p JOIN it USING (item_id) JOIN r ON r.description = it.description AND r.trade = it.trade AND r.category IS NOT DISTINCT FROM p.category)
+"""
+
+
+@query("t2_prefilter_by_overlap", _BEST + "SELECT item_id, rec_id, shared, rank FROM best")
 def t2(spark, sf_dir):
-    rows = items(spark, sf_dir).withColumn("tokens", T.tokens(F.concat_ws(" ", "description", "trade")))
-    pool = rows.select("item_id", "category").join(_records(spark, sf_dir).withColumn("tokens", T.tokens(F.col("b"))), "category").drop("category")
-    return L.prefilter_by_overlap(rows, pool, "rec_id", 5)
+    pools = _pools(spark, sf_dir).join(items(spark, sf_dir).select("item_id", "tokens"), "item_id")
+    return L.prefilter_by_overlap(pools, _records(spark, sf_dir), "rec_id", 5)
 
 
-_TOK = """, bt AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM benchmark WHERE regexp_matches(text, '^[ -~\\n]*$')),
-dt AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents WHERE lang = 'en' AND doc_id % 5 = 0)"""
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TOK = ", bt AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(" + _LOWER + ", '[a-z0-9]+')) AS token FROM benchmark), dt AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(" + _LOWER + ", '[a-z0-9]+')) AS token FROM documents)"
 
 
 def _tokenized(spark, sf_dir):
-    b = read(spark, sf_dir, "benchmark").where(F.col("text").rlike("^[ -~\\n]*$")).select("item_id", T.tokens(F.col("text")).alias("tokens"))
-    d = read(spark, sf_dir, "documents").where("lang = 'en' and doc_id % 5 = 0").select("doc_id", T.tokens(F.col("text")).alias("tokens"))
-    return b, d
+    return (read(spark, sf_dir, n).select(k, T.tokens(F.col("text")).alias("tokens")) for n, k in (("benchmark", "item_id"), ("documents", "doc_id")))
 
 
-@query("j6_candidates_by_token", "WITH x AS (SELECT 1)" + _TOK + "SELECT item_id, doc_id, count(*) AS shared FROM bt JOIN dt USING (token) GROUP BY ALL")
+@query("j6_candidates_by_token", "WITH x AS (SELECT 1)" + _TOK + ", s AS (SELECT item_id, doc_id, count(*) AS shared FROM bt JOIN dt USING (token) GROUP BY ALL) SELECT * FROM s UNION ALL SELECT item_id, NULL, 0 FROM benchmark WHERE item_id NOT IN (SELECT item_id FROM s)")
 def j6(spark, sf_dir):
     return L.candidates_by_token(*_tokenized(spark, sf_dir), "item_id", "doc_id")
 
 
-@query("a19_idf", "WITH x AS (SELECT 1)" + _TOK + ", n AS (SELECT count(DISTINCT doc_id) AS n FROM documents WHERE lang = 'en' AND doc_id % 5 = 0 AND regexp_matches(lower(text), '[a-z0-9]')) SELECT token, count(*) AS df, round(ln((n + 1) / (count(*) + 1)) + 1, 6) AS idf FROM dt, n GROUP BY token, n")
+@query("a19_idf", "WITH x AS (SELECT 1)" + _TOK + ", n AS (SELECT count(DISTINCT doc_id) AS n FROM dt) SELECT token, count(*) AS df, round(ln((n + 1) / (count(*) + 1)) + 1, 6) AS idf FROM dt, n GROUP BY token, n")
 def a19(spark, sf_dir):
-    return L.idf(_tokenized(spark, sf_dir)[1].where(F.size("tokens") > 0), "doc_id").withColumn("idf", F.round("idf", 6))
+    _, docs = _tokenized(spark, sf_dir)
+    return L.idf(docs.where(F.size("tokens") > 0), "doc_id").withColumn("idf", F.round("idf", 6))
 
 
-_LEX = ", " + _REC + """, pr AS (SELECT item_id, rec_id, description || ' ' || trade AS a, b FROM it JOIN rec USING (category)),
-tk AS (SELECT rec_id, unnest(list_distinct(string_split(b, ' '))) AS token FROM rec), nn AS (SELECT count(*) AS n FROM rec),
+_LOW = ("small", "large")
+_LEX = ", " + _REC + """, tk AS (SELECT rec_id, unnest(list_distinct(string_split(b, ' '))) AS token FROM rec), nn AS (SELECT count(*) AS n FROM rec),
 w AS (SELECT token, ln((n + 1) / (count(*) + 1)) + 1 AS idf FROM tk, nn GROUP BY token, n),
-x AS (SELECT *, list_sort(list_distinct(string_split(a, ' '))) AS ta, list_sort(list_distinct(string_split(b, ' '))) AS tb FROM pr),
-e AS (SELECT item_id, rec_id, ta, tb, unnest(list_distinct(list_concat(ta, tb))) AS token FROM x),
-s AS (SELECT item_id, rec_id, sum(coalesce(idf, 1)) AS u, sum(CASE WHEN list_contains(ta, token) AND list_contains(tb, token) THEN coalesce(idf, 1) ELSE 0 END) AS c, sum(CASE WHEN list_contains(ta, token) THEN coalesce(idf, 1) ELSE 0 END) AS o FROM e LEFT JOIN w USING (token) GROUP BY ALL),
-lx AS (SELECT item_id, rec_id, CASE WHEN a = b THEN 1.0 ELSE 0.34 * c / u + 0.25 * c / o + 0.21 * (1 - levenshtein(a, b) / greatest(length(a), length(b))) + 0.12 * (1 - levenshtein(array_to_string(ta, ' '), array_to_string(tb, ' ')) / greatest(length(array_to_string(ta, ' ')), length(array_to_string(tb, ' '))))
- + 0.08 * CASE WHEN contains(a, b) OR contains(b, a) THEN least(length(a), length(b)) / greatest(length(a), length(b)) ELSE 0 END END AS score FROM x JOIN s USING (item_id, rec_id))
+qa AS (SELECT DISTINCT description || ' ' || trade AS a FROM it), qb AS (SELECT DISTINCT b FROM rec),
+x AS (SELECT *, list_sort(list_distinct(string_split(a, ' '))) AS ta, list_sort(list_distinct(string_split(b, ' '))) AS tb FROM qa, qb),
+e AS (SELECT a, b, ta, tb, unnest(list_distinct(list_concat(ta, tb))) AS token FROM x),
+s AS (SELECT a, b, sum(coalesce(idf, 1)) AS u, sum(CASE WHEN list_contains(ta, token) AND list_contains(tb, token) THEN coalesce(idf, 1) ELSE 0 END) AS c, count(*) FILTER (list_contains(ta, token) AND token NOT IN ('small', 'large')) AS na, count(*) FILTER (list_contains(ta, token) AND list_contains(tb, token) AND token NOT IN ('small', 'large')) AS has,
+  count(*) FILTER (list_contains(ta, token) AND list_contains(tb, token)) AS k FROM e LEFT JOIN w USING (token) GROUP BY ALL),
+lx AS (SELECT a, b, round(CASE WHEN a = b THEN 1.0 ELSE 0.34 * c / u + 0.25 * CASE WHEN na > 0 THEN has / na ELSE c / u END + 0.21 * (1 - levenshtein(a, b) / greatest(length(a), length(b))) + 0.12 * (1 - levenshtein(array_to_string(ta, ' '), array_to_string(tb, ' ')) / greatest(length(array_to_string(ta, ' ')), length(array_to_string(tb, ' '))))
+ + 0.08 * CASE WHEN contains(a, b) OR contains(b, a) THEN least(length(a), length(b)) / greatest(length(a), length(b)) ELSE 0 END END, 6)::DOUBLE AS lexical FROM x JOIN s USING (a, b) WHERE k > 0 QUALIFY row_number() OVER (PARTITION BY a ORDER BY lexical DESC, b) <= 3),
+cx AS (SELECT item_id, rec_id, round(greatest(0, lexical + CASE WHEN lexical >= 0.85 THEN 0.08 ELSE 0.02 END * CASE WHEN it.category = rec.category THEN 1.0 ELSE -0.2 END + 0.55 * CASE WHEN action = 'install' THEN CASE WHEN b LIKE '%new%' THEN 1.0 ELSE -0.15 END ELSE 0 END
+ + 0.015 * CASE WHEN unit = 'EA' AND b LIKE '%ring%' THEN 0.5 ELSE 0 END), 6)::DOUBLE AS score FROM it JOIN lx ON a = description || ' ' || trade JOIN rec USING (b)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, rec_id)::INT AS rank FROM cx)
 """
 
 
 def _lexical(spark, sf_dir):
+    """The ten best records of each item: those of the three most similar texts, ranked with the item's category, action and unit."""
+    rows = items(spark, sf_dir).withColumn("text", F.concat_ws(" ", "description", "trade"))
     records = _records(spark, sf_dir)
-    pairs = items(spark, sf_dir).select("item_id", "category", F.concat_ws(" ", "description", "trade").alias("a")).join(records, "category").drop("category")
-    return L.score_lexical(pairs, L.idf(records.withColumn("tokens", T.tokens(F.col("b"))), "rec_id"), "item_id", "rec_id").withColumn("score", F.round("score", 6))
+    texts = L.score_lexical(rows.select("text"), records.select("rec_id", "text"), "rec_id", low_information=_LOW, k=3)
+    met = rows.select("item_id", "category", "action", "unit", F.col("text").alias("a")).join(texts, "a").join(records.select("rec_id", F.col("text").alias("b"), F.col("category").alias("e_category")), "b")
+    trade = F.when(F.col("category") == F.col("e_category"), 1.0).otherwise(-0.2)
+    action = F.when(F.col("action") == "install", F.when(F.col("b").contains("new"), 1.0).otherwise(-0.15)).otherwise(0.0)
+    unit = F.when((F.col("unit") == "EA") & F.col("b").contains("ring"), 0.5).otherwise(0.0)
+    return L.rank_in_context(met, "item_id", "rec_id", trade, action, unit, 10)
 
 
-@query("r7_score_lexical", _W + _LEX + "SELECT item_id, rec_id, round(score, 6)::DOUBLE AS score FROM lx")
+@query("r7_score_lexical", _W + _LEX + "SELECT item_id, rec_id, score, rank FROM rk WHERE rank <= 10")
 def r7(spark, sf_dir):
     return _lexical(spark, sf_dir)
 
 
 @query(
     "r8_resolve",
-    _W + _LEX + """, o AS (SELECT *, lead(score) OVER v AS second, row_number() OVER v AS r FROM (SELECT item_id, rec_id, round(score, 6) AS score FROM lx) WINDOW v AS (PARTITION BY item_id ORDER BY score DESC, rec_id)),
-    q AS (SELECT *, CASE WHEN (score >= 1 AND coalesce(second, 0) < 1) OR (score >= 0.77 AND score - coalesce(second, 0) >= 0.01) THEN 'resolved' WHEN score >= 0.48 THEN 'ambiguous' ELSE 'fallback' END AS resolution FROM o WHERE r = 1)
+    _W + _LEX + """, o AS (SELECT *, lead(score) OVER (PARTITION BY item_id ORDER BY rank) AS second FROM rk),
+    q AS (SELECT *, CASE WHEN (score >= 1 AND coalesce(second, 0) < 1) OR (score >= 0.77 AND score - coalesce(second, 0) >= 0.01) THEN 'resolved' WHEN score >= 0.48 THEN 'ambiguous' ELSE 'fallback' END AS resolution FROM o WHERE rank = 1)
     SELECT item_id, CASE WHEN resolution <> 'fallback' THEN rec_id END AS rec_id, resolution FROM q""",
 )
 def r8(spark, sf_dir):
     return L.resolve(_lexical(spark, sf_dir), "item_id", "rec_id")
 
 
+_SAID = {"remove": ["old", "hot"], "install": ["new"], "replace": ["red", "blue"]}
+_MEASURED = {"EA": [" ring ", " bolt "], "SF": [" plate "], "LF": [" gear "]}
+_GRADES = ["economy", "standard", "promo"]
+_APART = [["small", "large"], ["hot", "cold"], ["red", "blue"]]
+
+
 def _recommended(spark, sf_dir):
-    """Items against entries of their component, with states and similarities."""
-    entries = _records(spark, sf_dir).select("rec_id", F.split("b", " ")[1].alias("e_component"), F.split("b", " ")[0].alias("e_material"), F.col("b").alias("e_text"), F.when(F.col("rec_id") % 4 > 0, _pick(_ACTIONS, F.col("rec_id"))).alias("e_action"), F.when(F.col("rec_id") % 5 > 0, _pick(_UNITS, F.col("rec_id"))).alias("e_unit"), "category")
-    rows = items(spark, sf_dir).where("item_id % 10 = 0")
-    pairs = rows.join(entries, (rows["component"] == entries["e_component"]) | (rows["category"] == entries["category"])).drop(entries["category"])
-    pairs = L.compatibility(pairs).withColumns({
-        "description_similarity": T.similarity(F.col("description"), F.substring("e_text", 1, 12)), "material_similarity": T.material_similarity(F.col("material"), F.col("e_material")), "component_match": F.col("component") == F.col("e_component"),
-        "hinted": F.col("rec_id") % 2 == 0, "verified": F.col("rec_id") % 9 == 0, "ocr_confidence": F.when(F.col("rec_id") % 6 == 0, 0.5).otherwise(0.9), "uncertain": F.col("rec_id") % 8 == 0,
-    })
-    return L.explain(L.score_recommendation(pairs))
-
-
-_RECOMMENDED = _W + ", " + _REC + """, en AS (SELECT rec_id, split_part(b, ' ', 2) AS e_component, split_part(b, ' ', 1) AS e_material, b AS e_text, CASE WHEN rec_id % 4 > 0 THEN ['remove', 'install', 'replace', 'unknown'][(rec_id % 4 + 1)::INT] END AS e_action, CASE WHEN rec_id % 5 > 0 THEN ['EA', 'SF', 'LF'][(rec_id % 3 + 1)::INT] END AS e_unit, category AS e_category FROM rec),
-p0 AS (SELECT *, CASE WHEN e_action IS NULL THEN 'unlabeled' WHEN action = e_action THEN 'match' ELSE 'conflict' END AS action_state, CASE WHEN unit IS NULL OR e_unit IS NULL THEN 'unknown' WHEN unit = e_unit THEN 'true' ELSE 'false' END AS unit_state,
-  1 - levenshtein(description, substr(e_text, 1, 12))::DOUBLE / greatest(length(description), length(substr(e_text, 1, 12))) AS ds, 1 - levenshtein(material, e_material)::DOUBLE / greatest(length(material), length(e_material)) AS ms0, component = e_component AS cm FROM it JOIN en ON component = e_component OR category = e_category WHERE item_id % 10 = 0),
-p1 AS (SELECT *, CASE WHEN contains(material, e_material) OR contains(e_material, material) THEN 1.0 WHEN ms0 >= 0.6 THEN ms0 ELSE 0 END AS ms FROM p0),
-p2 AS (SELECT *, floor(ds * 300 * 10)::INT + CASE WHEN rec_id % 2 = 0 THEN 2000 ELSE 600 END + CASE WHEN cm THEN 1500 ELSE 0 END + floor(ms * 100 * 10)::INT + CASE action_state WHEN 'match' THEN 1000 WHEN 'conflict' THEN 0 ELSE 400 END + 250 + CASE WHEN rec_id % 9 = 0 THEN 500 ELSE 0 END + CASE unit_state WHEN 'true' THEN 500 WHEN 'false' THEN 0 ELSE 250 END AS points FROM p1),
-rc AS (SELECT *, greatest(0, least(points, CASE WHEN action_state = 'conflict' THEN 5000 ELSE 10000 END, CASE WHEN unit_state = 'false' THEN 4500 ELSE 10000 END, CASE WHEN cm THEN 10000 ELSE 5500 END) - CASE WHEN rec_id % 6 = 0 THEN floor(least(0.1::DOUBLE, (0.85::DOUBLE - 0.5::DOUBLE) * 0.1::DOUBLE) * 10000)::INT ELSE 0 END - CASE WHEN rec_id % 8 = 0 THEN 1500 ELSE 0 END)::INT AS score FROM p2)
+    """Items against the five records of their pools that share most words, with similarities, signals, scores and phrases."""
+    pools = _pools(spark, sf_dir)
+    rows = items(spark, sf_dir)
+    hints = pools.groupBy("item_id").agg(F.array_sort(F.collect_set("category")).alias("hints"))
+    best = L.prefilter_by_overlap(pools.join(rows.select("item_id", "tokens"), "item_id"), _records(spark, sf_dir), "rec_id", 5).select("item_id", "rec_id").distinct()
+    entries = _records(spark, sf_dir).select("rec_id", F.col("text").alias("e_description"), F.col("category").alias("e_category"))
+    pairs = best.join(rows.drop("category", "tokens"), "item_id").join(hints, "item_id").join(entries, "rec_id")
+    k = F.col("rec_id")
+    pairs = pairs.withColumns({"verified": k % 9 == 0, "ocr_confidence": F.when(k % 6 == 0, 0.5).when(k % 7 > 0, 0.9), "uncertain": k % 8 == 0})
+    return L.explain(L.score_recommendation(L.compatibility(L.similarities(pairs), actions=_SAID, units=_MEASURED, grades=_GRADES, groups=_APART)))
+
+
+_HAS = "list_filter({words}, lambda w: contains({text}, w))"
+_CLASH = """CASE WHEN len(list_filter([{w}], lambda w: contains(sp, w))) > 0 AND len(list_filter([{w}], lambda w: contains(t, w))) > 0 AND NOT list_has_any(list_filter([{w}], lambda w: contains(sp, w)), list_filter([{w}], lambda w: contains(t, w)))
+  THEN array_to_string(list_sort(list_filter([{w}], lambda w: contains(sp, w))), '/') || ' against ' || array_to_string(list_sort(list_filter([{w}], lambda w: contains(t, w))), '/') END"""
+_RECOMMENDED = _BEST + """, hs AS (SELECT item_id, list_sort(list(category) FILTER (category IS NOT NULL)) AS hints FROM pools GROUP BY item_id),
+p0 AS (SELECT it.*, hints, rec_id, b AS t, rec.category AS e_category, concat_ws(' ', description, action, material) AS sp, concat_ws(' ', description, material) AS im,
+  list_filter([CASE WHEN contains(b, 'old') OR contains(b, 'hot') THEN 'remove' END, CASE WHEN contains(b, 'new') THEN 'install' END, CASE WHEN contains(b, 'red') OR contains(b, 'blue') THEN 'replace' END], lambda x: x IS NOT NULL) AS said,
+  list_filter([CASE WHEN contains(' ' || b || ' ', ' ring ') OR contains(' ' || b || ' ', ' bolt ') THEN 'EA' END, CASE WHEN contains(' ' || b || ' ', ' plate ') THEN 'SF' END, CASE WHEN contains(' ' || b || ' ', ' gear ') THEN 'LF' END], lambda x: x IS NOT NULL) AS named
+  FROM (SELECT DISTINCT item_id, rec_id FROM best) JOIN it USING (item_id) JOIN hs USING (item_id) JOIN rec USING (rec_id)),
+p1 AS (SELECT *, hints IS NULL OR list_contains(hints, e_category) AS hinted, CASE WHEN len(said) = 0 THEN 'none' WHEN list_contains(said, action) THEN 'match' ELSE 'conflict' END AS action_state,
+  CASE WHEN unit IS NULL THEN 'unknown' WHEN list_contains(named, unit) THEN 'true' WHEN len(named) > 0 THEN 'false' ELSE 'unknown' END AS unit_state,
+  len(list_filter(['economy', 'standard', 'promo'], lambda w: contains(im, w))) > 0 AND len(list_filter(['economy', 'standard', 'promo'], lambda w: contains(t, w))) > 0 AND NOT list_has_any(list_filter(['economy', 'standard', 'promo'], lambda w: contains(im, w)), list_filter(['economy', 'standard', 'promo'], lambda w: contains(t, w))) AS grade_conflict,
+  list_filter([""" + ", ".join(_CLASH.format(w=w) for w in ("'small', 'large'", "'hot', 'cold'", "'red', 'blue'")) + """], lambda x: x IS NOT NULL) AS distinctions,
+  CASE WHEN contains(t, description) OR contains(description, t) THEN 1.0 ELSE 1 - levenshtein(description, t)::DOUBLE / greatest(length(description), length(t)) END::DOUBLE AS ds, CASE WHEN list_contains(string_split(t, ' '), component) THEN 1 ELSE 0 END AS cs,
+  CASE WHEN material IS NULL THEN 0.3 WHEN contains(material, t) OR contains(t, material) THEN 1.0 WHEN 1 - levenshtein(material, t)::DOUBLE / greatest(length(material), length(t)) >= 0.35 THEN 1 - levenshtein(material, t)::DOUBLE / greatest(length(material), length(t)) ELSE 0 END::DOUBLE AS ms,
+  CASE WHEN grade IS NULL THEN 0.3 WHEN contains(t, grade) THEN 1.0 ELSE 0.4 END::DOUBLE AS gs, rec_id % 9 = 0 AS verified, CASE WHEN rec_id % 6 = 0 THEN 0.5 WHEN rec_id % 7 > 0 THEN 0.9 END::DOUBLE AS ocr, rec_id % 8 = 0 AS uncertain FROM p0),
+p2 AS (SELECT *, floor(ds * 300 * 10)::INT + CASE WHEN hinted THEN 2000 ELSE 0 END + cs * 1500 + floor(ms * 100 * 10)::INT + CASE action_state WHEN 'match' THEN 1000 WHEN 'conflict' THEN 0 ELSE 500 END + floor(gs * 50 * 10)::INT + CASE WHEN verified THEN 500 ELSE 0 END + CASE unit_state WHEN 'true' THEN 500 WHEN 'false' THEN 0 ELSE 250 END AS points FROM p1),
+rc AS (SELECT *, least(10000, greatest(0, greatest(0, least(points, CASE WHEN hinted THEN 10000 ELSE 5000 END, CASE WHEN action_state = 'conflict' THEN 4500 ELSE 10000 END, CASE WHEN unit_state = 'false' THEN 5500 ELSE 10000 END, CASE WHEN grade_conflict OR len(distinctions) > 0 THEN 4500 ELSE 10000 END)
+  - CASE WHEN ocr < 0.85 THEN floor(least(0.1::DOUBLE, (0.85::DOUBLE - ocr) * 0.1::DOUBLE) * 10000)::INT ELSE 0 END) - CASE WHEN uncertain THEN 1500 ELSE 0 END))::INT AS score FROM p2)
 """
 
 
-@query("r4_compatibility", _RECOMMENDED + "SELECT item_id, rec_id, action_state, unit_state FROM rc")
+@query("r4_compatibility", _RECOMMENDED + "SELECT item_id, rec_id, hinted AS category_hinted, action_state, unit_state, grade_conflict, distinctions FROM rc")
 def r4(spark, sf_dir):
-    return _recommended(spark, sf_dir).select("item_id", "rec_id", "action_state", "unit_state")
+    return _recommended(spark, sf_dir).select("item_id", "rec_id", "category_hinted", "action_state", "unit_state", "grade_conflict", "distinctions")
 
 
 @query("r5_score_recommendation", _RECOMMENDED + "SELECT item_id, rec_id, score FROM rc")
@@ -261,8 +311,10 @@ def r5(spark, sf_dir):
 
 @query(
     "r6_explain",
-    _RECOMMENDED + """SELECT item_id, rec_id, list_filter([CASE WHEN ds >= 0.8 THEN 'description matches' END, CASE WHEN rec_id % 2 = 0 THEN 'category expected' END, CASE WHEN cm THEN 'component matches' END, CASE WHEN rec_id % 9 = 0 THEN 'verified entry' END], lambda x: x IS NOT NULL) AS match_reasons,
-    list_filter([CASE WHEN action_state = 'conflict' THEN 'action conflicts' END, CASE WHEN unit_state = 'false' THEN 'unit conflicts' END, CASE WHEN rec_id % 6 = 0 THEN 'poorly read entry' END, CASE WHEN rec_id % 8 = 0 THEN 'uncertain entry' END], lambda x: x IS NOT NULL) AS penalties FROM rc""",
+    _RECOMMENDED + """SELECT item_id, rec_id, list_filter([CASE WHEN ds >= 0.85 THEN 'description matches closely' WHEN ds >= 0.55 THEN 'description shares much wording' END, CASE WHEN hints IS NOT NULL AND hinted THEN 'category expected' END, CASE WHEN cs >= 0.5 THEN 'component in the entry''s text' END,
+      CASE WHEN ms >= 0.99 THEN 'material in the entry''s text' WHEN ms >= 0.55 THEN 'material similar' END, CASE WHEN action_state = 'match' THEN 'action matches' END, CASE WHEN gs >= 0.99 THEN 'attribute in the entry''s text' END, CASE WHEN unit_state = 'true' THEN 'unit matches' END, CASE WHEN verified THEN 'verified entry' END], lambda x: x IS NOT NULL) AS match_reasons,
+    list_concat(list_concat(list_filter([CASE WHEN hints IS NOT NULL AND NOT hinted THEN 'category unexpected' END, CASE WHEN action_state = 'conflict' THEN 'action conflicts' END, CASE WHEN unit_state = 'false' THEN 'unit conflicts' END, CASE WHEN grade_conflict THEN 'grade conflicts' END], lambda x: x IS NOT NULL), distinctions),
+      list_filter([CASE WHEN ocr < 0.85 THEN 'poorly read entry' END, CASE WHEN uncertain THEN 'uncertain entry' END], lambda x: x IS NOT NULL)) AS penalties FROM rc""",
 )
 def r6(spark, sf_dir):
     return _recommended(spark, sf_dir).select("item_id", "rec_id", "match_reasons", "penalties")
@@ -270,34 +322,43 @@ def r6(spark, sf_dir):
 
 @query(
     "t4_merge_candidates",
-    _RECOMMENDED + """, ms AS (SELECT item_id, rec_id, score, 0 AS source_no FROM rc WHERE rec_id % 9 = 0 UNION ALL SELECT item_id, rec_id, score, 1 FROM rc), f AS (SELECT *, row_number() OVER (PARTITION BY item_id, rec_id ORDER BY source_no, score DESC) AS first FROM ms)
-    SELECT item_id, rec_id, score, source_no, row_number() OVER (PARTITION BY item_id ORDER BY source_no, score DESC, rec_id)::INT AS rank FROM f WHERE first = 1""",
+    _RECOMMENDED + """, ms1 AS (SELECT item_id, rec_id, score, 0 AS source_no FROM rc WHERE verified UNION ALL SELECT item_id, rec_id, score, 1 FROM rc), f1 AS (SELECT *, row_number() OVER (PARTITION BY item_id, rec_id ORDER BY source_no, score DESC) AS first FROM ms1)
+    SELECT item_id, rec_id, score, source_no, row_number() OVER (PARTITION BY item_id ORDER BY source_no, score DESC, rec_id)::INT AS rank FROM f1 WHERE first = 1""",
 )
 def t4(spark, sf_dir):
-    scored = _recommended(spark, sf_dir).select("item_id", "rec_id", "score")
-    return L.merge_candidates("item_id", "rec_id", scored.where("rec_id % 9 = 0"), scored)
+    scored = _recommended(spark, sf_dir).select("item_id", "rec_id", "score", "verified")
+    return L.merge_candidates("item_id", "rec_id", scored.where("verified"), scored)
 
 
 @query(
     "r11_break_exact_ties",
-    """WITH s AS (SELECT p_size AS item_id, p_partkey AS key, p_type AS category, (p_partkey % 7) * 10 AS score FROM part WHERE p_partkey < 150), m AS (SELECT *, max(score) OVER (PARTITION BY item_id) AS most FROM s),
-    t AS (SELECT *, category IN ('ECONOMY', 'SMALL') AS hinted FROM m WHERE score = most), g AS (SELECT item_id, count(*) AS n, count(DISTINCT category) AS c, count(*) FILTER (hinted) AS h, max(key) FILTER (hinted) AS w FROM t GROUP BY item_id)
-    SELECT item_id, CASE WHEN n = 2 AND c = 2 AND h = 1 THEN w END AS winner, CASE WHEN n = 1 THEN 'no tie' WHEN n > 2 THEN 'more than two' WHEN c = 1 THEN 'one category' WHEN h <> 1 THEN 'hints do not decide' ELSE 'decided' END AS reason FROM g""",
+    """WITH s AS (SELECT p_partkey // 4 AS item_id, p_partkey AS key, p_type AS category, CASE WHEN p_partkey % 4 < 2 + p_partkey // 4 % 2 THEN 90 ELSE 50 END AS score, CASE WHEN p_partkey // 4 % 5 = 0 THEN p_name ELSE 'same' END AS text FROM part), m AS (SELECT *, max(score) OVER (PARTITION BY item_id) AS most FROM s),
+    t AS (SELECT *, category IN ('ECONOMY', 'SMALL', 'PROMO') AS hinted FROM m WHERE score = most), g AS (SELECT item_id, count(*) AS n, count(DISTINCT text) AS x, count(DISTINCT category) AS c, count(*) FILTER (hinted) AS h, max(key) FILTER (hinted) AS w FROM t GROUP BY item_id)
+    SELECT item_id, CASE WHEN n = 2 AND x = 1 AND c = 2 AND h = 1 THEN w END AS winner, CASE WHEN n = 1 THEN 'no tie' WHEN x > 1 THEN 'texts differ' WHEN n > 2 THEN 'more than two' WHEN c = 1 THEN 'one category' WHEN h = 0 THEN 'no hint' WHEN h = 2 THEN 'both hinted' ELSE 'decided' END AS reason FROM g""",
 )
 def r11(spark, sf_dir):
-    scored = read(spark, sf_dir, "part").where("p_partkey < 150").select(F.col("p_size").alias("item_id"), F.col("p_partkey").alias("key"), F.col("p_type").alias("category"), (F.col("p_partkey") % 7 * 10).alias("score"))
-    hints = read(spark, sf_dir, "part").select(F.col("p_size").alias("item_id"), F.explode(F.array(F.lit("ECONOMY"), F.lit("SMALL"))).alias("category")).distinct()
+    k = F.col("p_partkey")
+    item = F.floor(k / 4)
+    text = F.when(item % 5 == 0, F.col("p_name")).otherwise("same")
+    scored = read(spark, sf_dir, "part").select(item.alias("item_id"), k.alias("key"), F.col("p_type").alias("category"), F.when(k % 4 < 2 + item % 2, 90).otherwise(50).alias("score"), text.alias("text"))
+    hints = scored.select("item_id", F.explode(F.array(*map(F.lit, ("ECONOMY", "SMALL", "PROMO")))).alias("category")).distinct()
     return L.break_exact_ties(scored, hints, "item_id", "key")
 
 
 def _verified(spark, sf_dir):
-    rows = read(spark, sf_dir, "part").where("p_partkey % 40 = 0")
-    words = F.split("p_name", " ")
-    return rows.select(F.col("p_partkey").alias("key"), words[1].alias("description"), F.array(F.col("p_name")).alias("aliases"), F.lower("p_type").alias("trade"), F.when(F.col("p_partkey") % 400 == 0, "unknown").otherwise(words[1]).alias("component"), F.when(F.col("p_size") % 2 == 0, _pick(_UNITS, F.col("p_size"))).alias("unit"), F.when(F.col("p_size") % 3 == 0, F.array(F.lit("remove"), F.lit("install"))).otherwise(F.array().cast("array<string>")).alias("actions"), F.when(F.col("p_size") % 5 == 0, F.array(F.lit("red"))).otherwise(F.array().cast("array<string>")).alias("negatives"))
+    """Verified records: one for each name and type of part; some of any component, some of any component and trade."""
+    rows = read(spark, sf_dir, "part").groupBy("p_name", "p_type").agg(F.min("p_partkey").alias("key"), F.min("p_size").alias("p_size"))
+    words, k, n = F.split("p_name", " "), F.col("key"), F.col("p_size")
+    none = F.array().cast("array<string>")
+    return rows.select(
+        "key", F.upper(words[1]).alias("description"), F.array("p_name").alias("aliases"), F.when(k % 50 == 0, None).otherwise(F.lower("p_type")).alias("trade"), F.when(k % 25 == 0, "unknown").otherwise(words[1]).alias("component"),
+        F.when(n % 2 == 0, F.lower(_pick(_UNITS, n))).alias("unit"), F.when(n % 3 == 0, F.array(F.lit("remove"), F.lit("install"))).otherwise(none).alias("actions"), F.when(n % 5 == 0, F.array(F.lit("Red"))).otherwise(none).alias("negatives"),
+    )
 
 
-_VER = """, ve AS (SELECT p_partkey AS key, split_part(p_name, ' ', 2) AS d, p_name AS al, lower(p_type) AS vt, p_partkey % 400 = 0 AS wild, CASE WHEN p_size % 2 = 0 THEN ['EA', 'SF', 'LF'][p_size % 3 + 1] END AS vu, p_size AS vs FROM part WHERE p_partkey % 40 = 0),
-vm AS (SELECT item_id, key FROM it JOIN ve ON (wild OR component = d) AND trade = vt AND (unit IS NULL OR vu IS NULL OR unit = vu) AND (vs % 3 <> 0 OR action IN ('remove', 'install')) AND NOT (vs % 5 = 0 AND contains(description, 'red')) AND (contains(description, d) OR contains(d, description) OR contains(description, al) OR contains(al, description)))
+_VER = """, ve AS (SELECT min(p_partkey) AS key, split_part(p_name, ' ', 2) AS d, p_name AS al, lower(p_type) AS vt, min(p_size) AS vs FROM part GROUP BY p_name, p_type),
+vf AS (SELECT *, CASE WHEN vs % 2 = 0 THEN ['EA', 'SF', 'LF'][vs % 3 + 1] END AS vu FROM ve),
+vm AS (SELECT item_id, key FROM it JOIN vf ON (key % 25 = 0 OR component = d) AND (key % 50 = 0 OR trade = vt) AND (unit IS NULL OR vu IS NULL OR unit = vu) AND (vs % 3 <> 0 OR action IN ('remove', 'install')) AND NOT (vs % 5 = 0 AND contains(description, 'red')) AND (contains(description, d) OR contains(d, description) OR contains(description, al) OR contains(al, description)))
 """
 
 
@@ -308,23 +369,24 @@ def j7(spark, sf_dir):
 
 @query(
     "j8_resolve_or_search",
-    _W + _VER + """, rg AS (SELECT trade || '|' || component || '|' || material AS signature, min(item_id) AS key FROM it WHERE item_id % 3 = 0 AND item_id % 2 = 0 GROUP BY 1), v AS (SELECT item_id, min(key) AS v_key FROM vm GROUP BY item_id)
-    SELECT item_id, CASE WHEN rg.key IS NOT NULL THEN 'registry' WHEN v_key IS NOT NULL THEN 'verified' ELSE 'search' END AS path, coalesce(rg.key, v_key) AS key FROM it LEFT JOIN rg ON signature = trade || '|' || component || '|' || material LEFT JOIN v USING (item_id)""",
+    _W + _VER + """, rg AS (SELECT trade || '|' || component || '|' || coalesce(material, '-') AS signature, min(item_id) AS key FROM it WHERE item_id % 3 = 0 AND item_id % 2 = 0 GROUP BY 1), v AS (SELECT item_id, min(key) AS v_key FROM vm GROUP BY item_id)
+    SELECT item_id, CASE WHEN rg.key IS NOT NULL THEN 'registry' WHEN v_key IS NOT NULL THEN 'verified' ELSE 'search' END AS path, coalesce(rg.key, v_key) AS key FROM it LEFT JOIN rg ON signature = trade || '|' || component || '|' || coalesce(material, '-') LEFT JOIN v USING (item_id)""",
 )
 def j8(spark, sf_dir):
-    rows = items(spark, sf_dir).withColumn("signature", F.concat_ws("|", "trade", "component", "material"))
+    rows = items(spark, sf_dir).withColumn("signature", F.concat_ws("|", "trade", "component", F.coalesce("material", F.lit("-"))))
     registry = rows.where("item_id % 3 = 0").select("signature", F.col("item_id").alias("key"), (F.col("item_id") % 2 == 0).alias("reusable"))
     return L.resolve_or_search(rows, registry, L.verified_matches(items(spark, sf_dir), _verified(spark, sf_dir)))
 
 
 @query(
     "j17_semantic_rerank",
-    """WITH c AS (SELECT a.vec_id AS item_id, b.vec_id AS entry, ((a.vec_id * 7 + b.vec_id) % 100) / 100.0::DOUBLE AS score, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 50 = 0 AND b.vec_id % 5 = 1),
+    """WITH c AS (SELECT a.vec_id AS item_id, b.vec_id AS entry, ((a.vec_id * 7 + b.vec_id) % 100) / 100.0::DOUBLE AS score, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 100 = 0),
     d AS (SELECT item_id, entry, 0.82 * score + 0.18 * least(1, greatest(0, s)) AS combined FROM c) SELECT item_id, entry, round(combined, 6) AS combined, row_number() OVER (PARTITION BY item_id ORDER BY combined DESC, entry)::INT AS rank FROM d""",
 )
 def j17(spark, sf_dir):
+    """Queries are the vectors whose id is divisible by 100, candidates all vectors of their label."""
     v = read(spark, sf_dir, "embeddings")
-    a, b = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("item_id"), "embedding", "label"), v.where("vec_id % 5 = 1").select(F.col("vec_id").alias("entry"), "embedding", "label")
+    a, b = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("item_id"), "embedding", "label"), v.select(F.col("vec_id").alias("entry"), "embedding", "label")
     pairs = a.select("item_id", "label").join(b.select("entry", "label"), "label").select("item_id", "entry", ((F.col("item_id") * 7 + F.col("entry")) % 100 / 100.0).alias("score"))
     return L.semantic_rerank(pairs, a, b, "item_id", "entry").withColumn("combined", F.round("combined", 6))
 

@@ -21,7 +21,8 @@ _BLOCKS = """concat_ws('; ', CASE WHEN category IS NULL THEN 'no category' END,
   CASE WHEN quantity <= 0 THEN 'no quantity' END, CASE WHEN unit IS NULL THEN 'no unit' END, CASE WHEN has_fatal THEN 'fatal error' END)"""
 _ITEMS = "WITH i0 AS (SELECT " + ", ".join(_ITEM) + " FROM orders), items AS (SELECT *, " + _BLOCKS + " AS blocks FROM i0) "
 _RECORD = [
-    "p_partkey AS key", "p_brand AS category", "p_type AS selector", "p_name AS description", "p_size % 7 = 0 AS needs_review", "p_size % 5 = 0 AS uncertain",
+    "p_partkey AS key", "p_brand AS category", "CASE WHEN p_partkey % 17 = 0 THEN '' WHEN p_partkey % 13 = 0 THEN lower(p_type) ELSE p_type END AS selector",
+    "CASE p_partkey % 19 WHEN 0 THEN concat(substr(p_name, 1, 5), '...') WHEN 1 THEN concat(p_name, ' SF') WHEN 2 THEN ' ' ELSE p_name END AS description", "p_size % 7 = 0 AS needs_review", "p_size % 5 = 0 AS uncertain",
     "CASE WHEN p_size % 4 = 0 THEN 0.5 ELSE 0.9 END AS confidence",
 ]
 _CATALOG = "WITH catalog AS (SELECT " + ", ".join(_RECORD) + " FROM part) "
@@ -61,7 +62,11 @@ def p8(spark, sf_dir):
     return _items(spark, sf_dir).select("item_id", F.concat_ws("; ", "block_reasons").alias("blocks"))
 
 
-@query("p13_quality_flags", _CATALOG + "SELECT key, concat_ws('; ', CASE WHEN confidence < 0.85 THEN 'low confidence' END, CASE WHEN regexp_matches(selector, '[a-z]') THEN 'lower case in key' END) AS flags, false AS review_only FROM catalog")
+@query(
+    "p13_quality_flags",
+    _CATALOG + """SELECT key, concat_ws('; ', CASE WHEN description LIKE '%...' THEN 'truncated' END, CASE WHEN confidence < 0.85 THEN 'low confidence' END, CASE WHEN regexp_matches(selector, '[a-z]') THEN 'lower case in key' END, CASE WHEN description LIKE '% SF' THEN 'trailing unit' END,
+    CASE WHEN selector = '' OR trim(description) = '' THEN 'empty' END) AS flags, selector = '' OR trim(description) = '' AS review_only FROM catalog""",
+)
 def p13(spark, sf_dir):
     return C.quality_flags(_catalog(spark, sf_dir)).select("key", F.concat_ws("; ", "flags").alias("flags"), "review_only")
 
@@ -125,10 +130,10 @@ def b6_excluded(spark, sf_dir):
 
 @query(
     "b8_coverage_of_sources",
-    "WITH s AS (SELECT l_partkey AS item_id, count(*) AS n FROM lineitem WHERE l_linenumber = 7 GROUP BY 1) SELECT p_partkey AS item_id, coalesce(n, 0) AS n FROM part LEFT JOIN s ON item_id = p_partkey WHERE coalesce(n, 0) <> 1",
+    "WITH s AS (SELECT l_partkey AS item_id, count(*) AS n FROM lineitem GROUP BY 1) SELECT p_partkey AS item_id, coalesce(n, 0) AS n FROM part LEFT JOIN s ON item_id = p_partkey WHERE coalesce(n, 0) <> 1",
 )
 def b8(spark, sf_dir):
-    outputs = read(spark, sf_dir, "lineitem").where("l_linenumber = 7").select(F.array("l_partkey").alias("sources"))
+    outputs = read(spark, sf_dir, "lineitem").select(F.array("l_partkey").alias("sources"))
     return V.coverage_of_sources(outputs, read(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id")))
 
 
