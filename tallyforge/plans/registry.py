@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyforge.plans import _register, functions_plans, linkage_plans, parsing_plans, reconcile_plans, review_plans, sources_plans  # noqa: F401
+from tallyforge.plans import _register, functions_plans, linkage_plans, pages_plans, pairing_plans, parsing_plans, quality_plans, reconcile_plans, review_plans, sources_plans  # noqa: F401
 
 
 def flagship(spark, sf_dir):
