@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.operators.linkage import break_exact_ties
+
 
 def _present(*entries: Column) -> Column:
     return F.filter(F.array(*entries), lambda x: x.isNotNull())
@@ -187,17 +189,32 @@ def timing_summary(events: DataFrame, group: str, value: str) -> DataFrame:
     return events.groupBy(group).agg(F.count(value).alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"), F.percentile(value, 0.5).alias("median"), F.min(value).alias("least"), F.max(value).alias("most"))
 
 
-def decide_evidence(ranked: DataFrame, item: str, key: str) -> DataFrame:
-    """Ordered gates over the three best of an item (scores in hundredths): the gate that decided and the key if one was accepted."""
+def decide_evidence(items: DataFrame, ranked: DataFrame, hints: DataFrame, item: str, key: str) -> DataFrame:
+    """(item, decision, gate, key, score, second, margin): ordered gates over an item's best candidates; each gate says what decided.
+
+    ranked: (item, key, score in ten-thousandths, category, text, conflict,
+    confidence, action_confirmed); hints: (item, category). Without candidates or
+    under 5500 there is no match. Under 8800 the best is accepted only if it
+    dominates: 7000 or more, no conflict, sure, its action confirmed, 2000 ahead
+    of a second under 6000. Then a conflict, low confidence and a margin under 800
+    ask for review, but for an exact best before an inexact second and for exact
+    ties, which the hints decide if they name one of two, else the first takes.
+    """
     best = Window.partitionBy(item).orderBy(F.desc("score"), key)
     rows = ranked.withColumns({"rank": F.row_number().over(best), "second": F.coalesce(F.lead("score").over(best), F.lit(0))}).where("rank = 1")
-    margin = F.col("score") - F.col("second")
-    dominant = (F.col("score") >= 70) & ~F.col("conflict") & F.col("action_confirmed") & (margin >= 20) & (F.col("second") < 60)
+    winners = break_exact_ties(ranked, hints, item, key).select(item, "winner")
+    met = items.select(item).distinct().join(rows, item, "left").join(winners, item, "left")
+    score, second = F.col("score"), F.col("second")
+    margin = score - second
+    sure = F.col("confidence") >= 0.8
+    dominant = (score >= 7000) & ~F.col("conflict") & sure & F.col("action_confirmed") & (margin >= 2000) & (second < 6000)
     gate = (
-        F.when(F.col("score") < 55, "below review floor").when((F.col("score") < 88) & ~dominant, "below accept floor").when(F.col("conflict"), "conflict").when(F.col("confidence") < 0.5, "low confidence")
-        .when((margin < 8) & ~((F.col("score") >= 100) & (F.col("second") < 100)), "thin margin").otherwise("accepted")
+        F.when(score.isNull(), "no candidates").when(score < 5500, "below review floor").when((score < 8800) & dominant, "dominant below floor").when(score < 8800, "below accept floor").when(F.col("conflict"), "conflict")
+        .when(~sure, "low confidence").when(margin >= 800, "clear margin").when((score >= 9990) & (second < 9990), "exact best").when(margin > 0, "thin margin").when(F.col("winner").isNotNull(), "tie decided by hint").otherwise("tie, first taken")
     )
-    return rows.select(item, gate.alias("gate"), F.when(gate == "accepted", F.col(key)).alias(key), "score", margin.alias("margin"))
+    decision = F.when(gate.isin("no candidates", "below review floor"), "no_match").when(gate.isin("below accept floor", "conflict", "low confidence", "thin margin"), "review").otherwise("accepted")
+    chosen = F.when(decision == "accepted", F.when(gate == "tie decided by hint", F.col("winner")).otherwise(F.col(key)))
+    return met.select(item, decision.alias("decision"), gate.alias("gate"), chosen.alias(key), "score", "second", margin.alias("margin"))
 
 
 def relaxed_queries(items: DataFrame, attempts: Sequence[str], index: DataFrame) -> DataFrame:

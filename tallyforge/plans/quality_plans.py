@@ -230,17 +230,25 @@ def a20(spark, sf_dir):
 
 @query(
     "r10_decide_evidence",
-    """WITH s AS (SELECT p_partkey // 4 AS item_id, p_partkey AS key, CASE WHEN p_partkey % 40 < 4 THEN 75 - (p_partkey % 4) * 20 WHEN p_partkey % 60 < 4 THEN 100 - p_partkey % 4 ELSE p_partkey * 37 % 50 + p_partkey // 4 * 13 % 51 END AS score, p_partkey % 9 = 0 AS conflict, p_partkey % 3 > 0 AS sure, CASE WHEN p_partkey % 14 = 0 THEN 0.3 ELSE 0.9 END AS confidence FROM part),
-    r AS (SELECT *, row_number() OVER w AS r, coalesce(lead(score) OVER w, 0) AS second FROM s WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, key)),
-    g AS (SELECT *, score - second AS margin, score >= 70 AND NOT conflict AND sure AND score - second >= 20 AND second < 60 AS dominant FROM r WHERE r = 1),
-    d AS (SELECT *, CASE WHEN score < 55 THEN 'below review floor' WHEN score < 88 AND NOT dominant THEN 'below accept floor' WHEN conflict THEN 'conflict' WHEN confidence < 0.5 THEN 'low confidence' WHEN margin < 8 AND NOT (score >= 100 AND second < 100) THEN 'thin margin' ELSE 'accepted' END AS gate FROM g)
-    SELECT item_id, gate, CASE WHEN gate = 'accepted' THEN key END AS key, score, margin FROM d""",
+    """WITH s AS (SELECT p_partkey // 4 AS item_id, p_partkey AS key, p_type AS category, CASE WHEN p_partkey % 40 < 4 THEN 7500 - (p_partkey % 4) * 2000 WHEN p_partkey % 60 < 4 THEN 10000 - p_partkey % 4 * 20 WHEN p_partkey % 28 < 4 THEN CASE WHEN p_partkey % 4 < 2 THEN 9000 ELSE 100 END ELSE p_partkey * 37 % 50 * 100 + p_partkey // 4 * 13 % 51 * 100 END AS score,
+      CASE WHEN p_partkey // 4 % 5 = 0 THEN p_name ELSE 'same' END AS text, p_partkey % 9 = 0 AS conflict, p_partkey % 3 > 0 AS act, CASE WHEN p_partkey % 14 = 0 THEN 0.3 ELSE 0.9 END AS confidence FROM part WHERE p_partkey // 4 % 11 > 0),
+    r AS (SELECT *, row_number() OVER w AS r, coalesce(lead(score) OVER w, 0) AS second, max(score) OVER (PARTITION BY item_id) AS most FROM s WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, key)),
+    t AS (SELECT item_id, CASE WHEN count(*) = 2 AND count(DISTINCT text) = 1 AND count(DISTINCT category) = 2 AND count(*) FILTER (category IN ('ECONOMY', 'SMALL', 'PROMO')) = 1 THEN max(key) FILTER (category IN ('ECONOMY', 'SMALL', 'PROMO')) END AS winner FROM r WHERE score = most GROUP BY item_id),
+    i AS (SELECT DISTINCT p_partkey // 4 AS item_id FROM part), g AS (SELECT i.item_id, key, score, second, score - second AS margin, winner, conflict, confidence, score >= 7000 AND NOT conflict AND confidence >= 0.8 AND act AND score - second >= 2000 AND second < 6000 AS dominant FROM i LEFT JOIN r ON r.item_id = i.item_id AND r = 1 LEFT JOIN t ON t.item_id = i.item_id),
+    d AS (SELECT *, CASE WHEN score IS NULL THEN 'no candidates' WHEN score < 5500 THEN 'below review floor' WHEN score < 8800 AND dominant THEN 'dominant below floor' WHEN score < 8800 THEN 'below accept floor' WHEN conflict THEN 'conflict' WHEN confidence < 0.8 THEN 'low confidence' WHEN margin >= 800 THEN 'clear margin' WHEN score >= 9990 AND second < 9990 THEN 'exact best'
+      WHEN margin > 0 THEN 'thin margin' WHEN winner IS NOT NULL THEN 'tie decided by hint' ELSE 'tie, first taken' END AS gate FROM g),
+    e AS (SELECT *, CASE WHEN gate IN ('no candidates', 'below review floor') THEN 'no_match' WHEN gate IN ('below accept floor', 'conflict', 'low confidence', 'thin margin') THEN 'review' ELSE 'accepted' END AS decision FROM d)
+    SELECT item_id, decision, gate, CASE WHEN decision = 'accepted' THEN CASE WHEN gate = 'tie decided by hint' THEN winner ELSE key END END AS key, score, second, margin FROM e""",
 )
 def r10(spark, sf_dir):
     k = F.col("p_partkey")
-    score = F.when(k % 40 < 4, 75 - (k % 4) * 20).when(k % 60 < 4, 100 - k % 4).otherwise(k * 37 % 50 + F.floor(k / 4) * 13 % 51)
-    rows = read(spark, sf_dir, "part").select(F.floor(k / 4).alias("item_id"), k.alias("key"), score.alias("score"), (k % 9 == 0).alias("conflict"), (k % 3 > 0).alias("action_confirmed"), F.when(k % 14 == 0, 0.3).otherwise(0.9).alias("confidence"))
-    return V.decide_evidence(rows, "item_id", "key")
+    item = F.floor(k / 4)
+    score = F.when(k % 40 < 4, 7500 - (k % 4) * 2000).when(k % 60 < 4, 10000 - k % 4 * 20).when(k % 28 < 4, F.when(k % 4 < 2, 9000).otherwise(100)).otherwise(k * 37 % 50 * 100 + item * 13 % 51 * 100)
+    rows = read(spark, sf_dir, "part").select(
+        item.alias("item_id"), k.alias("key"), F.col("p_type").alias("category"), score.alias("score"), F.when(item % 5 == 0, F.col("p_name")).otherwise("same").alias("text"), (k % 9 == 0).alias("conflict"), (k % 3 > 0).alias("action_confirmed"), F.when(k % 14 == 0, 0.3).otherwise(0.9).alias("confidence"),
+    )
+    hints = rows.select("item_id", F.explode(F.array(*map(F.lit, ("ECONOMY", "SMALL", "PROMO")))).alias("category")).distinct()
+    return V.decide_evidence(rows.select("item_id"), rows.where("item_id % 11 > 0"), hints, "item_id", "key")  # some items have no candidates
 
 
 @query(

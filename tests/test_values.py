@@ -168,10 +168,18 @@ def test_a_failing_reranker_changes_nothing(spark):
 
 
 def test_gates_of_decisions(spark):
-    cases = {"below review floor": [(50, False, True, 0.9)], "below accept floor": [(75, False, True, 0.9), (60, False, True, 0.9)], "accepted": [(75, False, True, 0.9), (50, False, True, 0.9)], "conflict": [(90, True, True, 0.9)], "low confidence": [(90, False, True, 0.4)], "thin margin": [(92, False, True, 0.9), (90, False, True, 0.9)]}
+    one = lambda score, conflict=False, act=True, sure=0.9, category="a", text="t": (score, conflict, act, sure, category, text)
+    cases = {
+        "below review floor": [one(5000)], "below accept floor": [one(7500), one(6000)], "dominant below floor": [one(7500), one(5000)], "conflict": [one(9000, conflict=True)], "low confidence": [one(9000, sure=0.7)], "clear margin": [one(9000), one(8200)],
+        "exact best": [one(10000), one(9980)], "thin margin": [one(9200), one(9000)], "tie decided by hint": [one(9200), one(9200, category="b")], "tie, first taken": [one(9200), one(9200, text="u", category="b")],
+    }
     rows = [(gate, k, *c) for gate, cs in cases.items() for k, c in enumerate(cs)]
-    found = V.decide_evidence(spark.createDataFrame(rows, "item string, key int, score int, conflict boolean, action_confirmed boolean, confidence double"), "item", "key").collect()
-    assert {r["item"]: r["gate"] for r in found} == {g: g for g in cases}
+    ranked = spark.createDataFrame(rows, "item string, key int, score int, conflict boolean, action_confirmed boolean, confidence double, category string, text string")
+    items = spark.createDataFrame([(g,) for g in [*cases, "no candidates"]], "item string")
+    hints = items.withColumn("category", F.lit("b"))
+    found = {r["item"]: r for r in V.decide_evidence(items, ranked, hints, "item", "key").collect()}
+    assert {i: r["gate"] for i, r in found.items()} == {g: g for g in [*cases, "no candidates"]}
+    assert found["tie decided by hint"]["key"] == 1 and found["tie, first taken"]["key"] == 0 and found["thin margin"]["key"] is None
 
 
 def test_rule_files_keep_their_order(spark):
