@@ -133,14 +133,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 def _across(still: DataFrame, sets: DataFrame, threshold: int, scratch: _shared.Scratch) -> DataFrame:
     """Pairs (a, b) of different components among ``still`` (id, n, u, component) that may reach the threshold."""
     tokens = sets.join(still, "id").select("id", "n", "u", "component", F.explode("shingles").alias("s"))
-    spread = tokens.groupBy("s").agg(F.count("*").alias("df"))
+    # Counts are written before they are joined, so that a join that meets a very frequent shingle can be split.
+    spread = scratch.written(tokens.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"), "spread")
     # Rarest first; only the longest prefix that any partner can ask for.
     order = Window.partitionBy("id").orderBy("df", "s")
-    prefix = tokens.join(spread, "s").withColumn("at", F.row_number().over(order)).where((F.col("at") <= F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1) & (F.col("df") > 1))
+    counted = tokens.join(spread, "s", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    prefix = counted.withColumn("at", F.row_number().over(order)).where((F.col("at") <= F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1) & (F.col("df") > 1))
     prefix = scratch.written(prefix.drop("df"), "prefix")
     # The largest component of each shingle.
     largest = prefix.groupBy("s", "component").agg(F.count("*").alias("many")).groupBy("s").agg(F.max(F.struct("many", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("s", F.col("top.component").alias("top"))
-    left = prefix.join(largest, "s").where("component != top")
+    left = scratch.written(prefix.join(scratch.written(largest, "largest"), "s").where("component != top"), "left")
     x, y = left.alias("x"), prefix.alias("y")
     needed = F.ceil((F.col("x.n") + F.col("y.n")) * threshold / (100 + threshold))
     fits = (F.col("x.at") <= F.col("x.n") - needed + 1) & (F.col("y.at") <= F.col("y.n") - needed + 1) & _most("x", "y", threshold)
