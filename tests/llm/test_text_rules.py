@@ -265,3 +265,40 @@ def test_a_labelled_id_on_many_rows_is_one_row_of_the_fit(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(3, 14)], "doc_id long, quality int")
     one, many = quality_rules.fit(docs, labels), quality_rules.fit(docs.unionByName(docs).unionByName(docs.where("doc_id < 9")), labels)
     assert np.array_equal(one.weights, many.weights) and (one.bias, one.slope, one.shift) == (many.bias, many.slope, many.shift)
+
+
+def bucket_of(*tokens):
+    """Bucket of a token or a pair of tokens, each hashed on its own."""
+    hashed = np.concatenate([_words.words(np.frombuffer(t, np.uint8), np.array([0, len(t)]), _words.PUNCT).hashes() for t in tokens])
+    return int((hashed if len(tokens) == 1 else _words.windows(hashed, np.array([0, len(tokens)]), len(tokens))[0])[0] >> np.uint64(52))
+
+
+def test_quality_verdicts_equal_brute_force(spark):
+    """Probability and verdict of any weights, n-gram by n-gram."""
+    rng = np.random.default_rng(9)
+    model = quality_rules.Model(rng.normal(size=quality_rules.FAMILIES * quality_rules.BUCKETS), -0.2, 1.7, 0.4)
+    texts = [t for t in TEXTS if t is None or len(t) < 3000] + ["some words that stand here once and are more than ten of them, no doubt"]
+    rows = {r["doc_id"]: r for r in quality_rules.quality_rules(documents(spark, texts), model).collect()}
+    for i, text in enumerate(texts):
+        data = (text or "").encode()
+        tokens = re.findall(rb"[0-9A-Za-z\x80-\xff]+|[^\x20\x09-\x0d0-9A-Za-z\x80-\xff]+", data)
+        families = [[bucket_of(t) for t in tokens], [bucket_of(a, b) for a, b in zip(tokens, tokens[1:], strict=False)], [(int.from_bytes(data[k : k + 4], "little") * 2654435761 % 2**32) >> 20 for k in range(len(data) - 3)]]
+        raw = model.bias + sum(quality_rules.SCALE / len(own) * sum(model.weights[f * quality_rules.BUCKETS + b] for b in own) for f, own in enumerate(families) if own)
+        p = 1 / (1 + np.exp(-(1.7 * raw + 0.4)))
+        assert rows[i]["probability"] == pytest.approx(p, abs=1e-9)
+        assert rows[i]["kept"] == (not rows[i]["base_failed"] and p >= quality_rules.THRESHOLD)
+    assert {r["kept"] for r in rows.values()} == {True, False}
+
+
+def test_toxic_marks_equal_brute_force():
+    """Distinct words and pairs, and starts by how often words have them."""
+    texts = ["badword badly badges, bad badword badminton", "one two", "", "réeuxpa réeuxon réeux " * 3]
+    part = next(_words.slices(pa.array(texts), _words.PUNCT))
+    levels = importance_sampling._marks(part)
+    for d, text in enumerate(texts):
+        tokens = re.findall(rb"[0-9A-Za-z\x80-\xff]+|[^\x20\x09-\x0d0-9A-Za-z\x80-\xff]+", text.encode())
+        assert (levels[0][0] == d).sum() == len(set(tokens)) + len(set(zip(tokens, tokens[1:], strict=False)))
+        starts = [t[:n] for n in importance_sampling.STARTS for t in tokens if len(t) > n]
+        for level, times in enumerate(importance_sampling.TIMES, 1):
+            upper = (*importance_sampling.TIMES, 10**9)[level]
+            assert (levels[level][0] == d).sum() == sum(times <= starts.count(s) < upper for s in set(starts))
