@@ -33,9 +33,16 @@ def duplicate_sources(hashes: DataFrame, key: str) -> DataFrame:
     return met.select(key, "sha", F.when(F.col("first") != F.col(key), F.col("first")).alias("duplicate_of"))
 
 
-def version_slugs(sources: DataFrame, name: Column, key: str) -> DataFrame:
-    """(key, version_slug): later sources of one slug get -v2, -v3 ... in the order of their keys. Take copies out first."""
-    numbered = sources.select(key, T.slug(name).alias("slug")).withColumn("n", F.row_number().over(Window.partitionBy("slug").orderBy(key)))
+def version_slugs(sources: DataFrame, name: Column, key: str, width: int = 65_536) -> DataFrame:
+    """(key, version_slug): later sources of one slug get -v2, -v3 ... in the order of their keys, which are whole numbers. Take copies out first.
+
+    A slug is numbered in ranges of ``width`` keys, the counts of those before added up, so a hot one is not one task.
+    """
+    rows = sources.select(key, T.slug(name).alias("slug")).withColumn("range", F.floor(F.col(key) / width))
+    counts = rows.groupBy("slug", "range").agg(F.count("*").alias("n"))
+    ahead = Window.partitionBy("slug").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("slug", "range", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
+    numbered = rows.withColumn("r", F.row_number().over(Window.partitionBy("slug", "range").orderBy(key))).join(counts, ["slug", "range"]).withColumn("n", F.col("r") + F.col("ahead"))
     return numbered.select(key, F.when(F.col("n") == 1, F.col("slug")).otherwise(F.concat("slug", F.lit("-v"), F.col("n").cast("string"))).alias("version_slug"))
 
 

@@ -60,3 +60,11 @@ def test_stream_goes_on_where_it_ended(spark):
     assert got == {1: ("buy", 2), 2: ("buy", 1)}
     states = events.unfinished(events.newest(spark, folder, ["user"]), "kind", ["view"], "12 HOURS")
     assert {r["user"]: r["timed_out"] for r in states.collect()} == {1: False, 2: True}
+
+
+def test_versions_are_numbered_across_ranges(spark):
+    rows = spark.createDataFrame([(k, "same" if k % 3 else "Other one") for k in range(40)], "id long, name string")
+    found = {r["id"]: r["version_slug"] for r in tables.version_slugs(rows, F.col("name"), "id", width=7).collect()}
+    same = [k for k in range(40) if k % 3]
+    assert [found[k] for k in same] == ["same"] + [f"same-v{i}" for i in range(2, len(same) + 1)]
+    assert found[0] == "other_one" and found[39] == "other_one-v14"
