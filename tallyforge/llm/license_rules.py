@@ -139,6 +139,71 @@ _SENTENCES = [
     ("non-commercial", NAMED, "noncommercial", r"(?:for )?noncommercial (?:use|purposes) only"),
     ("non-commercial", NAMED, "commercial", r"not for commercial (?:use|purposes)"),
     ("research-only", NAMED, "only", r"(?:for )?(?:academic|research)(?: and (?:academic|research|educational))? (?:use|purposes) only"),
+    ("mit", NOTICE, "provided as is", r"the software is provided as is without warranty of any kind express or implied"),
+    ("mit", NOTICE, "dealings in the software", r"arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("mit", VERSIONED, "without restriction", r"to deal in the software without restriction including without limitation"),
+    ("isc", NOTICE, "disclaims all", r"the author disclaims all warranties with regard to this software"),
+    ("bsd", NOTICE, "copyright holders and contributors", r"this software is provided by the copyright holders and contributors as is"),
+    ("bsd", VERSIONED, "redistributions", r"redistributions of source code must retain the above copyright notice"),
+    ("bsd", VERSIONED, "redistributions", r"redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd-3-clause", VERSIONED, "neither the name", r"neither the name of .{0,80} nor the names of its contributors"),
+    ("apache-2.0", NOTICE, "as is basis", r"software distributed under the licen[cs]e is distributed on an as is basis"),
+    ("apache-2.0", VERSIONED, "applicable law", r"unless required by applicable law or agreed to in writing"),
+    ("apache", NOTICE, "apache software foundation", r"licensed to the apache software foundation"),
+    ("apache", VERSIONED, "apache software foundation", r"product includes software developed (?:at|by) the apache software foundation"),
+    ("gpl", NOTICE, "hope that it will be useful", r"is distributed in the hope that it will be useful but without any warranty"),
+    ("gpl", NOTICE, "gnu general public", r"you should have received a copy of the gnu general public licen[cs]e"),
+    ("lgpl", NOTICE, "lesser general public", r"you should have received a copy of the gnu lesser general public licen[cs]e"),
+    ("agpl", NOTICE, "affero general public", r"you should have received a copy of the gnu affero general public licen[cs]e"),
+    ("gpl", VERSIONED, "free software foundation", r"as published by the free software foundation"),
+    ("gpl", VERSIONED, "copyleft", r"(?:strong|weak) copyleft licen[cs]e"),
+    ("gfdl", NOTICE, "invariant sections", r"with no invariant sections no front cover texts and no back cover texts"),
+    ("mpl", NOTICE, "mozilla", r"this source code form is subject to the terms of the mozilla public licen[cs]e"),
+    ("mpl", VERSIONED, "incompatible with secondary", r"this source code form is incompatible with secondary licen[cs]es"),
+    ("epl", NOTICE, "eclipse", r"accompanying materials are made available under the terms of the eclipse public licen[cs]e"),
+    ("cddl", NOTICE, "common development", r"contents of this file are subject to the terms of the common development and distribution licen[cs]e"),
+    ("ofl", NOTICE, "font software", r"this font software is licensed under the sil open font licen[cs]e"),
+    ("ofl", VERSIONED, "reserved font name", r"with reserved font names?"),
+    ("artistic", NOTICE, "artistic", r"under the same terms as perl itself or the artistic licen[cs]e"),
+    ("perl", NOTICE, "perl itself", r"redistribute it and or modify it under the same terms as perl itself"),
+    ("zlib", NOTICE, "plainly marked", r"altered source versions must be plainly marked as such"),
+    ("zlib", VERSIONED, "misrepresented", r"the origin of this software must not be misrepresented"),
+    ("boost", NOTICE, "organization obtaining", r"permission is hereby granted free of charge to any person or organization obtaining a copy"),
+    ("php", NOTICE, "php software", r"this product includes php software freely available"),
+    ("openssl", NOTICE, "openssl", r"software developed by the openssl project"),
+    ("libpng", NOTICE, "png reference library", r"the png reference library is supplied as is"),
+    ("icu", NOTICE, "unicode", r"unicode data files and any associated documentation"),
+    ("w3c", NOTICE, "w3c", r"this work is being provided by the copyright holders under the (?:following |w3c )licen[cs]e w3c"),
+    ("odbl", NOTICE, "open database", r"this .{0,40} is made available under the open database licen[cs]e"),
+    ("odbl", VERSIONED, "opendatacommons", r"opendatacommons org licen[cs]es odbl"),
+    ("odc-by", VERSIONED, "opendatacommons", r"opendatacommons org licen[cs]es by"),
+    ("pddl", VERSIONED, "opendatacommons", r"opendatacommons org licen[cs]es pddl"),
+    ("ogl", NOTICE, "public sector", r"contains public sector information licensed under the open government licen[cs]e"),
+    ("unlicense", VERSIONED, "unlicense", r"for more information please refer to (?:http |https )?unlicense org"),
+    ("cc0", NOTICE, "waived all", r"has waived all copyright and related or neighboring rights"),
+    ("creative-commons", NOTICE, "commons", r"this work is licensed under (?:a|the) creative commons"),
+    ("creative-commons", NAMED, "commons", r"licencia creative commons"),
+    ("creative-commons", NAMED, "commons", r"licence creative commons"),
+    ("creative-commons", NAMED, "commons", r"creative commons lizenz"),
+    ("public-domain", NAMED, "copyrighted in", r"is not copyrighted in the united states"),
+    ("public-domain", NAMED, "dominio", r"(?:es|en) (?:de |el )?dominio p\S+blico"),
+    ("public-domain", NAMED, "domaine public", r"(?:dans le|du) domaine public"),
+    ("public-domain", NAMED, "gemeinfrei", r"(?:ist|sind) gemeinfrei"),
+    ("proprietary", NOTICE, "trade secret", r"contains trade secrets? (?:of|and)"),
+    ("proprietary", NAMED, "internal use", r"for internal use only"),
+    ("proprietary", NAMED, "distribution", r"not for (?:public )?distribution"),
+    ("proprietary", NAMED, "resale", r"not for resale"),
+    ("proprietary", NAMED, "personal", r"for personal use only"),
+    ("proprietary", NAMED, "with permission", r"(?:used|reprinted|reproduced) (?:here )?with permission"),
+    ("proprietary", NAMED, "prior written consent", r"without (?:the |our )?prior written consent"),
+    ("proprietary", NAMED, "strictly prohibited", r"(?:copying|reproduction|distribution|use) (?:of this \w+ )?is strictly prohibited"),
+    ("reserved", NAMED, "reservados", r"derechos reservados"),
+    ("reserved", NAMED, "urheberrechtlich", r"urheberrechtlich gesch\S+tzt"),
+    ("unspecified", HINT, "licencia", r"bajo (?:la )?licencia"),
+    ("unspecified", HINT, "sous licence", r"(?:est |sous la |diffus\S+ )?sous licence"),
+    ("unspecified", HINT, "lizenz", r"unter (?:der )?(?:lizenz|freien lizenz)"),
+    ("unspecified", HINT, "lizenziert", r"lizenziert unter"),
+    ("non-commercial", NAMED, "commercial", r"(?:no|any) commercial use (?:is )?(?:allowed|permitted|prohibited)"),
     ("permissive", HINT, "freely", r"may be (?:used|copied|distributed)(?: [a-z ]{0,30})? freely"),
     ("unspecified", HINT, "licen", r"(?:see|read) (?:the )?(?:accompanying )?licen[cs]e (?:file|text|agreement)"),
     ("unspecified", HINT, "licen", r"(?:is|are) (?:dual |multi )?licen[cs]ed under"),
