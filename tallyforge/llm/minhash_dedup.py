@@ -190,9 +190,10 @@ def _placed(docs: DataFrame, size: int, threshold: int, collections: int, rows:
     if not more.isEmpty():
         grouped = connected_components(links.unionByName(more), scratch)
 
-    named = vertices.select("id", "doc").join(grouped, "id", "left").select("id", "doc", F.coalesce("component", "id").alias("component"))
-    smallest = named.groupBy("component").agg(F.min("doc").alias("component_id"))
-    named = named.join(smallest, "component").select(F.col("id").alias("fp"), "component_id")
+    linked = vertices.select("id", "doc").join(grouped, "id")
+    smallest = scratch.written(linked.groupBy("component").agg(F.min("doc").alias("component_id")), "smallest")
+    linked = linked.join(smallest, "component").select("id", "component_id")
+    named = vertices.select("id", "doc").join(linked, "id", "left").select(F.col("id").alias("fp"), F.coalesce("component_id", "doc").alias("component_id"))
     out = signed.select("doc_id", "row", "n_shingles", "fp").join(named, "fp", "left")
     component = F.coalesce("component_id", "doc_id")
     out = out.select("doc_id", "row", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
