@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import decontamination, html_extraction, importance_sampling, license_scan, minhash_dedup, packing, quality_rules, sharding, token_output, warc
+from tallyforge.llm import decontamination, html_extraction, importance_sampling, license_scan, minhash_dedup, packing, periodic_runs, quality_rules, sharding, token_output, warc
 from tallyforge.llm._shared import new_folder, table
 
 
@@ -54,7 +54,15 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-OPERATORS = (op1_license_scan, op2_quality_rules, op3_decontamination, op4_warc, op5_html_extraction, op6_packing, op7_minhash_dedup, op8_token_output, op9_quality_classifier, op10_sharding)
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.with_periodic_tails(table(spark, sf_dir, "documents"))
+    return periodic_runs.digest(periodic_runs.periodic_runs(docs))
+
+
+OPERATORS = (
+    op1_license_scan, op2_quality_rules, op3_decontamination, op4_warc, op5_html_extraction, op6_packing, op7_minhash_dedup, op8_token_output,
+    op9_quality_classifier, op10_sharding, op11_periodic_runs,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
