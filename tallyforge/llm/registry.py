@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import decontamination, html_extraction, importance_sampling, license_scan, minhash_dedup, packing, periodic_runs, quality_rules, sharding, token_output, warc
+from tallyforge.llm import decontamination, html_extraction, importance_sampling, improbable_digest, license_scan, minhash_dedup, packing, periodic_runs, quality_rules, sharding, token_output, warc
 from tallyforge.llm._shared import new_folder, table
 
 
@@ -59,9 +59,14 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digest(periodic_runs.periodic_runs(docs))
 
 
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return improbable_digest.against_edits(docs, improbable_digest.rarity(docs))
+
+
 OPERATORS = (
     op1_license_scan, op2_quality_rules, op3_decontamination, op4_warc, op5_html_extraction, op6_packing, op7_minhash_dedup, op8_token_output,
-    op9_quality_classifier, op10_sharding, op11_periodic_runs,
+    op9_quality_classifier, op10_sharding, op11_periodic_runs, op12_document_fingerprints,
 )
 
 
