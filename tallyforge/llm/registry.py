@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyforge.llm import decontamination, html_extraction, importance_sampling, improbable_digest, license_scan, minhash_dedup, packing, periodic_runs, quality_rules, sharding, token_output, warc
+from tallyforge.llm import decontamination, hard_negatives, html_extraction, importance_sampling, improbable_digest, license_scan, minhash_dedup, packing, periodic_runs, quality_rules, sharding, token_output, warc
 from tallyforge.llm._shared import new_folder, table
 
 
@@ -64,9 +65,14 @@ def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return improbable_digest.against_edits(docs, improbable_digest.rarity(docs))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hard_negatives.with_moved_labels(table(spark, sf_dir, "embeddings"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
 OPERATORS = (
     op1_license_scan, op2_quality_rules, op3_decontamination, op4_warc, op5_html_extraction, op6_packing, op7_minhash_dedup, op8_token_output,
-    op9_quality_classifier, op10_sharding, op11_periodic_runs, op12_document_fingerprints,
+    op9_quality_classifier, op10_sharding, op11_periodic_runs, op12_document_fingerprints, op13_hard_negatives,
 )
 
 
@@ -115,6 +121,24 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHE
 FROM m
 """
 
+_OP13_SQL = r"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) for x in embedding] AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([1 for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), positive AS (
+  SELECT anchor_id, id, score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+), ranked AS (
+  SELECT p.anchor_id, p.id AS positive_id, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id) AS rank
+  FROM positive p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 5
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": _OP4_SQL, "op7_minhash_dedup": _OP7_SQL}
+    return {"op4_warc": _OP4_SQL, "op7_minhash_dedup": _OP7_SQL, "op13_hard_negatives": _OP13_SQL}
