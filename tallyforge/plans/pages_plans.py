@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyforge.operators import coverage as C
 from tallyforge.operators import layout as Y
 from tallyforge.operators import pages as G
 from tallyforge.plans import fixtures as X
@@ -175,7 +176,49 @@ def a28(spark, sf_dir):
         F.lit("Line Item Total: 1.00"), F.lit("one"), F.lit("two"), F.lit(" "), F.lit("three"), F.lit("four"), F.lit("Net Claim: 7.00"), even("Summary for"), even("AA-Other"), even("Subtotal: 10.00"),
         F.lit("Roof - paid when incurred"), F.lit("Replacement Cost Value"), F.lit("<20.00>"), F.lit("Summary for All Items"), third("Summary for Nothing"),
     )
-    return G.coverage_blocks(lines).withColumn("amount", F.col("amount").cast("double"))
+    return C.coverage_blocks(lines).withColumn("amount", F.col("amount").cast("double")).drop("pages")
+
+
+@query(
+    "a28_wrapped_and_unread_coverages",
+    """WITH o AS (SELECT o_orderkey AS doc_id, CAST(o_totalprice AS DECIMAL(18,2)) AS t, o_orderkey % 5 AS k FROM orders), b AS (
+    SELECT doc_id, 1 AS ord, 'A' AS code, 'Dwelling' AS name, '35 Windstorm and Hail' AS sub, false AS incurred, unnest(['net_claim', 'rcv', 'cleaning_sales_tax', 'net_claim_recovered']) AS field, unnest([t, 5.00, 1.00, t + 2]) AS amount,
+      CASE k WHEN 0 THEN [1, 2, 3] WHEN 3 THEN [0, 1, 2, 3] ELSE [0, 1, 2] END AS pages FROM o
+    UNION ALL SELECT doc_id, 2, NULL, 'Total', NULL, true, NULL, NULL, CASE WHEN k = 0 THEN [4] ELSE [3] END FROM o WHERE k < 2 UNION ALL SELECT doc_id, 2, 'B', 'Contents', 'Loss of', false, 'deductible', 3.00, [3, 4] FROM o WHERE k = 2)
+    SELECT doc_id, ord::INT AS ord, code, name, sub, incurred, field, amount::DOUBLE AS amount, pages::INT[] AS pages FROM b""",
+)
+def a28_cases(spark, sf_dir):
+    """Amounts that can't be read at first, names that go on in the next line, and labels with the words of an opening."""
+    k, money = F.col("o_orderkey") % 5, lambda c: F.format_number(c, 2)
+    on = lambda i, text: F.when(k == i, text)
+    cover = [on(0, "Cover page"), on(0, "Summary for All Items"), on(0, "Net Claim: 9.00")]
+    lines = _lines(
+        read(spark, sf_dir, "orders"), F.col("o_orderkey"), *cover,
+        F.lit("Summary for"), F.lit("Coverage A - Dwelling - 35 Windstorm and"), F.lit("Hail"), F.lit("Net Claim: see below"), F.concat(F.lit("Net Claim: "), money("o_totalprice")), F.lit("Total paid when incurred: 5.00"), F.lit("Cleaning Sales Tax"), F.lit("$1.00"),
+        F.concat(F.lit("Total Amount of Claim If Incurred: "), money(F.col("o_totalprice") + 2)), F.when(k < 2, "Total Paid When Incurred"), on(2, "Summary for Cov B - Contents - Loss of"), on(2, "Summary for All Items"), on(2, "Less Deductible"), on(2, "3.00"), on(3, "Overhead"), on(3, "Summary for taken by the label before"),
+    )
+    return C.coverage_blocks(lines).withColumn("amount", F.col("amount").cast("double"))
+
+
+@query(
+    "a30_cascade_coverages",
+    "WITH " + X.ITEMS + """, s AS (SELECT doc_id, line_no, CASE WHEN line_no = 1 THEN 'inside' WHEN line_no % 2 = 0 THEN 'outside' ELSE 'mixed' END AS area, CASE WHEN line_no = 2 THEN sum(rcv) + 1 ELSE sum(rcv) END AS total FROM items GROUP BY doc_id, line_no),
+    p AS (SELECT doc_id, list(line_no ORDER BY line_no) AS names, list(total ORDER BY line_no) AS parts, count(*) AS n, coalesce(sum(total) FILTER (line_no <= 3), 0) AS t0, coalesce(sum(total) FILTER (line_no > 3), 0) AS t1 FROM s GROUP BY doc_id),
+    m AS (SELECT *, unnest(range(0, 1 << n::INT)) AS mask FROM p WHERE t0 > 0 AND t1 > 0 AND t0 <> t1), u AS (SELECT *, list_sum(list_transform(range(n), lambda i: CASE WHEN (mask >> i) & 1 = 1 THEN parts[i + 1] ELSE 0 END)) AS s1, list_sum(parts) AS whole FROM m),
+    f AS (SELECT doc_id, count(*) AS answers, max(mask) AS mask FROM u WHERE abs(s1 - t1) <= 0.05 AND abs(whole - s1 - t0) <= 0.05 GROUP BY doc_id),
+    g AS (SELECT doc_id, unnest(names) AS line_no, unnest(list_transform(range(n), lambda i: CASE WHEN answers = 1 THEN CASE WHEN (mask >> i) & 1 = 1 THEN 'late' ELSE 'early' END END)) AS coverage_id FROM p LEFT JOIN f USING (doc_id)),
+    a AS (SELECT doc_id, area, CASE WHEN count(coverage_id) = count(*) AND min(coverage_id) = max(coverage_id) THEN min(coverage_id) END AS coverage_id FROM s JOIN g USING (doc_id, line_no) GROUP BY ALL)
+    SELECT doc_id, 'section' AS level, line_no::VARCHAR AS id, coverage_id FROM g UNION ALL SELECT doc_id, 'item', item_id::VARCHAR, coverage_id FROM items JOIN g USING (doc_id, line_no) UNION ALL SELECT doc_id, 'area', area, coverage_id FROM a""",
+)
+def a30_cascade(spark, sf_dir):
+    """Sections are line numbers, of which the second has a printed total; coverages are those up to the third and those after."""
+    items = X.line_items(spark, sf_dir).withColumn("section", F.col("line_no"))
+    line = F.col("section")
+    printed = items.where("section = 2").groupBy("doc_id", "section").agg((F.sum("rcv") + 1).alias("total")).withColumn("ord", F.lit(1))
+    totals = C.section_totals(items, printed)
+    covered = totals.groupBy("doc_id", F.when(line <= 3, "early").otherwise("late").alias("coverage_id")).agg(F.sum("total").alias("rcv"))
+    sections = totals.select("doc_id", "section", F.when(line == 1, "inside").when(line % 2 == 0, "outside").otherwise("mixed").alias("area"))
+    return C.cascade_coverages(C.attribute_by_unique_split(totals, covered), sections, items)
 
 
 _SPLIT = "WITH " + X.ITEMS + """, s AS (SELECT doc_id, line_no, sum(rcv) AS total FROM items GROUP BY ALL), p AS (SELECT doc_id, list(line_no ORDER BY line_no) AS names, list(total ORDER BY line_no) AS parts, count(*) AS n, coalesce(sum(total) FILTER (line_no % 2 = 0), 0) AS t0, coalesce(sum(total) FILTER (line_no % 2 = 1), 0) AS t1 FROM s GROUP BY doc_id),
@@ -194,7 +237,7 @@ def a30(spark, sf_dir):
     items = X.line_items(spark, sf_dir)
     sections = items.groupBy("doc_id", F.col("line_no").alias("section")).agg(F.sum("rcv").alias("total"))
     sums = items.groupBy("doc_id", F.when(F.col("line_no") % 2 == 0, "even").otherwise("odd").alias("coverage_id")).agg(F.sum("rcv").alias("rcv"))
-    return G.attribute_by_unique_split(sections, sums)
+    return C.attribute_by_unique_split(sections, sums)
 
 
 @query(
@@ -210,7 +253,7 @@ def x4(spark, sf_dir):
     items = X.line_items(spark, sf_dir)
     sections = items.groupBy("doc_id", F.col("line_no").alias("section")).agg(F.sum("rcv").alias("total"))
     sums = items.groupBy("doc_id", (F.col("line_no") % 3).cast("int").alias("coverage_id")).agg(F.sum("rcv").alias("rcv"))
-    return G.attribute_by_unique_split(sections, sums)
+    return C.attribute_by_unique_split(sections, sums)
 
 
 @query(

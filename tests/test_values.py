@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text as T
+from tallyforge.operators import coverage as C
 from tallyforge.operators import evidence as E
 from tallyforge.operators import linkage as L
 from tallyforge.operators import pages as G
@@ -64,17 +65,17 @@ def test_null_tax_is_nothing(spark):
 
 def test_split_is_single_or_none():
     one = [Decimal(x) for x in ("10", "20", "35")]
-    assert G.unique_split(one, [Decimal("30"), Decimal("35")], Decimal("0.05")) == [0, 0, 1]
-    assert G.unique_split([Decimal(5), Decimal(5), Decimal(10)], [Decimal(10), Decimal(10)], Decimal("0.05")) is None
-    assert G.unique_split(one, [Decimal("31"), Decimal("34")], Decimal("0.05")) is None
+    assert C.unique_split(one, [Decimal("30"), Decimal("35")], Decimal("0.05")) == [0, 0, 1]
+    assert C.unique_split([Decimal(5), Decimal(5), Decimal(10)], [Decimal(10), Decimal(10)], Decimal("0.05")) is None
+    assert C.unique_split(one, [Decimal("31"), Decimal("34")], Decimal("0.05")) is None
 
 
 def test_split_notes(spark):
     sections = spark.createDataFrame([(d, f"s{i}", Decimal(v)) for d in (1, 2, 3, 4) for i, v in enumerate((5, 5, 10))] + [(5, f"s{i:02}", Decimal(i + 1)) for i in range(17)], "doc_id int, section string, total decimal(18,2)")
     covered = {1: (10, 10), 2: (20,), 3: (5, 15), 4: (10, 11), 5: (100, 53)}
     coverages = spark.createDataFrame([(d, f"c{i}", Decimal(v)) for d, vs in covered.items() for i, v in enumerate(vs)], "doc_id int, coverage_id string, rcv decimal(18,2)")
-    notes = {r["doc_id"]: r["note"] for r in G.attribute_by_unique_split(sections, coverages).collect()}
-    assert notes == {1: "coverages of equal amounts", 2: "fewer than two coverages", 3: "no single assignment", 4: "no single assignment", 5: "too many sections"}
+    notes = {r["doc_id"]: r["note"] for r in C.attribute_by_unique_split(sections, coverages).collect()}
+    assert notes == {1: "coverages of equal amounts", 2: "fewer than two coverages", 3: "no single assignment", 4: "no single assignment", 5: "no single assignment"}
 
 
 def brute_fifo(rows):
