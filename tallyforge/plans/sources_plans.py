@@ -8,6 +8,7 @@ from tallyforge.plans._register import query, read
 from tallyforge.sources import tables as S
 from tallyforge.sources._folder import new_folder
 from tallyforge.streaming import events as E
+from tallyforge.streaming import stateful as ST
 
 _SLUG = "regexp_replace(regexp_replace(lower({c}), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')"
 _NESTED = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
@@ -173,9 +174,24 @@ def st2_sliding(spark, sf_dir):
     s AS (SELECT user_id, ts, sum(begins) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT user_id, epoch_us(min(ts)) AS session_start, count(*) AS n FROM s GROUP BY user_id, s""",
 )
 def st2_sessions(spark, sf_dir):
+    """An event after all others ends every session."""
     folder = new_folder(spark, "stream")
-    E.run(E.session_counts(_events(spark, sf_dir), "user_id", gap="6 hours"), folder, mode="complete")
-    return E.last_batch(spark, folder).withColumn("session_start", F.unix_micros("session_start"))
+    closing = E.closing_event(spark, f"{sf_dir}/events.parquet", f"{folder}/closing", after="8 hours")
+    E.run(E.session_counts(_events(spark, sf_dir).unionByName(closing), "user_id", gap="6 hours"), folder, mode="append")
+    return E.appended(spark, folder).withColumn("session_start", F.unix_micros("session_start"))
+
+
+@query(
+    "st2_closed_sessions",
+    """WITH g AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER w >= INTERVAL 2 HOUR, true)::INT AS begins FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    s AS (SELECT user_id, ts, sum(begins) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
+    SELECT user_id, epoch_us(min(ts)) AS session_start, count(*) AS n FROM s GROUP BY user_id, s HAVING max(ts) + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 3 HOUR""",
+)
+def st2_closed(spark, sf_dir):
+    """Those whose end the watermark has passed; the others stay open."""
+    folder = new_folder(spark, "stream")
+    E.run(E.session_counts(_events(spark, sf_dir), "user_id", gap="2 hours", late="3 hours"), folder, mode="append")
+    return E.appended(spark, folder).withColumn("session_start", F.unix_micros("session_start"))
 
 
 @query("st3_stream_import", "SELECT doc_id, CASE WHEN n_chars < 200 THEN 'failed' ELSE 'processed' END AS status, CASE WHEN n_chars < 200 THEN 'too short' END AS reason FROM documents")
@@ -200,3 +216,32 @@ def st4(spark, sf_dir):
 )
 def st5(spark, sf_dir):
     return E.unfinished(_last(spark, sf_dir), "event_type", ["purchase"], "12 HOURS").select("user_id", "event_type", "finished", "timed_out")
+
+
+@query(
+    "st1_folded_reviews",
+    """WITH e AS (SELECT user_id, event_id, ts, CASE event_type WHEN 'purchase' THEN 'status' WHEN 'error' THEN 'note' ELSE 'override:' || event_type END AS field, CASE event_type WHEN 'purchase' THEN 'approved' ELSE event_id::VARCHAR END AS value FROM events),
+    l AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY user_id, field ORDER BY ts DESC, event_id DESC) = 1), n AS (SELECT user_id, count(*) AS n_events FROM e GROUP BY 1)
+    SELECT user_id, field, value, n_events FROM l JOIN n USING (user_id)""",
+)
+def st1_folded(spark, sf_dir):
+    """Each event sets a status, a note or an override. All come twice, once in each of two runs; the second changes nothing."""
+    folder, kind = new_folder(spark, "stream"), F.col("event_type")
+    field = F.when(kind == "purchase", "status").when(kind == "error", "note").otherwise(F.concat(F.lit("override:"), kind))
+    rows = read(spark, sf_dir, "events").select("user_id", "event_id", "ts", field.alias("field"), F.when(kind == "purchase", "approved").otherwise(F.col("event_id").cast("string")).alias("value"))
+    for run in (1, 2):
+        rows.write.parquet(f"{folder}/reviews/run={run}")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/reviews/run=*")
+        E.run(ST.folded_reviews(stream, "user_id", "field", "value", late="60 days"), folder)
+    return E.newest(spark, folder, ["user_id"]).select("user_id", F.explode("fields").alias("field", "value"), "n_events")
+
+
+@query(
+    "st5_stream_timeouts",
+    "WITH l AS (" + _LAST + ") SELECT user_id, event_type, event_type = 'purchase' AS finished, event_type <> 'purchase' AND epoch_ms(last_ts) + 6 * 3600000 <= (SELECT epoch_ms(max(last_ts)) FROM l) - 3600000 AS timed_out FROM l",
+)
+def st5_timeouts(spark, sf_dir):
+    """Timers of the stream itself say what has timed out."""
+    folder = new_folder(spark, "stream")
+    E.run(ST.lifecycles(_events(spark, sf_dir), "user_id", "event_type", ["purchase"], "6 hours"), folder)
+    return E.newest(spark, folder, ["user_id"]).select("user_id", "event_type", "finished", "timed_out")

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.streaming.stateful import once
+
 
 def read_stream(spark: SparkSession, path: str, *, files_per_batch: int = 1000) -> DataFrame:
     """New Parquet files under a path (a folder or one file), each once."""
@@ -20,8 +22,13 @@ def read_stream(spark: SparkSession, path: str, *, files_per_batch: int = 1000)
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch).parquet(pattern)
 
 
-def latest_state(stream: DataFrame, key: str, fields: Sequence[str], ts: str = "ts", event_id: str = "event_id") -> DataFrame:
-    """The newest event's fields and the number of events per key. A repeated event changes the number but not the state."""
+def latest_state(stream: DataFrame, key: str, fields: Sequence[str], ts: str = "ts", event_id: str = "event_id", late: str = "30 days") -> DataFrame:
+    """The newest event's fields and the number of events per key.
+
+    An event id that comes again within ``late`` changes nothing; events later
+    than that are not taken.
+    """
+    stream = once(stream, event_id, ts, late)
     newest = F.max_by(F.struct(*fields, F.col(ts).alias("last_ts")), F.struct(ts, event_id)).alias("last")
     return stream.groupBy(key).agg(newest, F.count("*").alias("n_events")).select(key, "last.*", "n_events")
 
@@ -34,7 +41,11 @@ def event_counts(stream: DataFrame, kind: str, *, size: str, slide: str | None =
 
 
 def session_counts(stream: DataFrame, key: str, *, gap: str, late: str = "1 hour", ts: str = "ts") -> DataFrame:
-    """Events of each session of a key, a session ending after ``gap`` without one. Sessions grow and merge, so it needs complete mode."""
+    """Events of each session of a key, a session ending after ``gap`` without one.
+
+    For append mode: a session comes once, when the watermark passes its end, and
+    leaves the state.
+    """
     timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
     return timed.groupBy(F.session_window(ts, gap), key).agg(F.count("*").alias("n")).select(F.col("session_window.start").alias("session_start"), key, "n")
 
@@ -53,8 +64,9 @@ def run(out: DataFrame, folder: str, *, mode: str = "update") -> None:
     """Takes all that is new into ``folder``, and ends. Called again, it goes on where it ended."""
     table = f"{folder}/table"
     spark = out.sparkSession
-    # So that a stream without rows has a table too.
-    spark.createDataFrame([], out.schema).write.mode("overwrite").parquet(f"{table}/batch=-1")
+    first = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/batch=-1")
+    if not first.getFileSystem(spark._jsc.hadoopConfiguration()).exists(first):  # so that a stream without rows has a table too
+        spark.createDataFrame([], out.schema).write.parquet(f"{table}/batch=-1")
 
     def put(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{table}/batch={n}")
@@ -74,11 +86,12 @@ def newest(spark: SparkSession, folder: str, keys: Sequence[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("row")).select(*keys, "row.*")
 
 
-def last_batch(spark: SparkSession, folder: str) -> DataFrame:
-    """What run() wrote last in complete mode."""
-    rows = spark.read.parquet(f"{folder}/table")
-    at = rows.agg(F.max("batch")).collect()[0][0]
-    return rows.where(F.col("batch") == F.lit(at)).drop("batch")
+def closing_event(spark: SparkSession, path: str, folder: str, *, after: str, ts: str = "ts") -> DataFrame:
+    """A stream of one event ``after`` the newest under a path, with nulls but for its time: unioned with it, it lets the watermark pass all others."""
+    rows = spark.read.parquet(path)
+    last = rows.agg((F.max(F.col(ts).cast("timestamp")) + F.expr(f"INTERVAL {after}")).cast(rows.schema[ts].dataType).alias(ts))
+    last.select(*(F.col(ts) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema)).write.parquet(folder)
+    return spark.readStream.schema(rows.schema).parquet(folder)
 
 
 def unfinished(states: DataFrame, kind: str, final: Sequence[str], timeout: str, ts: str = "last_ts") -> DataFrame:
