@@ -10,6 +10,7 @@ broadcast by Spark where its size estimate allows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -199,41 +200,154 @@ def idf(records: DataFrame, key: str) -> DataFrame:
     return tokens.groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("token", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
-def score_lexical(queries: DataFrame, records: DataFrame, key: str, *, low_information: Sequence[str] = (), k: int = 25) -> DataFrame:
+def _text_weights(queries: DataFrame, records: DataFrame, key: str, low_information: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Distinct texts of both sides, (a, qa, ...) and (b, qb, ...), with their tokens as structs of token, idf and whether it is informative, rarest first."""
+    weights = idf(records.withColumn("tokens", T.tokens(F.col("text"))), key).select("token", "idf")
+    informative = ~F.col("token").isin(list(low_information)) if low_information else F.lit(True)
+
+    def weighed(texts: DataFrame, text: str, q: str) -> DataFrame:
+        each = texts.select(F.col("text").alias(text)).distinct().withColumn(q, F.xxhash64(text)).withColumn("token", F.explode_outer(T.tokens(F.col(text))))
+        known = each.join(weights, "token", "left").withColumns({"idf": F.coalesce("idf", F.lit(1.0)), "informative": informative})
+        listed = F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), F.struct((-F.col("idf")).alias("order"), "token", "idf", "informative"))))
+        return known.groupBy(text, q).agg(listed.alias("tokens"), F.coalesce(F.sum(F.when(F.col("token").isNotNull(), F.col("idf"))), F.lit(0.0)).alias("weight"), F.count_if(F.col("token").isNotNull() & F.col("informative")).alias("n"))
+
+    return weighed(queries, "a", "qa"), weighed(records, "b", "qb")
+
+
+def _overlaps(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Adds a, b, wa, wb and the parts of the score that tokens alone decide: jaccard and recall."""
+    met = pairs.join(left.select("qa", "a", F.col("tokens").alias("ta"), F.col("weight").alias("wa"), F.col("n").alias("na")), "qa").join(right.select("qb", "b", F.transform("tokens", lambda t: t["token"]).alias("tb"), F.col("weight").alias("wb")), "qb")
+    shared = F.filter("ta", lambda t: F.array_contains("tb", t["token"]))
+    met = met.withColumn("shared", shared).withColumn("common", F.aggregate("shared", F.lit(0.0), lambda s, t: s + t["idf"]))
+    jaccard = F.col("common") / (F.col("wa") + F.col("wb") - F.col("common"))
+    recall = F.when(F.col("na") > 0, F.size(F.filter("shared", lambda t: t["informative"])) / F.col("na")).otherwise(jaccard)
+    return met.withColumn("jaccard", jaccard).withColumn("recall", recall).drop("shared", "common")
+
+
+def _sorted_text(words: Column) -> Column:
+    return F.array_join(F.array_sort(words), " ")
+
+
+def _exact_lexical(met: DataFrame, method: str) -> DataFrame:
+    """Adds ``lexical`` to the rows of _overlaps."""
+    inside = F.contains("a", "b") | F.contains("b", "a")
+    ratio = F.least(F.length("a"), F.length("b")) / F.greatest(F.length("a"), F.length("b"))
+    texts = T.similarity(F.col("a"), F.col("b"), method), T.similarity(_sorted_text(F.transform("ta", lambda t: t["token"])), _sorted_text(F.col("tb")), method)
+    total = 0.34 * F.col("jaccard") + 0.25 * F.col("recall") + 0.21 * texts[0] + 0.12 * texts[1] + 0.08 * F.when(inside, ratio).otherwise(0.0)
+    return met.withColumn("lexical", F.round(F.when(F.col("a") == F.col("b"), 1.0).otherwise(total), 6))
+
+
+def score_lexical(queries: DataFrame, records: DataFrame, key: str, *, low_information: Sequence[str] = (), k: int = 25, method: str = "levenshtein") -> DataFrame:
     """(a, b, lexical): per distinct query text a (column text) the ``k`` most similar distinct record texts b (key, text) that share a token with it.
 
     .34 idf-weighted Jaccard + .25 share of the query's informative tokens that
     the record has + .21 similarity + .12 similarity of sorted tokens + .08 length
-    ratio if one text contains the other; equal texts are 1. Weights are summed
-    per side, and only the shared tokens of distinct texts are joined.
+    ratio if one text contains the other; equal texts are 1. Only the shared
+    tokens of distinct texts are joined.
     """
-    a_texts = queries.select(F.col("text").alias("a")).distinct().withColumns({"ta": T.tokens(F.col("a")), "qa": F.xxhash64("a")})
-    b_texts = records.select(F.col("text").alias("b")).distinct().withColumns({"tb": T.tokens(F.col("b")), "qb": F.xxhash64("b")})
-    weights = idf(records.withColumn("tokens", T.tokens(F.col("text"))), key).select("token", "idf")
-    informative = ~F.col("token").isin(list(low_information)) if low_information else F.lit(True)
-    left = a_texts.select("qa", F.explode("ta").alias("token")).join(weights, "token", "left").withColumn("idf", F.coalesce("idf", F.lit(1.0)))
-    right = b_texts.select("qb", F.explode("tb").alias("token")).join(weights, "token")
-    a_sums = left.groupBy("qa").agg(F.sum("idf").alias("wa"), F.count_if(informative).alias("na"))
-    b_sums = right.groupBy("qb").agg(F.sum("idf").alias("wb"))
-    shared = left.join(right.select("qb", "token"), "token").groupBy("qa", "qb").agg(F.sum("idf").alias("common"), F.count_if(informative).alias("has"))
-    met = shared.join(a_sums, "qa").join(b_sums, "qb").join(a_texts, "qa").join(b_texts, "qb")
-    sorted_a, sorted_b = F.array_join(F.array_sort("ta"), " "), F.array_join(F.array_sort("tb"), " ")
-    inside = F.contains("a", "b") | F.contains("b", "a")
-    ratio = F.least(F.length("a"), F.length("b")) / F.greatest(F.length("a"), F.length("b"))
-    jaccard = F.col("common") / (F.col("wa") + F.col("wb") - F.col("common"))
-    recall = F.when(F.col("na") > 0, F.col("has") / F.col("na")).otherwise(jaccard)
-    total = 0.34 * jaccard + 0.25 * recall + 0.21 * T.similarity(F.col("a"), F.col("b")) + 0.12 * T.similarity(sorted_a, sorted_b) + 0.08 * F.when(inside, ratio).otherwise(0.0)
-    scored = met.select("a", "b", F.round(F.when(F.col("a") == F.col("b"), 1.0).otherwise(total), 6).alias("lexical"))
+    left, right = _text_weights(queries, records, key, low_information)
+    token = lambda df, q: df.select(q, F.explode("tokens").alias("t")).select(q, "t.token")
+    pairs = token(left, "qa").join(token(right, "qb"), "token").select("qa", "qb").distinct()
+    scored = _exact_lexical(_overlaps(pairs, left, right), method).select("a", "b", "lexical")
     best = Window.partitionBy("a").orderBy(F.desc("lexical"), "b")
     return scored.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
 
 
-def rank_in_context(candidates: DataFrame, item: str, key: str, trade: Column, action: Column, unit: Column, k: int) -> DataFrame:
-    """(item, key, score, rank): the ``k`` best candidates (item, key, lexical) with the signs of trade, action and unit.
+@dataclass(frozen=True)
+class Context:
+    """What ranks records beside their texts.
+
+    ``trade`` is an expression of query and record columns, ``action`` and
+    ``unit`` of query columns and the record's text b. ``asked`` and ``told`` name
+    the columns they read, ``spoken`` those of the query that action and unit and
+    ``most`` read. ``trades`` are the least and most that ``trade`` can be,
+    ``most`` is an expression of query columns for the most that .55 * action +
+    .015 * unit can be.
+    """
 
-    The trade's weighs .08 where lexical is .85 or more, else .02, the action's
-    .55, the unit's .015; scores are 0 at least and have no upper bound.
+    trade: Column
+    action: Column
+    unit: Column
+    asked: Sequence[str]
+    spoken: Sequence[str]
+    told: Sequence[str]
+    trades: tuple[float, float]
+    most: Column
+
+
+def retrieve(
+    queries: DataFrame, records: DataFrame, item: str, key: str, context: Context, *, low_information: Sequence[str] = (), k: int = 10, common: float = 0.25, method: str = "levenshtein"
+) -> DataFrame:
+    """(item, key, score, rank): the ``k`` best of all records (key, text, context.told) that share a token with an item (item, text, context.asked).
+
+    A score is the lexical one with the signs of the context: the trade's weighs
+    .08 where lexical is .85 or more, else .02, the action's .55, the unit's .015;
+    0 at least, without an upper bound. The result equals scoring every record
+    that shares a token; bounds leave out what can't be among the first k:
+
+    1. Distinct texts meet by the rarer tokens of a query, all but the most
+       frequent ones that have at most ``common`` of its weight.
+    2. Tokens, lengths and the context bound each text's scores from both sides.
+       The k-th lower bound, counted in records, is a floor; texts that can't
+       reach it go before any similarity is computed.
+    3. Where the floor of a query is lower than what a text that shares only its
+       frequent tokens can score, that query takes these tokens too.
+    4. Records of one text and context are alike, so that k of them are enough.
     """
+    left, right = _text_weights(queries, records, key, low_information)
+    rest = F.reduce("tokens", F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n")), lambda s, t: F.struct((s["sum"] + t["idf"]).alias("sum"), F.when(s["sum"] + t["idf"] <= F.col("weight") * (1 - common), s["n"] + 1).otherwise(s["n"]).alias("n")))
+    # the rarest tokens up to the one that brings their weight to 1 - common
+    left = left.withColumn("n_rare", F.least(F.size("tokens"), rest["n"] + 1)).withColumn("frequent", F.slice("tokens", F.col("n_rare") + 1, F.size("tokens")))
+    words = right.select("qb", F.explode("tokens").alias("t")).select("qb", "t.token")
+    rare = left.select("qa", F.explode(F.slice("tokens", 1, F.greatest("n_rare", F.lit(1)))).alias("t")).select("qa", "t.token")
+    asked = queries.select(F.col("text").alias("a"), *context.asked).distinct()
+    asked = asked.withColumns({"qa": F.xxhash64("a"), "s": F.xxhash64("a", *context.spoken), "q": F.xxhash64("a", *context.asked)})
+    spoken = asked.select("qa", "s", *context.spoken).distinct()
+    counted = records.groupBy(F.xxhash64("text").alias("qb")).agg(F.count("*").alias("n_records"))
+    low_trade, high_trade = context.trades
+
+    def with_floor(rows: DataFrame) -> DataFrame:
+        """Adds the lower bound that k records of a query's texts reach."""
+        by = Window.partitionBy("s").orderBy(F.desc("low"), "qb")
+        rows = rows.withColumn("so_far", F.sum("n_records").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+        return rows.withColumn("floor", F.max(F.when(F.col("so_far") >= k, F.col("low"))).over(Window.partitionBy("s")))
+
+    def bounded(pairs: DataFrame) -> DataFrame:
+        """A query's texts with bounds of their scores and the query's floor."""
+        length = lambda x, y: 1 - F.abs(F.length(x) - F.length(y)) / F.greatest(F.length(x), F.length(y), F.lit(1))
+        most_similar = length("a", "b") if method == "levenshtein" else 2 * F.least(F.length("a"), F.length("b")) / F.greatest(F.length("a") + F.length("b"), F.lit(1))
+        known = _overlaps(pairs, left, right)
+        base = 0.34 * F.col("jaccard") + 0.25 * F.col("recall")
+        same = F.col("a") == F.col("b")
+        known = known.withColumns({"low": F.when(same, 1.0).otherwise(base), "high": F.when(same, 1.0).otherwise(base + 0.21 * most_similar + 0.12 + 0.08 * most_similar)})
+        met = known.select("qa", "qb", "b", "low", "high").join(spoken, "qa").join(counted, "qb").withColumn("signs", 0.55 * context.action + 0.015 * context.unit)
+        met = met.select("qa", "qb", "s", "n_records", "signs", "low", "high").withColumns({"low": F.greatest(F.lit(0.0), F.col("low") + F.col("signs") + min(0.0, 0.08 * low_trade) - 2e-6), "high": F.greatest(F.lit(0.0), F.col("high") + F.col("signs") + max(0.0, 0.08 * high_trade) + 2e-6)})
+        return with_floor(met)
+
+    first = rare.join(words, "token").select("qa", "qb").distinct()
+    floors = bounded(first).groupBy("s").agg(F.max("floor").alias("floor"))
+    left_over = left.where(F.size("frequent") > 0).select("qa", "weight", "n", "frequent", F.aggregate("frequent", F.lit(0.0), lambda s, t: s + t["idf"]).alias("r"))
+    reach = 0.34 * F.col("r") / F.col("weight") + 0.25 * F.when(F.col("n") > 0, F.size(F.filter("frequent", lambda t: t["informative"])) / F.col("n")).otherwise(F.col("r") / F.col("weight")) + 0.41 + context.most + max(0.0, 0.08 * high_trade) + 2e-6
+    short = spoken.join(left_over, "qa").join(floors, "s", "left").where(F.col("floor").isNull() | (F.col("floor") <= reach)).select("qa", F.explode("frequent").alias("t")).select("qa", "t.token").distinct()
+    pairs = first.unionByName(short.join(words, "token").select("qa", "qb")).distinct()
+    left_in = bounded(pairs).where(F.col("floor").isNull() | (F.col("high") >= F.col("floor")))
+    texts = _exact_lexical(_overlaps(left_in.select("qa", "qb").distinct(), left, right), method).select("qa", "qb", "lexical")
+    # now that the texts' own scores are known, only the trade is open: a second, closer floor
+    known = left_in.select("s", "qa", "qb", "signs", "n_records").join(texts, ["qa", "qb"]).withColumn("weight", F.when(F.col("lexical") >= 0.85, 0.08).otherwise(0.02))
+    known = known.withColumns({"low": F.greatest(F.lit(0.0), F.col("lexical") + F.col("signs") + low_trade * F.col("weight")), "high": F.greatest(F.lit(0.0), F.col("lexical") + F.col("signs") + high_trade * F.col("weight")) + 2e-6})
+    known = with_floor(known).where(F.col("floor").isNull() | (F.col("high") >= F.col("floor")))
+    scored = known.select("s", "qb", "signs", "lexical").join(asked.select("s", "q", *context.asked), "s")
+    alike = Window.partitionBy("qb", *context.told).orderBy(key)
+    told = records.select(key, F.xxhash64("text").alias("qb"), *context.told).withColumn("r", F.row_number().over(alike)).where(F.col("r") <= k).drop("r")
+    trade = F.when(F.col("lexical") >= 0.85, 0.08).otherwise(0.02) * context.trade
+    score = F.round(F.greatest(F.lit(0.0), F.col("lexical") + trade + F.col("signs")), 6)
+    best = Window.partitionBy("q").orderBy(F.desc("score"), key)
+    ranked = scored.join(told, "qb").select("q", key, score.alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return queries.select(item, F.xxhash64("text", *context.asked).alias("q")).join(ranked, "q").select(item, key, "score", "rank")
+
+
+def rank_in_context(candidates: DataFrame, item: str, key: str, trade: Column, action: Column, unit: Column, k: int) -> DataFrame:
+    """(item, key, score, rank): the ``k`` best candidates (item, key, lexical) with the signs of trade, action and unit, as in ``retrieve``."""
     score = F.greatest(F.lit(0.0), F.col("lexical") + F.when(F.col("lexical") >= 0.85, 0.08).otherwise(0.02) * trade + 0.55 * action + 0.015 * unit)
     best = Window.partitionBy(item).orderBy(F.desc("score"), key)
     return candidates.select(item, key, F.round(score, 6).alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -186,7 +186,7 @@ def j5(spark, sf_dir):
 
 _BEST = _POOLS + """, tx AS (SELECT DISTINCT p.category, description, trade FROM pools p JOIN it USING (item_id)),
 t AS (SELECT tx.category, description, trade, rec_id, len(list_intersect(list_distinct(string_split(description || ' ' || trade, ' ')), list_distinct(string_split(b, ' ')))) AS shared FROM tx JOIN rec ON tx.category IS NULL OR tx.category = rec.category),
-r AS (SELECT *, row_number() OVER (PARTITION BY category, description, trade ORDER BY shared DESC, rec_id)::INT AS rank FROM t QUALIFY rank <= 5),
+r AS (SELECT *, row_number() OVER (PARTITION BY category, description, trade ORDER BY shared DESC, rec_id)::INT AS rank FROM t QUALIFY rank <= 200),
 best AS (SELECT p.item_id, rec_id, shared::BIGINT AS shared, rank FROM pools p JOIN it USING (item_id) JOIN r ON r.description = it.description AND r.trade = it.trade AND r.category IS NOT DISTINCT FROM p.category)
 """
 
@@ -194,7 +194,7 @@ best AS (SELECT p.item_id, rec_id, shared::BIGINT AS shared, rank FROM pools p J
 @query("t2_prefilter_by_overlap", _BEST + "SELECT item_id, rec_id, shared, rank FROM best")
 def t2(spark, sf_dir):
     pools = _pools(spark, sf_dir).join(items(spark, sf_dir).select("item_id", "tokens"), "item_id")
-    return L.prefilter_by_overlap(pools, _records(spark, sf_dir), "rec_id", 5)
+    return L.prefilter_by_overlap(pools, _records(spark, sf_dir), "rec_id")
 
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -225,23 +225,27 @@ e AS (SELECT a, b, ta, tb, unnest(list_distinct(list_concat(ta, tb))) AS token F
 s AS (SELECT a, b, sum(coalesce(idf, 1)) AS u, sum(CASE WHEN list_contains(ta, token) AND list_contains(tb, token) THEN coalesce(idf, 1) ELSE 0 END) AS c, count(*) FILTER (list_contains(ta, token) AND token NOT IN ('small', 'large')) AS na, count(*) FILTER (list_contains(ta, token) AND list_contains(tb, token) AND token NOT IN ('small', 'large')) AS has,
   count(*) FILTER (list_contains(ta, token) AND list_contains(tb, token)) AS k FROM e LEFT JOIN w USING (token) GROUP BY ALL),
 lx AS (SELECT a, b, round(CASE WHEN a = b THEN 1.0 ELSE 0.34 * c / u + 0.25 * CASE WHEN na > 0 THEN has / na ELSE c / u END + 0.21 * (1 - levenshtein(a, b) / greatest(length(a), length(b))) + 0.12 * (1 - levenshtein(array_to_string(ta, ' '), array_to_string(tb, ' ')) / greatest(length(array_to_string(ta, ' ')), length(array_to_string(tb, ' '))))
- + 0.08 * CASE WHEN contains(a, b) OR contains(b, a) THEN least(length(a), length(b)) / greatest(length(a), length(b)) ELSE 0 END END, 6)::DOUBLE AS lexical FROM x JOIN s USING (a, b) WHERE k > 0 QUALIFY row_number() OVER (PARTITION BY a ORDER BY lexical DESC, b) <= 3),
+ + 0.08 * CASE WHEN contains(a, b) OR contains(b, a) THEN least(length(a), length(b)) / greatest(length(a), length(b)) ELSE 0 END END, 6)::DOUBLE AS lexical FROM x JOIN s USING (a, b) WHERE k > 0),
 cx AS (SELECT item_id, rec_id, round(greatest(0, lexical + CASE WHEN lexical >= 0.85 THEN 0.08 ELSE 0.02 END * CASE WHEN it.category = rec.category THEN 1.0 ELSE -0.2 END + 0.55 * CASE WHEN action = 'install' THEN CASE WHEN b LIKE '%new%' THEN 1.0 ELSE -0.15 END ELSE 0 END
  + 0.015 * CASE WHEN unit = 'EA' AND b LIKE '%ring%' THEN 0.5 ELSE 0 END), 6)::DOUBLE AS score FROM it JOIN lx ON a = description || ' ' || trade JOIN rec USING (b)),
 rk AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, rec_id)::INT AS rank FROM cx)
 """
 
 
-def _lexical(spark, sf_dir):
-    """The ten best records of each item: those of the three most similar texts, ranked with the item's category, action and unit."""
-    rows = items(spark, sf_dir).withColumn("text", F.concat_ws(" ", "description", "trade"))
-    records = _records(spark, sf_dir)
-    texts = L.score_lexical(rows.select("text"), records.select("rec_id", "text"), "rec_id", low_information=_LOW, k=3)
-    met = rows.select("item_id", "category", "action", "unit", F.col("text").alias("a")).join(texts, "a").join(records.select("rec_id", F.col("text").alias("b"), F.col("category").alias("e_category")), "b")
-    trade = F.when(F.col("category") == F.col("e_category"), 1.0).otherwise(-0.2)
-    action = F.when(F.col("action") == "install", F.when(F.col("b").contains("new"), 1.0).otherwise(-0.15)).otherwise(0.0)
+def _context():
+    """Signs of the item's category, action and unit in a record and its text."""
+    installs = F.col("action") == "install"
+    action = F.when(installs, F.when(F.col("b").contains("new"), 1.0).otherwise(-0.15)).otherwise(0.0)
     unit = F.when((F.col("unit") == "EA") & F.col("b").contains("ring"), 0.5).otherwise(0.0)
-    return L.rank_in_context(met, "item_id", "rec_id", trade, action, unit, 10)
+    most = F.when(installs, 0.55).otherwise(0.0) + F.when(F.col("unit") == "EA", 0.0075).otherwise(0.0)
+    return L.Context(F.when(F.col("category") == F.col("e_category"), 1.0).otherwise(-0.2), action, unit, ("category", "action", "unit"), ("action", "unit"), ("e_category",), (-0.2, 1.0), most)
+
+
+def _lexical(spark, sf_dir, method="levenshtein"):
+    """The ten best records of each item with its category, action and unit."""
+    rows = items(spark, sf_dir).select("item_id", F.concat_ws(" ", "description", "trade").alias("text"), "category", "action", "unit")
+    records = _records(spark, sf_dir).select("rec_id", "text", F.col("category").alias("e_category"))
+    return L.retrieve(rows, records, "item_id", "rec_id", _context(), low_information=_LOW, k=10, method=method)
 
 
 @query("r7_score_lexical", _W + _LEX + "SELECT item_id, rec_id, score, rank FROM rk WHERE rank <= 10")
@@ -266,11 +270,11 @@ _APART = [["small", "large"], ["hot", "cold"], ["red", "blue"]]
 
 
 def _recommended(spark, sf_dir):
-    """Items against the five records of their pools that share most words, with similarities, signals, scores and phrases."""
+    """Items against the 200 records of their pools that share most words, with similarities, signals, scores and phrases."""
     pools = _pools(spark, sf_dir)
     rows = items(spark, sf_dir)
     hints = pools.groupBy("item_id").agg(F.array_sort(F.collect_set("category")).alias("hints"))
-    best = L.prefilter_by_overlap(pools.join(rows.select("item_id", "tokens"), "item_id"), _records(spark, sf_dir), "rec_id", 5).select("item_id", "rec_id").distinct()
+    best = L.prefilter_by_overlap(pools.join(rows.select("item_id", "tokens"), "item_id"), _records(spark, sf_dir), "rec_id").select("item_id", "rec_id").distinct()
     entries = _records(spark, sf_dir).select("rec_id", F.col("text").alias("e_description"), F.col("category").alias("e_category"))
     pairs = best.join(rows.drop("category", "tokens"), "item_id").join(hints, "item_id").join(entries, "rec_id")
     k = F.col("rec_id")

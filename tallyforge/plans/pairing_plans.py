@@ -98,7 +98,7 @@ _WORDS = E.Vocabulary(materials=[("red", "red paint"), ("blue", "blue paint"), (
 )
 def r9(spark, sf_dir):
     rows = LP.items(spark, sf_dir)
-    best = L.prefilter_by_overlap(LP._pools(spark, sf_dir).join(rows.select("item_id", "tokens"), "item_id"), LP._records(spark, sf_dir), "rec_id", 5).select("item_id", "rec_id").distinct()
+    best = L.prefilter_by_overlap(LP._pools(spark, sf_dir).join(rows.select("item_id", "tokens"), "item_id"), LP._records(spark, sf_dir), "rec_id").select("item_id", "rec_id").distinct()
     rows = rows.select("item_id", F.concat_ws(" ", "description", "trade").alias("description"), "component", "material", "action", F.when(F.col("size") % 4 == 0, "5").alias("size_key"), F.when(F.col("item_id") % 3 > 0, F.col("trade")).alias("grade_key"))
     pairs = best.join(rows, "item_id").join(LP._records(spark, sf_dir).select("rec_id", F.col("text").alias("candidate")), "rec_id").withColumn("verified", F.col("rec_id") % 9 == 0)
     return E.score_evidence(pairs, _WORDS).select("item_id", "rec_id", "material_state", "size_state", "grade_state", "action_state", "component_ok", "score")
@@ -107,7 +107,7 @@ def r9(spark, sf_dir):
 def _offered(spark, sf_dir):
     """The five records of an item's pools that share most words, with a score by their rank."""
     rows = LP.items(spark, sf_dir)
-    best = L.prefilter_by_overlap(LP._pools(spark, sf_dir).join(rows.select("item_id", "tokens"), "item_id"), LP._records(spark, sf_dir), "rec_id", 5)
+    best = L.prefilter_by_overlap(LP._pools(spark, sf_dir).join(rows.select("item_id", "tokens"), "item_id"), LP._records(spark, sf_dir), "rec_id")
     best = best.groupBy("item_id", "rec_id").agg(F.min("rank").alias("r"))
     return best.join(rows.select("item_id", F.col("description").alias("a")), "item_id").join(LP._records(spark, sf_dir).select("rec_id", F.col("text").alias("b")), "rec_id").withColumn("score", 1 / F.col("r"))
 
