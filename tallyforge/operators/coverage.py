@@ -107,7 +107,7 @@ def coverage_lines(lines: DataFrame, amounts: Sequence[tuple[str, str]] = AMOUNT
     )
     rows = rows.select("doc_id", "page", "line", "text", "kind", "field", after_colon.alias("inline"), next1["text"].alias("next"), next1["page"].alias("next_page"), "name")
     # one taken line and four that are no labels lead outside from anywhere; names take two lines at most
-    return _BLOCKS.run(rows, "doc_id", ["page", "line"], "kind", 8, "other")
+    return _BLOCKS.run(rows, ["doc_id"], ["page", "line"], "kind", 8, "other")
 
 
 def coverage_blocks(lines: DataFrame, amounts: Sequence[tuple[str, str]] = AMOUNTS) -> DataFrame:
