@@ -18,7 +18,10 @@ Of the slots those remain that are neither in an element whose tag, role, class
 or id says menu, header, footer, sidebar, notice, advert, form, script, style or
 comments, nor outside the page's article. Names that an article's own parts may
 bear too (share, related, legal, search) say so outside articles only; inside
-them it is the template that tells repeated text. Where a page has no text in an article
+them it is the template that tells repeated text, unless nearly all of an
+article repeats: then its pages are near copies, and it stays whole. A name or
+tag decides for each piece of text that its element holds, so an advert or a
+button within a paragraph takes no other text with it. Where a page has no text in an article
 but its host's template has one, the slots between the template's tokens before
 and after the article stand for it.
 Character references are decoded, white space in a block becomes one blank,
@@ -51,12 +54,12 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _RAW = frozenset("script style noscript template textarea title iframe noframes".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li "
-    "main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
+    "main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Elements that a start tag closes if they are open above the nearest container.
 _CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
-    "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
+    "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
 }
 _FORMATTING = frozenset("a b i u em strong small big tt s strike font code span sub sup mark q cite abbr".split())
 _BOILERPLATE_TAGS = frozenset("nav header footer aside form button select input dialog menu label datalist fieldset".split())
@@ -65,6 +68,11 @@ _BOILERPLATE_NAMES = frozenset(
     "header footer masthead topbar toolbar cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup login comment comments disqus replies "
     "pagination pager contentinfo complementary form".split()
 )
+#: Of these, names of places on a page. In an article, whose headings and cards bear them in part ('section-header'), they count as whole names only, and not on headings.
+_PLACES = frozenset("sidebar aside menu nav navbar navigation header footer masthead topbar toolbar banner".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Below this share of open text, what an article's pages repeat is the article: near copies, not boilerplate.
+NEAR_COPY = 0.2
 #: Names that parts of an article may bear too.
 _OUTSIDE_NAMES = frozenset("side alert search share sharing social related recommended respond widget skip copyright legal disclaimer".split())
 _MAIN_TAGS = frozenset(["article", "main"])
@@ -88,19 +96,23 @@ class Page:
 
 
 def _element(name: str, attributes: str, above: Element) -> Element:
-    named, label = [], ""
+    named, whole, label = [], set(), ""
     if attributes and "=" in attributes:
         for key, value in _NAMED.findall(attributes):
             value = value.strip("\"'")
             key = key.lower()
             named += _SPLIT.split(_CAMEL.sub(" ", value).lower())
+            whole.update(value.lower().split())
             if key == "itemprop" or key == "role":
                 named.append(value.lower())
             if key in ("class", "id"):
                 label += f".{re.sub(r'[0-9]+', '', value.strip().lower())}"
     words = frozenset(named)
     main = name in _MAIN_TAGS or bool(words & {"articlebody"}) or (not above.main and "main" in words and "role" in attributes)
-    said = bool(words & _BOILERPLATE_NAMES) or (not (above.main or main) and bool(words & _OUTSIDE_NAMES))
+    if above.main or main:
+        said = bool(words & (_BOILERPLATE_NAMES - _PLACES)) or (name not in _HEADINGS and bool(whole & _PLACES))
+    else:
+        said = bool(words & (_BOILERPLATE_NAMES | _OUTSIDE_NAMES))
     # The page's own frame is never boilerplate by its class alone.
     dropped = above.dropped or name in _BOILERPLATE_TAGS or (said and name not in ("html", "body", "article", "main"))
     return Element(name, f"{above.path}/{name}{label}", dropped, above.main or main)
@@ -110,23 +122,25 @@ def parse(text: str) -> Page:
     page, stack, parts, at, n = Page(), [Element("", "", False, False)], [], 0, len(text)
 
     def end_block():
-        if parts:
-            joined = "".join(parts)
+        """Each piece of a block's text goes by the element that holds it; what is dropped is a token of its own."""
+        for dropped in (False, True):
+            own = [piece for piece, e in parts if e.dropped == dropped]
+            joined = "".join(own) if own else ""
             if "&" in joined:
                 joined = entities.unescape(joined)
             joined = " ".join(joined.split())
-            parts.clear()
             if joined:
                 top = next(e for e in reversed(stack) if e.name not in _FORMATTING)
-                page.tokens.append(("t", top.path, joined, stack[-1].dropped, stack[-1].main))
+                page.tokens.append(("t", top.path, joined, dropped, next(e for _, e in parts if e.dropped == dropped).main))
+        parts.clear()
 
     while at < n:
         m = _TAG.search(text, at)
         if m is None:
-            parts.append(text[at:])
+            parts.append((text[at:], stack[-1]))
             break
         if m.start() > at:
-            parts.append(text[at : m.start()])
+            parts.append((text[at : m.start()], stack[-1]))
         at = m.end()
         name = m[2]
         if name is None:
@@ -149,7 +163,7 @@ def parse(text: str) -> Page:
             if name == "hr":
                 end_block()
             elif name == "br":
-                parts.append(" ")
+                parts.append((" ", stack[-1]))
             continue
         if name in _RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.I).search(text, at) if not m[3].rstrip().endswith("/") else None
@@ -257,7 +271,10 @@ def main_text(html: str, template: dict[int, int] | None = None) -> str:
         begin = max((i for i, s in enumerate(sides) if s == BEFORE), default=-1)
         end = min((i for i, s in enumerate(sides) if s == AFTER and i > begin), default=len(sides))
         slots = [i for i in slots if begin < i < end]
-    return "\n".join(page.tokens[i][2] for i in inside or slots if sides[i] is None)
+    left = [i for i in inside or slots if sides[i] is None]
+    if inside and sum(len(page.tokens[i][2]) for i in left) < NEAR_COPY * sum(len(page.tokens[i][2]) for i in inside):
+        left = inside
+    return "\n".join(page.tokens[i][2] for i in left)
 
 
 SCHEMA = "page_id long, url string, text string, n_chars long"

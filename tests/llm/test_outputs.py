@@ -324,6 +324,34 @@ def test_names_of_an_article_s_parts(spark):
     assert html_extraction.main_text(html) == "By law\nSum x"
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<article><p>Long real text <span class='ad'>Ad</p><p>more</p></article>", "Long real text\nmore"),
+        ("<article><p>Real <span class='ad'>BUY NOW</span> text</p></article>", "Real text"),
+        ("<article><p>Text with <label>Name</label> <select><option>A<option>B</select> tail</p></article>", "Text with tail"),
+        ("<article><p>One</p><button>Subscribe</button><p>Two</p>Three <button>Go</button> four</article>", "One\nTwo\nThree four"),
+        ("<article><h2 class='section-header'>Part one</h2><h3 class='header'>Part two</h3><div class='menu-card'>Soup</div><div class='header'>Site</div><div class='ad-box'>Buy</div></article>", "Part one\nPart two\nSoup"),
+        ("<div class='site-header'>Site</div><p>Text</p><div id='nav-menu'>Home</div>", "Text"),
+        ("<p>a &amp;<b class='promo'>x</b>lt; b</p>", "a &lt; b"),
+    ],
+)
+def test_each_piece_of_text_goes_by_its_element(html, text):
+    assert html_extraction.main_text(html) == text
+
+
+def test_near_copies_of_a_host_keep_their_article(spark):
+    long = "".join(f"<p>The same paragraph {k} of a long story about the town and its river</p>" for k in range(6))
+    rows = [(i, f"http://same/{i}", f"<nav>Entry {i}</nav><article><h1>Story</h1>{long}</article><footer>f</footer>") for i in range(10)]
+    rows += [(100 + i, f"http://dated/{i}", f"<article><h1>Story</h1><p>Seen {i} times</p>{long}</article>") for i in range(10)]
+    rows += [(200 + i, f"http://own/{i}", f"<article><h1>Title {i}</h1><p>A paragraph of page {i} on its own subject</p><p>Share this story</p><p>All the news since 1900</p></article>") for i in range(10)]
+    got = {r["page_id"]: r["text"] for r in html_extraction.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    body = "\n".join(f"The same paragraph {k} of a long story about the town and its river" for k in range(6))
+    for i in range(10):
+        assert got[i] == f"Story\n{body}" and got[100 + i] == f"Story\nSeen {i} times\n{body}"
+        assert got[200 + i] == f"Title {i}\nA paragraph of page {i} on its own subject"
+
+
 def test_a_very_long_page():
     html = "<article>" + "<p>word &amp; word</p>" * 60_000 + "<ul><li>a<li>b" * 2000
     text = html_extraction.main_text(html)
