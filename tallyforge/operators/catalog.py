@@ -99,6 +99,30 @@ def validate_catalog(catalog: DataFrame, units: Sequence[str], actions: Sequence
     return ids.unionByName(same).unionByName(catalog.select("mapping_id", F.explode(problems).alias("problem")))
 
 
+def overlapping_shapes(catalog: DataFrame) -> DataFrame:
+    """(mapping_id, other): entries that another entry of the same trade and component overlaps, with one such entry.
+
+    Two entries overlap if they share an action and a unit; a missing or empty list
+    stands for all. Each entry is spread over its cells of action and unit and looks
+    up the at most four groups of cells that can hold another one; groups know
+    their smallest and largest id, so entries of a trade never meet in pairs.
+    """
+    every = F.lit("*")
+    listed = lambda c: F.when(F.coalesce(F.size(c), F.lit(0)) > 0, F.array_distinct(c)).otherwise(F.array(every))
+    own = catalog.select("mapping_id", "trade", "component", F.explode(listed("actions")).alias("action"), listed("units").alias("units"))
+    cells = own.select("mapping_id", "trade", "component", "action", F.explode("units").alias("unit"))
+    # a cell in the four views: with or without looking at its action and its unit
+    either = lambda c: F.array(F.col(c), F.lit(None).cast("string"))
+    views = cells.withColumn("action", F.explode(either("action"))).withColumn("unit", F.explode(either("unit")))
+    groups = views.groupBy("trade", "component", "action", "unit").agg(F.min("mapping_id").alias("low"), F.max("mapping_id").alias("high"))
+    # an entry for all actions looks at no action; any other looks at its own and at those for all
+    asked = lambda c: F.when(F.col(c) == "*", F.array(F.lit(None).cast("string"))).otherwise(F.array(F.col(c), every))
+    looks = cells.withColumn("action", F.explode(asked("action"))).withColumn("unit", F.explode(asked("unit")))
+    same = [looks[c].eqNullSafe(groups[c]) for c in ("trade", "component", "action", "unit")]
+    found = looks.join(groups, same[0] & same[1] & same[2] & same[3]).select("mapping_id", F.when(F.col("low") != F.col("mapping_id"), F.col("low")).when(F.col("high") != F.col("mapping_id"), F.col("high")).alias("other"))
+    return found.where("other is not null").groupBy("mapping_id").agg(F.min("other").alias("other"))
+
+
 def resolve_malformed(catalog: DataFrame) -> DataFrame:
     """Malformed keys folded into the first well-formed record of the same category and description that has another source; else flagged."""
     # Records of one text and one set of sources are one, so that copies don't multiply.

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.functions import text as T
+
 from tallyforge.operators.linkage import break_exact_ties
 
 
@@ -83,6 +85,49 @@ def upsert_registry(registry: DataFrame, resolutions: DataFrame) -> tuple[DataFr
     return merged, met.where(conflict).select("signature", "old", "new")
 
 
+def append_events(log: DataFrame, new: DataFrame) -> DataFrame:
+    """The new events (event_id, ...) that the log doesn't have, each once: what a retry adds is nothing."""
+    return new.dropDuplicates(["event_id"]).join(log.select("event_id"), "event_id", "left_anti").select(*new.columns)
+
+
+def fold_registry(log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(registry, conflicts) that an append-only log of events gives.
+
+    Events (event_id, signature, at, action, key, status, uses, reviewer, reason,
+    override) count in the order of time and then id. 'import' states a mapping
+    as it was; 'record' resolves one, as ``upsert_registry`` does; 'disable' and
+    'reject' change the status of one that is there. All but imports need reviewer
+    and reason. registry: signature, key, status, uses, events (its history as
+    'old -> new' of each change of status); conflicts: event_id, signature, old, new.
+    A signature's events are few, so they are folded in one row.
+    """
+    told = (F.coalesce(F.trim("reviewer"), F.lit("")) != "") & (F.coalesce(F.trim("reason"), F.lit("")) != "")
+    rows = log.where((F.col("action") == "import") | told)
+    fields = ("at", "event_id", "action", "key", "status", "uses", "override")
+    ordered = rows.groupBy("signature").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("told"))
+    key, number = log.schema["key"].dataType, log.schema["event_id"].dataType
+    conflict = f"array<struct<event_id:{number.simpleString()},old:{key.simpleString()},new:{key.simpleString()}>>"
+    none = F.struct(
+        F.lit(None).cast(key).alias("key"), F.lit("none").alias("status"), F.lit(0).cast("long").alias("uses"), F.array().cast("array<string>").alias("events"), F.array().cast(conflict).alias("conflicts"),
+    )
+
+    def step(s: Column, e: Column) -> Column:
+        here = s["status"] != "none"
+        records, imports = e["action"] == "record", e["action"] == "import"
+        clash = records & (s["status"] == "approved") & ~s["key"].eqNullSafe(e["key"]) & ~F.coalesce(e["override"], F.lit(False))
+        changes = e["action"].isin("disable", "reject") & here
+        status = F.when(imports, e["status"]).when(records & ~clash, "approved").when(changes, F.when(e["action"] == "disable", "disabled").otherwise("rejected")).otherwise(s["status"])
+        moved = F.when(status != s["status"], F.array(F.concat(s["status"], F.lit(" -> "), status))).otherwise(F.array().cast("array<string>"))
+        return F.struct(
+            F.when(imports | (records & ~clash), e["key"]).otherwise(s["key"]).alias("key"), status.alias("status"),
+            (F.when(imports, F.coalesce(e["uses"], F.lit(0))).otherwise(s["uses"]) + F.when(records & ~clash, 1).otherwise(0)).cast("long").alias("uses"), F.concat(s["events"], moved).alias("events"),
+            F.concat(s["conflicts"], F.when(clash, F.array(F.struct(e["event_id"].alias("event_id"), s["key"].alias("old"), e["key"].alias("new")))).otherwise(F.array().cast(conflict))).alias("conflicts"),
+        )
+
+    folded = ordered.select("signature", F.aggregate("told", none, step).alias("s"))
+    return folded.where("s.status <> 'none'").select("signature", "s.key", "s.status", "s.uses", "s.events"), folded.select("signature", F.explode("s.conflicts").alias("c")).select("c.event_id", "signature", "c.old", "c.new")
+
+
 def add_verified(catalog: DataFrame, records: DataFrame, units: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected with reasons): required fields, a new key, a known unit, three confirmations for verified ones."""
     met = records.join(catalog.select("key", F.lit(True).alias("exists")).distinct(), "key", "left")
@@ -224,6 +269,27 @@ def relaxed_queries(items: DataFrame, attempts: Sequence[str], index: DataFrame)
     return found.groupBy("item_id").agg(F.min(F.struct("attempt", "hits")).alias("f")).select("item_id", "f.attempt", "f.hits")
 
 
+def staged_search(items: DataFrame, attempts: Sequence[str], records: DataFrame, key: str) -> DataFrame:
+    """(item_id, attempt, hits, first): the first of the ordered query texts that finds records (key, tokens), how many, and the smallest key.
+
+    A text finds the records that have all its tokens. Each attempt searches for
+    the items that the ones before left. Distinct texts meet records by their
+    rarest token only; the others are tested on the records that have it.
+    """
+    words = records.select(key, F.explode(F.array_distinct("tokens")).alias("token"))
+    often = words.groupBy("token").agg(F.count("*").alias("n"))
+    left, found = items.select("item_id", *attempts), None
+    for i, attempt in enumerate(attempts):
+        texts = left.select(F.col(attempt).alias("text")).where("text is not null").distinct().withColumn("own", T.tokens(F.col("text")))
+        rarest = texts.select("text", "own", F.explode("own").alias("token")).join(often, "token", "left").groupBy("text", "own").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
+        met = rarest.join(words, "token").join(records.select(key, "tokens"), key).where(F.size(F.array_except("own", "tokens")) == 0)
+        hits = met.groupBy("text").agg(F.count("*").alias("hits"), F.min(key).alias("first"))
+        one = left.select("item_id", F.col(attempt).alias("text")).join(hits, "text").select("item_id", F.lit(i).alias("attempt"), "hits", "first")
+        found = one if found is None else found.unionByName(one)
+        left = left.join(one.select("item_id"), "item_id", "left_anti")
+    return found
+
+
 def build_work_list(items: DataFrame, suggestions: DataFrame, include_unmapped: bool = False) -> DataFrame:
     """(doc_id, group_id, group_no, task_no, item_id, mode, problem): approved rows as ordered tasks of ordered groups.
 

@@ -137,6 +137,22 @@ def a22(spark, sf_dir):
     return C.validate_catalog(rows, T.UNITS, ["install", "remove"], ["economy", "small", "medium", "standard", "large"], ["verified", "proposed"])
 
 
+@query(
+    "a22_overlapping_shapes",
+    """WITH c AS (SELECT p_partkey AS id, p_type AS trade, p_brand || p_size AS component, [['install', 'remove'], ['remove', 'detach'], [], ['paint'], ['detach']][p_partkey % 5 + 1] AS a, [['EA', 'SF'], ['LF'], [], ['SF', 'LF']][p_partkey % 4 + 1] AS u FROM part)
+    SELECT x.id AS mapping_id, min(y.id) AS other FROM c x JOIN c y ON x.trade = y.trade AND x.component = y.component AND x.id <> y.id AND (len(x.a) = 0 OR len(y.a) = 0 OR list_has_any(x.a, y.a)) AND (len(x.u) = 0 OR len(y.u) = 0 OR list_has_any(x.u, y.u)) GROUP BY x.id""",
+)
+def a22_overlaps(spark, sf_dir):
+    """Lists that only overlap, and lists for all."""
+    k = F.col("p_partkey")
+    strings = lambda *xs: F.array(*map(F.lit, xs)).cast("array<string>")
+    rows = read(spark, sf_dir, "part").select(
+        k.alias("mapping_id"), F.col("p_type").alias("trade"), F.concat("p_brand", F.col("p_size").cast("string")).alias("component"), _case(k % 5, strings("install", "remove"), strings("remove", "detach"), strings(), strings("paint"), strings("detach")).alias("actions"),
+        _case(k % 4, strings("EA", "SF"), strings("LF"), strings(), strings("SF", "LF")).alias("units"),
+    )
+    return C.overlapping_shapes(rows)
+
+
 @query(
     "a23_price_observations",
     """SELECT l_partkey AS key, l_returnflag AS price_list, l_extendedprice AS unit_price, row_number() OVER (PARTITION BY l_partkey, l_returnflag ORDER BY l_shipdate, l_extendedprice)::INT AS observation_no,
@@ -266,6 +282,25 @@ def r12(spark, sf_dir):
     return V.relaxed_queries(rows, ["exact", "compact", "generic"], index)
 
 
+@query(
+    "r12_staged_search",
+    """WITH a AS (SELECT p_partkey AS item_id, CASE WHEN p_partkey % 3 = 0 THEN p_name || ' ' || lower(p_type) ELSE p_name || ' absent' END AS t0, CASE WHEN p_partkey % 4 = 0 THEN NULL WHEN p_partkey % 5 = 0 THEN 'neither' ELSE split_part(p_name, ' ', 2) || ' brand ' || p_size END AS t1, split_part(p_name, ' ', 1) AS t2 FROM part),
+    r AS (SELECT p_partkey AS rec_id, list_distinct(regexp_extract_all(lower(p_name || ' ' || p_type || ' ' || p_brand || ' ' || p_size), '[a-z0-9]+')) AS tk FROM part),
+    q AS (SELECT item_id, unnest([0, 1, 2]) AS attempt, unnest([t0, t1, t2]) AS text FROM a), d AS (SELECT text, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS own FROM (SELECT DISTINCT text FROM q WHERE text IS NOT NULL)),
+    h AS (SELECT text, count(*) AS hits, min(rec_id) AS first FROM d JOIN r ON list_has_all(tk, own) GROUP BY text)
+    SELECT item_id, attempt, hits, first FROM q JOIN h USING (text) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY attempt) = 1""",
+)
+def r12_staged(spark, sf_dir):
+    k, part = F.col("p_partkey"), read(spark, sf_dir, "part")
+    words, kind = F.split("p_name", " "), F.lower("p_type")
+    rows = part.select(
+        k.alias("item_id"), F.concat_ws(" ", "p_name", F.when(k % 3 == 0, kind).otherwise("absent")).alias("exact"),
+        F.when(k % 4 != 0, F.when(k % 5 == 0, "neither").otherwise(F.concat_ws(" ", words[1], F.lit("brand"), F.col("p_size").cast("string")))).alias("compact"), words[0].alias("generic"),
+    )
+    records = part.select(k.alias("rec_id"), T.tokens(F.concat_ws(" ", "p_name", "p_type", "p_brand", F.col("p_size").cast("string"))).alias("tokens"))
+    return V.staged_search(rows, ["exact", "compact", "generic"], records, "rec_id")
+
+
 # --- registries and work lists ----------------------------------------------
 
 
@@ -291,6 +326,28 @@ def b2_conflicts(spark, sf_dir):
     return _registry(spark, sf_dir)[1]
 
 
+@query(
+    "b2_registry_history",
+    _REGISTRY + """, s AS (SELECT *, CASE WHEN here OR told THEN CASE WHEN (here AND ok) OR (told AND NOT conflict) THEN 'approved' ELSE 'proposed' END END AS before FROM c)
+    SELECT k AS signature, CASE WHEN conflict OR NOT told THEN old ELSE new END AS key, CASE WHEN k % 6 = 0 THEN 'disabled' ELSE before END AS status, (CASE WHEN here THEN uses ELSE 0 END + CASE WHEN told AND NOT conflict THEN 1 ELSE 0 END)::BIGINT AS uses,
+    list_filter([CASE WHEN here THEN 'none -> ' || CASE WHEN ok THEN 'approved' ELSE 'proposed' END END, CASE WHEN told AND NOT conflict AND NOT (here AND ok) THEN CASE WHEN here THEN 'proposed' ELSE 'none' END || ' -> approved' END, CASE WHEN k % 6 = 0 THEN before || ' -> disabled' END], lambda x: x IS NOT NULL) AS events
+    FROM s WHERE here OR told""",
+)
+def b2_history(spark, sf_dir):
+    """A log of imports, resolutions and disablings, the last two of which are appended twice; its fold is the registry."""
+    k, orders = F.col("o_orderkey"), read(spark, sf_dir, "orders")
+    log_of = lambda df, n, action, **values: df.select(
+        (k * 10 + n).alias("event_id"), k.alias("signature"), F.lit(n).alias("at"), F.lit(action).alias("action"),
+        *(values.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in (("key", "long"), ("status", "string"), ("uses", "long"), ("reviewer", "string"), ("reason", "string"), ("override", "boolean"))),
+    )
+    log = log_of(orders.where("o_orderkey % 3 > 0"), 1, "import", key=k % 5, status=F.when(k % 4 > 0, "approved").otherwise("proposed"), uses=k % 7)
+    new = log_of(orders.where("o_orderkey % 2 = 0"), 2, "record", key=F.when(k % 8 == 0, k % 5).otherwise(9), reviewer=F.when(k % 11 > 0, "ann").otherwise(""), reason=F.when(k % 13 > 0, "seen"), override=k % 10 == 0)
+    new = new.unionByName(log_of(orders.where("o_orderkey % 6 = 0"), 3, "disable", reviewer=F.lit("bob"), reason=F.lit("old")))
+    for _ in range(2):
+        log = log.unionByName(V.append_events(log, new))
+    return V.fold_registry(log)[0]
+
+
 def _added(spark, sf_dir):
     part, k = read(spark, sf_dir, "part"), F.col("p_partkey")
     records = part.select(k.alias("key"), F.when(k % 6 > 0, F.col("p_name")).otherwise(" ").alias("description"), F.when(k % 7 > 0, "EA").otherwise("QQ").alias("unit"), F.when(k % 2 == 0, "verified").otherwise("proposed").alias("status"), (k % 5).alias("confirmations"), F.when(k % 9 > 0, "ann").alias("reviewer"))
