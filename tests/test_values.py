@@ -226,3 +226,50 @@ def test_search_phrase(spark):
 
 def test_times_of_events_have_no_zone(spark):
     assert column(spark, [datetime.date(2024, 3, 1)], lambda c: T.parse_date(F.date_format(c, "M/d/yyyy")), "c date") == ["2024-03-01"]
+
+
+def test_page_classes_know_all_phrases(spark):
+    pages = {
+        "Enclosed is our settlement": "settlement_notice", "L/R Number: 1\nPolicy Number: 2": "claim_metadata", "For Smith, Joe & Jane\nQUANTITY\n1. Row": "instructional_sample", "Provided for reference only, as an example": "instructional_sample",
+        "Provided for reference only": "unknown", "Using this guide": "depreciation_guide", "Replacement cost benefits pays the actual and necessary cost": "replacement_cost_explanation", "Your estimate summary in this guide": "instructional_sample",
+    }
+    rows = spark.createDataFrame([(1, i, t) for i, t in enumerate(pages)], "doc_id int, page int, text string")
+    assert {r["text"]: r["page_class"] for r in G.classify_pages(rows).collect()} == pages
+
+
+def test_note_types_know_all_keywords(spark):
+    kinds = {"ITEL report": "pricing_note", "Material Metrix says": "pricing_note", "see code R9": "code_note", "Required by current building codes": "code_upgrade_note", "Rake only": "measurement_note", "else": "general_note"}
+    assert column(spark, kinds, lambda c: G.classify_notes(c)["note_type"]) == list(kinds.values())
+
+
+def test_slopes_and_readable_descriptions(spark):
+    rows = [("7/12 to 9/12", "steep, greater than 12/12 slope"), ("7/12 to 9/12", "steep, over 9/12 slope"), ("4", "over 12/12 slope"), ("7/12", "7/12 slope"), (None, "over 1/2 slope")]
+    assert [r[0] for r in spark.createDataFrame(rows, "a string, b string").select(T.slope_conflict(F.col("a"), F.col("b"))).collect()] == [True, False, False, False, False]
+    parts = [("roof", "comp_shingles", "felt", "tear_off", "comp shingles felt tear off"), ("roof", "unknown", None, None, "roof"), ("unknown", None, "", "unknown", ""), (None, "vent", None, "remove", "vent remove")]
+    found = spark.createDataFrame([p[:4] for p in parts], "t string, c string, m string, a string").select(T.readable_description(*map(F.col, "tcma"))).collect()
+    assert [r[0] for r in found] == [p[4] for p in parts]
+
+
+def test_repeated_lines_of_pages_that_count(spark):
+    rows = [(1, p, i, t) for p in range(1, 6) for i, t in enumerate(["Head", f"own {p}", "Foot" if p != 3 else "none"])]
+    lines = spark.createDataFrame(rows, "doc_id int, page int, line int, text string")
+    among = spark.createDataFrame([(1, p) for p in (1, 2, 4)], "doc_id int, page int")
+    texts = lambda df: sorted(r["text"] for r in df.collect())
+    assert texts(P.repeated_lines(lines)) == ["foot", "head"] and texts(P.repeated_lines(lines, among=among)) == ["foot", "head"]
+    assert texts(P.repeated_lines(lines.where("page < 3"))) == [] and texts(P.repeated_lines(lines, among=among.where("page < 4"))) == []
+
+
+def test_registry_folds_in_any_order_and_once(spark):
+    schema = "event_id long, signature string, at int, action string, key string, status string, uses long, reviewer string, reason string, override boolean"
+    rows = [
+        (1, "a", 1, "import", "k1", "approved", 3, None, None, None), (2, "a", 2, "record", "k2", None, None, "ann", "seen", None), (3, "a", 3, "record", "k2", None, None, "ann", "seen", True), (4, "a", 4, "reject", None, None, None, "bob", "bad", None),
+        (5, "a", 5, "record", "k3", None, None, "ann", "again", None), (6, "b", 1, "record", "k9", None, None, "ann", " ", None), (7, "c", 1, "disable", None, None, None, "bob", "old", None), (8, "d", 1, "record", None, None, None, "ann", "r", None),
+    ]
+    random.Random(1).shuffle(rows)
+    log = spark.createDataFrame([], schema)
+    for part in (rows[:5], rows, rows[2:]):
+        log = log.unionByName(V.append_events(log, spark.createDataFrame(part, schema)))
+    assert log.count() == len(rows)
+    registry, conflicts = V.fold_registry(log)
+    assert {r["signature"]: (r["key"], r["status"], r["uses"], r["events"]) for r in registry.collect()} == {"a": ("k3", "approved", 5, ["none -> approved", "approved -> rejected", "rejected -> approved"]), "d": (None, "approved", 1, ["none -> approved"])}
+    assert [tuple(r) for r in conflicts.collect()] == [(2, "a", "k1", "k2")]
