@@ -530,6 +530,51 @@ def pair_complements(tasks: DataFrame) -> DataFrame:
     return met.select("group_id", "a", F.when(reason == "confirmed", F.col("b")).alias("b"), reason.alias("reason")).distinct()
 
 
+def detect_pairs(tasks: DataFrame) -> DataFrame:
+    """(doc_id, a, b, reason, near): each removal with the one task that completes it, or why none does.
+
+    tasks: (doc_id, group_id, ord, task_id, action, trade, component, material, unit).
+    A partner installs or has an unknown action, stands in the same group at most
+    one place away, before or after, has the same known trade and component, the
+    same unit in any case, and no other material where both have one. A pair is
+    confirmed if it is the only one on both sides. ``near`` counts the tasks of the
+    document that fail, by the first test that they fail, distance aside; each
+    count is a difference of two group sizes, so no task meets all others.
+    """
+    known = lambda c: F.when(~F.coalesce(F.col(c).cast("string"), F.lit("")).isin("", "unknown"), F.col(c))
+    blank = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col(c))
+    rows = tasks.withColumns({"trade": known("trade"), "component": known("component"), "material": blank("material"), "unit": F.upper(blank("unit"))})
+    left, right = rows.where("action = 'remove'"), rows.where(F.coalesce("action", F.lit("unknown")).isin("install", "unknown"))
+    chain = ["doc_id", "group_id", "trade", "component"]
+    near = left.withColumn("at", F.explode(F.array(*(F.col("ord") + d for d in (-1, 0, 1)))))
+    pairs = near.select(*chain, "unit", F.col("at").alias("ord"), F.col("task_id").alias("a"), F.col("material").alias("own")).join(right.select(*chain, "unit", "ord", F.col("task_id").alias("b"), "material"), [*chain, "unit", "ord"])
+    pairs = pairs.where(F.col("own").isNull() | F.col("material").isNull() | (F.col("own") == F.col("material"))).select("doc_id", "a", "b")
+    pairs = pairs.withColumns({"n_a": F.count("*").over(Window.partitionBy("doc_id", "a")), "n_b": F.count("*").over(Window.partitionBy("doc_id", "b"))})
+    sides = pairs.groupBy("doc_id", "a").agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.min("b").alias("b"))
+    met = left.select(*chain, "material", "unit", F.col("task_id").alias("a")).join(sides, ["doc_id", "a"], "left")
+
+    def sized(met: DataFrame, keys: list[str], name: str) -> DataFrame:
+        sizes = right.groupBy(*keys).agg(F.count("*").alias(name))
+        return met.join(sizes, keys, "left").withColumn(name, F.coalesce(name, F.lit(0)))
+
+    # sizes along the chain of tests; an open material on either side fits
+    for i in range(1, 5):
+        met = sized(met, chain[:i], f"n_{i}")
+    with_unit = [*chain, "unit"]
+    for keys, name in ((chain, "m"), (with_unit, "u")):
+        bare = right.where("material is null").groupBy(*keys).agg(F.count("*").alias(f"{name}_open"))
+        met = met.join(bare, keys, "left")
+        met = sized(met, [*keys, "material"], f"{name}_same")
+        met = met.withColumn(f"{name}_open", F.coalesce(f"{name}_open", F.lit(0)))
+    met = sized(met, with_unit, "n_unit")
+    fits = lambda every, name: F.when(F.col("material").isNull(), F.col(every)).otherwise(F.col(f"{name}_open") + F.col(f"{name}_same"))
+    n_m, n_u = fits("n_4", "m"), fits("n_unit", "u")
+    counts = [("group", F.col("n_1") - F.col("n_2")), ("trade", F.col("n_2") - F.col("n_3")), ("component", F.col("n_3") - F.col("n_4")), ("material", F.col("n_4") - n_m), ("unit", n_m - n_u)]
+    failed = F.map_from_entries(F.array_compact(F.array(*(F.when(n > 0, F.struct(F.lit(k).alias("k"), n.cast("long").alias("n"))) for k, n in counts))))
+    reason = F.when(F.col("b").isNull(), "no_candidates").when(F.col("n_a") > 1, "ambiguous").when(F.col("n_b") > 1, "not mutually unique").otherwise("confirmed")
+    return met.select("doc_id", "a", F.when(reason == "confirmed", F.col("b")).alias("b"), reason.alias("reason"), failed.alias("near"))
+
+
 def break_exact_ties(scored: DataFrame, hints: DataFrame, item: str, key: str) -> DataFrame:
     """Among exactly two best of equal score, equal text and different category, the one whose category alone is hinted; else why not."""
     best = Window.partitionBy(item)

@@ -90,12 +90,22 @@ def union_issues(*checks: DataFrame) -> DataFrame:
     return document_ids(out, "issue", ["check_no", "item_id", "code"])
 
 
-def document_status(items: DataFrame, issues: DataFrame, reconciled: DataFrame, severities: DataFrame) -> DataFrame:
-    """Severity counts and status per document: failed, needs_review or success; rows of confidence .80 or more."""
+def document_status(items: DataFrame, issues: DataFrame, reconciled: DataFrame, severities: DataFrame, claims: DataFrame | None = None) -> DataFrame:
+    """Severity counts and status per document: failed, needs_review or success; rows of confidence .80 or more.
+
+    Failed with a fatal issue or without rows; to be reviewed with an error, totals
+    that don't agree, a row that needs review (items' needs_review, where given) or,
+    where ``claims`` (doc_id, value) are given, no value at all.
+    """
     severity = issues.join(severities, "code").groupBy("doc_id").pivot("severity", ["fatal", "error", "warning"]).agg(F.count("code"))
-    rows = items.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.count_if(F.col("confidence") >= 0.8).alias("high_confidence"))
-    met = reconciled.select("doc_id", "ok").join(rows, "doc_id", "left").join(severity, "doc_id", "left").fillna(0, ["n_items", "high_confidence", "fatal", "error", "warning"])
-    status = F.when((F.col("fatal") > 0) | (F.col("n_items") == 0), "failed").when((F.col("error") > 0) | ~F.coalesce("ok", F.lit(True)), "needs_review").otherwise("success")
+    review = F.count_if(F.col("needs_review")) if "needs_review" in items.columns else F.lit(0).cast("long")
+    rows = items.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.count_if(F.col("confidence") >= 0.8).alias("high_confidence"), review.alias("to_review"))
+    met = reconciled.select("doc_id", "ok").join(rows, "doc_id", "left").join(severity, "doc_id", "left").fillna(0, ["n_items", "high_confidence", "to_review", "fatal", "error", "warning"])
+    bare = F.lit(False)
+    if claims is not None:
+        told = claims.where("trim(value) <> ''").select("doc_id").distinct().withColumn("told", F.lit(True))
+        met, bare = met.join(told, "doc_id", "left"), F.col("told").isNull()
+    status = F.when((F.col("fatal") > 0) | (F.col("n_items") == 0), "failed").when((F.col("error") > 0) | (F.col("to_review") > 0) | ~F.coalesce("ok", F.lit(True)) | bare, "needs_review").otherwise("success")
     return met.select("doc_id", "n_items", "high_confidence", "fatal", "error", "warning", status.alias("status"))
 
 

@@ -206,6 +206,24 @@ def evaluate_ranking(ranked: DataFrame, truth: DataFrame, ks: Sequence[int] = (1
     return out
 
 
+def compare_rankings(ranked: DataFrame, baseline: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row: cases, resolved ones, how many of those are right and their share (null without any), and how the right answer's rank changed.
+
+    ranked: (query_id, key, rank, resolved), baseline: (query_id, key, rank), truth:
+    (query_id, key). A change counts where both lists have the answer; the mean is
+    of places gained.
+    """
+    top = ranked.where("rank = 1").select("query_id", F.col("key").alias("top_key"), "resolved")
+    now, before = (df.select("query_id", "key", F.col("rank").alias(name)) for df, name in ((ranked, "now"), (baseline, "before")))
+    met = truth.select("query_id", "key").join(top, "query_id", "left").join(now, ["query_id", "key"], "left").join(before, ["query_id", "key"], "left")
+    sure, gained = F.coalesce("resolved", F.lit(False)), F.col("before") - F.col("now")
+    right = sure & (F.col("top_key") == F.col("key"))
+    return met.agg(
+        F.count("*").alias("cases"), F.count_if(sure).alias("resolved"), F.count_if(right).alias("right"), (F.count_if(right) / F.nullif(F.count_if(sure), F.lit(0))).alias("accuracy"),
+        F.count_if(gained > 0).alias("improved"), F.count_if(gained < 0).alias("worsened"), F.count_if(gained == 0).alias("unchanged"), F.avg(gained).alias("mean_gain"),
+    )
+
+
 def sweep_policy(observations: DataFrame, scores: Sequence[int], margins: Sequence[int]) -> DataFrame:
     """The grid cell (score, margin; in hundredths) without an error that accepts most, then the lowest score and margin.
 

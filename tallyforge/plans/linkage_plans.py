@@ -398,6 +398,29 @@ def j17(spark, sf_dir):
 _TASKS = "t AS (SELECT user_id AS group_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ord, event_id AS task_id, CASE event_type WHEN 'click' THEN 'remove' WHEN 'purchase' THEN 'install' ELSE 'other' END AS action, event_id % 2 AS component FROM events)"
 
 
+@query(
+    "j10_detected_pairs",
+    """WITH t AS (SELECT l_orderkey AS doc_id, l_linestatus AS group_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS ord, CASE l_returnflag WHEN 'R' THEN 'remove' WHEN 'A' THEN 'install' ELSE 'unknown' END AS action,
+      CASE WHEN l_partkey % 7 > 0 THEN 'roof' ELSE 'unknown' END AS trade, CASE WHEN l_suppkey % 4 = 0 THEN 'vent' ELSE 'tile' END AS component, [NULL, 'a', 'b'][l_partkey % 3 + 1] AS material, ['EA', 'ea', 'EA', NULL, 'SF'][l_quantity::INT % 5 + 1] AS unit FROM lineitem),
+    k AS (SELECT *, doc_id * 100 + ord AS task_id FROM t), x AS (SELECT a.doc_id, a.task_id AS a, b.task_id AS b, CASE WHEN a.group_id <> b.group_id THEN 'group' WHEN a.trade = 'unknown' OR b.trade <> a.trade THEN 'trade' WHEN a.component <> b.component THEN 'component'
+      WHEN a.material <> b.material THEN 'material' WHEN a.unit IS NULL OR b.unit IS NULL OR upper(a.unit) <> upper(b.unit) THEN 'unit' WHEN abs(a.ord - b.ord) > 1 THEN 'far' ELSE 'fits' END AS test FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.action = 'remove' AND b.action <> 'remove'),
+    p AS (SELECT *, count(*) OVER (PARTITION BY a) AS na, count(*) OVER (PARTITION BY b) AS nb FROM x WHERE test = 'fits'), s AS (SELECT a, max(na) AS na, max(nb) AS nb, min(b) AS b FROM p GROUP BY a), c AS (SELECT a, test, count(*) AS n FROM x WHERE test NOT IN ('fits', 'far') GROUP BY ALL),
+    l AS (SELECT a, string_agg(test || ':' || n, ',' ORDER BY test) AS near FROM c GROUP BY a)
+    SELECT doc_id, task_id AS a, CASE WHEN na = 1 AND nb = 1 THEN b END AS b, CASE WHEN b IS NULL THEN 'no_candidates' WHEN na > 1 THEN 'ambiguous' WHEN nb > 1 THEN 'not mutually unique' ELSE 'confirmed' END AS reason, coalesce(near, '') AS near FROM k LEFT JOIN s ON s.a = task_id LEFT JOIN l ON l.a = task_id WHERE action = 'remove'""",
+)
+def j10_detected(spark, sf_dir):
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    tasks = read(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), F.col("l_linestatus").alias("group_id"), F.row_number().over(order).alias("ord"), F.when(F.col("l_returnflag") == "R", "remove").when(F.col("l_returnflag") == "A", "install").otherwise("unknown").alias("action"),
+        F.when(F.col("l_partkey") % 7 > 0, "roof").otherwise("unknown").alias("trade"), F.when(F.col("l_suppkey") % 4 == 0, "vent").otherwise("tile").alias("component"), F.get(F.array(F.lit(None), F.lit("a"), F.lit("b")), F.col("l_partkey") % 3).alias("material"),
+        F.get(F.array(*map(F.lit, ("EA", "ea", "EA", None, "SF"))), F.col("l_quantity").cast("int") % 5).alias("unit"),
+    ).withColumn("task_id", F.col("doc_id") * 100 + F.col("ord"))
+    counts = F.transform(F.array_sort(F.map_entries("near")), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")))
+    return L.detect_pairs(tasks).withColumn("near", F.array_join(counts, ","))
+
+
 @query(
     "j10_pair_complements",
     "WITH " + _TASKS + """, p AS (SELECT a.task_id AS a, b.task_id AS b FROM t a JOIN t b ON a.group_id = b.group_id AND a.component = b.component AND a.action = 'remove' AND b.action = 'install' AND abs(a.ord - b.ord) = 1),

@@ -211,6 +211,21 @@ def a15(spark, sf_dir):
     return out.withColumns({c: F.round(c, 6) for c in ("top_1", "top_3", "top_5", "top_10", "mrr", "coverage")})
 
 
+@query(
+    "a15_compare_rankings",
+    """WITH r AS (SELECT p_partkey // 10 AS q, p_partkey AS key, p_partkey % 10 + 1 AS rank, p_partkey // 10 % 3 = 0 AS resolved FROM part), t AS (SELECT DISTINCT q, q * 10 + CASE WHEN q % 4 = 0 THEN 0 ELSE q % 12 END AS key FROM r),
+    m AS (SELECT t.q, t.key, h.rank AS now, CASE WHEN h.key % 3 = 0 THEN 11 - h.rank WHEN h.key % 3 = 1 THEN h.rank END AS before, coalesce(top.resolved, false) AS auto, top.key AS top_key FROM t LEFT JOIN r h ON h.q = t.q AND h.key = t.key LEFT JOIN r top ON top.q = t.q AND top.rank = 1)
+    SELECT count(*) AS cases, count(*) FILTER (auto) AS resolved, count(*) FILTER (auto AND top_key = key) AS "right", count(*) FILTER (auto AND top_key = key) / nullif(count(*) FILTER (auto), 0) AS accuracy,
+      count(*) FILTER (before > now) AS improved, count(*) FILTER (before < now) AS worsened, count(*) FILTER (before = now) AS unchanged, avg(before - now) AS mean_gain FROM m""",
+)
+def a15_compare(spark, sf_dir):
+    k, q = F.col("p_partkey"), F.floor(F.col("p_partkey") / 10)
+    ranked = read(spark, sf_dir, "part").select(q.alias("query_id"), k.alias("key"), (k % 10 + 1).alias("rank"), (q % 3 == 0).alias("resolved"))
+    baseline = ranked.where("key % 3 < 2").select("query_id", "key", F.when(F.col("key") % 3 == 0, 11 - F.col("rank")).otherwise(F.col("rank")).alias("rank"))
+    truth = ranked.select("query_id").distinct().select("query_id", (F.col("query_id") * 10 + F.when(F.col("query_id") % 4 == 0, 0).otherwise(F.col("query_id") % 12)).alias("key"))
+    return V.compare_rankings(ranked, baseline, truth)
+
+
 @query(
     "a16_sweep_policy",
     """WITH o AS (SELECT o_orderkey % 101 AS score, o_custkey % 31 AS margin, NOT (o_orderkey % 101 < 85 OR (o_custkey % 31 < 4 AND o_orderkey % 2 = 0)) AS correct FROM orders), g AS (SELECT s, m FROM range(77, 101) a(s), range(1, 31) b(m)),

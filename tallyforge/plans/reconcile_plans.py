@@ -81,6 +81,20 @@ def a8(spark, sf_dir):
     return R.document_status(items, R.line_arithmetic_issues(items), recon, severities)
 
 
+@query(
+    "a8_status_with_claims",
+    _W + _ISSUES + _RECON + """, sev AS (SELECT doc_id, count(*) FILTER (code IN ('acv_over_rcv', 'dep_over_rcv')) AS fatal, count(*) FILTER (code = 'acv_mismatch') AS error FROM issues GROUP BY doc_id), n AS (SELECT doc_id, count(*) FILTER (item_id = 6) AS to_review FROM items GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN coalesce(fatal, 0) > 0 THEN 'failed' WHEN coalesce(error, 0) > 0 OR NOT coalesce(ok, true) OR to_review > 0 OR doc_id % 4 = 0 OR doc_id % 5 = 0 THEN 'needs_review' ELSE 'success' END AS status FROM recon LEFT JOIN n USING (doc_id) LEFT JOIN sev USING (doc_id)""",
+)
+def a8_claims(spark, sf_dir):
+    """Rows that need review, and documents without a claim value, beside what a8 looks at."""
+    items = X.line_items(spark, sf_dir).withColumns({"confidence": F.lit(0.9), "needs_review": F.col("item_id") == 6})
+    severities = spark.createDataFrame([("rcv_mismatch", "warning"), ("acv_mismatch", "error"), ("acv_over_rcv", "fatal"), ("dep_over_rcv", "fatal")], "code string, severity string")
+    recon = R.reconcile_documents(items, X.balanced_totals(spark, sf_dir), X.coverages(spark, sf_dir))
+    claims = read(spark, sf_dir, "orders").where("o_orderkey % 4 > 0").select(F.col("o_orderkey").alias("doc_id"), F.when(F.col("o_orderkey") % 5 > 0, "C1").otherwise("  ").alias("value"))
+    return R.document_status(items, R.line_arithmetic_issues(items), recon, severities, claims).select("doc_id", "status")
+
+
 @query("a29_propagate_issues", _W + _ISSUES + ", c AS (SELECT doc_id, item_id, list_sort(list(DISTINCT code)) AS codes FROM issues GROUP BY ALL) SELECT doc_id, item_id, coalesce(codes, []::VARCHAR[]) AS reasons, codes IS NOT NULL AS needs_review FROM items LEFT JOIN c USING (doc_id, item_id)")
 def a29(spark, sf_dir):
     items = X.line_items(spark, sf_dir).withColumn("reasons", F.array().cast("array<string>"))
