@@ -162,23 +162,30 @@ def prefilter_by_overlap(pools: DataFrame, catalog: DataFrame, key: str, limit:
     """(item_id, key, shared, rank): of each pool (item_id, category, tokens) the ``limit`` entries (key, category, tokens) that share most tokens, then by key.
 
     A null category is the whole catalog; an item without tokens keeps its whole
-    pool. Items of one category and token set are one text until the end; shared
-    tokens are counted over a join on (category, token), and a pool's first
-    ``limit`` entries fill what is left, so no text meets all entries of a pool.
+    pool. Items of one category and token set are one text until the end, and so
+    are entries of one token set, of which ``limit`` are enough. Shared tokens are
+    counted between texts and sets; only sets that fewer than ``limit`` entries
+    precede are spelled out, and a pool's first ``limit`` entries fill what is left,
+    so no text meets all entries of a pool.
     """
     own = pools.select("item_id", F.coalesce("category", F.lit(WHOLE)).alias("category"), F.array_sort("tokens").alias("own"))
     texts = own.select("category", "own").distinct().withColumn("text_id", F.xxhash64("category", "own"))
     entries = catalog.select(key, "category", "tokens").unionByName(catalog.select(key, F.lit(WHOLE).alias("category"), "tokens"))
-    words = entries.select(key, "category", F.explode(F.array_distinct("tokens")).alias("token"))
-    shared = texts.select("text_id", "category", F.explode("own").alias("token")).join(words, ["category", "token"]).groupBy("text_id", key).agg(F.count("*").alias("shared"))
+    entries = entries.withColumn("own", F.array_sort(F.array_distinct("tokens"))).withColumn("set_id", F.xxhash64("category", "own"))
+    sets = entries.groupBy("set_id", "category", "own").agg(F.count("*").alias("n"))
+    words = sets.select("set_id", "category", "n", F.explode("own").alias("token"))
+    shared = texts.select("text_id", "category", F.explode(F.array_distinct("own")).alias("token")).join(words, ["category", "token"]).groupBy("text_id", "set_id").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("text_id").orderBy(F.desc("shared")).rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    near = shared.withColumn("before", before).where(F.col("before") < limit).select("text_id", "set_id", "shared")
+    alike = entries.withColumn("r", F.row_number().over(Window.partitionBy("set_id").orderBy(key))).where(F.col("r") <= limit).select("set_id", key)
     first = entries.withColumn("r", F.row_number().over(Window.partitionBy("category").orderBy(key))).where(F.col("r") <= limit).select("category", key)
     none = F.lit(0).cast("long").alias("shared")
     fill = texts.where(F.size("own") > 0).join(first, "category").select("text_id", key, none)
-    whole = texts.where(F.size("own") == 0).join(entries, "category").select("text_id", key, none)
-    met = shared.unionByName(fill).unionByName(whole).groupBy("text_id", key).agg(F.max("shared").alias("shared"))
+    whole = texts.where(F.size("own") == 0).join(entries.select("category", key), "category").select("text_id", key, none)
+    met = near.join(alike, "set_id").select("text_id", key, "shared").unionByName(fill).unionByName(whole).groupBy("text_id", key).agg(F.max("shared").alias("shared"))
     ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("text_id").orderBy(F.desc("shared"), key)))
-    kept = ranked.join(texts, "text_id").where((F.size("own") == 0) | (F.col("rank") <= limit)).select("category", "own", key, "shared", "rank")
-    return own.join(kept, ["category", "own"]).select("item_id", key, "shared", "rank")
+    kept = ranked.join(texts, "text_id").where((F.size("own") == 0) | (F.col("rank") <= limit)).select("text_id", key, "shared", "rank")
+    return own.select("item_id", F.xxhash64("category", "own").alias("text_id")).join(kept, "text_id").select("item_id", key, "shared", "rank")
 
 
 def candidates_by_token(items: DataFrame, records: DataFrame, item: str, key: str) -> DataFrame:
