@@ -20,11 +20,13 @@ def eligible_records(catalog: DataFrame, include_uncertain: bool = False) -> Dat
     return out if include_uncertain else out.where(~F.col("uncertain"))
 
 
-def search_catalog(catalog: DataFrame, *, query: str | None = None, category: str | None = None, needs_review: bool | None = None, limit: int | None = None) -> DataFrame:
+def search_catalog(catalog: DataFrame, *, query: str | None = None, category: str | None = None, selector: str | None = None, needs_review: bool | None = None, limit: int | None = None) -> DataFrame:
     """AND of exact filters; the query is a substring of the description, an alias or the upper-case key parts. Ordered by key."""
     out = catalog
     if category is not None:
         out = out.where(F.col("category") == category)
+    if selector is not None:
+        out = out.where(F.col("selector") == selector)
     if needs_review is not None:
         out = out.where(F.col("needs_review") == needs_review)
     if query is not None:
@@ -191,6 +193,14 @@ def price_observations(verified: DataFrame) -> DataFrame:
     return rows.withColumns({"observation_no": F.row_number().over(order), "is_latest": F.row_number().over(latest) == 1})
 
 
+def price_lists(verified: DataFrame) -> DataFrame:
+    """(key, price_list, n, first_at, last_at, latest_price): the observations of each list, counted."""
+    rows = verified.select("key", F.explode("observations").alias("o")).select("key", "o.*")
+    return rows.groupBy("key", "price_list").agg(
+        F.count("*").alias("n"), F.min("observed_at").alias("first_at"), F.max("observed_at").alias("last_at"), F.max_by("unit_price", F.struct("observed_at", "unit_price")).alias("latest_price"),
+    )
+
+
 def prior_uses(items: DataFrame) -> DataFrame:
     """Approved uses per category and selector over all documents."""
     return items.where("status = 'approved'").groupBy("category", "selector").agg(F.count("*").alias("uses"))

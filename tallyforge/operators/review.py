@@ -148,8 +148,10 @@ def export_approved(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sections, excluded
 
 
-def reset_unfinished(tasks: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Tasks back to pending except finished ones; both sides of a pair stay if either has activity."""
+def reset_unfinished(tasks: DataFrame, pairs: DataFrame, full: bool = False) -> DataFrame:
+    """Tasks back to pending except finished ones; both sides of a pair stay if either has activity. With ``full`` all go back."""
+    if full:
+        return tasks.select("task_id", "state", F.lit("pending").alias("new_state"))
     active = tasks.where("state in ('done', 'committed', 'active')").select("task_id").distinct()
     both = pairs.select("pair_id", F.explode(F.array("a", "b")).alias("task_id"))
     hot = both.join(active, "task_id", "left_semi").select("pair_id").distinct()
@@ -159,6 +161,11 @@ def reset_unfinished(tasks: DataFrame, pairs: DataFrame) -> DataFrame:
     return met.select("task_id", "state", F.when(stays, F.col("state")).otherwise("pending").alias("new_state"))
 
 
+def reset_transitions(reset: DataFrame) -> DataFrame:
+    """(state, new_state, n, changed): how many tasks of ``reset_unfinished`` went from each state to which."""
+    return reset.groupBy("state", "new_state").agg(F.count("*").alias("n")).withColumn("changed", F.col("state") != F.col("new_state"))
+
+
 def coverage_of_sources(outputs: DataFrame, items: DataFrame) -> DataFrame:
     """(item_id, n) of source rows that aren't in exactly one output's provenance."""
     n = outputs.select(F.explode("sources").alias("item_id")).groupBy("item_id").agg(F.count("*").alias("n"))

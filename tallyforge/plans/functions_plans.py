@@ -262,3 +262,27 @@ def f23(spark, sf_dir):
 )
 def p14(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.redact(F.col("text")).alias("redacted"))
+
+
+@query("f23_ids", "SELECT p_partkey, 'part_' || regexp_replace(lower(p_brand), '[^a-z0-9]+', '_', 'g') || '_' || regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g') AS record_id, 'pair_' || p_partkey || '_' || p_size AS pair_id FROM part")
+def f23_ids(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", T.record_id("part", F.col("p_brand"), F.col("p_name")).alias("record_id"), T.pair_id(F.col("p_partkey"), F.col("p_size")).alias("pair_id"))
+
+
+@query(
+    "f14_readable_description",
+    "SELECT p_partkey, trim(concat_ws(' ', replace(p_name, '_', ' '), CASE WHEN p_partkey % 3 > 0 THEN lower(p_type) END, CASE WHEN p_partkey % 5 > 0 THEN 'tear off' END)) AS readable FROM part WHERE p_partkey % 7 > 0 UNION ALL SELECT p_partkey, CASE WHEN p_partkey % 3 > 0 THEN lower(p_type) ELSE lower(p_brand) END FROM part WHERE p_partkey % 7 = 0",
+)
+def f14_readable(spark, sf_dir):
+    k = F.col("p_partkey")
+    component, material = F.when(k % 7 > 0, F.replace(F.col("p_name"), F.lit(" "), F.lit("_"))).otherwise("unknown"), F.when(k % 3 > 0, F.lower("p_type"))
+    action = F.when((k % 5 > 0) & (k % 7 > 0), "tear_off").otherwise("unknown")
+    return read(spark, sf_dir, "part").select("p_partkey", T.readable_description(F.lower("p_brand"), component, material, action).alias("readable"))
+
+
+@query("f12_slope_conflict", "SELECT p_partkey, p_partkey % 2 = 0 AND p_partkey % 3 < 2 AND p_size % 12 + 1 NOT IN (7, 9) AS conflict FROM part")
+def f12_slope(spark, sf_dir):
+    k, limit = F.col("p_partkey"), F.concat((F.col("p_size") % 12 + 1).cast("string"), F.lit("/12"))
+    size = F.when(k % 2 == 0, "7/12 to 9/12").otherwise("4")
+    text = F.concat(F.col("p_name"), F.when(k % 3 == 0, ", Greater than ").when(k % 3 == 1, " over ").otherwise(" under "), limit, F.lit(" slope"))
+    return read(spark, sf_dir, "part").select("p_partkey", T.slope_conflict(size, text).alias("conflict"))

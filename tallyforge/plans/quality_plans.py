@@ -163,6 +163,15 @@ def a23(spark, sf_dir):
     return C.price_observations(nested).select("key", "price_list", "unit_price", "observation_no", "is_latest")
 
 
+@query(
+    "a23_price_lists",
+    """SELECT l_partkey AS key, l_returnflag AS price_list, count(*) AS n, min(l_shipdate) AS first_at, max(l_shipdate) AS last_at, arg_max(l_extendedprice, {'d': l_shipdate, 'p': l_extendedprice}) AS latest_price FROM lineitem GROUP BY ALL""",
+)
+def a23_lists(spark, sf_dir):
+    nested = read(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("key")).agg(F.collect_list(F.struct(F.col("l_returnflag").alias("price_list"), F.col("l_extendedprice").alias("unit_price"), F.col("l_shipdate").alias("observed_at"))).alias("observations"))
+    return C.price_lists(nested)
+
+
 @query("t3_fuzzy_search", "SELECT p_partkey AS key, p_name AS description, 1 - levenshtein(p_name, 'small rings')::DOUBLE / greatest(length(p_name), 11) AS similarity FROM part WHERE p_brand = 'Brand#2' ORDER BY similarity DESC, key LIMIT 10")
 def t3(spark, sf_dir):
     rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("description"), F.col("p_brand").alias("category"))
@@ -396,6 +405,18 @@ def b7(spark, sf_dir):
     return V.reset_unfinished(tasks, pairs)
 
 
+@query(
+    "b7_reset_transitions",
+    """WITH t AS (SELECT ['done', 'committed', 'active', 'failed', 'pending', 'skipped', 'failed'][(o_orderkey % 7 + 1)::INT] AS state FROM orders)
+    SELECT state, 'pending' AS new_state, count(*) AS n, state <> 'pending' AS changed FROM t GROUP BY state""",
+)
+def b7_full(spark, sf_dir):
+    """A full reset, counted."""
+    k = F.col("o_orderkey")
+    tasks = read(spark, sf_dir, "orders").select(k.alias("task_id"), _case(k % 7, *map(F.lit, ("done", "committed", "active", "failed", "pending", "skipped", "failed"))).alias("state"))
+    return V.reset_transitions(V.reset_unfinished(tasks, tasks.select(F.col("task_id").alias("pair_id"), F.col("task_id").alias("a"), F.col("task_id").alias("b")), full=True))
+
+
 _WORK = _ITEMS + """, w AS (SELECT *, CASE WHEN mapped THEN 'mapped' WHEN skipped THEN 'skipped' WHEN trim(description) = '' THEN 'missing description' WHEN quantity <= 0 THEN 'bad quantity' WHEN unit IS NULL THEN 'missing unit' WHEN group_name IS NULL THEN 'unresolved group' ELSE 'eligible' END AS bucket, category IS NOT NULL AND selector IS NOT NULL AS keyed,
   CASE WHEN group_name LIKE '1%' THEN 'Urgent' ELSE group_name END AS group_id FROM items), x AS (SELECT * FROM w WHERE status = 'approved' OR (NOT keyed AND status <> 'rejected' AND bucket = 'eligible')), y AS (SELECT *, min(ord) OVER (PARTITION BY doc_id, group_id) AS first FROM x)
 """
