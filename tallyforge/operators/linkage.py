@@ -460,6 +460,25 @@ def merge_candidates(item: str, key: str, *sources: DataFrame) -> DataFrame:
     return own.withColumn("rank", F.row_number().over(Window.partitionBy(item).orderBy("source_no", F.desc("score"), key))).drop("first")
 
 
+def candidate_states(items: DataFrame, item: str, key: str, verified: DataFrame, scored: DataFrame, placeholders: DataFrame, *, strong: float, possible: float, weak: float) -> DataFrame:
+    """(item, state, candidates, first): what each item's candidates amount to, how many there are and the key that comes first.
+
+    verified, scored, placeholders: (item, key, score), merged in this order. Scored
+    ones below ``weak`` are none. Any verified one makes the state strong; else the
+    best score says strong, possible or weak; a placeholder alone is weak; nothing
+    is none.
+    """
+    kept = scored.where(F.col("score") >= weak)
+    merged = merge_candidates(item, key, verified, kept, placeholders.where(F.col(key).isNotNull()))
+    of = merged.groupBy(item).agg(F.count("*").alias("candidates"), F.min_by(key, "rank").alias("first"))
+    best = kept.groupBy(item).agg(F.max("score").alias("best"))
+    flag = lambda df, name: df.select(item).distinct().withColumn(name, F.lit(True))
+    met = items.select(item).distinct().join(of, item, "left").join(best, item, "left").join(flag(verified, "sure"), item, "left").join(flag(placeholders, "stand_in"), item, "left")
+    by_score = F.when(F.col("best") >= strong, "strong").when(F.col("best") >= possible, "possible").when(F.col("best") >= weak, "weak")
+    state = F.when(F.col("sure"), "strong").when(by_score.isNotNull(), by_score).when(F.col("stand_in"), "weak").otherwise("none")
+    return met.select(item, state.alias("state"), F.coalesce("candidates", F.lit(0)).alias("candidates"), "first")
+
+
 def _grams(c: Column) -> Column:
     """Distinct substrings of one to three characters."""
     at = F.sequence(F.lit(1), F.length(c))

@@ -67,6 +67,25 @@ def coverage_stats(items: DataFrame) -> DataFrame:
     return items.agg(F.count("*").alias("items"), n(F.col("status") == "approved", "approved"), n(F.col("selector").isNull(), "no_selector"), n(F.size("block_reasons") > 0, "blocked"), n((F.col("status") == "approved") & ~F.col("ready"), "awaiting"), n(F.col("ready"), "ready"))
 
 
+def mapping_coverage(items: DataFrame, verified: DataFrame, conflicts: DataFrame, ready: DataFrame) -> DataFrame:
+    """One row of eight counts: extracted, normalized (trade or component known), verified match, only a placeholder, none, another unit verified, unreviewed, ready.
+
+    items: (item_id, trade, component, mapping_status, status); verified, conflicts
+    and ready hold the item_id of those items, as ``verified_matches``,
+    ``unit_conflicts`` and ``automation_ready`` find them.
+    """
+    met = items
+    for name, found in (("_verified", verified), ("_conflict", conflicts), ("_ready", ready)):
+        met = met.join(found.select("item_id").distinct().withColumn(name, F.lit(True)), "item_id", "left")
+    known = lambda c: F.coalesce(F.col(c), F.lit("unknown")) != "unknown"
+    sure, has = F.coalesce("_verified", F.lit(False)), F.col("mapping_status").isin("mapped", "partial")
+    n = lambda c, name: F.count_if(c).alias(name)
+    return met.agg(
+        F.count("*").alias("items"), n(known("trade") | known("component"), "normalized"), n(sure, "verified"), n(~sure & has, "placeholder_only"), n(~sure & (F.col("mapping_status") == "unmapped"), "no_match"),
+        n(F.coalesce("_conflict", F.lit(False)), "unit_conflict"), n(F.col("status") == "unreviewed", "awaiting"), n(F.coalesce("_ready", F.lit(False)), "ready"),
+    )
+
+
 def bulk_apply(items: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Status edits with a reason: (applied, blocked). Approval needs a row that nothing blocks; an edit without reason is blocked."""
     met = items.join(edits.select("item_id", "new_status", "reason"), "item_id")
@@ -249,6 +268,11 @@ def recommendation_stats(events: DataFrame, item: str = "item_id") -> DataFrame:
     return events.groupBy("action").agg(F.count("*").alias("n"), F.countDistinct(item).alias("items"), F.floor(F.sum("candidates") * 1000 / F.count("*")).cast("long").alias("mean_candidates"))
 
 
+def state_stats(states: DataFrame) -> DataFrame:
+    """(state, n, mean_candidates): items by the state of their candidates, a null state for all of them; means to three places."""
+    return states.groupingSets([[F.col("state")], []], "state").agg(F.count("*").alias("n"), F.round(F.avg("candidates"), 3).alias("mean_candidates"))
+
+
 def reuse_stats(plans: DataFrame) -> DataFrame:
     """Items, those resolved by the registry, those to be searched, and agreement with the truth."""
     return plans.agg(F.count("*").alias("items"), F.count_if(F.col("path") == "registry").alias("by_registry"), F.count_if(F.col("path") == "search").alias("searched"), F.count_if(F.col("key") == F.col("truth")).alias("agree"))

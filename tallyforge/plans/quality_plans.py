@@ -220,6 +220,47 @@ def a15(spark, sf_dir):
     return out.withColumns({c: F.round(c, 6) for c in ("top_1", "top_3", "top_5", "top_10", "mrr", "coverage")})
 
 
+def _states(spark, sf_dir):
+    """Parts in tens: some have verified records, scores of several levels, a placeholder or nothing."""
+    k, part = F.col("p_partkey"), read(spark, sf_dir, "part")
+    rows = part.select(F.floor(k / 10).alias("item_id"), k.alias("key"), (k * 37 % 101 - F.floor(k / 10) % 9 * 10).alias("score"))
+    verified = rows.where("item_id % 7 = 0 and key % 10 = 3")
+    scored = rows.where("item_id % 5 > 0")
+    placeholders = rows.where("item_id % 3 = 0 and key % 10 = 9").select("item_id", F.when(F.col("item_id") % 2 == 0, F.col("key")).alias("key"), F.lit(0).cast("bigint").alias("score"))
+    return L.candidate_states(rows, "item_id", "key", verified, scored, placeholders, strong=85, possible=65, weak=40)
+
+
+_STATES = """WITH r AS (SELECT p_partkey // 10 AS item_id, p_partkey AS key, p_partkey * 37 % 101 - p_partkey // 10 % 9 * 10 AS score FROM part),
+u AS (SELECT *, 0 AS src FROM r WHERE item_id % 7 = 0 AND key % 10 = 3 UNION ALL SELECT *, 1 FROM r WHERE item_id % 5 > 0 AND score >= 40 UNION ALL SELECT item_id, key, 0, 2 FROM r WHERE item_id % 3 = 0 AND key % 10 = 9 AND item_id % 2 = 0),
+d AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY item_id, key ORDER BY src, score DESC) = 1), o AS (SELECT item_id, count(*) AS candidates, arg_min(key, [src, -score, key]) AS first FROM d GROUP BY item_id),
+b AS (SELECT item_id, max(score) FILTER (item_id % 5 > 0 AND score >= 40) AS best, bool_or(item_id % 7 = 0 AND key % 10 = 3) AS sure, bool_or(item_id % 3 = 0 AND key % 10 = 9) AS stand_in FROM r GROUP BY item_id),
+states AS (SELECT item_id, CASE WHEN sure THEN 'strong' WHEN best >= 85 THEN 'strong' WHEN best >= 65 THEN 'possible' WHEN best >= 40 THEN 'weak' WHEN stand_in THEN 'weak' ELSE 'none' END AS state, coalesce(candidates, 0) AS candidates, first FROM b LEFT JOIN o USING (item_id)) """
+
+
+@query("t4_candidate_states", _STATES + "SELECT item_id, state, candidates, first FROM states")
+def t4_states(spark, sf_dir):
+    return _states(spark, sf_dir)
+
+
+@query("a14_state_stats", _STATES + "SELECT state, count(*) AS n, round(avg(candidates), 3) AS mean_candidates FROM states GROUP BY GROUPING SETS ((state), ())")
+def a14_states(spark, sf_dir):
+    return V.state_stats(_states(spark, sf_dir))
+
+
+@query(
+    "a13_mapping_coverage",
+    """SELECT count(*) AS items, count(*) FILTER (p_partkey % 4 > 0 OR p_partkey % 6 > 0) AS normalized, count(*) FILTER (p_partkey % 5 = 0) AS verified, count(*) FILTER (p_partkey % 5 > 0 AND p_partkey % 3 < 2) AS placeholder_only, count(*) FILTER (p_partkey % 5 > 0 AND p_partkey % 3 = 2) AS no_match,
+    count(*) FILTER (p_partkey % 11 = 0) AS unit_conflict, count(*) FILTER (p_size % 2 = 0) AS awaiting, count(*) FILTER (p_partkey % 10 = 0) AS ready FROM part""",
+)
+def a13_coverage(spark, sf_dir):
+    k = F.col("p_partkey")
+    items = read(spark, sf_dir, "part").select(
+        k.alias("item_id"), F.when(k % 4 > 0, F.lower("p_type")).otherwise("unknown").alias("trade"), F.when(k % 6 > 0, F.col("p_name")).alias("component"), _case(k % 3, F.lit("mapped"), F.lit("partial"), F.lit("unmapped")).alias("mapping_status"),
+        F.when(F.col("p_size") % 2 == 0, "unreviewed").otherwise("approved").alias("status"),
+    )
+    return V.mapping_coverage(items, items.where("item_id % 5 = 0"), items.where("item_id % 11 = 0"), items.where("item_id % 10 = 0"))
+
+
 @query(
     "a15_compare_rankings",
     """WITH r AS (SELECT p_partkey // 10 AS q, p_partkey AS key, p_partkey % 10 + 1 AS rank, p_partkey // 10 % 3 = 0 AS resolved FROM part), t AS (SELECT DISTINCT q, q * 10 + CASE WHEN q % 4 = 0 THEN 0 ELSE q % 12 END AS key FROM r),
