@@ -102,12 +102,12 @@ def validate_catalog(catalog: DataFrame, units: Sequence[str], actions: Sequence
 
 
 def overlapping_shapes(catalog: DataFrame) -> DataFrame:
-    """(mapping_id, other): entries that another entry of the same trade and component overlaps, with one such entry.
+    """(mapping_id, other): entries that another entry of the same trade and component overlaps, with the smallest such id.
 
     Two entries overlap if they share an action and a unit; a missing or empty list
     stands for all. Each entry is spread over its cells of action and unit and looks
     up the at most four groups of cells that can hold another one; groups know
-    their smallest and largest id, so entries of a trade never meet in pairs.
+    their two smallest ids, so entries of a trade never meet in pairs.
     """
     every = F.lit("*")
     listed = lambda c: F.when(F.coalesce(F.size(c), F.lit(0)) > 0, F.array_distinct(c)).otherwise(F.array(every))
@@ -116,7 +116,9 @@ def overlapping_shapes(catalog: DataFrame) -> DataFrame:
     # a cell in the four views: with or without looking at its action and its unit
     either = lambda c: F.array(F.col(c), F.lit(None).cast("string"))
     views = cells.withColumn("action", F.explode(either("action"))).withColumn("unit", F.explode(either("unit")))
-    groups = views.groupBy("trade", "component", "action", "unit").agg(F.min("mapping_id").alias("low"), F.max("mapping_id").alias("high"))
+    keys = ["trade", "component", "action", "unit"]
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("mapping_id"))
+    groups = views.select(*keys, "mapping_id").distinct().withColumn("nth", nth).where("nth <= 2").groupBy(*keys).agg(F.min("mapping_id").alias("low"), F.max("mapping_id").alias("high"))
     # an entry for all actions looks at no action; any other looks at its own and at those for all
     asked = lambda c: F.when(F.col(c) == "*", F.array(F.lit(None).cast("string"))).otherwise(F.array(F.col(c), every))
     looks = cells.withColumn("action", F.explode(asked("action"))).withColumn("unit", F.explode(asked("unit")))
