@@ -45,6 +45,8 @@ from tallyforge.llm.components import connected_components
 
 COLLECTIONS = 12
 ROWS = 2
+#: Sets with more than this share of all rows are broadcast in the last join.
+MOST_HELD = 2048
 
 
 def _sets(texts: pa.Array, size: int):
@@ -150,12 +152,28 @@ def _across(still: DataFrame, sets: DataFrame, threshold: int, scratch: _shared.
     return x.join(y, (F.col("x.s") == F.col("y.s")) & once & fits).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
+def _told(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows with the component_id of their set (fp, copies, component_id), null for rows without one.
+
+    A set of more than a MOST_HELD-th of all rows is broadcast: there are fewer than
+    MOST_HELD of them. The others are joined by shuffle, rows without a set are not joined.
+    """
+    total = named.agg(F.sum("copies")).first()[0] or 0
+    often = F.col("copies") * MOST_HELD > total
+    often_named, others = (named.where(w).select("fp", "component_id") for w in (often, ~often))
+    some = rows.where(F.col("fp").isNotNull())
+    bare = rows.where(F.col("fp").isNull()).withColumn("component_id", F.lit(None).cast("long"))
+    columns = ["doc_id", "row", "n_shingles", "fp", "component_id"]
+    rest = some.join(F.broadcast(often_named.select("fp")), "fp", "left_anti").join(others, "fp", "left")
+    return bare.select(columns).unionByName(some.join(F.broadcast(often_named), "fp").select(columns)).unionByName(rest.select(columns))
+
+
 def _placed(docs: DataFrame, size: int, threshold: int, collections: int, rows: int) -> DataFrame:
     """doc_id, row, n_shingles, component_id and kept of each row of ``docs``, written; what led to it is deleted."""
     scratch = _shared.Scratch(docs.sparkSession, "minhash")
     signed = scratch.written(signatures(docs, size, collections, rows), "signatures")
     # Vertices: one for each distinct set, named by its fingerprint.
-    vertices = signed.where(F.col("fp").isNotNull()).groupBy(F.col("fp").alias("id")).agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    vertices = signed.where(F.col("fp").isNotNull()).groupBy(F.col("fp").alias("id")).agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies"))
     vertices = scratch.written(vertices, "vertices")
 
     keyed = table_keys(vertices, collections)
@@ -193,8 +211,8 @@ def _placed(docs: DataFrame, size: int, threshold: int, collections: int, rows:
     linked = vertices.select("id", "doc").join(grouped, "id")
     smallest = scratch.written(linked.groupBy("component").agg(F.min("doc").alias("component_id")), "smallest")
     linked = linked.join(smallest, "component").select("id", "component_id")
-    named = vertices.select("id", "doc").join(linked, "id", "left").select(F.col("id").alias("fp"), F.coalesce("component_id", "doc").alias("component_id"))
-    out = signed.select("doc_id", "row", "n_shingles", "fp").join(named, "fp", "left")
+    named = vertices.select("id", "doc", "copies").join(linked, "id", "left").select(F.col("id").alias("fp"), "copies", F.coalesce("component_id", "doc").alias("component_id"))
+    out = _told(signed.select("doc_id", "row", "n_shingles", "fp"), scratch.written(named, "named"))
     component = F.coalesce("component_id", "doc_id")
     out = out.select("doc_id", "row", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
     out = _shared.written(out, "near-duplicates")
