@@ -178,6 +178,24 @@ def suggest_group(names: DataFrame, groups: Sequence[str], aliases: dict[str, st
     return best.select("name", F.col("b.group").alias("suggestion"), F.coalesce("b.how", F.lit("none")).alias("how"), F.coalesce("b.points", F.lit(0)).alias("points"))
 
 
+def committed_queue(tasks: DataFrame) -> DataFrame:
+    """Committed tasks that someone must look at, in the order of their source (``ord``, then task_id).
+
+    tasks: task_id, ord, state, commit_state, has_row, uncertain, the chosen and
+    the observed category and selector beside the task's own, review_reason,
+    stop_detail and trust_state. A task stands in the queue if its state is
+    'review_required', nothing about its row is uncertain (null: nothing), and it
+    is committed, or, where no commit state is told, it has a row.
+    """
+    committed = F.when(F.col("commit_state").isNull(), F.coalesce("has_row", F.lit(False))).otherwise(F.col("commit_state") == "committed")
+    due = tasks.where((F.col("state") == "review_required") & ~F.coalesce("uncertain", F.lit(False)) & committed)
+    filled = lambda *names: F.coalesce(*(F.nullif(F.col(n), F.lit("")) for n in names))
+    return due.select(
+        "task_id", "ord", filled("selected_category", "observed_category", "category").alias("category"), filled("selected_selector", "observed_selector", "selector").alias("selector"),
+        filled("review_reason", "stop_detail", "trust_state").alias("reason"), "trust_state",
+    ).orderBy("ord", "task_id")
+
+
 def review_queue(*flagged: tuple[str, DataFrame]) -> DataFrame:
     """(key, reason) of rows that several checks flagged."""
     out = None

@@ -131,13 +131,45 @@ def mapping_summary(decided: DataFrame, document: str) -> DataFrame:
     return out.withColumn("unresolved", F.col("review") + F.col("unmapped")).withColumn("overall", F.when(F.col("unresolved") > 0, "needs_review").otherwise("complete"))
 
 
+#: The issue that a review reason of the mapping stands for, and its severity.
+REASON_ISSUES = [
+    ("action unknown", "unsupported_action", "warning"), ("action conflict", "unsupported_action", "warning"), ("trade unknown", "trade_mismatch", "warning"), ("trade conflict", "trade_mismatch", "warning"),
+    ("component unknown", "unknown_component", "warning"), ("component conflict", "component_mismatch", "info"), ("unit conflict", "incompatible_unit", "warning"), ("attribute conflict", "attribute_conflict", "warning"),
+    ("tied", "close_candidates", "warning"), ("no selector", "missing_selector", "warning"), ("entry needs review", "entry_needs_review", "info"), ("no match", "no_match", "warning"),
+]
+
+
+def with_reasons(decided: DataFrame, scored: DataFrame, item: str, entry: str) -> DataFrame:
+    """Adds ``reasons`` to decided rows: 'no match' without an entry, else the entry's conflicts, 'tied', 'no selector' and 'entry needs review'."""
+    needs = F.coalesce("e_requires_review", F.lit(False)) if "e_requires_review" in scored.columns else F.lit(False)
+    best = top_margin(scored, item, [entry]).select(item, F.col(entry).alias("best"), F.col("reasons").alias("_found"), F.col("tied").alias("_tied"), F.col("e_selector").isNull().alias("_bare"), needs.alias("_needs"))
+    more = F.filter(F.array(F.when(F.col("_tied"), "tied"), F.when(F.col("_bare"), "no selector"), F.when(F.col("_needs"), "entry needs review")), lambda x: x.isNotNull())
+    reasons = F.when(F.col("best").isNull(), F.array(F.lit("no match"))).otherwise(F.concat("_found", more))
+    return decided.join(best, [item, "best"], "left").select(*decided.columns, reasons.alias("reasons"))
+
+
 def mapping_issues(items: DataFrame, decided: DataFrame, item: str) -> DataFrame:
-    """(item, code): one row for each reason to look at a decided row again."""
-    met = decided.join(items.select(item, "confidence", "upstream_review"), item)
-    codes = F.array(
-        F.when(F.col("status") == "unmapped", "no_category"), F.when(F.col("status") == "review", "ambiguous_category"), F.when(F.col("confidence") < 0.6, "low_confidence"), F.when(F.col("upstream_review"), "upstream_review"),
+    """(item, code, severity): one row for each issue of a decided row, each code once with each severity.
+
+    items: the item, its ``coverage`` (null: unresolved), ``upstream_review`` and
+    ``normal_reasons``, those of its normalization; decided: ``reasons`` of the
+    decision, ``best`` (null: no entry), the entry's ``category`` and the
+    ``confidence`` of the match. Reasons become issues by REASON_ISSUES; others
+    of the normalization are 'ambiguous_text', others of the decision say nothing.
+    """
+    made = lambda code, severity: F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"))
+    known = F.create_map(*(x for reason, code, severity in REASON_ISSUES for x in (F.lit(reason), made(code, severity))))
+    none = F.array().cast("array<string>")
+    chosen = F.col("best").isNotNull()
+    one = F.array(
+        F.when(chosen & F.col("category").isNull(), made("missing_category", "warning")), F.when(chosen & (F.col("confidence") < 0.6), made("low_confidence", "warning")),
+        F.when(F.col("coverage").isNull(), made("unresolved_coverage", "info")), F.when(F.col("upstream_review"), made("upstream_review", "info")),
     )
-    return met.select(item, F.explode(F.filter(codes, lambda x: x.isNotNull())).alias("code"))
+    met = decided.select(item, "reasons", "best", "category", "confidence").join(items.select(item, "coverage", "upstream_review", "normal_reasons"), item)
+    scored = F.transform(F.coalesce("reasons", none), lambda r: known[r])
+    unclear = F.transform(F.coalesce("normal_reasons", none), lambda r: F.when(known[r].isNull(), made("ambiguous_text", "info")))
+    found = F.array_distinct(F.filter(F.concat(scored, one, unclear), lambda x: x.isNotNull()))
+    return met.select(item, F.explode(found).alias("i")).select(item, "i.*")
 
 
 #: Stands for the whole pool where a category is asked for.

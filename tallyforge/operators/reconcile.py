@@ -117,14 +117,39 @@ def propagate_issues(items: DataFrame, issues: DataFrame) -> DataFrame:
     return met.select(*(c for c in items.columns if c != "reasons"), F.array_union(F.coalesce("reasons", none), F.coalesce("codes", none)).alias("reasons"), F.col("codes").isNotNull().alias("needs_review"))
 
 
+SEVERITIES = ("fatal", "error", "warning", "info")
+
+
 def issue_rollup(issues: DataFrame, codes: Sequence[str]) -> DataFrame:
-    """Counts by code per document, a column for each."""
-    return issues.groupBy("doc_id").pivot("code", list(codes)).agg(F.count("item_id")).fillna(0)
+    """Counts by code per document, a column for each, and by severity where the issues tell it (a column of that name)."""
+    told = [F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES] if "severity" in issues.columns else []
+    return issues.groupBy("doc_id").agg(*(F.count_if(F.col("code") == c).alias(c) for c in codes), *told)
 
 
 def conflicting_values(candidates: DataFrame) -> DataFrame:
-    """(doc_id, field) with more than one distinct trimmed lower-case value: how many, and the raw values sorted."""
-    return candidates.groupBy("doc_id", "field").agg(F.countDistinct(F.lower(F.trim("raw"))).alias("n_values"), F.sort_array(F.collect_set("raw")).alias("raw_values")).where("n_values > 1")
+    """(doc_id, field) with more than one distinct trimmed lower-case value, blank ones aside: how many, and the raw values sorted."""
+    said = F.lower(F.nullif(F.trim("raw"), F.lit("")))
+    return candidates.groupBy("doc_id", "field").agg(F.countDistinct(said).alias("n_values"), F.sort_array(F.collect_set("raw")).alias("raw_values")).where("n_values > 1")
+
+
+def field_issues(docs: DataFrame, candidates: DataFrame, values: DataFrame, required: Sequence[tuple[str, str]], exempt: Sequence[tuple[str, str]] = ()) -> DataFrame:
+    """(doc_id, field, code, severity): fields with conflicting raw values, and required ones without a value.
+
+    docs: (doc_id, profile); candidates: (doc_id, field, raw); values: the selected
+    (doc_id, field, value); required: (field, severity). Conflicts are warnings.
+    A missing field has the severity that ``required`` gives it, or 'info' where
+    ``exempt`` (profile, field) says that a profile's documents don't state it;
+    profiles meet trimmed and in lower case, a null one is exempt from nothing.
+    """
+    conflicts = conflicting_values(candidates).select("doc_id", "field", F.lit("conflicting_value").alias("code"), F.lit("warning").alias("severity"))
+    profile = F.lower(F.trim("profile"))
+    rules = []
+    for field, severity in required:
+        free = [p.strip().lower() for p, f in exempt if f == field]
+        rules.append(F.struct(F.lit(field).alias("field"), F.when(profile.isin(free), "info").otherwise(severity).alias("severity")))
+    due = docs.select("doc_id", F.explode(F.array(*rules)).alias("r")).select("doc_id", "r.field", F.lit("missing_value").alias("code"), "r.severity")
+    there = values.where(F.trim("value") != "").select("doc_id", "field").distinct()
+    return conflicts.unionByName(due.join(there, ["doc_id", "field"], "left_anti").select(*conflicts.columns))
 
 
 def coverage_gaps(expected: DataFrame, manifest: DataFrame, key: str) -> DataFrame:

@@ -94,6 +94,36 @@ def bulk_apply(items: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame
     return met.where(F.size("blocked_by") == 0).select("item_id", F.col("new_status").alias("status"), "reason"), met.where(F.size("blocked_by") > 0).select("item_id", "new_status", "blocked_by")
 
 
+def edit_fields(items: DataFrame, overrides: DataFrame, edits: DataFrame, editable: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(overrides, history, refused): edits of single fields, one after the other.
+
+    items: item_id and the ``editable`` columns, what the machine found; overrides:
+    (item_id, field, original, value, reviewer, reason, at) of the edits before, one
+    per field; edits: (edit_id, at, item_id, field, value, reviewer, reason), each
+    edit_id once. They count in the order of time and then id. What an edit finds
+    is the value of the edit before it, of the override, or the machine's; the last
+    one stays beside the machine's value, which no edit changes. history: (edit_id,
+    at, item_id, field, before, after, reviewer, reason); refused: (edit_id, why),
+    the first of 'field is not editable', 'no reason', 'unknown item'. Values are
+    strings; an edit to null is one.
+    """
+    machine = F.map_from_arrays(F.array(*map(F.lit, editable)), F.array(*(F.col(c).cast("string") for c in editable)))
+    asked = edits.join(items.select("item_id", machine.alias("machine")), "item_id", "left")
+    why = F.when(~F.coalesce(F.col("field").isin(*editable), F.lit(False)), "field is not editable").when(F.coalesce(F.trim("reason"), F.lit("")) == "", "no reason").when(F.col("machine").isNull(), "unknown item")
+    asked = asked.withColumn("why", why)
+    held = overrides.select("item_id", "field", F.col("value").alias("held"), F.lit(True).alias("has"))
+    found = asked.where("why is null").join(held, ["item_id", "field"], "left")
+    order = Window.partitionBy("item_id", "field").orderBy("at", "edit_id")
+    first = F.row_number().over(order) == 1
+    original = F.col("machine")[F.col("field")]
+    told = found.withColumns({"original": original, "before": F.when(~first, F.lag("value").over(order)).when(F.col("has"), F.col("held")).otherwise(original)})
+    history = told.select("edit_id", "at", "item_id", "field", "before", F.col("value").alias("after"), "reviewer", "reason")
+    last = told.groupBy("item_id", "field").agg(F.max(F.struct("at", "edit_id", "original", "value", "reviewer", "reason")).alias("e"))
+    last = last.select("item_id", "field", "e.original", "e.value", "e.reviewer", "e.reason", "e.at")
+    kept = overrides.join(last.select("item_id", "field"), ["item_id", "field"], "left_anti").select(*last.columns)
+    return kept.unionByName(last), history, asked.where("why is not null").select("edit_id", "why")
+
+
 def upsert_registry(registry: DataFrame, resolutions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(merged, conflicts) by signature: another approved key is a conflict unless overridden; the same key is refreshed; reviewer and reason are needed."""
     ok = resolutions.where((F.coalesce("reviewer", F.lit("")) != "") & (F.coalesce("reason", F.lit("")) != ""))

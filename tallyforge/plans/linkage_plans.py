@@ -129,11 +129,22 @@ def r2(spark, sf_dir):
 
 @query(
     "r3_mapping_issues",
-    _W + _DECIDED + """SELECT item_id, unnest(list_filter([CASE WHEN status = 'unmapped' THEN 'no_category' END, CASE WHEN status = 'review' THEN 'ambiguous_category' END, CASE WHEN item_id % 5 = 0 THEN 'low_confidence' END, CASE WHEN item_id % 11 = 0 THEN 'upstream_review' END], lambda x: x IS NOT NULL)) AS code FROM dec""",
+    _W + _DECIDED + """, bs AS (SELECT dec.item_id, dec.score, CASE WHEN status <> 'unmapped' THEN dec.mapping_id END AS best, c1, c2, c3, c4, c5, has_selector, coalesce(b.score - b.second <= 30, false) AS tied FROM dec LEFT JOIN rk b ON b.item_id = dec.item_id AND b.rank = 1),
+    l AS (SELECT item_id, unnest(list_filter([CASE WHEN best IS NULL THEN 'no_match:warning' END, CASE WHEN best IS NOT NULL AND NOT c1 THEN 'component_mismatch:info' END, CASE WHEN best IS NOT NULL AND NOT c2 THEN 'trade_mismatch:warning' END,
+      CASE WHEN best IS NOT NULL AND NOT c3 THEN 'unsupported_action:warning' END, CASE WHEN best IS NOT NULL AND NOT c4 THEN 'incompatible_unit:warning' END, CASE WHEN best IS NOT NULL AND NOT c5 THEN 'attribute_conflict:warning' END,
+      CASE WHEN best IS NOT NULL AND tied THEN 'close_candidates:warning' END, CASE WHEN best IS NOT NULL AND NOT has_selector THEN 'missing_selector:warning' END, CASE WHEN best % 5 = 0 THEN 'missing_category:warning' END,
+      CASE WHEN best IS NOT NULL AND score / 1000 * 0.7::DOUBLE < 0.6 THEN 'low_confidence:warning' END, CASE WHEN item_id % 11 = 0 THEN 'unresolved_coverage:info' END, CASE WHEN item_id % 13 = 0 THEN 'upstream_review:info' END,
+      CASE WHEN item_id % 5 = 0 THEN 'ambiguous_text:info' END], lambda x: x IS NOT NULL)) AS i FROM bs)
+    SELECT item_id, split_part(i, ':', 1) AS code, split_part(i, ':', 2) AS severity FROM l""",
 )
 def r3(spark, sf_dir):
-    rows = items(spark, sf_dir).withColumns({"confidence": F.when(F.col("item_id") % 5 == 0, 0.3).otherwise(0.9), "upstream_review": F.col("item_id") % 11 == 0})
-    return L.mapping_issues(rows, _decided(spark, sf_dir), "item_id")
+    """Each fifth entry has no category; each fifth text is unclear, each seventh without an action, each eleventh without a coverage, each thirteenth flagged before."""
+    k = F.col("item_id")
+    unclear = F.filter(F.array(F.when(k % 5 == 0, "odd text"), F.when(k % 7 == 0, "action unknown")), lambda x: x.isNotNull())
+    rows = items(spark, sf_dir).withColumns({"coverage": F.when(k % 11 > 0, "c"), "upstream_review": k % 13 == 0, "normal_reasons": unclear})
+    decided = L.with_reasons(_decided(spark, sf_dir), _scored(spark, sf_dir), "item_id", "mapping_id")
+    decided = decided.withColumns({"category": F.when(F.col("best") % 5 > 0, "c"), "confidence": F.col("score") / 1000 * F.lit(0.7)})
+    return L.mapping_issues(rows, decided, "item_id")
 
 
 @query(

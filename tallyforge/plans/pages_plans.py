@@ -81,6 +81,22 @@ def s5(spark, sf_dir):
     return S.load_rules(spark, _rule_file(spark, rules, "rules"))
 
 
+@query(
+    "s5_typed_rules",
+    """WITH t AS (SELECT p_brand AS kind, lower(p_type) AS trade, list_sort(list(DISTINCT p_name)) AS patterns, min(split_part(p_name, ' ', 2)) AS component FROM part GROUP BY ALL),
+    o AS (SELECT *, (row_number() OVER (PARTITION BY kind ORDER BY trade) - 1)::INT AS ord FROM t), c AS (SELECT kind, ord, 'trade' AS concept, trade AS value, patterns FROM o UNION ALL SELECT kind, ord, 'component', component, patterns FROM o WHERE component <> 'ring')
+    SELECT kind, ord, concept, value, unnest(range(len(patterns)))::INT AS pattern_ord, unnest(patterns) AS pattern FROM c""",
+)
+def s5_typed(spark, sf_dir):
+    """A rule file for each brand, with a rule for each type: its names, in upper case, and two concepts, or one for rings."""
+    rows = read(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("kind"), F.lower("p_type").alias("trade")).agg(F.array_sort(F.collect_set("p_name")).alias("names"), F.min(F.split("p_name", " ")[1]).alias("component"))
+    rule = F.struct("trade", F.transform("names", F.upper).alias("patterns"), F.when(F.col("component") != "ring", F.col("component")).alias("component"))
+    files = rows.groupBy("kind").agg(F.array_sort(F.collect_list(rule)).alias("rules"))
+    path = new_folder(spark, "typed-rules")
+    files.write.option("maxRecordsPerFile", 1).json(path)
+    return S.load_typed_rules(spark, path)["concepts"]
+
+
 _NOTES = [
     ("Required by current building code here", "code_upgrade_note", False), ("Priced by the warehouse", "pricing_note", False), ("Per code R903.1", "code_note", True), ("Options: none", "waste_note", True), ("Accounted for above", "measurement_note", True),
     ("The rest", "general_note", True), (" rake only ", "measurement_note", True), ("Windows", "general_note", False),

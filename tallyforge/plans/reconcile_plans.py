@@ -106,7 +106,36 @@ def a31(spark, sf_dir):
     return R.issue_rollup(R.line_arithmetic_issues(X.line_items(spark, sf_dir)), ["rcv_mismatch", "acv_mismatch"])
 
 
-@query("a32_conflicting_values", "WITH " + X.CANDIDATES + "SELECT doc_id, field, count(DISTINCT lower(trim(raw))) AS n_values, list_sort(list(DISTINCT raw) FILTER (raw IS NOT NULL)) AS raw_values FROM cand GROUP BY doc_id, field HAVING count(DISTINCT lower(trim(raw))) > 1")
+@query(
+    "a31_issue_severities",
+    _W + _ISSUES + """, s AS (SELECT *, CASE code WHEN 'rcv_mismatch' THEN 'warning' WHEN 'acv_mismatch' THEN 'error' WHEN 'acv_over_rcv' THEN 'fatal' ELSE 'info' END AS severity FROM issues)
+    SELECT doc_id, count(*) FILTER (code = 'rcv_mismatch') AS rcv_mismatch, count(*) FILTER (code = 'acv_mismatch') AS acv_mismatch, count(*) FILTER (code = 'acv_over_rcv') AS acv_over_rcv, count(*) FILTER (code = 'dep_over_rcv') AS dep_over_rcv,
+      count(*) FILTER (severity = 'fatal') AS fatal, count(*) FILTER (severity = 'error') AS error, count(*) FILTER (severity = 'warning') AS warning, count(*) FILTER (severity = 'info') AS info FROM s GROUP BY doc_id""",
+)
+def a31_severities(spark, sf_dir):
+    severity = F.when(F.col("code") == "rcv_mismatch", "warning").when(F.col("code") == "acv_mismatch", "error").when(F.col("code") == "acv_over_rcv", "fatal").otherwise("info")
+    issues = R.line_arithmetic_issues(X.line_items(spark, sf_dir)).withColumn("severity", severity)
+    return R.issue_rollup(issues, ["rcv_mismatch", "acv_mismatch", "acv_over_rcv", "dep_over_rcv"])
+
+
+@query(
+    "a32_field_issues",
+    "WITH " + X.CANDIDATES + """, d AS (SELECT c_custkey AS doc_id, CASE c_custkey % 3 WHEN 0 THEN ' Bare ' WHEN 1 THEN 'plain' END AS profile FROM customer), v AS (SELECT DISTINCT doc_id, field FROM cand WHERE trim(raw) <> '' UNION SELECT doc_id, 'list' FROM d WHERE doc_id % 5 > 0 AND doc_id % 4 > 0),
+    r(field, severity) AS (VALUES ('kind', 'warning'), ('list', 'info'), ('number', 'error'))
+    SELECT doc_id, field, 'conflicting_value' AS code, 'warning' AS severity FROM cand GROUP BY doc_id, field HAVING count(DISTINCT nullif(lower(trim(raw)), '')) > 1
+    UNION ALL SELECT doc_id, field, 'missing_value', CASE WHEN profile = ' Bare ' AND field <> 'list' THEN 'info' ELSE severity END FROM d, r WHERE (doc_id, field) NOT IN (SELECT (doc_id, field) FROM v)""",
+)
+def a32_fields(spark, sf_dir):
+    """Customers as documents: their kinds are those of their events, each fifth has no list, each fourth a blank one, none a number."""
+    key = F.col("c_custkey")
+    docs = read(spark, sf_dir, "customer").select(key.alias("doc_id"), F.when(key % 3 == 0, " Bare ").when(key % 3 == 1, "plain").alias("profile"))
+    cand = X.field_candidates(spark, sf_dir)
+    lists = docs.where("doc_id % 5 > 0").select("doc_id", F.lit("list").alias("field"), F.when(F.col("doc_id") % 4 == 0, "  ").otherwise("L").alias("value"))
+    values = cand.select("doc_id", "field", F.col("raw").alias("value")).unionByName(lists)
+    return R.field_issues(docs, cand, values, [("kind", "warning"), ("list", "info"), ("number", "error")], [("bare", "kind"), ("BARE ", "number")])
+
+
+@query("a32_conflicting_values", "WITH " + X.CANDIDATES + "SELECT doc_id, field, count(DISTINCT nullif(lower(trim(raw)), '')) AS n_values, list_sort(list(DISTINCT raw) FILTER (raw IS NOT NULL)) AS raw_values FROM cand GROUP BY doc_id, field HAVING count(DISTINCT nullif(lower(trim(raw)), '')) > 1")
 def a32(spark, sf_dir):
     return R.conflicting_values(X.field_candidates(spark, sf_dir))
 

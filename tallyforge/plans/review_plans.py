@@ -118,6 +118,58 @@ def b1_blocked(spark, sf_dir):
     return _bulk(spark, sf_dir)[1].withColumn("blocked_by", F.concat_ws("; ", "blocked_by"))
 
 
+_FIELD_EDITS = [
+    "event_id AS edit_id", "ts AS at", "user_id AS item_id", "CASE event_id % 4 WHEN 0 THEN 'category' WHEN 1 THEN 'selector' WHEN 2 THEN 'unit' ELSE 'description' END AS field",
+    "CASE WHEN event_id % 6 <> 0 THEN event_type END AS value", "'r' AS reviewer", "CASE WHEN event_id % 10 = 0 THEN ' ' WHEN event_id % 15 <> 0 THEN 'seen' END AS reason",
+]
+_HELD = "SELECT item_id, 'unit' AS field, unit AS original, 'LF' AS value, 'q' AS reviewer, 'before' AS reason FROM items WHERE item_id % 2 = 0"
+_FIELDS = _ITEMS + ", e AS (SELECT " + ", ".join(_FIELD_EDITS) + " FROM events), h AS (" + _HELD + """),
+m AS (SELECT e.*, CASE field WHEN 'category' THEN i.category WHEN 'selector' THEN i.selector ELSE i.unit END AS original, i.item_id IS NOT NULL AS there FROM e LEFT JOIN items i USING (item_id)),
+t AS (SELECT m.*, row_number() OVER w AS n, lag(m.value) OVER w AS earlier, row_number() OVER (PARTITION BY m.item_id, m.field ORDER BY m.at DESC, m.edit_id DESC) AS last, h.item_id IS NOT NULL AS has, h.value AS held
+  FROM m LEFT JOIN h ON h.item_id = m.item_id AND h.field = m.field WHERE m.field <> 'description' AND trim(m.reason) <> '' AND there WINDOW w AS (PARTITION BY m.item_id, m.field ORDER BY m.at, m.edit_id))
+"""
+
+
+def _field_edits(spark, sf_dir):
+    """Events as edits of orders: a fourth of a field that can't be edited, some without reason or without an order; each second order has an edit from before."""
+    items = _items(spark, sf_dir)
+    held = items.where("item_id % 2 = 0").selectExpr("item_id", "'unit' AS field", "unit AS original", "'LF' AS value", "'q' AS reviewer", "'before' AS reason", "TIMESTAMP'2000-01-01' AS at")
+    return V.edit_fields(items, held, read(spark, sf_dir, "events").selectExpr(*_FIELD_EDITS), ["category", "selector", "unit"])
+
+
+@query("b1_field_overrides", _FIELDS + "SELECT item_id, field, original, value, reviewer, reason FROM t WHERE last = 1 UNION ALL SELECT item_id, field, original, value, reviewer, reason FROM h WHERE (item_id, field) NOT IN (SELECT (item_id, field) FROM t)")
+def b1_overrides(spark, sf_dir):
+    return _field_edits(spark, sf_dir)[0].drop("at")
+
+
+@query("b1_field_history", _FIELDS + "SELECT edit_id, item_id, field, CASE WHEN n > 1 THEN earlier WHEN has THEN held ELSE original END AS before, value AS after, reason FROM t")
+def b1_history(spark, sf_dir):
+    return _field_edits(spark, sf_dir)[1].drop("at", "reviewer")
+
+
+@query("b1_field_refused", _FIELDS + "SELECT edit_id, CASE WHEN field = 'description' THEN 'field is not editable' WHEN coalesce(trim(reason), '') = '' THEN 'no reason' ELSE 'unknown item' END AS why FROM m WHERE field = 'description' OR coalesce(trim(reason), '') = '' OR NOT there")
+def b1_refused(spark, sf_dir):
+    return _field_edits(spark, sf_dir)[2]
+
+
+_TASKS = [
+    "o_orderkey AS task_id", "o_custkey AS ord", "CASE WHEN o_orderkey % 3 <> 0 THEN 'review_required' ELSE 'done' END AS state", "CASE o_orderkey % 4 WHEN 0 THEN 'committed' WHEN 1 THEN 'open' END AS commit_state",
+    "CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 2 = 0 END AS has_row", "CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey % 11 = 0 END AS uncertain",
+    "CASE WHEN o_custkey % 2 = 0 THEN 'chosen' END AS selected_category", "CASE WHEN o_custkey % 3 = 0 THEN '' ELSE 'seen' END AS observed_category", "o_orderpriority AS category",
+    "CASE WHEN o_custkey % 5 = 0 THEN 'S1' END AS selected_selector", "CASE WHEN o_custkey % 7 = 0 THEN 'S2' END AS observed_selector", "o_orderstatus AS selector",
+    "CASE WHEN o_custkey % 4 = 0 THEN 'low' END AS review_reason", "CASE WHEN o_custkey % 6 = 0 THEN 'stopped' END AS stop_detail", "'unverified' AS trust_state",
+]
+
+
+@query(
+    "u2_committed_queue",
+    "WITH t AS (SELECT " + ", ".join(_TASKS) + """ FROM orders) SELECT task_id, ord, coalesce(nullif(selected_category, ''), nullif(observed_category, ''), nullif(category, '')) AS category, coalesce(selected_selector, observed_selector, selector) AS selector, coalesce(review_reason, stop_detail, trust_state) AS reason, trust_state
+    FROM t WHERE state = 'review_required' AND NOT coalesce(uncertain, false) AND (commit_state = 'committed' OR (commit_state IS NULL AND coalesce(has_row, false)))""",
+)
+def u2_committed(spark, sf_dir):
+    return C.committed_queue(read(spark, sf_dir, "orders").selectExpr(*_TASKS))
+
+
 @query("b6_export_approved", _ITEMS + "SELECT doc_id, section, string_agg(item_id::VARCHAR, ';' ORDER BY ord, item_id) AS item_ids, count(*) AS n FROM items WHERE status = 'approved' AND blocks = '' GROUP BY ALL")
 def b6(spark, sf_dir):
     return V.export_approved(_items(spark, sf_dir))[0].withColumn("item_ids", F.concat_ws(";", F.transform("item_ids", lambda x: x.cast("string"))))

@@ -1,6 +1,7 @@
 """Single operators on rows written out, and against brute force."""
 
 import datetime
+import json
 import random
 from decimal import Decimal
 
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text as T
+from tallyforge.operators import catalog as K
 from tallyforge.operators import coverage as C
 from tallyforge.operators import evidence as E
 from tallyforge.operators import linkage as L
@@ -273,3 +275,77 @@ def test_registry_folds_in_any_order_and_once(spark):
     registry, conflicts = V.fold_registry(log)
     assert {r["signature"]: (r["key"], r["status"], r["uses"], r["events"]) for r in registry.collect()} == {"a": ("k3", "approved", 5, ["none -> approved", "approved -> rejected", "rejected -> approved"]), "d": (None, "approved", 1, ["none -> approved"])}
     assert [tuple(r) for r in conflicts.collect()] == [(2, "a", "k1", "k2")]
+
+
+def rows(df, *order):
+    return [tuple(r) for r in df.orderBy(*order).collect()]
+
+
+def test_required_fields_by_profile(spark):
+    docs = spark.createDataFrame([(1, " Usual "), (2, "BARE"), (3, None)], "doc_id int, profile string")
+    cand = spark.createDataFrame([(1, "number", "A1"), (1, "number", " a1 "), (1, "number", "  "), (2, "name", "Jo"), (2, "name", "Flo"), (3, "name", None)], "doc_id int, field string, raw string")
+    values = spark.createDataFrame([(1, "number", "A1"), (2, "name", "Jo"), (3, "name", " "), (3, "number", None)], "doc_id int, field string, value string")
+    out = R.field_issues(docs, cand, values, [("number", "warning"), ("list", "info")], [("bare", "number")])
+    assert rows(out, "doc_id", "field") == [
+        (1, "list", "missing_value", "info"), (2, "list", "missing_value", "info"), (2, "name", "conflicting_value", "warning"), (2, "number", "missing_value", "info"),
+        (3, "list", "missing_value", "info"), (3, "number", "missing_value", "warning"),
+    ]
+    assert R.field_issues(docs.limit(0), cand.limit(0), values, [("number", "warning")]).isEmpty()
+
+
+def test_issues_by_severity(spark):
+    issues = spark.createDataFrame([(1, "a", "error"), (1, "a", "error"), (1, "b", "info"), (2, "c", "fatal")], "doc_id int, code string, severity string")
+    assert rows(R.issue_rollup(issues, ["a", "b"]), "doc_id") == [(1, 2, 1, 0, 2, 0, 1), (2, 0, 0, 1, 0, 0, 0)]
+    assert rows(R.issue_rollup(issues.drop("severity"), ["a"]), "doc_id") == [(1, 2), (2, 0)]
+
+
+def test_mapping_issues_by_reason(spark):
+    items = spark.createDataFrame([(1, "c1", False, []), (2, None, True, ["trade unknown", "odd"]), (3, "c", None, None)], "item_id int, coverage string, upstream_review boolean, normal_reasons array<string>")
+    decided = spark.createDataFrame(
+        [(1, ["action conflict", "action unknown", "tied", "no selector"], 7, "R", 0.9), (2, ["no match"], None, None, None), (3, ["component conflict", "something else"], 8, None, 0.5)],
+        "item_id int, reasons array<string>, best int, category string, confidence double",
+    )
+    assert rows(L.mapping_issues(items, decided, "item_id"), "item_id", "code") == [
+        (1, "close_candidates", "warning"), (1, "missing_selector", "warning"), (1, "unsupported_action", "warning"), (2, "ambiguous_text", "info"), (2, "no_match", "warning"),
+        (2, "unresolved_coverage", "info"), (2, "upstream_review", "info"), (3, "component_mismatch", "info"), (3, "low_confidence", "warning"), (3, "missing_category", "warning"),
+    ]
+
+
+def test_field_edits_keep_what_the_machine_found(spark):
+    items = spark.createDataFrame([(1, "R", "EA"), (2, None, "SF")], "item_id int, category string, unit string")
+    held = spark.createDataFrame([(1, "unit", "EA", "LF", "q", "old", 0), (2, "unit", "SF", "SQ", "q", "old", 0)], "item_id int, field string, original string, value string, reviewer string, reason string, at int")
+    edits = [(4, 9, 1, "unit", "HR", "r", "x"), (3, 5, 1, "unit", None, "r", "x"), (5, 9, 2, "category", "D", "r", "x"), (6, 1, 1, "price", "1", "r", "x"), (7, 1, 1, "unit", "1", "r", " "), (8, 1, 1, "unit", "1", "r", None), (9, 1, 3, "unit", "1", "r", "x"), (10, 1, 1, None, "1", "r", "x")]
+    edits = spark.createDataFrame(edits, "edit_id int, at int, item_id int, field string, value string, reviewer string, reason string")
+    overrides, history, refused = V.edit_fields(items, held, edits, ["category", "unit"])
+    assert rows(overrides.drop("at", "reviewer", "reason"), "item_id", "field") == [(1, "unit", "EA", "HR"), (2, "category", None, "D"), (2, "unit", "SF", "SQ")]
+    assert rows(history.select("edit_id", "before", "after"), "edit_id") == [(3, "LF", None), (4, None, "HR"), (5, None, "D")]
+    assert rows(refused, "edit_id") == [(6, "field is not editable"), (7, "no reason"), (8, "no reason"), (9, "unknown item"), (10, "field is not editable")]
+
+
+def test_queue_of_committed_tasks(spark):
+    fields = ("state", "commit_state", "uncertain", "selected_category", "observed_category", "category", "selected_selector", "observed_selector", "selector", "review_reason", "stop_detail", "trust_state")
+    schema = "task_id int, ord int, has_row boolean, " + ", ".join(f"{f} {'boolean' if f == 'uncertain' else 'string'}" for f in fields)
+    r = "review_required"
+    tasks = [
+        (1, 3, None, r, "committed", None, "", "seen", "own", None, None, "S", "", "stopped", "t"), (2, 1, True, r, None, False, None, None, "own", "S", None, None, None, None, "t"), (3, 2, False, r, None, False, *[None] * 9),
+        (4, 2, True, "done", "committed", False, *[None] * 9), (5, 2, True, r, "committed", True, *[None] * 9), (6, 2, True, r, "open", False, *[None] * 9),
+    ]
+    assert [tuple(x) for x in K.committed_queue(spark.createDataFrame(tasks, schema)).collect()] == [(2, 1, "own", "S", "t", "t"), (1, 3, "seen", "S", "stopped", "t")]
+
+
+def test_typed_rule_files(spark, tmp_path):
+    rules = {
+        "kind": "k", "rules": [{"patterns": ["Tear", "HAUL"], "action": "remove"}, {"patterns": [], "trade": "x"}, {"patterns": ["felt"], "trade": "roofing", "component": "felt"}],
+        "attribute_patterns": [{"name": "n", "pattern": "([0-9]+) in", "attribute": "inches", "type": "int"}, {"name": "m", "pattern": "steep", "attribute": "steep", "value_if_matched": "true"}],
+        "hints": [{"kind": "trade", "value": "roofing", "categories": ["R", "S"]}], "groups": ["B", "A"], "aliases": {"rf": "Roof"},
+    }
+    (tmp_path / "a.json").write_text(json.dumps(rules, indent=1))
+    (tmp_path / "b.json").write_text('{"kind": "empty"}')
+    t = S.load_typed_rules(spark, str(tmp_path))
+    assert rows(t["concepts"], "ord", "concept", "pattern_ord") == [("k", 0, "action", "remove", 0, "tear"), ("k", 0, "action", "remove", 1, "haul"), ("k", 2, "component", "felt", 0, "felt"), ("k", 2, "trade", "roofing", 0, "felt")]
+    assert rows(t["attributes"], "ord") == [("k", 0, "inches", "(?i)([0-9]+) in", "int", None), ("k", 1, "steep", "(?i)steep", "str", "true")]
+    assert rows(t["hints"], "ord") == [("k", "trade", "roofing", "R", 0), ("k", "trade", "roofing", "S", 1)]
+    assert rows(t["groups"], "ord") == [("k", 0, "B"), ("k", 1, "A")] and rows(t["aliases"], "alias") == [("k", "rf", "Roof")]
+    (tmp_path / "c.json").write_text('{"kind": ["not", "a", "string"')
+    with pytest.raises(Exception):
+        S.load_typed_rules(spark, str(tmp_path))["groups"].collect()
