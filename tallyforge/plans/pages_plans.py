@@ -40,6 +40,48 @@ def p1(spark, sf_dir):
     return _classified(spark, sf_dir).select("doc_id", "page", "page_class", "include", "confidence")
 
 
+#: Lines that pages are put together from: most phrases of the classes, near misses and plain text.
+_LINES = [
+    "", " \t ", "QUANTITY", "quantity", " 12. Wall paint", "*3. Ridge", "12.Wall", "1234. Too long a number", "CONTINUED - Roof", "continued -", "Sample Estimate", "A guide", "For example", "Anywhere, IL",
+    "Recap by Category", "Recap of Taxes", "Overhead and Profit", "Replacement cost benefits pays the actual and necessary cost", "Recoverable depreciation is paid", "Commonly Asked Questions",
+    "Enclosed is our settlement", "Summary for Dwelling", "Line Item Total 5.00", "Actual Cash Value 7.00", "Net Claim", "1' 2\" 3' 4\" 5'", "6' 7' 8' 9\"", "Surface Area 10", "Number of Squares 2", "SF Walls 7",
+    "Claim Number: 1", "Policy Number 2", "Insured: Jo", "L/R Number 3", "Dear customer", "Claims department", "Claim representative", "We have prepared this estimate", "Nothing of the kind", "Paint the wall twice",
+]
+_LIST = "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in _LINES) + "]"
+_N = len(_LINES)
+#: Four lines of a page, by its keys.
+_PICKS = [f"o_orderkey % {_N}", f"(o_orderkey * 7 + o_custkey) % {_N}", f"(o_custkey * 11 + 3) % {_N}", f"(o_orderkey * 3 + o_custkey * 5 + 1) % {_N}"]
+_HAS = lambda words: "(" + " + ".join(f"contains(l, '{w}')::INT" for w in words) + ")"
+
+
+def _composed(spark, sf_dir):
+    lines = F.array(*map(F.lit, _LINES))
+    text = F.concat_ws("\n", *(F.element_at(lines, (F.expr(i) + 1).cast("int")) for i in _PICKS))
+    return G.classify_pages(read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("page"), text.alias("text")))
+
+
+_COMPOSED = "WITH t AS (SELECT o_custkey AS doc_id, o_orderkey AS page, " + " || chr(10) || ".join(f"{_LIST}[({i} + 1)::INT]" for i in _PICKS) + r""" AS text FROM orders), u AS (SELECT *, lower(text) AS l FROM t),
+w AS (SELECT *, contains(l, 'quantity') AND regexp_matches(text, '(?m)^\*?[ \t]*[0-9]{1,3}\.[ \t]+[^ \t\r\n]') AS detail, regexp_matches(l, 'continued *- *[^ \n]') AS more, len(regexp_extract_all(text, '[0-9]+''[ ]*[0-9]*"?')) AS feet,
+""" + f"{_HAS(G.CLAIM_LABELS)} AS labelled, {_HAS(G.Phrases().measures)} AS measured, {_HAS(G.Phrases().summary)} AS summed, {_HAS(G.SAMPLES)} > 0 AS sample, {_HAS(G.PLACEHOLDERS[:3])} > 0 AS marker" + " FROM u), pg AS (SELECT *, " + f"""
+CASE WHEN regexp_matches(text, '^[ \t\n]*$') THEN 'blank' WHEN marker THEN 'instructional_sample' WHEN sample AND (contains(l, 'guide') OR contains(l, 'example')) THEN 'instructional_sample' WHEN detail AND more THEN 'estimate_detail_continuation' WHEN detail THEN 'estimate_detail'
+WHEN contains(l, 'recap by category') THEN 'recap_by_room' WHEN contains(l, 'overhead and profit') AND contains(l, 'recap of taxes') THEN 'overhead_profit_recap' WHEN contains(l, 'recap of taxes') THEN 'tax_recap' WHEN {_HAS(G.REPLACEMENT)} > 0 THEN 'replacement_cost_explanation'
+WHEN {_HAS(G.DEPRECIATION)} > 0 THEN 'depreciation_guide' WHEN contains(l, 'asked questions') THEN 'faq' WHEN {_HAS(G.SETTLEMENT)} > 0 THEN 'settlement_notice' WHEN contains(l, 'summary for') AND summed >= 2 THEN 'coverage_summary' WHEN feet >= 6 THEN 'roof_diagram'
+WHEN measured >= 2 THEN 'measurement_summary' WHEN labelled >= 2 THEN 'claim_metadata' WHEN {_HAS(G.Phrases().letter)} > 0 THEN 'carrier_letter' ELSE 'unknown' END AS page_class FROM w) """
+
+
+@query("p1_composed_pages", _COMPOSED + "SELECT doc_id, page, page_class, CASE WHEN page_class = 'carrier_letter' THEN labelled >= 1 ELSE page_class NOT IN ('blank', 'instructional_sample', 'replacement_cost_explanation', 'depreciation_guide', 'faq', 'settlement_notice', 'unknown') END AS include FROM pg")
+def p1_composed(spark, sf_dir):
+    """Pages of four lines each, so that several tests can hold at once."""
+    return _composed(spark, sf_dir).select("doc_id", "page", "page_class", "include")
+
+
+@query("p2_composed_sets", _COMPOSED + "SELECT doc_id, count(*) FILTER (page_class NOT IN ('instructional_sample', 'blank', 'unknown')) AS metadata_pages, count(*) FILTER (page_class LIKE 'estimate%') AS estimate_pages FROM pg GROUP BY doc_id HAVING metadata_pages > 0")
+def p2_composed(spark, sf_dir):
+    pages = _composed(spark, sf_dir)
+    rows = G.estimate_pages(pages).groupBy("doc_id").agg(F.count("*").alias("estimate_pages"))
+    return G.metadata_eligible(pages).groupBy("doc_id").agg(F.count("*").alias("metadata_pages")).join(rows, "doc_id", "left").fillna(0, ["estimate_pages"])
+
+
 @query("p2_page_sets", _CLASSES + "SELECT doc_id, count(*) FILTER (page_class NOT IN ('instructional_sample', 'blank', 'unknown')) AS metadata_pages, count(*) FILTER (page_class LIKE 'estimate%') AS estimate_pages FROM pg GROUP BY doc_id")
 def p2(spark, sf_dir):
     pages = _classified(spark, sf_dir)
@@ -109,6 +151,25 @@ def p10(spark, sf_dir):
     return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", n["note_type"].alias("note_type"), n["note_like"].alias("note_like"))
 
 
+_SAID = ["ITEL match", "Priced by the yard", "an allowance of $5", "per code R903.2", "building code", "auto calculated waste", "bundle rounding", "rake only", "allotted to the ridge", "code upgrade", "did not previously exist", "plain words", "Starter course", "Windows"]
+_SAID_SQL = "[" + ", ".join(f"'{x}'" for x in _SAID) + "]"
+_NOTE = ["(l_partkey + l_suppkey) % 14", "(l_orderkey * 3 + l_linenumber) % 14"]
+
+
+@query(
+    "p10_composed_notes",
+    "WITH t AS (SELECT l_orderkey, l_partkey, l_linenumber, lower(" + " || ' ' || ".join(f"{_SAID_SQL}[({i} + 1)::INT]" for i in _NOTE) + """) AS l FROM lineitem)
+    SELECT l_orderkey, l_partkey, l_linenumber, CASE WHEN contains(l, 'code upgrade') OR contains(l, 'did not previously exist') THEN 'code_upgrade_note' WHEN contains(l, 'itel') OR contains(l, 'priced by') OR contains(l, 'allowance of $') THEN 'pricing_note'
+      WHEN contains(l, 'r903.') OR contains(l, 'building code') THEN 'code_note' WHEN contains(l, 'auto calculated waste') OR contains(l, 'bundle rounding') THEN 'waste_note' WHEN contains(l, 'rake only') OR contains(l, 'allotted to') THEN 'measurement_note' ELSE 'general_note' END AS note_type,
+      l LIKE 'starter%' OR l LIKE 'auto calculated%' OR l LIKE 'per code%' OR l LIKE 'allotted to%' AS note_like FROM t""",
+)
+def p10_composed(spark, sf_dir):
+    """Notes of two parts each, so that the order of the kinds decides."""
+    said = F.array(*map(F.lit, _SAID))
+    n = G.classify_notes(F.concat_ws(" ", *(F.element_at(said, (F.expr(i) + 1).cast("int")) for i in _NOTE)))
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", n["note_type"].alias("note_type"), n["note_like"].alias("note_like"))
+
+
 _VERBS = ["R&R ", "Detach and reset ", "Remove ", "Replace ", "Tear off ", "D&R ", "", "Labor minimum "]
 
 
