@@ -113,6 +113,16 @@ def test_a_large_group_of_copies_is_one_vertex(spark):
     assert [(r["component_id"], r["count"]) for r in out] == [(0, 1000)]
 
 
+@pytest.mark.parametrize("most", [0, 12])
+def test_copies_beyond_what_is_held_are_joined_all_the_same(spark, monkeypatch, most):
+    """No set is broadcast, or only those that more than a twelfth of the rows share."""
+    texts = families(5, 4, 5)
+    rows = list(enumerate([*texts, *texts[:6], *[texts[0]] * 9, None, "", *[texts[1]] * 2]))
+    monkeypatch.setattr(minhash_dedup, "MOST_HELD", most)
+    out = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out.collect()} == brute(rows, 5)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(200, 200)]
     got = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
