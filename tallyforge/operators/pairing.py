@@ -105,7 +105,8 @@ def rerank_custom(candidates: DataFrame, item: str, key: str, score: Callable, w
     scored = candidates.withColumn("_s", guarded("a", "b"))
     scored = scored.withColumn("applied", F.min(F.col("_s").isNotNull() & ~F.isnan("_s")).over(own))
     combined = F.when(F.col("applied"), (1 - weight) * F.col("score") + weight * F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("_s")))).otherwise(F.col("score"))
-    out = scored.select(item, key, combined.alias("combined"), "applied")
+    # Equal to nine places is a tie, which the key decides.
+    out = scored.select(item, key, F.round(combined, 9).alias("combined"), "applied")
     return out.withColumn("rank", F.row_number().over(own.orderBy(F.desc("combined"), key)))
 
 
