@@ -61,32 +61,39 @@ def score_evidence(pairs: DataFrame, vocabulary: Vocabulary, weights: Weights =
     words in the entry.
     """
     v, w = vocabulary, weights
-    item, text = T.norm_description(F.col("description"), False), T.norm_description(F.col("candidate"), False)
+    own_columns = pairs.columns
+    # what is said of a pair more than once is a column, so that it is worked out once
+    pairs = pairs.withColumns({"_item": T.norm_description(F.col("description"), False), "_text": T.norm_description(F.col("candidate"), False)})
+    item, text = F.col("_item"), F.col("_text")
+    pairs = pairs.withColumns({
+        "_words": T.tokens(F.replace(F.when(F.col("component") != "unknown", F.col("component")).otherwise(""), F.lit("_"), F.lit(" "))), "_theirs": T.tokens(text), "_named": _stated(text, v.materials), "_grades": _stated(text, v.styles),
+        "_material": F.coalesce(F.nullif(F.lower("material"), F.lit("")), F.try_element_at(_stated(item, v.materials), F.lit(1))), "_their_size": T.size_term(text), "_pair": T.dimension_pair(item), "_their_pair": T.dimension_pair(text),
+    })
     said = F.create_map(*[F.lit(x) for p in v.actions.items() for x in p])[F.col("action")] if v.actions else F.lit(None).cast("string")
     fuzzy = F.when((item == "") | (text == ""), 0.0).otherwise(T.similarity(item, text))
     omitted = F.regexp_replace(item, F.concat(F.lit("\\Q"), text, F.lit("\\E")), F.lit(""))
     drops = F.coalesce(F.contains(omitted, said) & ~F.contains(text, said), F.lit(False))
     description = F.when((F.coalesce(item, F.lit("")) == "") | (F.coalesce(text, F.lit("")) == ""), 0.0).when(item == text, 1.0).when(F.contains(text, item), F.length(item) / F.length(text)).when(F.contains(item, text), F.when(drops, fuzzy).otherwise(1.0)).otherwise(fuzzy)
-    words = T.tokens(F.replace(F.when(F.col("component") != "unknown", F.col("component")).otherwise(""), F.lit("_"), F.lit(" ")))
-    theirs = T.tokens(text)
+    words, theirs = F.col("_words"), F.col("_theirs")
     met = F.exists(words, lambda a: F.exists(theirs, lambda b: T.word_match(a, b)))
     stray = F.exists(F.array(*map(F.lit, v.structures)), lambda m: F.array_contains(theirs, m) & ~F.array_contains(words, m) & ~F.contains(item, m)) if v.structures else F.lit(False)
     component_ok = (F.size(words) == 0) | (met & ~stray)
-    material = F.coalesce(F.nullif(F.lower("material"), F.lit("")), F.try_element_at(_stated(item, v.materials), F.lit(1)))
-    named = _stated(text, v.materials)
+    material, named = F.col("_material"), F.col("_named")
     own = F.contains(text, material) | F.contains(material, text) | F.arrays_overlap(T.tokens(material), theirs) | F.array_contains(named, material)
     material_state = _state(material, F.coalesce(own, F.lit(False)), F.size(named) > 0)
-    size, their_size = F.lower("size_key"), T.size_term(text)
+    size, their_size = F.lower("size_key"), F.col("_their_size")
     size_state = _state(size, F.coalesce(F.contains(text, size), F.lit(False)), F.coalesce(their_size != size, F.lit(False)))
-    pair, their_pair = T.dimension_pair(item), T.dimension_pair(text)
+    pair, their_pair = F.col("_pair"), F.col("_their_pair")
     size_state = F.when(F.coalesce(pair != their_pair, F.lit(False)), "CONFLICT").otherwise(size_state)
-    grade, grades = F.lower("grade_key"), _stated(text, v.styles)
+    grade, grades = F.lower("grade_key"), F.col("_grades")
     grade_state = _state(grade, F.coalesce(F.contains(text, grade), F.lit(False)), (F.size(grades) > 0) & ~F.coalesce(F.array_contains(grades, grade), F.lit(False)))
     unasked = F.lit(False)
     for k, _ in v.styles:
         unasked = unasked | (F.contains(text, F.lit(k)) & ~F.contains(item, F.lit(k)))
     grade_state = F.when(unasked, "CONFLICT").otherwise(grade_state)
     action_state = F.when(said.isNull(), None).when(F.contains(text, said), "MATCH").otherwise("CONFLICT")
+    pairs = pairs.withColumns({"material_state": material_state, "size_state": size_state, "grade_state": grade_state, "action_state": action_state, "component_ok": component_ok, "_description": description})
+    material_state, size_state, grade_state, action_state, component_ok, description = (F.col(c) for c in ("material_state", "size_state", "grade_state", "action_state", "component_ok", "_description"))
     value = lambda s: F.when(s == "MATCH", 1.0).when(s == "UNSPECIFIED", 0.5).otherwise(0.0)
     dims = [
         (F.lit(True), w.description, description), (F.lit(True), w.component, F.when(component_ok, 1.0).otherwise(0.0)), (material.isNotNull(), w.material, value(material_state)), (size.isNotNull(), w.size, value(size_state)),
@@ -96,4 +103,4 @@ def score_evidence(pairs: DataFrame, vocabulary: Vocabulary, weights: Weights =
     share = sum((F.when(on, n).otherwise(0) for on, n, _ in dims), F.lit(0))
     caps = [(~component_ok, w.wrong_component), (material_state == "CONFLICT", w.wrong_material), (size_state == "CONFLICT", w.wrong_size), (grade_state == "CONFLICT", w.wrong_grade), (action_state == "CONFLICT", w.wrong_action)]
     score = F.floor(F.least(total / share * 10000 + 1e-6, *(F.when(c, n * 100).otherwise(10000) for c, n in caps))).cast("int")
-    return pairs.withColumns({"material_state": material_state, "size_state": size_state, "grade_state": grade_state, "action_state": action_state, "component_ok": component_ok, "score": score})
+    return pairs.withColumn("score", score).select(*own_columns, "material_state", "size_state", "grade_state", "action_state", "component_ok", "score")

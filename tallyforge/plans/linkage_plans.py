@@ -175,6 +175,12 @@ def _pools(spark, sf_dir):
     return L.candidates_by_hint(items(spark, sf_dir), _hints(spark))
 
 
+def _best(spark, rows, records):
+    """Of each row's pools the 200 records that share most words."""
+    pools = L.candidates_by_hint(rows, _hints(spark))
+    return pools, L.prefilter_by_overlap(pools.join(rows.select("item_id", "tokens"), "item_id"), records, "rec_id")
+
+
 _POOLS = _W + ", " + _REC + """, h(kind, value, category) AS (VALUES ('trade', 'small', 'Brand#1'), ('trade', 'small', 'Brand#2'), ('trade', 'economy', 'Brand#3'), ('component', 'ring', 'Brand#4'), ('component', 'bolt', 'Brand#5'), ('component', 'gear', 'Brand#5')),
 a AS (SELECT item_id, h.category, h.kind FROM it JOIN h ON (h.kind = 'trade' AND h.value = it.trade) OR (h.kind = 'component' AND h.value = it.component)),
 f AS (SELECT item_id, category FROM a WHERE kind = 'trade' OR item_id NOT IN (SELECT item_id FROM a WHERE kind = 'trade')),
@@ -281,16 +287,22 @@ _APART = [["small", "large"], ["hot", "cold"], ["red", "blue"]]
 
 
 def _recommended(spark, sf_dir):
-    """Items against the 200 records of their pools that share most words, with similarities, signals, scores and phrases."""
-    pools = _pools(spark, sf_dir)
-    rows = items(spark, sf_dir)
+    """Items against the 200 records of their pools that share most words, with similarities, signals, scores and phrases, and what the rows of items stand for.
+
+    Only description, trade, component, material, action, unit and attributes
+    count, so one item of each kind is scored for all.
+    """
+    rows = items(spark, sf_dir).withColumn("grades", F.map_entries("attributes"))
+    rows, of = L.representatives(rows, "item_id", ["description", "trade", "component", "material", "action", "unit", "grades", "tokens"])
+    rows = rows.withColumn("attributes", F.map_from_entries("grades")).drop("grades")
+    records = _records(spark, sf_dir)
+    pools, best = _best(spark, rows, records)
     hints = pools.groupBy("item_id").agg(F.array_sort(F.collect_set("category")).alias("hints"))
-    best = L.prefilter_by_overlap(pools.join(rows.select("item_id", "tokens"), "item_id"), _records(spark, sf_dir), "rec_id").select("item_id", "rec_id").distinct()
-    entries = _records(spark, sf_dir).select("rec_id", F.col("text").alias("e_description"), F.col("category").alias("e_category"))
-    pairs = best.join(rows.drop("category", "tokens"), "item_id").join(hints, "item_id").join(entries, "rec_id")
-    k = F.col("rec_id")
+    entries = records.select("rec_id", F.col("text").alias("e_description"), F.col("category").alias("e_category"))
+    pairs = best.select("item_id", "rec_id").distinct().join(rows.drop("tokens"), "item_id").join(hints, "item_id").join(entries, "rec_id")
+    pairs, k = L.shared_out(pairs, "item_id", "rec_id"), F.col("rec_id")
     pairs = pairs.withColumns({"verified": k % 9 == 0, "ocr_confidence": F.when(k % 6 == 0, 0.5).when(k % 7 > 0, 0.9), "uncertain": k % 8 == 0})
-    return L.explain(L.score_recommendation(L.compatibility(L.similarities(pairs), actions=_SAID, units=_MEASURED, grades=_GRADES, groups=_APART)))
+    return L.explain(L.score_recommendation(L.compatibility(L.similarities(pairs), actions=_SAID, units=_MEASURED, grades=_GRADES, groups=_APART))), of
 
 
 _HAS = "list_filter({words}, lambda w: contains({text}, w))"
@@ -316,12 +328,14 @@ rc AS (SELECT *, least(10000, greatest(0, greatest(0, least(points, CASE WHEN hi
 
 @query("r4_compatibility", _RECOMMENDED + "SELECT item_id, rec_id, hinted AS category_hinted, action_state, unit_state, grade_conflict, distinctions FROM rc")
 def r4(spark, sf_dir):
-    return _recommended(spark, sf_dir).select("item_id", "rec_id", "category_hinted", "action_state", "unit_state", "grade_conflict", "distinctions")
+    scored, of = _recommended(spark, sf_dir)
+    return L.spread(of, scored.select("item_id", "rec_id", "category_hinted", "action_state", "unit_state", "grade_conflict", "distinctions"), "item_id")
 
 
 @query("r5_score_recommendation", _RECOMMENDED + "SELECT item_id, rec_id, score FROM rc")
 def r5(spark, sf_dir):
-    return _recommended(spark, sf_dir).select("item_id", "rec_id", "score")
+    scored, of = _recommended(spark, sf_dir)
+    return L.spread(of, scored.select("item_id", "rec_id", "score"), "item_id")
 
 
 @query(
@@ -332,7 +346,8 @@ def r5(spark, sf_dir):
       list_filter([CASE WHEN ocr < 0.85 THEN 'poorly read entry' END, CASE WHEN uncertain THEN 'uncertain entry' END], lambda x: x IS NOT NULL)) AS penalties FROM rc""",
 )
 def r6(spark, sf_dir):
-    return _recommended(spark, sf_dir).select("item_id", "rec_id", "match_reasons", "penalties")
+    scored, of = _recommended(spark, sf_dir)
+    return L.spread(of, scored.select("item_id", "rec_id", "match_reasons", "penalties"), "item_id")
 
 
 @query(
@@ -341,8 +356,9 @@ def r6(spark, sf_dir):
     SELECT item_id, rec_id, score, source_no, row_number() OVER (PARTITION BY item_id ORDER BY source_no, score DESC, rec_id)::INT AS rank FROM f1 WHERE first = 1""",
 )
 def t4(spark, sf_dir):
-    scored = _recommended(spark, sf_dir).select("item_id", "rec_id", "score", "verified")
-    return L.merge_candidates("item_id", "rec_id", scored.where("verified"), scored)
+    scored, of = _recommended(spark, sf_dir)
+    scored = scored.select("item_id", "rec_id", "score", "verified")
+    return L.spread(of, L.merge_candidates("item_id", "rec_id", scored.where("verified"), scored), "item_id")
 
 
 @query(

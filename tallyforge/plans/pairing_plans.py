@@ -97,19 +97,24 @@ _WORDS = E.Vocabulary(materials=[("red", "red paint"), ("blue", "blue paint"), (
     SELECT item_id, rec_id, material_state, size_state, grade_state, action_state, component_ok, floor(least(total / share * 10000 + 1e-6, CASE WHEN component_ok THEN 10000 ELSE 4500 END, CASE WHEN material_state = 'CONFLICT' THEN 5500 ELSE 10000 END, CASE WHEN grade_state = 'CONFLICT' THEN 5500 ELSE 10000 END, CASE WHEN action_state = 'CONFLICT' THEN 5000 ELSE 10000 END))::INT AS score FROM q3""",
 )
 def r9(spark, sf_dir):
-    rows = LP.items(spark, sf_dir)
-    best = L.prefilter_by_overlap(LP._pools(spark, sf_dir).join(rows.select("item_id", "tokens"), "item_id"), LP._records(spark, sf_dir), "rec_id").select("item_id", "rec_id").distinct()
-    rows = rows.select("item_id", F.concat_ws(" ", "description", "trade").alias("description"), "component", "material", "action", F.when(F.col("size") % 4 == 0, "5").alias("size_key"), F.when(F.col("item_id") % 3 > 0, F.col("trade")).alias("grade_key"))
-    pairs = best.join(rows, "item_id").join(LP._records(spark, sf_dir).select("rec_id", F.col("text").alias("candidate")), "rec_id").withColumn("verified", F.col("rec_id") % 9 == 0)
-    return E.score_evidence(pairs, _WORDS).select("item_id", "rec_id", "material_state", "size_state", "grade_state", "action_state", "component_ok", "score")
-
-
-def _offered(spark, sf_dir):
-    """The five records of an item's pools that share most words, with a score by their rank."""
-    rows = LP.items(spark, sf_dir)
-    best = L.prefilter_by_overlap(LP._pools(spark, sf_dir).join(rows.select("item_id", "tokens"), "item_id"), LP._records(spark, sf_dir), "rec_id")
+    """Only the texts, the keys and the pools' trade and component count, so one item of each kind is scored for all."""
+    rows = LP.items(spark, sf_dir).withColumns({"size_key": F.when(F.col("size") % 4 == 0, "5"), "grade_key": F.when(F.col("item_id") % 3 > 0, F.col("trade"))})
+    rows, of = L.representatives(rows, "item_id", ["description", "trade", "component", "material", "action", "size_key", "grade_key", "tokens"])
+    records = LP._records(spark, sf_dir)
+    _, best = LP._best(spark, rows, records)
+    rows = rows.select("item_id", F.concat_ws(" ", "description", "trade").alias("description"), "component", "material", "action", "size_key", "grade_key")
+    pairs = best.select("item_id", "rec_id").distinct().join(rows, "item_id").join(records.select("rec_id", F.col("text").alias("candidate")), "rec_id")
+    pairs = L.shared_out(pairs, "item_id", "rec_id").withColumn("verified", F.col("rec_id") % 9 == 0)
+    return L.spread(of, E.score_evidence(pairs, _WORDS).select("item_id", "rec_id", "material_state", "size_state", "grade_state", "action_state", "component_ok", "score"), "item_id")
+
+
+def _offered(spark, sf_dir, **more):
+    """The 200 records of a pool that share most words, with a score by their rank, for one item of each description, trade and component (and ``more``), and the items that it stands for."""
+    rows, of = L.representatives(LP.items(spark, sf_dir).withColumns(more), "item_id", ["description", "trade", "component", "tokens", *more])
+    records = LP._records(spark, sf_dir)
+    _, best = LP._best(spark, rows, records)
     best = best.groupBy("item_id", "rec_id").agg(F.min("rank").alias("r"))
-    return best.join(rows.select("item_id", F.col("description").alias("a")), "item_id").join(LP._records(spark, sf_dir).select("rec_id", F.col("text").alias("b")), "rec_id").withColumn("score", 1 / F.col("r"))
+    return best.join(rows.select("item_id", F.col("description").alias("a")), "item_id").join(records.select("rec_id", F.col("text").alias("b")), "rec_id").withColumn("score", 1 / F.col("r")), rows, of
 
 
 _OFFERED = LP._BEST + ", off AS (SELECT item_id, rec_id, min(rank) AS r FROM best GROUP BY ALL), ofx AS (SELECT off.*, it.description AS a, b, 1.0::DOUBLE / r AS score FROM off JOIN it USING (item_id) JOIN rec USING (rec_id))"
@@ -124,7 +129,8 @@ def _length_ratio(a, b):
     _OFFERED + ", c AS (SELECT *, round(0.82::DOUBLE * score + 0.18::DOUBLE * (least(length(a), length(b))::DOUBLE / greatest(length(a), length(b))), 9) AS combined FROM ofx) SELECT item_id, rec_id, combined, true AS applied, row_number() OVER (PARTITION BY item_id ORDER BY combined DESC, rec_id)::INT AS rank FROM c",
 )
 def x1(spark, sf_dir):
-    return M.rerank_custom(_offered(spark, sf_dir), "item_id", "rec_id", _length_ratio).withColumn("combined", F.round("combined", 9))
+    offered, _, of = _offered(spark, sf_dir)
+    return L.spread(of, M.rerank_custom(offered, "item_id", "rec_id", _length_ratio), "item_id")
 
 
 @query(
@@ -133,6 +139,7 @@ def x1(spark, sf_dir):
     SELECT ch.item_id, rec_id, CASE WHEN choice IS NULL THEN 'abstained' WHEN choice >= ch.n THEN 'error' ELSE 'chosen' END AS state FROM ch LEFT JOIN k ON k.item_id = ch.item_id AND k.rank = choice + 1""",
 )
 def x2(spark, sf_dir):
-    ranked = _offered(spark, sf_dir).withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("r", "rec_id")))
-    choices = LP.items(spark, sf_dir).select("item_id", F.when(F.col("item_id") % 4 == 0, 0).when(F.col("item_id") % 4 == 1, 2).when(F.col("item_id") % 4 == 2, 99).alias("choice"))
-    return M.choose_candidate(ranked, "item_id", "rec_id", choices)
+    k = F.col("item_id")
+    offered, rows, of = _offered(spark, sf_dir, choice=F.when(k % 4 == 0, 0).when(k % 4 == 1, 2).when(k % 4 == 2, 99))
+    ranked = offered.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("r", "rec_id")))
+    return L.spread(of, M.choose_candidate(ranked, "item_id", "rec_id", rows.select("item_id", "choice")), "item_id")

@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from pyspark.sql import functions as F
+
 from tallyforge.operators import linkage as L
 from tallyforge.operators import pairing as M
 
@@ -10,3 +12,22 @@ def test_scores_equal_to_nine_places_are_ties(spark):
     rows = spark.createDataFrame([(1, 7, 0.5 + 1e-12, "a", "a"), (1, 3, 0.5, "a", "a"), (1, 9, 0.9, "a", "a")], "item_id long, rec_id long, score double, a string, b string")
     out = {r["rec_id"]: r["rank"] for r in M.rerank_custom(rows, "item_id", "rec_id", lambda a, b: a.str.len() * 0.0).collect()}
     assert out == {9: 1, 3: 2, 7: 3}
+
+
+def test_one_item_stands_for_all_that_are_alike(spark):
+    rows = spark.createDataFrame([(i, ["x", None][i % 2], [["a"], []][i % 3 == 0]) for i in range(60)], "item_id long, text string, tokens array<string>")
+    first, of = L.representatives(rows, "item_id", ["text", "tokens"])
+    assert sorted(r["item_id"] for r in first.collect()) == [0, 1, 2, 3]
+    scored = first.select("item_id", F.concat_ws("-", "text", F.size("tokens").cast("string")).alias("score"))
+    out = {r["item_id"]: r["score"] for r in L.spread(of, scored, "item_id").collect()}
+    assert out == {i: "-".join([x for x in ["x", None][i % 2 :][:1] if x] + ["0" if i % 3 == 0 else "1"]) for i in range(60)}
+
+
+def test_scored_pairs_grow_with_kinds_of_items(spark, tmp_path):
+    from tallyforge.plans import linkage_plans as LP
+
+    part = spark.createDataFrame([(i * 9240, "red ring", f"Brand#{i % 2}", "SMALL", 1, 1.0) for i in range(1, 29)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double")
+    part.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    scored, of = LP._recommended(spark, str(tmp_path))
+    n = scored.select("item_id").distinct().count()
+    assert n < 10 and L.spread(of, scored.select("item_id", "rec_id", "score"), "item_id").select("item_id").distinct().count() == 28
