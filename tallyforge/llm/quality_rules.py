@@ -89,15 +89,45 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * raw + self.shift, -500, 500)))
 
 
-def _fit_logistic(rows: np.ndarray, at: np.ndarray, value: np.ndarray, good: np.ndarray, penalty: float, steps: int) -> tuple[np.ndarray, float]:
-    """Weights and bias by Adam over all rows. rows, at, value: the sparse matrix, by row."""
-    w, b, n = np.zeros(FAMILIES * BUCKETS), 0.0, len(good)
-    balance = np.where(good == 1, 0.5 / max(1, good.sum()), 0.5 / max(1, n - good.sum()))
+#: Numbers of the sparse matrix that are looked at together, so that what is worked out beside it stays small.
+BLOCK = 1 << 18
+
+
+@dataclass(frozen=True)
+class _Sparse:
+    """Sparse rows as they arrived: row i has the indexes and values from ``of[i]`` to ``of[i + 1]``."""
+
+    of: np.ndarray
+    at: np.ndarray
+    value: np.ndarray
+
+    def blocks(self):
+        """(first row, number of rows, rows from 0, indexes, values) of as many whole rows as fit a block, at least one."""
+        begin, n = 0, len(self.of) - 1
+        while begin < n:
+            end = max(begin + 1, int(np.searchsorted(self.of, self.of[begin] + BLOCK, "right")) - 1)
+            a, b = self.of[begin], self.of[end]
+            yield begin, end - begin, np.repeat(np.arange(end - begin), np.diff(self.of[begin : end + 1])), self.at[a:b], self.value[a:b].astype(np.float64)
+            begin = end
+
+    def scores(self, w: np.ndarray, b: float) -> np.ndarray:
+        parts = [np.bincount(rows, weights=value * w[at], minlength=n) for _, n, rows, at, value in self.blocks()]
+        return np.concatenate(parts) + b
+
+
+def _fit_logistic(x: _Sparse, good: np.ndarray, used: np.ndarray, penalty: float, steps: int) -> tuple[np.ndarray, float]:
+    """Weights and bias by Adam over the used rows, all in each step, block by block."""
+    w, b = np.zeros(FAMILIES * BUCKETS), 0.0
+    yes = (good * used).sum()
+    balance = used * np.where(good == 1, 0.5 / max(1, yes), 0.5 / max(1, used.sum() - yes))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, steps + 1):
-        raw = np.bincount(rows, weights=value * w[at], minlength=n) + b
-        off = (1 / (1 + np.exp(-np.clip(raw, -500, 500))) - good) * balance
-        gradient = np.append(np.bincount(at, weights=value * off[rows], minlength=len(w)) + penalty * w, off.sum())
+        gradient = np.append(penalty * w, 0.0)
+        for begin, n, rows, at, value in x.blocks():
+            raw = np.bincount(rows, weights=value * w[at], minlength=n) + b
+            off = (1 / (1 + np.exp(-np.clip(raw, -500, 500))) - good[begin : begin + n]) * balance[begin : begin + n]
+            gradient[:-1] += np.bincount(at, weights=value * off[rows], minlength=len(w))
+            gradient[-1] += off.sum()
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
         w, b = w - move[:-1], b - move[-1]
@@ -131,20 +161,18 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 3000, penalty: fl
     # max_rows rows of two integers at most: the broadcast is bounded by the parameter.
     # One row for each of them, whatever repeats, so the driver gets as many.
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
-    found = texts.mapInArrow(_features, "doc_id long, quality int, at binary, value binary").toPandas().sort_values("doc_id", kind="stable")
-    if set(found["quality"]) != {0, 1}:
+    found = texts.mapInArrow(_features, "doc_id long, quality int, at binary, value binary").toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")])
+    good = found["quality"].to_numpy().astype(np.float64)
+    if set(good) != {0, 1}:
         return None
-    good = found["quality"].to_numpy(dtype=np.float64)
-    index = [np.frombuffer(x, np.int32) for x in found["at"]]
-    value = np.concatenate([np.frombuffer(x, np.float32) for x in found["value"]]).astype(np.float64)
-    rows, at = np.repeat(np.arange(len(good)), [len(x) for x in index]), np.concatenate(index)
+    at, value = (found[c].combine_chunks() for c in ("at", "value"))
+    of = np.frombuffer(at.buffers()[1], np.int32)[at.offset : at.offset + len(at) + 1].astype(np.int64) // 4
+    x = _Sparse(of - of[0], *(np.frombuffer(c.buffers()[2], kind)[of[0] : of[-1]] for c, kind in ((at, np.int32), (value, np.float32))))
     held = found["doc_id"].to_numpy() % 5 == 0
     if min(good[~held].sum(), (1 - good)[~held].sum(), held.sum()) == 0:
         held[:] = False
-    inside = ~held[rows]
-    order = np.cumsum(~held) - 1
-    w, b = _fit_logistic(order[rows[inside]], at[inside], value[inside], good[~held], penalty, steps)
-    raw = np.bincount(rows, weights=value * w[at], minlength=len(good)) + b
+    w, b = _fit_logistic(x, good, ~held, penalty, steps)
+    raw = x.scores(w, b)
     slope, shift = _platt(raw[held], good[held]) if held.any() else (1.0, 0.0)
     return Model(w, b, slope, shift)
 

@@ -302,3 +302,21 @@ def test_toxic_marks_equal_brute_force():
         for level, times in enumerate(importance_sampling.TIMES, 1):
             upper = (*importance_sampling.TIMES, 10**9)[level]
             assert (levels[level][0] == d).sum() == sum(times <= starts.count(s) < upper for s in set(starts))
+
+
+def test_the_fit_holds_its_matrix_once():
+    """Beside the sparse matrix the fit needs memory for a block, however many rows there are."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    n, each = 2000, 800
+    x = quality_rules._Sparse(np.arange(n + 1) * each, rng.integers(0, quality_rules.FAMILIES * quality_rules.BUCKETS, n * each).astype(np.int32), rng.random(n * each).astype(np.float32))
+    good = (np.arange(n) % 2).astype(np.float64)
+    used = np.arange(n) % 5 > 0
+    tracemalloc.start()
+    w, b = quality_rules._fit_logistic(x, good, used, 1e-5, 2)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 16 << 20  # the matrix has 1.6 million numbers, 12.8 MB of eight bytes for each thing kept of them
+    rows = np.repeat(np.arange(n), each)
+    assert np.allclose(x.scores(w, b), np.bincount(rows, weights=x.value.astype(float) * w[x.at], minlength=n) + b)

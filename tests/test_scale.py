@@ -2,8 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from pyspark.sql import functions as F
-
 from tallyforge.operators import linkage as L
 from tallyforge.operators import pairing as M
 
