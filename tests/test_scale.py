@@ -29,3 +29,17 @@ def test_scored_pairs_grow_with_kinds_of_items(spark, tmp_path):
     scored, of = LP._recommended(spark, str(tmp_path))
     n = scored.select("item_id").distinct().count()
     assert n < 10 and L.spread(of, scored.select("item_id", "rec_id", "score"), "item_id").select("item_id").distinct().count() == 28
+
+
+def test_lines_stay_with_their_document(spark):
+    """Pages to rows in one exchange of lines, that of their pages: dropping boilerplate moves no line."""
+    from tallyforge.operators import parsing as P
+
+    pages = spark.createDataFrame([(1, 1, "Head\nRoof\n head \nx"), (1, 2, "HEAD\ny"), (2, 1, "Head\n")], "doc_id long, page int, text string").repartition(5, "doc_id")
+    phrases = spark.createDataFrame([(1, "head"), (1, " X ")], "doc_id long, text string")
+    lines = P.own_lines(pages, phrases)
+    rows = lambda df: sorted(tuple(r) for r in df.select("doc_id", "page", "line", "text").collect())
+    assert rows(lines) == rows(P.drop_boilerplate(P.split_lines(pages), phrases)) == [(1, 1, 2, "Roof"), (1, 2, 2, "y"), (2, 1, 1, "Head"), (2, 1, 2, "")]
+    tokens = P.carry_open_section(P.tokenize_lines(lines), F.col("text") == "Roof")
+    plan = tokens._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # of the pages and of the documents of phrases
