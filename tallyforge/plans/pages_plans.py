@@ -205,7 +205,7 @@ def p16(spark, sf_dir):
 def p17(spark, sf_dir):
     line, item = F.col("line_no"), F.col("item_id")
     reasons = F.when(line == 2, F.array(F.lit("missing tax"), F.lit("unheard of"))).when(line == 3, F.array(F.lit("missing quantity")))
-    items = X.line_items(spark, sf_dir).select("doc_id", "item_id", F.when(item % 7 > 0, "text").when(item % 2 == 0, " ").alias("description"), F.when(line != 3, F.col("quantity")).alias("quantity"), F.when(line != 5, "EA").alias("unit"), F.when(line == 6, "Unlabeled (1)").otherwise("Roof").alias("section"), reasons.alias("reasons"))
+    items = X.line_items(spark, sf_dir, X.by_document(spark, sf_dir, read(spark, sf_dir, "lineitem"))).select("doc_id", "item_id", F.when(item % 7 > 0, "text").when(item % 2 == 0, " ").alias("description"), F.when(line != 3, F.col("quantity")).alias("quantity"), F.when(line != 5, "EA").alias("unit"), F.when(line == 6, "Unlabeled (1)").otherwise("Roof").alias("section"), reasons.alias("reasons"))
     k = F.col("o_orderkey")
     orders = read(spark, sf_dir, "orders")
     pages = orders.select(k.alias("doc_id"), F.when(k % 6 == 0, "unknown").otherwise("faq").alias("page_class"))

@@ -43,3 +43,15 @@ def test_lines_stay_with_their_document(spark):
     tokens = P.carry_open_section(P.tokenize_lines(lines), F.col("text") == "Roof")
     plan = tokens._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2  # of the pages and of the documents of phrases
+
+
+def test_partitions_grow_with_rows(spark, monkeypatch):
+    from tallyforge.plans import fixtures as X
+    from tallyforge.plans._register import read
+
+    monkeypatch.setattr(X, "ROWS", 500)
+    rows = read(spark, "/root/testdata/sf0.001", "lineitem")
+    dealt = X.by_document(spark, "/root/testdata/sf0.001", rows)
+    assert dealt.rdd.getNumPartitions() == -(-rows.count() // 500)
+    places = dealt.select("l_orderkey", F.spark_partition_id().alias("p")).distinct()
+    assert places.count() == places.select("l_orderkey").distinct().count()
