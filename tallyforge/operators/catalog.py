@@ -101,30 +101,49 @@ def validate_catalog(catalog: DataFrame, units: Sequence[str], actions: Sequence
     return ids.unionByName(same).unionByName(catalog.select("mapping_id", F.explode(problems).alias("problem")))
 
 
+def _two_smallest(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, low, high): the two smallest ids of each group; high is low where there is one only."""
+    nth = F.dense_rank().over(Window.partitionBy(*keys).orderBy("mapping_id"))
+    return rows.withColumn("nth", nth).where("nth <= 2").groupBy(*keys).agg(F.min("mapping_id").alias("low"), F.max("mapping_id").alias("high"))
+
+
 def overlapping_shapes(catalog: DataFrame) -> DataFrame:
     """(mapping_id, other): entries that another entry of the same trade and component overlaps, with the smallest such id.
 
     Two entries overlap if they share an action and a unit; a missing or empty list
-    stands for all. Each entry is spread over its cells of action and unit and looks
-    up the at most four groups of cells that can hold another one; groups know
-    their two smallest ids, so entries of a trade never meet in pairs.
+    stands for all. Entries of the same lists are one shape. Each shape is spread
+    over its cells of action and unit and looks up the at most four groups of cells
+    that can hold another one; shapes and groups know their two smallest ids, so
+    entries of a trade never meet in pairs. The joins are by sorting on both sides:
+    what lists are spread to can't be told from a catalog's size, and would be sent
+    to the driver for a broadcast.
     """
     every = F.lit("*")
-    listed = lambda c: F.when(F.coalesce(F.size(c), F.lit(0)) > 0, F.array_distinct(c)).otherwise(F.array(every))
-    own = catalog.select("mapping_id", "trade", "component", F.explode(listed("actions")).alias("action"), listed("units").alias("units"))
-    cells = own.select("mapping_id", "trade", "component", "action", F.explode("units").alias("unit"))
+    listed = lambda c: F.when(F.coalesce(F.size(c), F.lit(0)) > 0, F.array_sort(F.array_distinct(c))).otherwise(F.array(every))
+    of_shape, of_cell = ["trade", "component", "actions", "units"], ["trade", "component", "action", "unit"]
+    entries = catalog.select("mapping_id", "trade", "component", listed("actions").alias("actions"), listed("units").alias("units"))
+    cells = _two_smallest(entries, of_shape).withColumn("action", F.explode("actions")).withColumn("unit", F.explode("units"))
     # a cell in the four views: with or without looking at its action and its unit
     either = lambda c: F.array(F.col(c), F.lit(None).cast("string"))
     views = cells.withColumn("action", F.explode(either("action"))).withColumn("unit", F.explode(either("unit")))
-    keys = ["trade", "component", "action", "unit"]
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("mapping_id"))
-    groups = views.select(*keys, "mapping_id").distinct().withColumn("nth", nth).where("nth <= 2").groupBy(*keys).agg(F.min("mapping_id").alias("low"), F.max("mapping_id").alias("high"))
-    # an entry for all actions looks at no action; any other looks at its own and at those for all
+    ids = F.explode(F.array_distinct(F.array("low", "high"))).alias("mapping_id")
+    groups = _two_smallest(views.select(*of_cell, ids), of_cell)
+    # a shape for all actions looks at no action; any other looks at its own and at those for all
     asked = lambda c: F.when(F.col(c) == "*", F.array(F.lit(None).cast("string"))).otherwise(F.array(F.col(c), every))
-    looks = cells.withColumn("action", F.explode(asked("action"))).withColumn("unit", F.explode(asked("unit")))
-    same = [looks[c].eqNullSafe(groups[c]) for c in ("trade", "component", "action", "unit")]
-    found = looks.join(groups, same[0] & same[1] & same[2] & same[3]).select("mapping_id", F.when(F.col("low") != F.col("mapping_id"), F.col("low")).when(F.col("high") != F.col("mapping_id"), F.col("high")).alias("other"))
-    return found.where("other is not null").groupBy("mapping_id").agg(F.min("other").alias("other"))
+    looks = cells.drop("low", "high").withColumn("action", F.explode(asked("action"))).withColumn("unit", F.explode(asked("unit")))
+    met = _null_safe(looks, groups.hint("merge"), of_cell)
+    found = _two_smallest(met.select(*(looks[c] for c in of_shape), ids), of_shape)
+    own = _null_safe(entries, found.hint("merge"), of_shape)
+    other = F.when(F.col("low") != F.col("mapping_id"), F.col("low")).when(F.col("high") != F.col("mapping_id"), F.col("high"))
+    return own.select("mapping_id", other.alias("other")).where("other is not null").groupBy("mapping_id").agg(F.min("other").alias("other"))
+
+
+def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows that agree in all keys, two nulls included."""
+    same = F.lit(True)
+    for c in keys:
+        same = same & left[c].eqNullSafe(right[c])
+    return left.join(right, same)
 
 
 def resolve_malformed(catalog: DataFrame) -> DataFrame:
