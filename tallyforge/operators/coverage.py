@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from decimal import Decimal
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -226,6 +227,59 @@ def unique_split(values: Sequence[Decimal], targets: Sequence[Decimal], toleranc
     return out.tolist()
 
 
+#: Notes of documents, and their places here; the first is none.
+_NOTES = [None, "fewer than two coverages", "coverages of equal amounts", "no single assignment", "too many possible sums"]
+_FEWER, _EQUAL, _OPEN, _TOO_MANY = 1, 2, 3, 4
+#: Documents with at most so many assignments are tried side by side, in blocks of so many sums.
+_TRIED, _BLOCK = 1 << 12, 1 << 20
+
+
+def _tried(values: np.ndarray, targets: np.ndarray, slack: int) -> tuple[np.ndarray, np.ndarray]:
+    """unique_split of documents with equal numbers of values and targets, one a row, by all assignments: whether there is one only, and it."""
+    m, n = values.shape
+    k = targets.shape[1]
+    sums = [np.zeros((m, 1), np.int64) for _ in range(k - 1)]
+    for j in range(n):  # the first value's target is the highest digit of an assignment's number
+        for b in range(k - 1):
+            add = np.zeros((m, 1, k), np.int64)
+            add[:, 0, b] = values[:, j]
+            sums[b] = (sums[b][:, :, None] + add).reshape(m, -1)
+    fits = np.abs(values.sum(axis=1)[:, None] - sum(sums) - targets[:, -1:]) <= slack
+    for b in range(k - 1):
+        fits &= np.abs(sums[b] - targets[:, b : b + 1]) <= slack
+    return fits.sum(axis=1) == 1, fits.argmax(axis=1)[:, None] // k ** np.arange(n - 1, -1, -1) % k
+
+
+def _splits(values: np.ndarray, sizes: np.ndarray, targets: np.ndarray, found: np.ndarray, slack: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """A note for each document and a place in ``targets`` (or -1) for each value; documents have ``sizes`` values and ``found`` targets in cents."""
+    starts, firsts = np.cumsum(sizes) - sizes, np.cumsum(found) - found
+    note, chosen = np.where(found < 2, _FEWER, 0), np.full(len(values), -1, np.int64)
+    whole = np.bincount(np.repeat(np.arange(len(sizes)), sizes), np.abs(values.astype(float)), len(sizes)) + np.bincount(np.repeat(np.arange(len(found)), found), targets.astype(float), len(found))
+    few = (sizes * np.log(np.maximum(found, 1)) <= np.log(_TRIED) + 1e-9) & ((sizes + 1) // 2 * np.log(np.maximum(found, 1)) <= np.log(max(most, 1)) + 1e-9) & (whole < 2.0**61)
+    few &= found >= 2
+    for n, k in np.unique(np.stack([sizes[few], found[few]], axis=1), axis=0).tolist():
+        alike = np.flatnonzero(few & (sizes == n) & (found == k))
+        step = max(1, _BLOCK // k**n)
+        for at in (alike[i : i + step] for i in range(0, len(alike), step)):
+            places = starts[at][:, None] + np.arange(n)
+            one, way = _tried(values[places], targets[firsts[at][:, None] + np.arange(k)], slack)
+            note[at[~one]] = _OPEN
+            chosen[places[one]] = way[one] + firsts[at[one]][:, None]
+    exact = lambda xs: [Decimal(int(x)).scaleb(-2) for x in xs]
+    for i in np.flatnonzero((found >= 2) & ~few).tolist():
+        own = slice(starts[i], starts[i] + sizes[i])
+        try:
+            way = unique_split(exact(values[own]), exact(targets[firsts[i] : firsts[i] + found[i]]), Decimal(slack).scaleb(-2), most)
+        except OverflowError:
+            note[i] = _TOO_MANY
+            continue
+        if way is None:
+            note[i] = _OPEN
+        else:
+            chosen[own] = np.array(way, np.int64) + firsts[i]
+    return note, chosen
+
+
 def section_totals(items: DataFrame, printed: DataFrame) -> DataFrame:
     """(doc_id, section, total): the last printed total (doc_id, section, total, ord) of a section, else the sum of its items' rcv (doc_id, section, rcv)."""
     own = items.where("section is not null and rcv is not null").groupBy("doc_id", "section").agg(F.sum(F.col("rcv").cast("decimal(18,2)")).cast("decimal(18,2)").alias("summed"))
@@ -240,30 +294,29 @@ def attribute_by_unique_split(sections: DataFrame, coverages: DataFrame, toleran
     Targets are positive and differ; with fewer than two of them, without a single
     solution, or where half of the sections can give more than ``most`` different
     sums (40 sections between two coverages, or 24 among three, never do) the
-    section stays open with a note. A document's two short lists meet in one row.
+    section stays open with a note. A document's two short lists meet in one row;
+    documents of few sections are tried side by side, whole batches at once.
     """
-    totals = sections.where("total is not null").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("section", F.col("total").cast("decimal(18,2)").alias("total")))).alias("parts"))
-    own = coverages.where("rcv > 0").groupBy("doc_id", F.col("rcv").cast("decimal(18,2)").alias("rcv")).agg(F.min("coverage_id").alias("coverage_id"), F.count("*").alias("n"))
+    cents = lambda c: (F.col(c).cast("decimal(18,2)") * 100).cast("long")
+    totals = sections.where("total is not null").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("section", cents("total").alias("total")))).alias("parts"))
+    own = coverages.where("rcv > 0").groupBy("doc_id", cents("rcv").alias("rcv")).agg(F.min("coverage_id").alias("coverage_id"), F.count("*").alias("n"))
     wanted = own.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("n") == 1, F.struct("coverage_id", "rcv")))).alias("targets"), F.max(F.col("n") > 1).alias("same"))
     key, kind, coverage = (df.schema[c].dataType.simpleString() for df, c in ((sections, "doc_id"), (sections, "section"), (coverages, "coverage_id")))
-
-    def run(frames):
-        for frame in frames:
-            out = []
-            for doc_id, parts, targets, same in zip(frame["doc_id"], frame["parts"], frame["targets"], frame["same"], strict=True):
-                targets, split = [] if targets is None else list(targets), None
-                if len(targets) < 2:
-                    note = "coverages of equal amounts" if same else "fewer than two coverages"
-                else:
-                    try:
-                        split = unique_split([x["total"] for x in parts], [x["rcv"] for x in targets], Decimal(tolerance), most)
-                        note = None if split else "no single assignment"
-                    except OverflowError:
-                        note = "too many possible sums"
-                out += [(doc_id, x["section"], targets[split[i]]["coverage_id"] if split else None, note) for i, x in enumerate(parts)]
-            yield pd.DataFrame(out, columns=["doc_id", "section", "coverage_id", "note"])
-
-    return totals.join(wanted, "doc_id", "left").mapInPandas(run, f"doc_id {key}, section {kind}, coverage_id {coverage}, note string")
+    slack, notes = int(Decimal(tolerance) * 100), pa.array(_NOTES, pa.string())
+
+    def run(batches):
+        for batch in batches:
+            parts, targets = batch.column("parts"), batch.column("targets")
+            sizes, found = (pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in (parts, targets))
+            parts, targets = parts.flatten(), targets.flatten()
+            values, wanted = (pc.struct_field(c, [1]).to_numpy(zero_copy_only=False).astype(np.int64) for c in (parts, targets))
+            note, chosen = _splits(values, sizes, wanted, found, slack, most)
+            note[(note == _FEWER) & pc.fill_null(batch.column("same"), False).to_numpy(zero_copy_only=False)] = _EQUAL
+            of = np.repeat(np.arange(len(sizes)), sizes)
+            coverage_id = pc.struct_field(targets, [0]).take(pa.array(chosen, mask=chosen < 0))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(of)), pc.struct_field(parts, [0]), coverage_id, notes.take(pa.array(note[of]))], ["doc_id", "section", "coverage_id", "note"])
+
+    return totals.join(wanted, "doc_id", "left").mapInArrow(run, f"doc_id {key}, section {kind}, coverage_id {coverage}, note string")
 
 
 def cascade_coverages(assigned: DataFrame, sections: DataFrame, items: DataFrame) -> DataFrame:
