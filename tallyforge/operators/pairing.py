@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text as T
-from tallyforge.operators.linkage import _grams, verified_matches
+from tallyforge.operators.linkage import verified_matches
 
 
 def collapse_pairs_fifo(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -40,15 +40,20 @@ def collapse_pairs_fifo(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 def one_to_one_reconcile(planned: DataFrame, observed: DataFrame) -> DataFrame:
     """(group_id, name, row_id, problem): each planned name (group_id, name) must stand in exactly one observed row (group_id, row_id, text), and no row in two.
 
-    Names and rows are compared by their letters and digits only. A name meets
-    the rows that have its first three characters, not all.
+    Names and rows are compared by their letters and digits only. Rows are spread
+    over their substrings of the lengths that names have, so that a name meets the
+    rows that it stands in and no others, whatever beginning names share.
     """
     bare = lambda c: F.regexp_replace(F.lower(c), r"[^a-z0-9]", "")
     names = planned.select("group_id", "name", bare("name").alias("n"))
     repeated = F.count("*").over(Window.partitionBy("group_id", "n"))
-    names = names.withColumns({"_same": repeated > 1, "_begin": F.substring("n", 1, 3)})
-    rows = observed.select("group_id", "row_id", bare("text").alias("t")).withColumn("_begin", F.explode(_grams(F.col("t"))))
-    met = names.where("n != '' and not _same").join(rows, ["group_id", "_begin"]).where(F.contains("t", "n")).select("group_id", "name", "row_id").distinct()
+    names = names.withColumn("_same", repeated > 1)
+    wanted = names.where("n != '' and not _same")
+    lengths = planned.select(F.length(bare("name")).alias("k")).where("k > 0").agg(F.collect_set("k").alias("lengths"))  # one row
+    rows = observed.select("group_id", "row_id", bare("text").alias("t")).join(F.broadcast(lengths))
+    parts = F.transform(F.filter("lengths", lambda k: k <= F.length("t")), lambda k: F.transform(F.sequence(F.lit(1), F.length("t") - k + 1), lambda i: F.substr("t", i, k)))
+    rows = rows.select("group_id", "row_id", F.explode(F.array_distinct(F.flatten(parts))).alias("n"))
+    met = wanted.join(rows, ["group_id", "n"]).select("group_id", "name", "row_id").distinct()
     counts = met.groupBy("group_id", "name").agg(F.count("*").alias("n_rows"), F.min("row_id").alias("row_id"))
     shared = counts.where("n_rows = 1").withColumn("n_names", F.count("*").over(Window.partitionBy("group_id", "row_id"))).select("group_id", "name", "n_names")
     out = names.join(counts, ["group_id", "name"], "left").join(shared, ["group_id", "name"], "left")
