@@ -352,17 +352,19 @@ def staged_search(items: DataFrame, attempts: Sequence[str], records: DataFrame,
     """(item_id, attempt, hits, first): the first of the ordered query texts that finds records (key, tokens), how many, and the smallest key.
 
     A text finds the records that have all its tokens. Each attempt searches for
-    the items that the ones before left. Distinct texts meet records by their
-    rarest token only; the others are tested on the records that have it.
+    the items that the ones before left. Records of the same tokens are one, with
+    their number and smallest key. Distinct texts meet them by their rarest token
+    only; the others are tested on those that have it.
     """
-    words = records.select(key, F.explode(F.array_distinct("tokens")).alias("token"))
-    often = words.groupBy("token").agg(F.count("*").alias("n"))
+    alike = records.select(key, F.array_sort(F.array_distinct("tokens")).alias("tokens")).groupBy("tokens").agg(F.count("*").alias("n_alike"), F.min(key).alias("first"))
+    words = alike.select("tokens", "n_alike", "first", F.explode("tokens").alias("token"))
+    often = words.groupBy("token").agg(F.sum("n_alike").alias("n"))
     left, found = items.select("item_id", *attempts), None
     for i, attempt in enumerate(attempts):
         texts = left.select(F.col(attempt).alias("text")).where("text is not null").distinct().withColumn("own", T.tokens(F.col("text")))
         rarest = texts.select("text", "own", F.explode("own").alias("token")).join(often, "token", "left").groupBy("text", "own").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
-        met = rarest.join(words, "token").join(records.select(key, "tokens"), key).where(F.size(F.array_except("own", "tokens")) == 0)
-        hits = met.groupBy("text").agg(F.count("*").alias("hits"), F.min(key).alias("first"))
+        met = rarest.join(words, "token").where(F.size(F.array_except("own", "tokens")) == 0)
+        hits = met.groupBy("text").agg(F.sum("n_alike").alias("hits"), F.min("first").alias("first"))
         one = left.select("item_id", F.col(attempt).alias("text")).join(hits, "text").select("item_id", F.lit(i).alias("attempt"), "hits", "first")
         found = one if found is None else found.unionByName(one)
         left = left.join(one.select("item_id"), "item_id", "left_anti")
