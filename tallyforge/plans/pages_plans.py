@@ -333,14 +333,20 @@ def x4(spark, sf_dir):
     return C.attribute_by_unique_split(sections, sums)
 
 
+#: Texts in a partition where each becomes some hundred words with boxes that are sorted.
+_TEXTS = 2_000
+
+
 @query(
     "a26_words_to_lines",
     """WITH w AS (SELECT doc_id, string_split(text, ' ') AS t FROM documents), l AS (SELECT doc_id, unnest(range((len(t) + 9) // 10)) AS line, t FROM w)
     SELECT doc_id, line::INT AS line, array_to_string(t[line * 10 + 1:line * 10 + 10], ' ') AS text, 10.0::DOUBLE AS x0, (20 * line)::DOUBLE AS y0, (60.0 * least(len(t) - line * 10, 10))::DOUBLE AS x1, (20 * line + 12)::DOUBLE AS y1 FROM l""",
 )
 def a26(spark, sf_dir):
-    """Ten words of a text to a line."""
-    words = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "text"))
+    """Ten words of a text to a line. Texts are dealt out whole, in as many partitions as they ask for, so that their words stay where they are."""
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = documents.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-documents.count() // _TEXTS)), "doc_id")
+    words = documents.select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "text"))
     n, line = F.col("i") % 10, F.floor(F.col("i") / 10).cast("int")
     boxed = words.select("doc_id", F.lit(1).alias("page"), F.lit(1).alias("block"), line.alias("line"), n.alias("word"), "text", (n * 60.0 + 10).alias("x0"), (line * 20.0).alias("y0"), (n * 60.0 + 60).alias("x1"), (line * 20.0 + 12).alias("y1"))
     return Y.words_to_lines(boxed).drop("page", "block")
