@@ -81,7 +81,9 @@ def coverage_lines(lines: DataFrame, amounts: Sequence[tuple[str, str]] = AMOUNT
     """(doc_id, page, line, text, kind, field, inline, next, next_page, name, state) of each line that isn't blank: its class and the state it meets."""
     order = Window.partitionBy("doc_id").orderBy("page", "line")
     rows = lines.select("doc_id", "page", "line", F.trim(F.regexp_replace("text", T.BLANKS, " ")).alias("text")).where("text <> ''")
-    rows = rows.withColumns({"low": F.lower("text"), "field": _field(F.rtrim(F.lower("text"), F.lit(":")), amounts)})
+    # each a column before it is compared with two dozen starts, or it would be worked out as often
+    rows = rows.withColumn("low", F.lower("text")).withColumn("label", F.rtrim("low", F.lit(":")))
+    rows = rows.withColumn("field", _field(F.col("label"), amounts)).drop("label")
     rows = rows.withColumns({f"next{i}": F.lead(F.struct("text", "low", "page", "field"), i).over(order) for i in (1, 2)})
 
     def goes_on(name: Column, following: Column) -> Column:
@@ -95,7 +97,7 @@ def coverage_lines(lines: DataFrame, amounts: Sequence[tuple[str, str]] = AMOUNT
     before = F.regexp_replace(F.left("text", F.length("text") - len(INCURRED)), "^[ -]+|[ -]+$", "")
     opens = F.col("low").startswith(OPENS)
     bare = opens & (inline_name == "") & F.coalesce(next1["low"] != ALL_ITEMS, F.lit(False))
-    after_colon = F.trim(F.regexp_extract("text", "^[^:]*:(.*)$", 1))
+    after_colon = F.when(F.contains("text", F.lit(":")), F.trim(F.regexp_extract("text", "^[^:]*:(.*)$", 1))).otherwise("")
     kind = (
         F.when(opens & (F.lower(inline_name) == ALL_ITEMS), "all_items").when(opens & (inline_name != ""), F.when(goes_on(inline_name, next1), "named_on").otherwise("named"))
         .when(bare, F.when(goes_on(next1["text"], next2), "bare_on").otherwise("bare")).when(~opens & F.col("low").endswith(INCURRED) & (F.length("text") < LONGEST) & (before != ""), "incurred")

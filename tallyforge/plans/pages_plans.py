@@ -219,6 +219,16 @@ def _lines(df, doc_id, *lines):
     return at.select("doc_id", F.floor(F.col("i") / 3).cast("int").alias("page"), (F.col("i") % 3).alias("line"), "text")
 
 
+#: Orders in a partition where each becomes some twenty lines that are sorted.
+_ORDERS = 25_000
+
+
+def _orders(spark, sf_dir):
+    """Orders dealt out before they become lines, in as many partitions as they ask for, so that a document's lines stay where they are."""
+    orders = read(spark, sf_dir, "orders")
+    return orders.select("o_orderkey", "o_totalprice").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-orders.count() // _ORDERS)), "o_orderkey")
+
+
 @query(
     "a27_extract_contacts",
     """SELECT c_custkey AS doc_id, CASE c_custkey % 4 WHEN 0 THEN 'claim_representative' WHEN 1 THEN 'estimator' ELSE 'adjuster' END AS role, CASE c_custkey % 4 WHEN 0 THEN 'Ann ' WHEN 1 THEN 'Bob ' ELSE 'Cy ' END || c_custkey AS name,
@@ -248,7 +258,7 @@ def a28(spark, sf_dir):
     k, money = F.col("o_orderkey"), lambda c: F.format_number(c, 2)
     even, third = (lambda t: F.when(k % 2 == 0, t)), (lambda t: F.when(k % 3 == 0, t))
     lines = _lines(
-        read(spark, sf_dir, "orders"), k,
+        _orders(spark, sf_dir), k,
         F.lit("Cover page"), F.lit("Summary for Coverage A - Dwelling - Wind"), F.lit("Line Item Total"), money("o_totalprice"), F.lit("some words"), F.concat(F.lit("Replacement Cost Value: $"), money(F.col("o_totalprice") + 1)), F.lit("Less Deductible:"), F.lit("(500.00)"),
         F.lit("Line Item Total: 1.00"), F.lit("one"), F.lit("two"), F.lit(" "), F.lit("three"), F.lit("four"), F.lit("Net Claim: 7.00"), even("Summary for"), even("AA-Other"), even("Subtotal: 10.00"),
         F.lit("Roof - paid when incurred"), F.lit("Replacement Cost Value"), F.lit("<20.00>"), F.lit("Summary for All Items"), third("Summary for Nothing"),
@@ -270,7 +280,7 @@ def a28_cases(spark, sf_dir):
     on = lambda i, text: F.when(k == i, text)
     cover = [on(0, "Cover page"), on(0, "Summary for All Items"), on(0, "Net Claim: 9.00")]
     lines = _lines(
-        read(spark, sf_dir, "orders"), F.col("o_orderkey"), *cover,
+        _orders(spark, sf_dir), F.col("o_orderkey"), *cover,
         F.lit("Summary for"), F.lit("Coverage A - Dwelling - 35 Windstorm and"), F.lit("Hail"), F.lit("Net Claim: see below"), F.concat(F.lit("Net Claim: "), money("o_totalprice")), F.lit("Total paid when incurred: 5.00"), F.lit("Cleaning Sales Tax"), F.lit("$1.00"),
         F.concat(F.lit("Total Amount of Claim If Incurred: "), money(F.col("o_totalprice") + 2)), F.when(k < 2, "Total Paid When Incurred"), on(2, "Summary for Cov B - Contents - Loss of"), on(2, "Summary for All Items"), on(2, "Less Deductible"), on(2, "3.00"), on(3, "Overhead"), on(3, "Summary for taken by the label before"),
     )
